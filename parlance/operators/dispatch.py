@@ -82,7 +82,17 @@ class Catalogue:
         return tuple(v for v, _ in self.entries)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.entries), "verb string, arity int")
+        """A local relation (no Python worker); the values are bound, not pasted."""
+        marks = ", ".join(f"(:v{i}, :a{i})" for i in range(len(self.entries)))
+        args: dict[str, object] = {}
+        for i, (verb, arity) in enumerate(self.entries):
+            args[f"v{i}"] = verb
+            args[f"a{i}"] = arity
+        return spark.sql(
+            "SELECT CAST(verb AS STRING) AS verb, CAST(arity AS INT) AS arity "
+            f"FROM VALUES {marks} AS t(verb, arity)",
+            args=args,
+        )
 
 
 def _check_verb(verb: str) -> None:

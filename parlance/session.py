@@ -44,14 +44,15 @@ def build_session(
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
-    apply_conf(spark)
     return spark
 
 
-def apply_conf(spark: SparkSession) -> None:
-    """Set the runtime SQL settings on an existing session."""
+def apply_conf(spark: SparkSession, overwrite: bool = False) -> None:
+    """Set the settings above on an existing session; by default only the
+    ones the session does not set itself."""
     for k, v in SCALE_CONF.items():
-        spark.conf.set(k, v)
+        if overwrite or spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,0 +1,200 @@
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF001, SF01, lines_df
+from parlance.fixtures import TEST_CATALOGUE, load_lines, load_lookups
+from parlance.operators.dispatch import (
+    Catalogue,
+    dispatch_commands,
+    lookup_table,
+    union_lookups,
+    unknown_commands,
+)
+
+# Expected status counts from FIXTURES.md.
+EXPECTED = {
+    SF001: {"ok": 466, "unknown_command": 201, "bad_arguments": 199, "not_found": 134},
+    SF01: {"ok": 4816, "unknown_command": 2014, "bad_arguments": 2017, "not_found": 1153},
+}
+
+
+def _counts(df):
+    return {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
+
+
+@pytest.mark.parametrize("sf", [SF001, SF01])
+def test_status_counts(spark, sf):
+    out = dispatch_commands(load_lines(spark, sf), TEST_CATALOGUE, load_lookups(spark, sf))
+    assert _counts(out) == EXPECTED[sf]
+
+
+def test_one_row_per_line_and_unique_ids(spark):
+    lines = load_lines(spark, SF01)
+    out = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01))
+    assert out.columns == ["line_id", "ts", "verb", "status", "reply"]
+    assert out.count() == lines.count()
+    assert out.select("line_id").distinct().count() == lines.count()
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_strategies_agree(spark, strategy):
+    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look)
+    other = dispatch_commands(lines, TEST_CATALOGUE, look, strategy=strategy)
+    plan = other._jdf.queryExecution().executedPlan().toString()
+    if strategy == "shuffle":
+        assert "SortMergeJoin" in plan
+    assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
+
+
+def test_broadcast_falls_back_beyond_bound(spark):
+    lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="broadcast", broadcast_max_rows=10)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert _counts(out) == EXPECTED[SF001]
+
+
+def test_edge_line_statuses(spark):
+    edge = [
+        (None, "blank"), ("", "blank"), ("   ", "blank"),
+        ("\tBan 7", "unknown_command"), ("ban\u00a07", "unknown_command"),
+        ("БАН 7", "unknown_command"), ("ban 7 ", "unknown_command"),
+        ("ban\x0b7", "unknown_command"), ("supplier x", "bad_arguments"),
+        ("supplier 99999999999999999999", "bad_arguments"), ("supplier 1 2", "bad_arguments"),
+        ("Supplier 1", "ok"), ("supplier", "bad_arguments"), ("supplier 1.0", "bad_arguments"),
+        ("supplier +1", "bad_arguments"), ("supplier 123456789", "not_found"),
+        ("customer -1", "not_found"), ("  CUSTOMER\t007 ", "ok"),
+    ]
+    out = dispatch_commands(lines_df(spark, [e[0] for e in edge]), TEST_CATALOGUE, load_lookups(spark, SF001))
+    got = {r["line_id"]: (r["status"], r["reply"]) for r in out.collect()}
+    for i, (line, status) in enumerate(edge):
+        assert got[i][0] == status, (line, got[i])
+        if status != "ok":
+            assert got[i][1] == status
+    assert got[11][1] == "Supplier#000000001"
+    assert got[17][1].startswith("Customer#000000007 ")
+
+
+def test_null_body_still_ok(spark):
+    look = spark.createDataFrame([("thing", 1, None)], "verb string, key bigint, body string")
+    out = dispatch_commands(lines_df(spark, ["thing 1", "thing 2"]), Catalogue([("thing", 1)]), look)
+    got = sorted((r["line_id"], r["status"], r["reply"]) for r in out.collect())
+    assert got == [(0, "ok", None), (1, "not_found", "not_found")]
+
+
+def test_duplicate_lookup_keys_raise(spark):
+    look = spark.createDataFrame(
+        [("thing", 1, "a"), ("thing", 1, "b")], "verb string, key bigint, body string"
+    )
+    with pytest.raises(ValueError, match="unique"):
+        dispatch_commands(lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look)
+
+
+def test_catalogue_validation(spark):
+    with pytest.raises(ValueError):
+        Catalogue([("a", 1), ("a", 1)])
+    with pytest.raises(ValueError):
+        Catalogue([("Upper", 1)])
+    with pytest.raises(ValueError):
+        Catalogue([("two words", 1)])
+    with pytest.raises(ValueError):
+        Catalogue([("zero", 0)])
+
+
+def test_catalogue_as_dataframe(spark):
+    cat = spark.createDataFrame([("customer", 1), ("order", 1), ("supplier", 1)], "verb string, arity int")
+    out = dispatch_commands(load_lines(spark, SF001), cat, load_lookups(spark, SF001))
+    assert _counts(out) == EXPECTED[SF001]
+    bad = spark.createDataFrame([("a", 1), ("a", 2)], "verb string, arity int")
+    with pytest.raises(ValueError):
+        dispatch_commands(lines_df(spark, ["a 1"]), bad, load_lookups(spark, SF001))
+
+
+def test_arity_two(spark):
+    look = spark.createDataFrame([("pair", 5, "five")], "verb string, key bigint, body string")
+    out = dispatch_commands(
+        lines_df(spark, ["pair 5 x", "pair 5", "pair x 5"]), Catalogue([("pair", 2)]), look
+    )
+    got = sorted((r["line_id"], r["status"]) for r in out.collect())
+    assert got == [(0, "ok"), (1, "bad_arguments"), (2, "bad_arguments")]
+
+
+def test_unknown_commands(spark):
+    out = unknown_commands(load_lines(spark, SF01), TEST_CATALOGUE)
+    assert out.count() == EXPECTED[SF01]["unknown_command"]
+    assert {r["verb"] for r in out.select("verb").distinct().collect()} == {"ban"}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftAnti" in plan
+
+
+def test_hot_key_is_split_by_aqe(spark):
+    """A third of all lines ask for one key; AQE splits that join partition."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "64",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # Spread the single input file over several map tasks, as a
+        # multi-file source would be; skew splits work per map output.
+        lines = load_lines(spark, "/root/testdata/sf0.1").repartition(8)
+        hot = F.when(F.col("line_id") % 3 == 0, F.lit("customer 7")).otherwise(F.col("line"))
+        lines = lines.withColumn("line", hot)
+        look = load_lookups(spark, "/root/testdata/sf0.1")
+        out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle", check_unique=False)
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "skew=true" in plan
+        assert len(rows) == 100_000
+        assert sum(1 for r in rows if r["reply"] and r["reply"].startswith("Customer#000000007 ")) >= 33_333
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def test_matches_brute_force_on_small_fixture(spark):
+    """Row-by-row Python answer on sf0.001 equals the Spark job."""
+    import re
+
+    lines = load_lines(spark, SF001).collect()
+    look = {(r["verb"], r["key"]): r["body"] for r in load_lookups(spark, SF001).collect()}
+    arity = dict(TEST_CATALOGUE.entries)
+    want = {}
+    for r in lines:
+        toks = [t for t in re.split(r"[ \t\r\n\f]+", r["line"] or "") if t] if r["line"] is not None else None
+        verb = toks[0].lower() if toks else None
+        args = toks[1:] if toks is not None else None
+        if verb is None:
+            st = "blank"
+        elif verb not in arity:
+            st = "unknown_command"
+        elif len(args) != arity[verb] or not re.fullmatch(r"-?[0-9]+", args[0]) or not (-2**63 <= int(args[0]) < 2**63):
+            st = "bad_arguments"
+        elif (verb, int(args[0])) not in look:
+            st = "not_found"
+        else:
+            st = "ok"
+        want[r["line_id"]] = (st, look[(verb, int(args[0]))] if st == "ok" else st)
+    got = {
+        r["line_id"]: (r["status"], r["reply"])
+        for r in dispatch_commands(load_lines(spark, SF001), TEST_CATALOGUE, load_lookups(spark, SF001)).collect()
+    }
+    assert got == want
+
+
+def test_union_lookups_requires_parts():
+    with pytest.raises(ValueError):
+        union_lookups([])
+    with pytest.raises(ValueError):
+        lookup_table(None, "Bad Verb", "k", None)

@@ -1,0 +1,68 @@
+import duckdb
+import pytest
+
+from conftest import SF001, lines_df
+from parlance.fixtures import load_lines
+from parlance.operators.parse import parse_commands
+from parlance.registry import SQL_PARSE_COMMANDS
+
+# (line, expected verb, expected args) from the edge-line table of FIXTURES.md
+EDGE = [
+    (None, None, None),
+    ("", None, []),
+    ("   ", None, []),
+    ("\tBan 7", "ban", ["7"]),
+    ("ban\u00a07", "ban\u00a07", []),
+    ("БАН 7", "бан", ["7"]),
+    ("ban 7 ", "ban", ["7"]),
+    ("ban\x0b7", "ban\x0b7", []),
+    ("supplier x", "supplier", ["x"]),
+    ("supplier 99999999999999999999", "supplier", ["99999999999999999999"]),
+    ("supplier 1 2", "supplier", ["1", "2"]),
+    ("Supplier 1", "supplier", ["1"]),
+    ("a\r\nb\fc", "a", ["b", "c"]),
+]
+
+
+def test_edge_lines(spark):
+    df = parse_commands(lines_df(spark, [e[0] for e in EDGE]))
+    got = {r["line_id"]: (r["verb"], r["args"]) for r in df.collect()}
+    for i, (_, verb, args) in enumerate(EDGE):
+        assert got[i] == (verb, args), EDGE[i]
+
+
+def test_edge_lines_match_duckdb(spark):
+    con = duckdb.connect()
+    for i, (line, _, _) in enumerate(EDGE):
+        tok = con.execute(
+            "SELECT list_filter(string_split_regex(?, '[ \\t\\r\\n\\f]+'), lambda v: v <> '')",
+            [line],
+        ).fetchall()[0][0]
+        verb = None if tok is None or not tok else con.execute("SELECT lower(?)", [tok[0]]).fetchall()[0][0]
+        args = None if tok is None else tok[1:]
+        assert (verb, args) == (EDGE[i][1], EDGE[i][2]), EDGE[i]
+
+
+def test_parse_is_a_projection(spark):
+    df = parse_commands(load_lines(spark, SF001))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert df.columns == ["line_id", "ts", "line", "verb", "args"]
+
+
+def test_parse_matches_duckdb_sf001(spark):
+    con = duckdb.connect()
+    for t in ("events",):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF001}/{t}.parquet'")
+    want = sorted((r[0], r[3], tuple(r[4])) for r in con.sql(SQL_PARSE_COMMANDS).fetchall())
+    got = sorted(
+        (r["line_id"], r["verb"], tuple(r["args"]))
+        for r in parse_commands(load_lines(spark, SF001)).collect()
+    )
+    assert got == want and len(got) == 1000
+
+
+def test_rejects_clashing_columns(spark):
+    df = lines_df(spark, ["a b"]).withColumnRenamed("ts", "verb")
+    with pytest.raises(ValueError):
+        parse_commands(df)
