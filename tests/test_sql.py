@@ -1,0 +1,45 @@
+import datetime as dt
+
+import pytest
+
+from conftest import SF01
+from parlance.plans.sql import sql_query
+from parlance.sources.tables import read_table
+
+
+def test_named_parameters(spark):
+    orders = read_table(spark, SF01, "orders")
+    df = sql_query(
+        spark,
+        {"orders": orders},
+        "SELECT count(*) AS n FROM orders WHERE o_custkey = :k AND o_orderdate >= :d",
+        {"k": 7, "d": dt.date(1997, 1, 1)},
+    )
+    want = orders.filter("o_custkey = 7 AND o_orderdate >= DATE'1997-01-01'").count()
+    assert df.first()["n"] == want == 7
+
+
+def test_value_is_bound_not_pasted(spark):
+    orders = read_table(spark, SF01, "orders")
+    df = sql_query(
+        spark, {"orders": orders},
+        "SELECT count(*) AS n FROM orders WHERE o_orderstatus = :s",
+        {"s": "F' OR '1'='1"},
+    )
+    assert df.first()["n"] == 0
+
+
+def test_bad_names_and_values(spark):
+    with pytest.raises(ValueError):
+        sql_query(spark, {"bad name": None}, "SELECT 1")
+    with pytest.raises(TypeError):
+        sql_query(spark, {}, "SELECT :x", {"x": object()})
+
+
+def test_filter_reaches_scan(spark):
+    df = sql_query(
+        spark, {"orders": read_table(spark, SF01, "orders")},
+        "SELECT o_orderkey FROM orders WHERE o_custkey = :k", {"k": 7},
+    )
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_custkey,7)" in plan
