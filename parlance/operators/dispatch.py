@@ -13,6 +13,10 @@ Plan shape (one output row per input line, always)::
   hint: Catalyst and AQE broadcast it only when its measured size is under
   ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge join
   it, and AQE splits a join partition that a hot key makes oversized.
+* Inputs that ask for few distinct keys (a micro-batch, say) can use the
+  ``keys`` strategy instead: the distinct keys, counted exactly, prune the
+  lookup scan through a broadcast, and the answers are broadcast back, so
+  neither the lookups nor the lines are shuffled.
 * Lines that cannot match (blank, unknown verb, bad arguments) still pass
   through the left join, but with a null join verb and a per-line join key,
   so they spread over all partitions instead of piling on the null key.
@@ -39,6 +43,8 @@ STATUSES = (BLANK, UNKNOWN_COMMAND, BAD_ARGUMENTS, NOT_FOUND, OK)
 
 CATALOGUE_BROADCAST_MAX = 10_000
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
+KEYS_BROADCAST_MAX = 1_000_000
+STRATEGIES = ("auto", "shuffle", "broadcast", "keys")
 
 REPLY_COLUMNS = ("line_id", "ts", "verb", "status", "reply")
 
@@ -50,6 +56,7 @@ _JVERB = "__p_jverb"
 _JKEY = "__p_jkey"
 _BODY = "__p_body"
 _HIT = "__p_hit"
+_N = "__p_n"
 
 
 @dataclass(frozen=True)
@@ -199,6 +206,33 @@ def classify(parsed: DataFrame, cat: DataFrame) -> DataFrame:
     return with_arity.withColumn(_KEY, key).withColumn(_PRE, pre)
 
 
+def _requested_answers(keyed: DataFrame, lookups: DataFrame, max_keys: int) -> DataFrame | None:
+    """The lookup rows for the keys the lines ask for, one row per key, or
+    ``None`` when more than ``max_keys`` distinct keys are asked for.
+
+    The distinct keys come from a partial (map-side) aggregation, so a key
+    that a third of the lines ask for is one row per task before the
+    shuffle. Their count is checked exactly; only then are they broadcast
+    to prune the lookup scan (no shuffle of the lookups), and the answers,
+    at most one per key, are broadcast back to the lines.
+    """
+    requested = (
+        keyed.filter(F.col(_JVERB).isNotNull()).select(_JVERB, _JKEY).distinct()
+    )
+    if requested.limit(max_keys + 1).count() > max_keys:
+        return None
+    side = lookups.select(
+        F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
+    )
+    # Inner join on distinct keys (a semi-join in effect). A left_semi here
+    # would be pushed into each branch of a lookup union and recompute the
+    # requested keys once per branch.
+    hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
+    return hits.groupBy(_JVERB, _JKEY).agg(
+        F.count(F.lit(1)).alias(_N), F.any_value(_BODY).alias(_BODY), F.lit(True).alias(_HIT)
+    )
+
+
 def dispatch_commands(
     lines: DataFrame,
     catalogue: Catalogue | DataFrame,
@@ -208,16 +242,33 @@ def dispatch_commands(
     strategy: str = "auto",
     check_unique: bool = True,
     broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
+    keys_broadcast_max: int = KEYS_BROADCAST_MAX,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
     ``lines`` needs ``line_id``, ``ts`` and ``line_col``. ``lookups`` is
     ``(verb, key, body)``, unique on ``(verb, key)``. ``reply`` is the looked
     up body for ``ok`` lines and the status text for every other line.
+
+    ``strategy`` picks the lookup join:
+
+    * ``auto``: no hint; Catalyst/AQE broadcast the lookups when their size
+      is under the broadcast threshold, else sort-merge join with AQE
+      splitting hot-key partitions.
+    * ``shuffle``: always sort-merge.
+    * ``broadcast``: broadcast the lookups after an exact row-count check
+      against ``broadcast_max_rows``; sort-merge beyond it.
+    * ``keys``: for inputs asking for few distinct keys (micro-batches):
+      see :func:`_requested_answers`; falls back to ``auto`` beyond
+      ``keys_broadcast_max`` distinct keys. A key with two answers fails
+      the job when a line hits it, so no row is ever multiplied.
+
+    ``check_unique`` runs :func:`check_unique_lookups` first (not needed by
+    ``keys``, which guards the keys it uses).
     """
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
     spark = lines.sparkSession
-    if check_unique:
-        check_unique_lookups(lookups)
     cat = catalogue_frame(spark, catalogue)
     parsed = parse_commands(lines.select("line_id", "ts", line_col), col=line_col)
     staged = classify(parsed, cat)
@@ -232,8 +283,28 @@ def dispatch_commands(
             ),
         }
     )
-    side = _lookup_side(lookups, strategy, broadcast_max_rows)
-    joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
+    answers = None
+    if strategy == "keys":
+        answers = _requested_answers(keyed, lookups, keys_broadcast_max)
+        strategy = "auto"
+    if answers is not None:
+        joined = keyed.join(F.broadcast(answers), on=[_JVERB, _JKEY], how="left")
+        body = F.when(
+            F.col(_N) > 1,
+            F.raise_error(
+                F.concat(
+                    F.lit("lookup key ("), F.col(_JVERB), F.lit(", "),
+                    F.col(_JKEY).cast("string"), F.lit(") has "),
+                    F.col(_N).cast("string"), F.lit(" rows; keys must be unique"),
+                )
+            ),
+        ).otherwise(F.col(_BODY))
+    else:
+        if check_unique:
+            check_unique_lookups(lookups)
+        side = _lookup_side(lookups, strategy, broadcast_max_rows)
+        joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
+        body = F.col(_BODY)
     status = F.coalesce(
         F.col(_PRE), F.when(F.col(_HIT).isNull(), F.lit(NOT_FOUND)).otherwise(F.lit(OK))
     )
@@ -242,7 +313,7 @@ def dispatch_commands(
         "ts",
         "verb",
         status.alias("status"),
-        F.when(status == OK, F.col(_BODY)).otherwise(status).alias("reply"),
+        F.when(status == OK, body).otherwise(status).alias("reply"),
     )
 
 

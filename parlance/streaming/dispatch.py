@@ -3,9 +3,17 @@
 Lines are read with Structured Streaming from a folder of Parquet files.
 Each micro-batch goes through the same ``dispatch_commands`` as a batch
 job, inside ``foreachBatch``. That keeps one code path for O5 and O8 and
-lets each micro-batch be planned as an ordinary batch query: AQE stays on
-(Spark turns it off for plain streaming plans), so the static lookup join
-still gets a size-checked broadcast or a skew-split sort-merge join.
+lets each micro-batch be planned as an ordinary batch query with AQE on
+(Spark turns it off for plain streaming plans).
+
+A micro-batch is small next to the lookup tables, so the default join
+strategy is ``keys``: the batch's distinct keys (count checked) prune the
+lookup scan through a broadcast and the answers are broadcast back. A
+plain stream-static join would instead shuffle the whole lookup side in
+every micro-batch. A batch that asks for too many keys falls back to the
+size-checked broadcast or skew-split sort-merge join. The batch is kept
+(memory and disk) while it is answered, so counting its keys does not read
+its files twice.
 
 Exactly-once output: micro-batch ``b`` writes (overwrite) the folder
 ``out_dir/batch_id=b``. A batch that is re-run after a failure rewrites the
@@ -14,6 +22,7 @@ same folder, and the checkpoint keeps finished batches from running again.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -35,7 +44,7 @@ def stream_dispatch(
     available_now: bool = True,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
-    strategy: str = "auto",
+    strategy: str = "keys",
     check_unique: bool = True,
 ) -> StreamingQuery:
     """Start the stream; returns the running ``StreamingQuery``.
@@ -53,10 +62,14 @@ def stream_dispatch(
     out = out_dir.rstrip("/")
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
-        replies = dispatch_commands(
-            batch, catalogue, lookups, strategy=strategy, check_unique=False
-        )
-        replies.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            replies = dispatch_commands(
+                batch, catalogue, lookups, strategy=strategy, check_unique=False
+            )
+            replies.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     writer = lines.writeStream.foreachBatch(answer_batch).option("checkpointLocation", ckpt)
     if available_now:

@@ -198,3 +198,32 @@ def test_union_lookups_requires_parts():
         union_lookups([])
     with pytest.raises(ValueError):
         lookup_table(None, "Bad Verb", "k", None)
+
+
+def test_keys_strategy_agrees_and_shuffles_no_lines(spark):
+    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    keyed = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys")
+    assert base.exceptAll(keyed).count() == 0 and keyed.exceptAll(base).count() == 0
+    keyed.collect()
+    plan = keyed._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") >= 3  # catalogue, key pruning, answers
+
+
+def test_keys_strategy_falls_back_beyond_bound(spark):
+    lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys", keys_broadcast_max=5)
+    assert _counts(out) == EXPECTED[SF001]
+
+
+def test_keys_strategy_guards_duplicates_it_uses(spark):
+    look = spark.createDataFrame(
+        [("thing", 1, "a"), ("thing", 1, "b"), ("thing", 2, "c")], "verb string, key bigint, body string"
+    )
+    cat = Catalogue([("thing", 1)])
+    ok = dispatch_commands(lines_df(spark, ["thing 2"]), cat, look, strategy="keys")
+    assert [r["reply"] for r in ok.collect()] == ["c"]
+    bad = dispatch_commands(lines_df(spark, ["thing 1"]), cat, look, strategy="keys")
+    with pytest.raises(Exception, match="keys must be unique"):
+        bad.collect()
