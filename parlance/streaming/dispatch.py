@@ -51,9 +51,12 @@ def stream_dispatch(
 
     ``available_now`` processes what is in ``in_dir`` and stops (for tests
     and scheduled runs); otherwise ``processing_time`` sets the trigger.
-    The lookup keys are checked for uniqueness once here, not per batch.
+    With ``keys`` each batch guards the keys it uses, and a batch that falls
+    back to a plain join checks the whole lookup first; with any other
+    strategy the lookup keys are checked once here, not per batch.
     """
-    if check_unique:
+    per_batch_check = check_unique and strategy == "keys"
+    if check_unique and not per_batch_check:
         check_unique_lookups(lookups)
     reader = spark.readStream.schema(LINE_SCHEMA)
     if max_files_per_trigger:
@@ -65,7 +68,7 @@ def stream_dispatch(
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             replies = dispatch_commands(
-                batch, catalogue, lookups, strategy=strategy, check_unique=False
+                batch, catalogue, lookups, strategy=strategy, check_unique=per_batch_check
             )
             replies.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         finally:
