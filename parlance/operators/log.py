@@ -3,6 +3,9 @@
 Tables have no order, so every row carries ``line_id`` and ``ts`` and the
 "newest" rows are defined by ``ts`` descending, ties by ``line_id``
 descending, which makes the tail deterministic.
+
+On disk the log is Parquet partitioned by ``log_date = to_date(ts)``, so a
+tail query can skip whole days; readers get the five log columns only.
 """
 
 from __future__ import annotations
@@ -10,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.sources.declared import conform, declared_scan
+from parlance.sources.declared import conform
 
 LOG_SCHEMA = "line_id bigint, ts timestamp_ntz, verb string, status string, reply string"
-
+LOG_PARTITION = "log_date"
 
 
 def _newest_first():
@@ -23,13 +26,26 @@ def _newest_first():
 def log_append(df: DataFrame, path: str) -> None:
     """Append ``df`` (checked against the log schema) to the log at ``path``.
 
-    Each task writes its own files; nothing passes through the driver.
+    Each task writes its own files, one per day it holds (a local sort by
+    day inside the task, no shuffle); the file commit protocol makes the
+    append all-or-nothing, and nothing passes through the driver.
     """
-    conform(df, LOG_SCHEMA, "log rows").write.mode("append").parquet(path)
+    rows = conform(df, LOG_SCHEMA, "log rows")
+    (
+        rows.withColumn(LOG_PARTITION, F.to_date("ts"))
+        .write.mode("append")
+        .partitionBy(LOG_PARTITION)
+        .parquet(path)
+    )
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored log with its ``log_date`` partition column."""
+    return spark.read.parquet(path)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return declared_scan(spark, path, LOG_SCHEMA)
+    return conform(_stored(spark, path).drop(LOG_PARTITION), LOG_SCHEMA, path)
 
 
 def log_tail(log: DataFrame, n: int) -> DataFrame:
@@ -46,26 +62,34 @@ def log_tail(log: DataFrame, n: int) -> DataFrame:
 def read_log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The newest ``n`` rows of the stored log at ``path``.
 
-    Two passes so the wide columns are read only where they can matter:
-    first the top ``n`` over the two narrow order columns gives the oldest
-    ``ts`` that can still be in the answer; then a scan filtered on
-    ``ts >= cut`` (pushed to Parquet, where row-group min/max skip the old
-    part of an append-only log) feeds the final top ``n``. Only one
-    timestamp comes back to the driver, as text so no time zone touches it.
+    First the rows per day are counted. That needs no log column at all
+    (the day comes from the folder name, the count from Parquet row-group
+    metadata), and it brings back one row per day. The newest days holding at
+    least ``n`` rows are kept. Every row of an older day is older than each
+    of those, so the answer lies in them. The top ``n`` then runs only over
+    those partitions (partition pruning, so nothing else is read).
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    log = read_log(spark, path)
+    stored = _stored(spark, path)
     if n == 0:
-        return log.limit(0)
-    cut = (
-        log.select("ts", "line_id")
-        .orderBy(*_newest_first())
-        .limit(n)
-        .agg(F.min("ts").cast("string").alias("cut"), F.count(F.lit(1)).alias("rows"), F.count("ts").alias("with_ts"))
-        .first()
+        return read_log(spark, path).limit(0)
+    per_day = (
+        stored.groupBy(LOG_PARTITION)
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .filter(F.col(LOG_PARTITION).isNotNull())
+        .orderBy(F.col(LOG_PARTITION).desc())
+        .collect()
     )
-    if cut["rows"] < n or cut["with_ts"] < cut["rows"] or cut["cut"] is None:
-        # Fewer than n rows, or null timestamps among the newest: no safe cut.
-        return log_tail(log, n)
-    return log_tail(log.filter(F.col("ts") >= F.lit(cut["cut"]).cast("timestamp_ntz")), n)
+    held, cut = 0, None
+    for row in per_day:
+        held += row["rows"]
+        cut = row[LOG_PARTITION]
+        if held >= n:
+            break
+    if held < n:
+        # Fewer than n rows with a timestamp: rows without one may be in
+        # the answer too, so take the top n of the whole log.
+        return log_tail(read_log(spark, path), n)
+    newest = stored.filter(F.col(LOG_PARTITION) >= F.lit(cut)).drop(LOG_PARTITION)
+    return log_tail(conform(newest, LOG_SCHEMA, path), n)

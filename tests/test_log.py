@@ -55,10 +55,32 @@ def test_tail_ties_broken_by_line_id(spark):
     assert [r["line_id"] for r in read_log_tail(spark, path, 3).collect()] == [9, 8, 7]
 
 
-def test_tail_plan_is_top_k_with_pushed_cut(spark, replies):
+def test_tail_plan_is_top_k_over_newest_days(spark, replies):
     path = fresh_path(spark, "test-log")
     log_append(replies, path)
     df = read_log_tail(spark, path, 100)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    assert "GreaterThanOrEqual(ts," in plan
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "(log_date#" in plan
+
+
+def test_log_is_partitioned_by_day(spark, replies):
+    path = fresh_path(spark, "test-log")
+    log_append(replies, path)
+    stored = spark.read.parquet(path)
+    days = stored.select("log_date").distinct().count()
+    assert days == replies.select(F.to_date("ts")).distinct().count() > 1
+    assert read_log(spark, path).columns == ["line_id", "ts", "verb", "status", "reply"]
+
+
+def test_tail_with_null_timestamps(spark):
+    import datetime as dt
+
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, t, "v", "ok", "a"), (2, None, "v", "ok", "b"), (3, t + dt.timedelta(days=1), "v", "ok", "c")]
+    df = spark.createDataFrame(rows, "line_id bigint, ts timestamp_ntz, verb string, status string, reply string")
+    path = fresh_path(spark, "test-log")
+    log_append(df, path)
+    assert [r["line_id"] for r in read_log_tail(spark, path, 2).collect()] == [3, 1]
+    assert [r["line_id"] for r in read_log_tail(spark, path, 3).collect()] == [3, 1, 2]
+    assert [r["line_id"] for r in read_log_tail(spark, path, 5).collect()] == [3, 1, 2]
