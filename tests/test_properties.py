@@ -1,0 +1,79 @@
+"""Random lines: Spark's parse and dispatch against a plain Python model and DuckDB."""
+
+import re
+
+import duckdb
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+from conftest import lines_df
+from parlance.operators.dispatch import Catalogue, dispatch_commands
+from parlance.operators.parse import parse_commands
+
+SEPARATORS = " \t\r\n\f"
+# Characters that look like separators but are not, plus letters and digits.
+PIECES = st.sampled_from(
+    [" ", "  ", "\t", "\r\n", "\f", "\x0b", " ", " ", "-", "+", ".", "0", "7", "42",
+     "99999999999999999999", "9223372036854775807", "9223372036854775808", "-9223372036854775808",
+     "a", "Z", "ё", "Б", "get", "GET", "put", "x1"]
+)
+LINES = st.lists(st.one_of(st.none(), st.lists(PIECES, max_size=8).map("".join)), min_size=1, max_size=60)
+CATALOGUE = Catalogue([("get", 1), ("put", 2), ("ё", 1)])
+LOOKUP_KEYS = [0, 7, 42, -7, 9223372036854775807, -9223372036854775808]
+
+
+def model(line):
+    if line is None:
+        return None, None
+    toks = [t for t in re.split("[" + re.escape(SEPARATORS) + "]+", line) if t]
+    return (toks[0].lower() if toks else None), toks[1:]
+
+
+def model_status(line):
+    verb, args = model(line)
+    arity = dict(CATALOGUE.entries)
+    if verb is None:
+        return "blank"
+    if verb not in arity:
+        return "unknown_command"
+    key = None
+    if args and re.fullmatch(r"-?[0-9]+", args[0]) and -(2**63) <= int(args[0]) < 2**63:
+        key = int(args[0])
+    if len(args) != arity[verb] or key is None:
+        return "bad_arguments"
+    return "ok" if key in LOOKUP_KEYS and verb in ("get", "put") else "not_found"
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(LINES)
+def test_parse_matches_model_and_duckdb(spark, lines):
+    got = {r["line_id"]: (r["verb"], r["args"]) for r in parse_commands(lines_df(spark, lines)).collect()}
+    con = duckdb.connect()
+    for i, line in enumerate(lines):
+        assert got[i] == model(line), repr(line)
+        tok = con.execute(
+            "SELECT list_filter(string_split_regex(?, '[ \\t\\r\\n\\f]+'), lambda v: v <> '')", [line]
+        ).fetchall()[0][0]
+        if line is None:
+            assert tok is None
+            continue
+        duck_verb = con.execute("SELECT lower(?)", [tok[0]]).fetchall()[0][0] if tok else None
+        assert (duck_verb, list(tok[1:])) == got[i], repr(line)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(LINES)
+def test_dispatch_matches_model(spark, lines):
+    rows = [(v, k, f"{v}:{k}") for v in ("get", "put") for k in LOOKUP_KEYS]
+    look = spark.createDataFrame(rows, "verb string, key bigint, body string")
+    out = dispatch_commands(lines_df(spark, lines), CATALOGUE, look, strategy="shuffle")
+    got = {r["line_id"]: (r["status"], r["reply"]) for r in out.collect()}
+    assert len(got) == len(lines)
+    for i, line in enumerate(lines):
+        status = model_status(line)
+        assert got[i][0] == status, repr(line)
+        if status == "ok":
+            verb, args = model(line)
+            assert got[i][1] == f"{verb}:{int(args[0])}"
+        else:
+            assert got[i][1] == status
