@@ -22,6 +22,8 @@ same folder, and the checkpoint keeps finished batches from running again.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
@@ -39,7 +41,7 @@ def stream_dispatch(
     out_dir: str,
     ckpt: str,
     catalogue: Catalogue | DataFrame,
-    lookups: DataFrame,
+    lookups: DataFrame | Callable[[], DataFrame],
     *,
     available_now: bool = True,
     processing_time: str | None = None,
@@ -51,11 +53,16 @@ def stream_dispatch(
 
     ``available_now`` processes what is in ``in_dir`` and stops (for tests
     and scheduled runs); otherwise ``processing_time`` sets the trigger.
+    ``lookups`` may be a function returning a DataFrame; it is then called
+    for every micro-batch, so lookup files added while the stream runs are
+    seen (a DataFrame's file listing is fixed when it is made).
+
     With ``keys`` each batch guards the keys it uses, and a batch that falls
-    back to a plain join checks the whole lookup first; with any other
-    strategy the lookup keys are checked once here, not per batch.
+    back to a plain join checks the whole lookup first; otherwise a fixed
+    lookup DataFrame is checked once here, not per batch.
     """
-    per_batch_check = check_unique and strategy == "keys"
+    fresh = callable(lookups)
+    per_batch_check = check_unique and (strategy == "keys" or fresh)
     if check_unique and not per_batch_check:
         check_unique_lookups(lookups)
     reader = spark.readStream.schema(LINE_SCHEMA)
@@ -67,8 +74,9 @@ def stream_dispatch(
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            look = lookups() if fresh else lookups
             replies = dispatch_commands(
-                batch, catalogue, lookups, strategy=strategy, check_unique=per_batch_check
+                batch, catalogue, look, strategy=strategy, check_unique=per_batch_check
             )
             replies.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
         finally:
