@@ -65,12 +65,29 @@ def conform(df: DataFrame, declared: T.StructType | str, what: str = "table") ->
 
 
 def declared_scan(
-    spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet"
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    fmt: str = "parquet",
+    all_files: bool = False,
 ) -> DataFrame:
     """Read ``path`` as ``schema``; raise ``SchemaMismatch`` before any data is read.
 
+    By default Spark takes the schema from one file's footer. With
+    ``all_files`` every footer is read (in parallel, by Spark's schema
+    merge) so a file whose types drifted is caught too. A column that only
+    some files lack still merges in from the others and reads as NULL there.
+
     The result is an ordinary lazy scan: later filters and projections still
     reach the Parquet reader as pushed filters and a pruned read schema.
     """
-    df = spark.read.format(fmt).load(path)
+    reader = spark.read.format(fmt)
+    if all_files:
+        reader = reader.option("mergeSchema", "true")
+    try:
+        df = reader.load(path)
+    except Exception as e:  # noqa: BLE001 - Spark raises several error types here
+        if all_files and "merge" in str(e).lower():
+            raise SchemaMismatch(f"{path}: files disagree: {e}") from e
+        raise
     return conform(df, schema, path)

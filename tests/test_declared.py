@@ -60,3 +60,23 @@ def test_pushdown_survives(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_custkey), EqualTo(o_custkey,7)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_all_files_catches_a_drifted_file(spark):
+    from parlance.session import fresh_path
+
+    path = fresh_path(spark, "drift")
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path)
+    spark.createDataFrame([("2", "b")], "k string, v string").write.mode("append").parquet(path)
+    with pytest.raises(SchemaMismatch):
+        declared_scan(spark, path, "k int, v string", all_files=True)
+
+
+def test_all_files_accepts_widening_across_files(spark):
+    from parlance.session import fresh_path
+
+    path = fresh_path(spark, "drift")
+    spark.createDataFrame([(1, "a")], "k bigint, v string").write.parquet(path)
+    spark.createDataFrame([(2, "b")], "k bigint, v string").write.mode("append").parquet(path)
+    df = declared_scan(spark, path, "k bigint, v string", all_files=True)
+    assert sorted(r["k"] for r in df.collect()) == [1, 2]
