@@ -40,6 +40,7 @@ BAD_ARGUMENTS = "bad_arguments"
 NOT_FOUND = "not_found"
 OK = "ok"
 STATUSES = (BLANK, UNKNOWN_COMMAND, BAD_ARGUMENTS, NOT_FOUND, OK)
+_CODES = {name: i for i, name in enumerate(STATUSES)}
 
 CATALOGUE_BROADCAST_MAX = 10_000
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
@@ -195,15 +196,21 @@ def classify(parsed: DataFrame, cat: DataFrame) -> DataFrame:
         cat.select(F.col("verb"), F.col("arity").alias(_ARITY)), on="verb", how="left"
     )
     key = key_of("args")
+    # A one-byte code, not the status text, travels through the shuffle.
     pre = (
-        F.when(F.col("verb").isNull(), F.lit(BLANK))
-        .when(F.col(_ARITY).isNull(), F.lit(UNKNOWN_COMMAND))
+        F.when(F.col("verb").isNull(), F.lit(_CODES[BLANK]))
+        .when(F.col(_ARITY).isNull(), F.lit(_CODES[UNKNOWN_COMMAND]))
         .when(
             (F.size("args") != F.col(_ARITY)) | F.col(_KEY).isNull(),
-            F.lit(BAD_ARGUMENTS),
+            F.lit(_CODES[BAD_ARGUMENTS]),
         )
     )
-    return with_arity.withColumn(_KEY, key).withColumn(_PRE, pre)
+    return with_arity.withColumn(_KEY, key).withColumn(_PRE, pre.cast("tinyint"))
+
+
+def _status_text(code: Column) -> Column:
+    # A constant array (folded to one literal) indexed by the code.
+    return F.get(F.array(*[F.lit(name) for name in STATUSES]), code)
 
 
 def _requested_answers(keyed: DataFrame, lookups: DataFrame, max_keys: int) -> DataFrame | None:
@@ -305,15 +312,17 @@ def dispatch_commands(
         side = _lookup_side(lookups, strategy, broadcast_max_rows)
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)
-    status = F.coalesce(
-        F.col(_PRE), F.when(F.col(_HIT).isNull(), F.lit(NOT_FOUND)).otherwise(F.lit(OK))
+    code = F.coalesce(
+        F.col(_PRE),
+        F.when(F.col(_HIT).isNull(), F.lit(_CODES[NOT_FOUND])).otherwise(F.lit(_CODES[OK])),
     )
+    status = _status_text(code)
     return joined.select(
         "line_id",
         "ts",
         "verb",
         status.alias("status"),
-        F.when(status == OK, body).otherwise(status).alias("reply"),
+        F.when(code == F.lit(_CODES[OK]), body).otherwise(status).alias("reply"),
     )
 
 
