@@ -18,7 +18,7 @@ from parlance.operators.log import log_append, log_tail, read_log, read_log_tail
 from parlance.operators.parse import parse_commands
 from parlance.plans.sql import sql_query
 from parlance.sources.declared import SchemaMismatch, declared_scan
-from parlance.sources.jdbc import jdbc_scan
+from parlance.sources.jdbc import jdbc_scan, jdbc_scan_where
 from parlance.streaming.dispatch import read_stream_output, stream_dispatch
 
 __all__ = [
@@ -27,6 +27,7 @@ __all__ = [
     "declared_scan",
     "dispatch_commands",
     "jdbc_scan",
+    "jdbc_scan_where",
     "log_append",
     "log_tail",
     "lookup_table",

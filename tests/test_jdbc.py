@@ -24,3 +24,10 @@ def test_unsplit_options():
 def test_bad_split(args):
     with pytest.raises(ValueError):
         jdbc_options("jdbc:x://h/db", "t", "d", *args)
+
+
+def test_where_split_needs_predicates(spark):
+    from parlance.sources.jdbc import jdbc_scan_where
+
+    with pytest.raises(ValueError):
+        jdbc_scan_where(spark, "jdbc:x://h/db", "t", "d", [])
