@@ -43,6 +43,7 @@ STATUSES = (BLANK, UNKNOWN_COMMAND, BAD_ARGUMENTS, NOT_FOUND, OK)
 _CODES = {name: i for i, name in enumerate(STATUSES)}
 
 CATALOGUE_BROADCAST_MAX = 10_000
+_VALUES_MAX = 64
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
 KEYS_BROADCAST_MAX = 1_000_000
 STRATEGIES = ("auto", "shuffle", "broadcast", "keys")
@@ -90,7 +91,22 @@ class Catalogue:
         return tuple(v for v, _ in self.entries)
 
     def to_df(self, spark: SparkSession) -> DataFrame:
-        """A local relation (no Python worker); the values are bound, not pasted."""
+        """A local relation (``LocalTableScan``, no Python worker at run time).
+
+        Short lists become a ``VALUES`` list with bound parameters (values
+        are never pasted into SQL text); longer ones an Arrow table, since
+        binding thousands of parameters is slow.
+        """
+        if len(self.entries) > _VALUES_MAX:
+            import pyarrow as pa
+
+            table = pa.table(
+                {
+                    "verb": pa.array([v for v, _ in self.entries], pa.string()),
+                    "arity": pa.array([a for _, a in self.entries], pa.int32()),
+                }
+            )
+            return spark.createDataFrame(table)
         marks = ", ".join(f"(:v{i}, :a{i})" for i in range(len(self.entries)))
         args: dict[str, object] = {}
         for i, (verb, arity) in enumerate(self.entries):

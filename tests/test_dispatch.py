@@ -227,3 +227,15 @@ def test_keys_strategy_guards_duplicates_it_uses(spark):
     bad = dispatch_commands(lines_df(spark, ["thing 1"]), cat, look, strategy="keys")
     with pytest.raises(Exception, match="keys must be unique"):
         bad.collect()
+
+
+def test_large_catalogue_is_a_local_relation(spark):
+    from parlance.operators.dispatch import CATALOGUE_BROADCAST_MAX
+
+    verbs = [(f"verb{i}", 1) for i in range(CATALOGUE_BROADCAST_MAX - 3)] + list(TEST_CATALOGUE.entries)
+    cat = Catalogue(verbs)
+    df = cat.to_df(spark)
+    assert df.count() == CATALOGUE_BROADCAST_MAX
+    assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
+    out = dispatch_commands(load_lines(spark, SF001), cat, load_lookups(spark, SF001))
+    assert _counts(out) == EXPECTED[SF001]
