@@ -46,6 +46,7 @@ def stream_dispatch(
     available_now: bool = True,
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
+    max_bytes_per_trigger: str | int | None = None,
     strategy: str = "keys",
     check_unique: bool = True,
 ) -> StreamingQuery:
@@ -66,8 +67,12 @@ def stream_dispatch(
     if check_unique and not per_batch_check:
         check_unique_lookups(lookups)
     reader = spark.readStream.schema(LINE_SCHEMA)
+    # Bounding a micro-batch (by files or bytes) bounds the keys it asks for,
+    # which keeps batches on the ``keys`` path.
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    if max_bytes_per_trigger:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     lines = reader.parquet(in_dir)
     out = out_dir.rstrip("/")
 

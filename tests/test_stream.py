@@ -115,3 +115,19 @@ def _exists(path):
     from parlance.session import local_path
 
     return os.path.exists(local_path(path))
+
+
+def test_bytes_per_trigger_bounds_batches(spark):
+    import os
+
+    from parlance.session import local_path
+
+    in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("b-in", "b-out", "b-ckpt"))
+    load_lines(spark, SF01).repartitionByRange(4, "line_id").write.parquet(in_dir)
+    sizes = [os.path.getsize(os.path.join(local_path(in_dir), f)) for f in os.listdir(local_path(in_dir)) if f.endswith(".parquet")]
+    q = stream_dispatch(spark, in_dir, out_dir, ckpt, TEST_CATALOGUE, load_lookups(spark, SF01),
+                        max_bytes_per_trigger=max(sizes))
+    q.awaitTermination()
+    batches = spark.read.parquet(out_dir).select("batch_id").distinct().count()
+    assert batches >= 2
+    assert read_stream_output(spark, out_dir).count() == 10_000
