@@ -30,7 +30,11 @@ def main() -> None:
         "parlance-bench",
         master=f"local[{cpus}]",
         shuffle_partitions=cpus,
-        extra={"spark.ui.showConsoleProgress": "false"},
+        extra={
+            "spark.ui.showConsoleProgress": "false",
+            # local mode: the driver JVM is also the only executor
+            "spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
+        },
     )
 
     def run(fn) -> float:
