@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.commands import SEPARATOR_PATTERN, key_of
 from parlance.operators.parse import parse_commands
+from parlance.session import shared_dir
 
 # The statuses, in the order the first matching one wins.
 BLANK = "blank"
@@ -46,6 +47,9 @@ CATALOGUE_BROADCAST_MAX = 10_000
 _VALUES_MAX = 64
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
 KEYS_BROADCAST_MAX = 1_000_000
+KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Per answer row besides its strings: key, count, flag and row overhead.
+_FIXED_ROW_BYTES = 48
 STRATEGIES = ("auto", "shuffle", "broadcast", "keys")
 
 REPLY_COLUMNS = ("line_id", "ts", "verb", "status", "reply")
@@ -229,15 +233,21 @@ def _status_text(code: Column) -> Column:
     return F.get(F.array(*[F.lit(name) for name in STATUSES]), code)
 
 
-def _requested_answers(keyed: DataFrame, lookups: DataFrame, max_keys: int) -> DataFrame | None:
-    """The lookup rows for the keys the lines ask for, one row per key, or
-    ``None`` when more than ``max_keys`` distinct keys are asked for.
+def _requested_answers(
+    keyed: DataFrame, lookups: DataFrame, max_keys: int, max_bytes: int
+) -> tuple[DataFrame, bool] | None:
+    """The lookup rows for the keys the lines ask for, one row per key, and
+    whether they are small enough to broadcast; ``None`` when more than
+    ``max_keys`` distinct keys are asked for.
 
     The distinct keys come from a partial (map-side) aggregation, so a key
     that a third of the lines ask for is one row per task before the
-    shuffle. Their count is checked exactly; only then are they broadcast
-    to prune the lookup scan (no shuffle of the lookups), and the answers,
-    at most one per key, are broadcast back to the lines.
+    shuffle. Their count is checked exactly; each is a catalogue verb and a
+    bigint, so their size is bounded too, and only then are they broadcast
+    to prune the lookup scan (no shuffle of the lookups). The answers are
+    checkpointed into the session's checkpoint folder (one lookup scan, and
+    a cut lineage), their exact size in bytes is measured, and only below
+    ``max_bytes`` are they broadcast back to the lines.
     """
     requested = (
         keyed.filter(F.col(_JVERB).isNotNull()).select(_JVERB, _JKEY).distinct()
@@ -251,9 +261,18 @@ def _requested_answers(keyed: DataFrame, lookups: DataFrame, max_keys: int) -> D
     # would be pushed into each branch of a lookup union and recompute the
     # requested keys once per branch.
     hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
-    return hits.groupBy(_JVERB, _JKEY).agg(
+    answers = hits.groupBy(_JVERB, _JKEY).agg(
         F.count(F.lit(1)).alias(_N), F.any_value(_BODY).alias(_BODY), F.lit(True).alias(_HIT)
     )
+    shared_dir(keyed.sparkSession)
+    answers = answers.checkpoint(eager=True)
+    row_bytes = (
+        F.octet_length(F.col(_JVERB))
+        + F.coalesce(F.octet_length(F.col(_BODY)), F.lit(0))
+        + F.lit(_FIXED_ROW_BYTES)
+    )
+    size = answers.agg(F.sum(row_bytes).alias("bytes")).first()["bytes"] or 0
+    return answers, size <= max_bytes
 
 
 def dispatch_commands(
@@ -266,6 +285,7 @@ def dispatch_commands(
     check_unique: bool = True,
     broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
+    keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
@@ -283,8 +303,10 @@ def dispatch_commands(
       against ``broadcast_max_rows``; sort-merge beyond it.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
-      ``keys_broadcast_max`` distinct keys. A key with two answers fails
-      the job when a line hits it, so no row is ever multiplied.
+      ``keys_broadcast_max`` distinct keys, and joins the answers without a
+      hint (AQE decides) beyond ``keys_broadcast_max_bytes``. A key with
+      two answers fails the job when a line hits it, so no row is ever
+      multiplied.
 
     ``check_unique`` runs :func:`check_unique_lookups` first (not needed by
     ``keys``, which guards the keys it uses).
@@ -306,12 +328,15 @@ def dispatch_commands(
             ),
         }
     )
-    answers = None
+    found = None
     if strategy == "keys":
-        answers = _requested_answers(keyed, lookups, keys_broadcast_max)
+        found = _requested_answers(keyed, lookups, keys_broadcast_max, keys_broadcast_max_bytes)
         strategy = "auto"
-    if answers is not None:
-        joined = keyed.join(F.broadcast(answers), on=[_JVERB, _JKEY], how="left")
+    if found is not None:
+        answers, small = found
+        joined = keyed.join(
+            F.broadcast(answers) if small else answers, on=[_JVERB, _JKEY], how="left"
+        )
         body = F.when(
             F.col(_N) > 1,
             F.raise_error(

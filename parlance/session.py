@@ -29,6 +29,14 @@ SCALE_CONF = {
 }
 
 
+# Set only when a session starts. Checkpoint files (the ``keys`` join
+# strategy checkpoints its answers) are removed once their DataFrame is
+# garbage collected, so a long stream does not pile them up.
+CORE_CONF = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def build_session(
     app: str = "parlance",
     master: str | None = None,
@@ -39,7 +47,7 @@ def build_session(
     b = SparkSession.builder.appName(app).config("spark.ui.enabled", "false")
     if master:
         b = b.master(master)
-    for k, v in SCALE_CONF.items():
+    for k, v in {**SCALE_CONF, **CORE_CONF}.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))

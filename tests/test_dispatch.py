@@ -239,3 +239,19 @@ def test_large_catalogue_is_a_local_relation(spark):
     assert "LocalTableScan" in df._jdf.queryExecution().executedPlan().toString()
     out = dispatch_commands(load_lines(spark, SF001), cat, load_lookups(spark, SF001))
     assert _counts(out) == EXPECTED[SF001]
+
+
+def test_keys_strategy_large_answers_are_not_broadcast(spark):
+    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys", keys_broadcast_max_bytes=100)
+        assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan or "ShuffledHashJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
