@@ -46,6 +46,7 @@ _CODES = {name: i for i, name in enumerate(STATUSES)}
 CATALOGUE_BROADCAST_MAX = 10_000
 _VALUES_MAX = 64
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
+LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 # Per answer row besides its strings: key, count, flag and row overhead.
@@ -191,7 +192,18 @@ def catalogue_frame(spark: SparkSession, catalogue: Catalogue | DataFrame) -> Da
     return cat
 
 
-def _lookup_side(lookups: DataFrame, strategy: str, broadcast_max_rows: int) -> DataFrame:
+def _row_bytes(verb: str, body: str) -> Column:
+    """Bytes of one (verb, key, body) row: its strings plus a fixed part."""
+    return (
+        F.octet_length(F.col(verb))
+        + F.coalesce(F.octet_length(F.col(body)), F.lit(0))
+        + F.lit(_FIXED_ROW_BYTES)
+    )
+
+
+def _lookup_side(
+    lookups: DataFrame, strategy: str, broadcast_max_rows: int, broadcast_max_bytes: int
+) -> DataFrame:
     side = lookups.select(
         F.col("verb").alias(_JVERB),
         F.col("key").alias(_JKEY),
@@ -203,8 +215,13 @@ def _lookup_side(lookups: DataFrame, strategy: str, broadcast_max_rows: int) ->
     if strategy == "shuffle":
         return side.hint("merge")
     if strategy == "broadcast":
-        n = lookups.limit(broadcast_max_rows + 1).count()
-        if n <= broadcast_max_rows:
+        # One bounded job: at most broadcast_max_rows + 1 rows are read.
+        head = (
+            lookups.limit(broadcast_max_rows + 1)
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes("verb", "body")).alias("bytes"))
+            .first()
+        )
+        if head["rows"] <= broadcast_max_rows and (head["bytes"] or 0) <= broadcast_max_bytes:
             return F.broadcast(side)
         return side.hint("merge")
     raise ValueError(f"unknown join strategy {strategy!r}; use auto, shuffle or broadcast")
@@ -266,12 +283,7 @@ def _requested_answers(
     )
     shared_dir(keyed.sparkSession)
     answers = answers.checkpoint(eager=True)
-    row_bytes = (
-        F.octet_length(F.col(_JVERB))
-        + F.coalesce(F.octet_length(F.col(_BODY)), F.lit(0))
-        + F.lit(_FIXED_ROW_BYTES)
-    )
-    size = answers.agg(F.sum(row_bytes).alias("bytes")).first()["bytes"] or 0
+    size = answers.agg(F.sum(_row_bytes(_JVERB, _BODY)).alias("bytes")).first()["bytes"] or 0
     return answers, size <= max_bytes
 
 
@@ -284,6 +296,7 @@ def dispatch_commands(
     strategy: str = "auto",
     check_unique: bool = True,
     broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
+    broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
 ) -> DataFrame:
@@ -299,8 +312,9 @@ def dispatch_commands(
       is under the broadcast threshold, else sort-merge join with AQE
       splitting hot-key partitions.
     * ``shuffle``: always sort-merge.
-    * ``broadcast``: broadcast the lookups after an exact row-count check
-      against ``broadcast_max_rows``; sort-merge beyond it.
+    * ``broadcast``: broadcast the lookups after an exact check of their
+      rows and bytes against ``broadcast_max_rows`` and
+      ``broadcast_max_bytes``; sort-merge beyond either.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
       ``keys_broadcast_max`` distinct keys, and joins the answers without a
@@ -350,7 +364,7 @@ def dispatch_commands(
     else:
         if check_unique:
             check_unique_lookups(lookups)
-        side = _lookup_side(lookups, strategy, broadcast_max_rows)
+        side = _lookup_side(lookups, strategy, broadcast_max_rows, broadcast_max_bytes)
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)
     code = F.coalesce(

@@ -255,3 +255,11 @@ def test_keys_strategy_large_answers_are_not_broadcast(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_broadcast_falls_back_beyond_byte_bound(spark):
+    lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="broadcast", broadcast_max_bytes=1000)
+    out.collect()
+    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+    assert _counts(out) == EXPECTED[SF001]
