@@ -43,7 +43,10 @@ OK = "ok"
 STATUSES = (BLANK, UNKNOWN_COMMAND, BAD_ARGUMENTS, NOT_FOUND, OK)
 _CODES = {name: i for i, name in enumerate(STATUSES)}
 
+# The catalogue's broadcast bound: at most this many verbs of at most this
+# many characters.
 CATALOGUE_BROADCAST_MAX = 10_000
+MAX_VERB_LENGTH = 256
 _VALUES_MAX = 64
 LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
 LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
@@ -129,6 +132,8 @@ def _check_verb(verb: str) -> None:
 
     if not isinstance(verb, str) or not verb:
         raise ValueError(f"verb must be a non-empty string, got {verb!r}")
+    if len(verb) > MAX_VERB_LENGTH:
+        raise ValueError(f"verb longer than {MAX_VERB_LENGTH} characters")
     if re.search(SEPARATOR_PATTERN, verb):
         raise ValueError(f"verb {verb!r} contains a separator")
     if verb != verb.lower():

@@ -102,6 +102,8 @@ def test_catalogue_validation(spark):
         Catalogue([("two words", 1)])
     with pytest.raises(ValueError):
         Catalogue([("zero", 0)])
+    with pytest.raises(ValueError):
+        Catalogue([("x" * 257, 1)])
 
 
 def test_catalogue_as_dataframe(spark):
