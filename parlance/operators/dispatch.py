@@ -264,17 +264,26 @@ def _requested_answers(
 
     The distinct keys come from a partial (map-side) aggregation, so a key
     that a third of the lines ask for is one row per task before the
-    shuffle. Their count is checked exactly; each is a catalogue verb and a
-    bigint, so their size is bounded too, and only then are they broadcast
-    to prune the lookup scan (no shuffle of the lookups). The answers are
+    shuffle. At most ``max_keys + 1`` of them are checkpointed, so the
+    lines are read once for both the count and the broadcast. Their count
+    is checked exactly; each is a catalogue verb and a bigint, so their size
+    is bounded too, and only then are they broadcast to prune the lookup
+    scan (no shuffle of the lookups). The answers are
     checkpointed into the session's checkpoint folder (one lookup scan, and
     a cut lineage), their exact size in bytes is measured, and only below
     ``max_bytes`` are they broadcast back to the lines.
     """
+    shared_dir(keyed.sparkSession)
+    # At most max_keys + 1 rows are kept (and written), so this checkpoint
+    # is bounded; it holds every requested key exactly when the count fits.
     requested = (
-        keyed.filter(F.col(_JVERB).isNotNull()).select(_JVERB, _JKEY).distinct()
+        keyed.filter(F.col(_JVERB).isNotNull())
+        .select(_JVERB, _JKEY)
+        .distinct()
+        .limit(max_keys + 1)
+        .checkpoint(eager=True)
     )
-    if requested.limit(max_keys + 1).count() > max_keys:
+    if requested.count() > max_keys:
         return None
     side = lookups.select(
         F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
@@ -286,7 +295,6 @@ def _requested_answers(
     answers = hits.groupBy(_JVERB, _JKEY).agg(
         F.count(F.lit(1)).alias(_N), F.any_value(_BODY).alias(_BODY), F.lit(True).alias(_HIT)
     )
-    shared_dir(keyed.sparkSession)
     answers = answers.checkpoint(eager=True)
     size = answers.agg(F.sum(_row_bytes(_JVERB, _BODY)).alias("bytes")).first()["bytes"] or 0
     return answers, size <= max_bytes
