@@ -12,10 +12,13 @@ from parlance.operators.dispatch import (
     unknown_commands,
 )
 
+SF1 = "/root/testdata/sf0.1"
+
 # Expected status counts from FIXTURES.md.
 EXPECTED = {
     SF001: {"ok": 466, "unknown_command": 201, "bad_arguments": 199, "not_found": 134},
     SF01: {"ok": 4816, "unknown_command": 2014, "bad_arguments": 2017, "not_found": 1153},
+    SF1: {"ok": 48303, "unknown_command": 19810, "bad_arguments": 20302, "not_found": 11585},
 }
 
 
@@ -23,7 +26,7 @@ def _counts(df):
     return {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
 
 
-@pytest.mark.parametrize("sf", [SF001, SF01])
+@pytest.mark.parametrize("sf", [SF001, SF01, SF1])
 def test_status_counts(spark, sf):
     out = dispatch_commands(load_lines(spark, sf), TEST_CATALOGUE, load_lookups(spark, sf))
     assert _counts(out) == EXPECTED[sf]
