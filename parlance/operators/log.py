@@ -17,6 +17,7 @@ from parlance.sources.declared import conform
 
 LOG_SCHEMA = "line_id bigint, ts timestamp_ntz, verb string, status string, reply string"
 LOG_PARTITION = "log_date"
+BATCH_PARTITION = "batch_id"
 
 
 def _newest_first():
@@ -39,13 +40,36 @@ def log_append(df: DataFrame, path: str) -> None:
     )
 
 
+def log_write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+    """Write batch ``batch_id`` of a log idempotently.
+
+    Rows go to ``log_date=d/batch_id=b`` folders with dynamic partition
+    overwrite, so writing the same batch again (a retry after a failure)
+    replaces exactly that batch's folders and nothing else. A log written
+    this way must not also get :func:`log_append` writes (one layout per log).
+    """
+    rows = conform(df, LOG_SCHEMA, "log rows")
+    (
+        rows.withColumns({LOG_PARTITION: F.to_date("ts"), BATCH_PARTITION: F.lit(batch_id)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(LOG_PARTITION, BATCH_PARTITION)
+        .parquet(path)
+    )
+
+
 def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The stored log with its ``log_date`` partition column."""
+    """The stored log with its partition columns."""
     return spark.read.parquet(path)
 
 
+def _log_columns(stored: DataFrame, path: str) -> DataFrame:
+    return conform(stored.drop(LOG_PARTITION, BATCH_PARTITION), LOG_SCHEMA, path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return conform(_stored(spark, path).drop(LOG_PARTITION), LOG_SCHEMA, path)
+    """The five log columns of a log written by either writer."""
+    return _log_columns(_stored(spark, path), path)
 
 
 def log_tail(log: DataFrame, n: int) -> DataFrame:
@@ -91,5 +115,5 @@ def read_log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
         # Fewer than n rows with a timestamp: rows without one may be in
         # the answer too, so take the top n of the whole log.
         return log_tail(read_log(spark, path), n)
-    newest = stored.filter(F.col(LOG_PARTITION) >= F.lit(cut)).drop(LOG_PARTITION)
-    return log_tail(conform(newest, LOG_SCHEMA, path), n)
+    newest = stored.filter(F.col(LOG_PARTITION) >= F.lit(cut))
+    return log_tail(_log_columns(newest, path), n)

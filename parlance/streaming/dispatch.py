@@ -15,9 +15,11 @@ size-checked broadcast or skew-split sort-merge join. The batch is kept
 (memory and disk) while it is answered, so counting its keys does not read
 its files twice.
 
-Exactly-once output: micro-batch ``b`` writes (overwrite) the folder
-``out_dir/batch_id=b``. A batch that is re-run after a failure rewrites the
-same folder, and the checkpoint keeps finished batches from running again.
+Exactly-once output: the output folder is a reply log (``log_date=d/
+batch_id=b``) and micro-batch ``b`` is written with dynamic partition
+overwrite, so a batch re-run after a failure replaces exactly its own
+folders, and the checkpoint keeps finished batches from running again. The
+log readers (``read_log``, ``read_log_tail``) work on it.
 """
 
 from __future__ import annotations
@@ -29,8 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from parlance.operators.dispatch import Catalogue, check_unique_lookups, dispatch_commands
-from parlance.operators.log import LOG_SCHEMA
-from parlance.sources.declared import conform
+from parlance.operators.log import log_write_batch, read_log
 
 LINE_SCHEMA = "line_id bigint, ts timestamp_ntz, line string"
 
@@ -83,7 +84,7 @@ def stream_dispatch(
             replies = dispatch_commands(
                 batch, catalogue, look, strategy=strategy, check_unique=per_batch_check
             )
-            replies.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            log_write_batch(replies, out, batch_id)
         finally:
             batch.unpersist()
 
@@ -97,4 +98,4 @@ def stream_dispatch(
 
 def read_stream_output(spark: SparkSession, out_dir: str) -> DataFrame:
     """The replies written so far, as ``(line_id, ts, verb, status, reply)``."""
-    return conform(spark.read.parquet(out_dir).drop("batch_id"), LOG_SCHEMA, out_dir)
+    return read_log(spark, out_dir)

@@ -131,3 +131,16 @@ def test_bytes_per_trigger_bounds_batches(spark):
     batches = spark.read.parquet(out_dir).select("batch_id").distinct().count()
     assert batches >= 2
     assert read_stream_output(spark, out_dir).count() == 10_000
+
+
+def test_stream_output_is_a_log_with_a_tail(spark):
+    from parlance.operators.log import log_tail, read_log_tail
+
+    in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("t-in", "t-out", "t-ckpt"))
+    lines = load_lines(spark, SF01)
+    lines.repartitionByRange(3, "line_id").write.parquet(in_dir)
+    _run(spark, in_dir, out_dir, ckpt)
+    stored = spark.read.parquet(out_dir)
+    assert {"log_date", "batch_id"} <= set(stored.columns)
+    want = log_tail(dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01)), 100).collect()
+    assert read_log_tail(spark, out_dir, 100).collect() == want
