@@ -206,8 +206,27 @@ def _row_bytes(verb: str, body: str) -> Column:
     )
 
 
+def lookups_fit_broadcast(
+    lookups: DataFrame,
+    max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
+    max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
+) -> bool:
+    """Whether the lookups have at most ``max_rows`` rows and ``max_bytes``
+    bytes: one bounded job that reads at most ``max_rows + 1`` rows."""
+    head = (
+        lookups.limit(max_rows + 1)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes("verb", "body")).alias("bytes"))
+        .first()
+    )
+    return head["rows"] <= max_rows and (head["bytes"] or 0) <= max_bytes
+
+
 def _lookup_side(
-    lookups: DataFrame, strategy: str, broadcast_max_rows: int, broadcast_max_bytes: int
+    lookups: DataFrame,
+    strategy: str,
+    broadcast_max_rows: int,
+    broadcast_max_bytes: int,
+    lookups_fit: bool | None,
 ) -> DataFrame:
     side = lookups.select(
         F.col("verb").alias(_JVERB),
@@ -220,15 +239,9 @@ def _lookup_side(
     if strategy == "shuffle":
         return side.hint("merge")
     if strategy == "broadcast":
-        # One bounded job: at most broadcast_max_rows + 1 rows are read.
-        head = (
-            lookups.limit(broadcast_max_rows + 1)
-            .agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes("verb", "body")).alias("bytes"))
-            .first()
-        )
-        if head["rows"] <= broadcast_max_rows and (head["bytes"] or 0) <= broadcast_max_bytes:
-            return F.broadcast(side)
-        return side.hint("merge")
+        if lookups_fit is None:
+            lookups_fit = lookups_fit_broadcast(lookups, broadcast_max_rows, broadcast_max_bytes)
+        return F.broadcast(side) if lookups_fit else side.hint("merge")
     raise ValueError(f"unknown join strategy {strategy!r}; use auto, shuffle or broadcast")
 
 
@@ -312,6 +325,7 @@ def dispatch_commands(
     broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
+    lookups_fit: bool | None = None,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
@@ -327,7 +341,9 @@ def dispatch_commands(
     * ``shuffle``: always sort-merge.
     * ``broadcast``: broadcast the lookups after an exact check of their
       rows and bytes against ``broadcast_max_rows`` and
-      ``broadcast_max_bytes``; sort-merge beyond either.
+      ``broadcast_max_bytes``; sort-merge beyond either. ``lookups_fit``
+      passes the result of an earlier :func:`lookups_fit_broadcast` on the
+      same lookups, to skip the check.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
       ``keys_broadcast_max`` distinct keys, and joins the answers without a
@@ -377,7 +393,9 @@ def dispatch_commands(
     else:
         if check_unique:
             check_unique_lookups(lookups)
-        side = _lookup_side(lookups, strategy, broadcast_max_rows, broadcast_max_bytes)
+        side = _lookup_side(
+            lookups, strategy, broadcast_max_rows, broadcast_max_bytes, lookups_fit
+        )
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)
     code = F.coalesce(

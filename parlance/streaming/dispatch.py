@@ -6,13 +6,15 @@ job, inside ``foreachBatch``. That keeps one code path for O5 and O8 and
 lets each micro-batch be planned as an ordinary batch query with AQE on
 (Spark turns it off for plain streaming plans).
 
-A micro-batch is small next to the lookup tables, so the default join
-strategy is ``keys``: the batch's distinct keys (count checked) prune the
-lookup scan through a broadcast and the answers are broadcast back. A
-plain stream-static join would instead shuffle the whole lookup side in
-every micro-batch. A batch that asks for too many keys falls back to the
+The join strategy is chosen once, at the start (``strategy=None``). If the
+lookups pass an exact check of rows and bytes, every micro-batch broadcasts
+them. Otherwise a micro-batch is small next to the lookups, so every batch
+uses ``keys``: its distinct keys (count checked) prune the lookup scan
+through a broadcast and the answers come back by broadcast. A plain
+stream-static join would instead shuffle the whole lookup side in every
+micro-batch. A batch that asks for too many keys falls back to the
 size-checked broadcast or skew-split sort-merge join. The batch is kept
-(memory and disk) while it is answered, so counting its keys does not read
+(memory and disk) while it is answered, so reading it twice does not read
 its files twice.
 
 Exactly-once output: the output folder is a reply log (``log_date=d/
@@ -30,7 +32,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from parlance.operators.dispatch import Catalogue, check_unique_lookups, dispatch_commands
+from parlance.operators.dispatch import (
+    Catalogue,
+    check_unique_lookups,
+    dispatch_commands,
+    lookups_fit_broadcast,
+)
 from parlance.operators.log import log_write_batch, read_log
 
 LINE_SCHEMA = "line_id bigint, ts timestamp_ntz, line string"
@@ -48,7 +55,7 @@ def stream_dispatch(
     processing_time: str | None = None,
     max_files_per_trigger: int | None = None,
     max_bytes_per_trigger: str | int | None = None,
-    strategy: str = "keys",
+    strategy: str | None = None,
     check_unique: bool = True,
 ) -> StreamingQuery:
     """Start the stream; returns the running ``StreamingQuery``.
@@ -59,12 +66,21 @@ def stream_dispatch(
     for every micro-batch, so lookup files added while the stream runs are
     seen (a DataFrame's file listing is fixed when it is made).
 
-    With ``keys`` each batch guards the keys it uses, and a batch that falls
-    back to a plain join checks the whole lookup first; otherwise a fixed
-    lookup DataFrame is checked once here, not per batch.
+    ``strategy=None`` picks ``broadcast`` or ``keys`` from an exact size
+    check of the lookups: once here for a DataFrame, per batch for a
+    function. Any strategy of ``dispatch_commands`` may be forced instead.
+
+    Lookup keys must be unique. ``keys`` guards the keys each batch uses,
+    and a batch that falls back to a plain join checks the whole lookup
+    first. Otherwise a fixed lookup DataFrame is checked once here, and a
+    lookup function once per batch.
     """
     fresh = callable(lookups)
-    per_batch_check = check_unique and (strategy == "keys" or fresh)
+    fit = None
+    if strategy is None and not fresh:
+        fit = lookups_fit_broadcast(lookups)
+        strategy = "broadcast" if fit else "keys"
+    per_batch_check = check_unique and (strategy in (None, "keys") or fresh)
     if check_unique and not per_batch_check:
         check_unique_lookups(lookups)
     reader = spark.readStream.schema(LINE_SCHEMA)
@@ -81,8 +97,13 @@ def stream_dispatch(
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             look = lookups() if fresh else lookups
+            use, use_fit = strategy, fit
+            if use is None:  # lookups re-read per batch: check them per batch
+                use_fit = lookups_fit_broadcast(look)
+                use = "broadcast" if use_fit else "keys"
             replies = dispatch_commands(
-                batch, catalogue, look, strategy=strategy, check_unique=per_batch_check
+                batch, catalogue, look, strategy=use, check_unique=per_batch_check,
+                lookups_fit=use_fit,
             )
             log_write_batch(replies, out, batch_id)
         finally:

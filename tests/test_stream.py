@@ -144,3 +144,23 @@ def test_stream_output_is_a_log_with_a_tail(spark):
     assert {"log_date", "batch_id"} <= set(stored.columns)
     want = log_tail(dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01)), 100).collect()
     assert read_log_tail(spark, out_dir, 100).collect() == want
+
+
+def test_stream_strategy_choice_and_forced_keys(spark):
+    from parlance.operators.dispatch import lookups_fit_broadcast
+
+    look = load_lookups(spark, SF01)
+    assert lookups_fit_broadcast(look)
+    assert not lookups_fit_broadcast(look, max_rows=10)
+    assert not lookups_fit_broadcast(look, max_bytes=1000)
+    in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("k-in", "k-out", "k-ckpt"))
+    lines = load_lines(spark, SF01)
+    lines.repartitionByRange(3, "line_id").write.parquet(in_dir)
+    q = stream_dispatch(spark, in_dir, out_dir, ckpt, TEST_CATALOGUE, look,
+                        strategy="keys", max_files_per_trigger=1)
+    q.awaitTermination()
+    assert q.exception() is None
+    out = read_stream_output(spark, out_dir)
+    batch = dispatch_commands(lines, TEST_CATALOGUE, look)
+    assert out.count() == 10_000
+    assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
