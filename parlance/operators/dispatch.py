@@ -9,10 +9,10 @@ Plan shape (one output row per input line, always)::
 * The catalogue is a short list of commands. It is broadcast only after its
   row count is checked against ``CATALOGUE_BROADCAST_MAX``; a larger one is
   joined by shuffle.
-* The lookups grow with the data, so by default the lookup join carries no
-  hint: Catalyst and AQE broadcast it only when its measured size is under
-  ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge join
-  it, and AQE splits a join partition that a hot key makes oversized.
+* The lookups grow with the data, so they are measured exactly first (a
+  metadata-only count, then bytes only if that is small). Only lookups
+  within the bounds are broadcast; all others are sort-merge joined, and AQE
+  splits a join partition that a hot key makes oversized.
 * Inputs that ask for few distinct keys (a micro-batch, say) can use the
   ``keys`` strategy instead: the distinct keys, counted exactly, prune the
   lookup scan through a broadcast, and the answers are broadcast back, so
@@ -54,7 +54,7 @@ KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 # Per answer row besides its strings: key, count, flag and row overhead.
 _FIXED_ROW_BYTES = 48
-STRATEGIES = ("auto", "shuffle", "broadcast", "keys")
+STRATEGIES = ("auto", "shuffle", "keys")
 
 REPLY_COLUMNS = ("line_id", "ts", "verb", "status", "reply")
 
@@ -206,27 +206,48 @@ def _row_bytes(verb: str, body: str) -> Column:
     )
 
 
-def lookups_fit_broadcast(
+@dataclass(frozen=True)
+class LookupCheck:
+    """What :func:`check_lookups` found out about a lookup table."""
+
+    rows: int
+    fits: bool  # at most max_rows rows and max_bytes bytes: safe to broadcast
+    unique: bool | None  # None: not checked, too many rows
+
+
+def check_lookups(
     lookups: DataFrame,
     max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
     max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
-) -> bool:
-    """Whether the lookups have at most ``max_rows`` rows and ``max_bytes``
-    bytes: one bounded job that reads at most ``max_rows + 1`` rows."""
-    head = (
-        lookups.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(_row_bytes("verb", "body")).alias("bytes"))
+) -> LookupCheck:
+    """Measure the lookups exactly, at a cost that stays bounded at any size.
+
+    First ``count()``: for Parquet it reads no column (row-group metadata),
+    and each task sends one number to the final sum. Only when that is at
+    most ``max_rows`` are the bytes and the repeats of ``(verb, key)``
+    measured, by one aggregation over a table now known to be small.
+    (A ``limit(n)`` check would not be bounded: every task would send up to
+    ``n`` rows to one final task.)
+    """
+    rows = lookups.count()
+    if rows > max_rows:
+        return LookupCheck(rows, False, None)
+    stats = (
+        lookups.groupBy("verb", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes("verb", "body")).alias("b"))
+        .agg(F.max("n").alias("repeat"), F.sum("b").alias("bytes"))
         .first()
     )
-    return head["rows"] <= max_rows and (head["bytes"] or 0) <= max_bytes
+    return LookupCheck(rows, (stats["bytes"] or 0) <= max_bytes, (stats["repeat"] or 0) <= 1)
 
 
 def _lookup_side(
     lookups: DataFrame,
     strategy: str,
+    check_unique: bool,
     broadcast_max_rows: int,
     broadcast_max_bytes: int,
-    lookups_fit: bool | None,
+    lookup_check: LookupCheck | None,
 ) -> DataFrame:
     side = lookups.select(
         F.col("verb").alias(_JVERB),
@@ -235,14 +256,19 @@ def _lookup_side(
         F.lit(True).alias(_HIT),
     )
     if strategy == "auto":
-        return side
+        chk = lookup_check or check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
+        if chk.unique is False:
+            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
+        if chk.fits:
+            return F.broadcast(side)
+        if check_unique and chk.unique is None:
+            check_unique_lookups(lookups)
+        return side.hint("merge")
     if strategy == "shuffle":
+        if check_unique:
+            check_unique_lookups(lookups)
         return side.hint("merge")
-    if strategy == "broadcast":
-        if lookups_fit is None:
-            lookups_fit = lookups_fit_broadcast(lookups, broadcast_max_rows, broadcast_max_bytes)
-        return F.broadcast(side) if lookups_fit else side.hint("merge")
-    raise ValueError(f"unknown join strategy {strategy!r}; use auto, shuffle or broadcast")
+    raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
 
 
 def classify(parsed: DataFrame, cat: DataFrame) -> DataFrame:
@@ -277,27 +303,21 @@ def _requested_answers(
 
     The distinct keys come from a partial (map-side) aggregation, so a key
     that a third of the lines ask for is one row per task before the
-    shuffle. At most ``max_keys + 1`` of them are checkpointed, so the
-    lines are read once for both the count and the broadcast. Their count
-    is checked exactly; each is a catalogue verb and a bigint, so their size
-    is bounded too, and only then are they broadcast to prune the lookup
-    scan (no shuffle of the lookups). The answers are
+    shuffle. Their count is checked exactly; each is a catalogue verb and a
+    bigint, so their size is bounded too. Only then are they checkpointed
+    (the final join reads that, not the lines) and broadcast to prune the
+    lookup scan (no shuffle of the lookups). The answers are
     checkpointed into the session's checkpoint folder (one lookup scan, and
     a cut lineage), their exact size in bytes is measured, and only below
     ``max_bytes`` are they broadcast back to the lines.
     """
     shared_dir(keyed.sparkSession)
-    # At most max_keys + 1 rows are kept (and written), so this checkpoint
-    # is bounded; it holds every requested key exactly when the count fits.
-    requested = (
-        keyed.filter(F.col(_JVERB).isNotNull())
-        .select(_JVERB, _JKEY)
-        .distinct()
-        .limit(max_keys + 1)
-        .checkpoint(eager=True)
-    )
+    requested = keyed.filter(F.col(_JVERB).isNotNull()).select(_JVERB, _JKEY).distinct()
+    # An exact count (partial aggregation, one number per task to the final
+    # sum); only a set known to be small is then written and broadcast.
     if requested.count() > max_keys:
         return None
+    requested = requested.checkpoint(eager=True)
     side = lookups.select(
         F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
     )
@@ -325,7 +345,7 @@ def dispatch_commands(
     broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
-    lookups_fit: bool | None = None,
+    lookup_check: LookupCheck | None = None,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
@@ -335,15 +355,12 @@ def dispatch_commands(
 
     ``strategy`` picks the lookup join:
 
-    * ``auto``: no hint; Catalyst/AQE broadcast the lookups when their size
-      is under the broadcast threshold, else sort-merge join with AQE
-      splitting hot-key partitions.
+    * ``auto``: :func:`check_lookups` measures the lookups exactly. Within
+      ``broadcast_max_rows`` and ``broadcast_max_bytes`` they are broadcast
+      (and their keys were checked for uniqueness in the same pass); beyond
+      either bound, sort-merge join, where AQE splits hot-key partitions.
+      ``lookup_check`` passes an earlier result for the same lookups.
     * ``shuffle``: always sort-merge.
-    * ``broadcast``: broadcast the lookups after an exact check of their
-      rows and bytes against ``broadcast_max_rows`` and
-      ``broadcast_max_bytes``; sort-merge beyond either. ``lookups_fit``
-      passes the result of an earlier :func:`lookups_fit_broadcast` on the
-      same lookups, to skip the check.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
       ``keys_broadcast_max`` distinct keys, and joins the answers without a
@@ -351,8 +368,9 @@ def dispatch_commands(
       two answers fails the job when a line hits it, so no row is ever
       multiplied.
 
-    ``check_unique`` runs :func:`check_unique_lookups` first (not needed by
-    ``keys``, which guards the keys it uses).
+    ``check_unique``: for a sort-merge join, run :func:`check_unique_lookups`
+    first (one aggregation over the key columns); skip it when the keys are
+    primary keys. Broadcast lookups are always checked, at no extra pass.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
@@ -391,10 +409,8 @@ def dispatch_commands(
             ),
         ).otherwise(F.col(_BODY))
     else:
-        if check_unique:
-            check_unique_lookups(lookups)
         side = _lookup_side(
-            lookups, strategy, broadcast_max_rows, broadcast_max_bytes, lookups_fit
+            lookups, strategy, check_unique, broadcast_max_rows, broadcast_max_bytes, lookup_check
         )
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)

@@ -35,8 +35,8 @@ from pyspark.sql.streaming import StreamingQuery
 from parlance.operators.dispatch import (
     Catalogue,
     check_unique_lookups,
+    check_lookups,
     dispatch_commands,
-    lookups_fit_broadcast,
 )
 from parlance.operators.log import log_write_batch, read_log
 
@@ -66,8 +66,8 @@ def stream_dispatch(
     for every micro-batch, so lookup files added while the stream runs are
     seen (a DataFrame's file listing is fixed when it is made).
 
-    ``strategy=None`` picks ``broadcast`` or ``keys`` from an exact size
-    check of the lookups: once here for a DataFrame, per batch for a
+    ``strategy=None`` picks ``auto`` (broadcast) or ``keys`` from an exact
+    size check of the lookups: once here for a DataFrame, per batch for a
     function. Any strategy of ``dispatch_commands`` may be forced instead.
 
     Lookup keys must be unique. ``keys`` guards the keys each batch uses,
@@ -76,12 +76,14 @@ def stream_dispatch(
     lookup function once per batch.
     """
     fresh = callable(lookups)
-    fit = None
+    chk = None
     if strategy is None and not fresh:
-        fit = lookups_fit_broadcast(lookups)
-        strategy = "broadcast" if fit else "keys"
+        chk = check_lookups(lookups)
+        if chk.unique is False:
+            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
+        strategy = "auto" if chk.fits else "keys"
     per_batch_check = check_unique and (strategy in (None, "keys") or fresh)
-    if check_unique and not per_batch_check:
+    if check_unique and not per_batch_check and not (chk and chk.fits):
         check_unique_lookups(lookups)
     reader = spark.readStream.schema(LINE_SCHEMA)
     # Bounding a micro-batch (by files or bytes) bounds the keys it asks for,
@@ -97,13 +99,13 @@ def stream_dispatch(
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             look = lookups() if fresh else lookups
-            use, use_fit = strategy, fit
-            if use is None:  # lookups re-read per batch: check them per batch
-                use_fit = lookups_fit_broadcast(look)
-                use = "broadcast" if use_fit else "keys"
+            use, use_chk = strategy, chk
+            if use is None:  # lookups re-read per batch: measure them per batch
+                use_chk = check_lookups(look)
+                use = "auto" if use_chk.fits else "keys"
             replies = dispatch_commands(
                 batch, catalogue, look, strategy=use, check_unique=per_batch_check,
-                lookups_fit=use_fit,
+                lookup_check=use_chk,
             )
             log_write_batch(replies, out, batch_id)
         finally:

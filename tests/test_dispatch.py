@@ -40,20 +40,22 @@ def test_one_row_per_line_and_unique_ids(spark):
     assert out.select("line_id").distinct().count() == lines.count()
 
 
-@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
 def test_strategies_agree(spark, strategy):
     lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
-    base = dispatch_commands(lines, TEST_CATALOGUE, look)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys")
     other = dispatch_commands(lines, TEST_CATALOGUE, look, strategy=strategy)
     plan = other._jdf.queryExecution().executedPlan().toString()
     if strategy == "shuffle":
         assert "SortMergeJoin" in plan
+    else:
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
 
 
 def test_broadcast_falls_back_beyond_bound(spark):
     lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
-    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="broadcast", broadcast_max_rows=10)
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="auto", broadcast_max_rows=10)
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
@@ -88,12 +90,18 @@ def test_null_body_still_ok(spark):
     assert got == [(0, "ok", None), (1, "not_found", "not_found")]
 
 
-def test_duplicate_lookup_keys_raise(spark):
+@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
+def test_duplicate_lookup_keys_raise(spark, strategy):
     look = spark.createDataFrame(
         [("thing", 1, "a"), ("thing", 1, "b")], "verb string, key bigint, body string"
     )
     with pytest.raises(ValueError, match="unique"):
-        dispatch_commands(lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look)
+        dispatch_commands(lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look, strategy=strategy)
+    with pytest.raises(ValueError, match="unique"):  # beyond the broadcast bound too
+        dispatch_commands(
+            lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look,
+            strategy=strategy, broadcast_max_rows=1,
+        )
 
 
 def test_catalogue_validation(spark):
@@ -264,7 +272,7 @@ def test_keys_strategy_large_answers_are_not_broadcast(spark):
 
 def test_broadcast_falls_back_beyond_byte_bound(spark):
     lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
-    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="broadcast", broadcast_max_bytes=1000)
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="auto", broadcast_max_bytes=1000)
     out.collect()
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert _counts(out) == EXPECTED[SF001]

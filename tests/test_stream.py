@@ -147,12 +147,14 @@ def test_stream_output_is_a_log_with_a_tail(spark):
 
 
 def test_stream_strategy_choice_and_forced_keys(spark):
-    from parlance.operators.dispatch import lookups_fit_broadcast
+    from parlance.operators.dispatch import check_lookups
 
     look = load_lookups(spark, SF01)
-    assert lookups_fit_broadcast(look)
-    assert not lookups_fit_broadcast(look, max_rows=10)
-    assert not lookups_fit_broadcast(look, max_bytes=1000)
+    chk = check_lookups(look)
+    assert chk.fits and chk.unique and chk.rows == 1500 + 15000 + 100
+    assert check_lookups(look, max_rows=10).fits is False
+    assert check_lookups(look, max_rows=10).unique is None
+    assert check_lookups(look, max_bytes=1000).fits is False
     in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("k-in", "k-out", "k-ckpt"))
     lines = load_lines(spark, SF01)
     lines.repartitionByRange(3, "line_id").write.parquet(in_dir)
