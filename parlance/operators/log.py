@@ -24,20 +24,23 @@ def _newest_first():
     return (F.col("ts").desc_nulls_last(), F.col("line_id").desc_nulls_last())
 
 
-def log_append(df: DataFrame, path: str) -> None:
+def log_append(df: DataFrame, path: str, rebalance: bool = False) -> None:
     """Append ``df`` (checked against the log schema) to the log at ``path``.
 
     Each task writes its own files, one per day it holds (a local sort by
     day inside the task, no shuffle); the file commit protocol makes the
     append all-or-nothing, and nothing passes through the driver.
+
+    ``rebalance`` is for appends that span many days (a backfill), where
+    every task would otherwise write a file for every day: one shuffle
+    (Spark's ``rebalance`` hint) groups rows by day into partitions of the
+    advisory size, with AQE splitting a day that holds too many rows over
+    several tasks and merging small ones.
     """
-    rows = conform(df, LOG_SCHEMA, "log rows")
-    (
-        rows.withColumn(LOG_PARTITION, F.to_date("ts"))
-        .write.mode("append")
-        .partitionBy(LOG_PARTITION)
-        .parquet(path)
-    )
+    rows = conform(df, LOG_SCHEMA, "log rows").withColumn(LOG_PARTITION, F.to_date("ts"))
+    if rebalance:
+        rows = rows.hint("rebalance", LOG_PARTITION)
+    rows.write.mode("append").partitionBy(LOG_PARTITION).parquet(path)
 
 
 def log_write_batch(df: DataFrame, path: str, batch_id: int) -> None:

@@ -84,3 +84,22 @@ def test_tail_with_null_timestamps(spark):
     assert [r["line_id"] for r in read_log_tail(spark, path, 2).collect()] == [3, 1]
     assert [r["line_id"] for r in read_log_tail(spark, path, 3).collect()] == [3, 1, 2]
     assert [r["line_id"] for r in read_log_tail(spark, path, 5).collect()] == [3, 1, 2]
+
+
+def test_rebalanced_append_writes_fewer_files(spark, replies):
+    import os
+
+    from parlance.session import local_path
+
+    def files(path):
+        return sum(
+            1 for _, _, names in os.walk(local_path(path)) for n in names if n.endswith(".parquet")
+        )
+
+    spread = replies.repartition(8)  # every task holds every day
+    plain, balanced = fresh_path(spark, "test-log"), fresh_path(spark, "test-log")
+    log_append(spread, plain)
+    log_append(spread, balanced, rebalance=True)
+    assert files(balanced) < files(plain)
+    a, b = read_log(spark, plain), read_log(spark, balanced)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
