@@ -305,8 +305,8 @@ def _requested_answers(
     that a third of the lines ask for is one row per task before the
     shuffle. Their count is checked exactly; each is a catalogue verb and a
     bigint, so their size is bounded too. Only then are they checkpointed
-    (the final join reads that, not the lines) and broadcast to prune the
-    lookup scan (no shuffle of the lookups). The answers are
+    (so the broadcast is built from that, not from the lines again) and
+    broadcast to prune the lookup scan (no shuffle of the lookups). The answers are
     checkpointed into the session's checkpoint folder (one lookup scan, and
     a cut lineage), their exact size in bytes is measured, and only below
     ``max_bytes`` are they broadcast back to the lines.
