@@ -9,12 +9,21 @@ Sources (``declared_scan``, ``jdbc_scan``), parameterised SQL
 
 from parlance.operators.dispatch import (
     Catalogue,
+    LookupCheck,
+    check_lookups,
+    check_unique_lookups,
     dispatch_commands,
     lookup_table,
     union_lookups,
     unknown_commands,
 )
-from parlance.operators.log import log_append, log_tail, read_log, read_log_tail
+from parlance.operators.log import (
+    log_append,
+    log_tail,
+    log_write_batch,
+    read_log,
+    read_log_tail,
+)
 from parlance.operators.parse import parse_commands
 from parlance.plans.sql import sql_query
 from parlance.sources.declared import SchemaMismatch, declared_scan
@@ -23,13 +32,17 @@ from parlance.streaming.dispatch import read_stream_output, stream_dispatch
 
 __all__ = [
     "Catalogue",
+    "LookupCheck",
     "SchemaMismatch",
+    "check_lookups",
+    "check_unique_lookups",
     "declared_scan",
     "dispatch_commands",
     "jdbc_scan",
     "jdbc_scan_where",
     "log_append",
     "log_tail",
+    "log_write_batch",
     "lookup_table",
     "parse_commands",
     "read_log",
