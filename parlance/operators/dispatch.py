@@ -141,7 +141,12 @@ def _check_verb(verb: str) -> None:
 
 
 def lookup_table(df: DataFrame, verb: str, key: str | Column, body: Column) -> DataFrame:
-    """One command's answers as ``(verb string, key bigint, body string)``."""
+    """One command's answers as ``(verb string, key bigint, body string)``.
+
+    ``body`` is cast to string. Doubles print in Spark's form (``1.0E7``);
+    cast them to a decimal first when replies must read like another
+    engine's output.
+    """
     _check_verb(verb)
     k = F.col(key) if isinstance(key, str) else key
     return df.select(
