@@ -10,6 +10,7 @@ Sources (``declared_scan``, ``jdbc_scan``), parameterised SQL
 from parlance.operators.dispatch import (
     Catalogue,
     LookupCheck,
+    bucket_lookups,
     check_lookups,
     check_unique_lookups,
     dispatch_commands,
@@ -34,6 +35,7 @@ __all__ = [
     "Catalogue",
     "LookupCheck",
     "SchemaMismatch",
+    "bucket_lookups",
     "check_lookups",
     "check_unique_lookups",
     "declared_scan",

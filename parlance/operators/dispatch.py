@@ -165,6 +165,35 @@ def union_lookups(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
+def bucket_lookups(lookups: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Store the lookups once as a table bucketed and sorted on ``(verb, key)``.
+
+    A join or a uniqueness check on ``(verb, key)`` against the returned
+    table needs no shuffle of the lookups; only the lines are shuffled (to
+    the same ``buckets`` partitions). This pays off when the same large
+    lookups answer many batches. Rows are first hash-partitioned into
+    ``buckets`` partitions, the partitioning Spark's bucketing uses, so each
+    task writes one file per bucket instead of one per bucket per task.
+    Without a shuffle on the lookup side, AQE cannot split a hot-key
+    partition of that join; the shuffled sort-merge join can.
+
+    ``path`` should be under the shared folder; the table is registered in
+    the session catalog as an external table at ``path``.
+    """
+    if buckets < 1:
+        raise ValueError("buckets must be >= 1")
+    (
+        lookups.select("verb", "key", "body")
+        .repartition(buckets, "verb", "key")
+        .write.mode("overwrite")
+        .bucketBy(buckets, "verb", "key")
+        .sortBy("verb", "key")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return lookups.sparkSession.table(table)
+
+
 def check_unique_lookups(lookups: DataFrame) -> None:
     """Raise if a ``(verb, key)`` pair has more than one answer.
 

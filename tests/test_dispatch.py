@@ -276,3 +276,19 @@ def test_broadcast_falls_back_beyond_byte_bound(spark):
     out.collect()
     assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
     assert _counts(out) == EXPECTED[SF001]
+
+
+def test_bucketed_lookups_are_not_shuffled(spark):
+    from parlance.operators.dispatch import bucket_lookups
+    from parlance.session import fresh_path
+
+    look = bucket_lookups(load_lookups(spark, SF01), "test_bucketed_lookups", fresh_path(spark, "bucketed"), 8)
+    lines = load_lines(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01), strategy="shuffle")
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    smj = plan[plan.index("SortMergeJoin"):]
+    # One exchange feeds the join (the lines); the bucketed scan feeds the other side.
+    assert smj.count("Exchange hashpartitioning") == 1
+    assert "SelectedBucketsCount: 8 out of 8" in plan
