@@ -52,6 +52,7 @@ LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
 LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+HOT_KEYS_MAX = 100_000
 # Per answer row besides its strings: key, count, flag and row overhead.
 _FIXED_ROW_BYTES = 48
 STRATEGIES = ("auto", "shuffle", "keys")
@@ -67,6 +68,9 @@ _JKEY = "__p_jkey"
 _BODY = "__p_body"
 _HIT = "__p_hit"
 _N = "__p_n"
+_HOT = "__p_hot"
+_HN = "__p_hot_n"
+_HBODY = "__p_hot_body"
 
 
 @dataclass(frozen=True)
@@ -367,6 +371,62 @@ def _requested_answers(
     return answers, size <= max_bytes
 
 
+def _unique_guard(n: Column, body: Column, verb: Column, key: Column | None = None) -> Column:
+    """``body``, or a job failure when the key had ``n`` > 1 lookup rows."""
+    where = [F.lit("lookup key ("), verb]
+    if key is not None:
+        where += [F.lit(", "), key.cast("string")]
+    return F.when(
+        n > 1,
+        F.raise_error(
+            F.concat(*where, F.lit(") has "), n.cast("string"), F.lit(" rows; keys must be unique"))
+        ),
+    ).otherwise(body)
+
+
+def _hot_key_answers(
+    keyed: DataFrame, lookups: DataFrame, min_lines: int, max_keys: int, max_bytes: int
+) -> DataFrame | None:
+    """Every key asked for by at least ``min_lines`` lines, with its answer
+    (or none), one row per key; ``None`` when there is no such key or the
+    set is too big to broadcast.
+
+    Lines per key come from a partial (map-side) aggregation, so a hot key
+    is one row per task before the shuffle. There are at most
+    ``lines / min_lines`` hot keys, and their number is also counted
+    exactly against ``max_keys``. Their answers are fetched once, by a
+    broadcast of the hot keys into the lookup scan, checkpointed, and
+    measured in bytes.
+    """
+    shared_dir(keyed.sparkSession)
+    hot = (
+        keyed.filter(F.col(_JVERB).isNotNull())
+        .groupBy(_JVERB, _JKEY)
+        .agg(F.count(F.lit(1)).alias("lines"))
+        .filter(F.col("lines") >= min_lines)
+        .select(_JVERB, _JKEY)
+    )
+    n = hot.count()
+    if n == 0 or n > max_keys:
+        return None
+    hot = hot.checkpoint(eager=True)
+    side = lookups.select(
+        F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
+    )
+    hits = (
+        side.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="inner")
+        .groupBy(_JVERB, _JKEY)
+        .agg(F.count(F.lit(1)).alias(_HN), F.any_value(_BODY).alias(_HBODY))
+    )
+    table = (
+        hot.join(hits, on=[_JVERB, _JKEY], how="left")
+        .withColumn(_HOT, F.lit(True))
+        .checkpoint(eager=True)
+    )
+    size = table.agg(F.sum(_row_bytes(_JVERB, _HBODY)).alias("bytes")).first()["bytes"] or 0
+    return table if size <= max_bytes else None
+
+
 def dispatch_commands(
     lines: DataFrame,
     catalogue: Catalogue | DataFrame,
@@ -380,6 +440,7 @@ def dispatch_commands(
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
     lookup_check: LookupCheck | None = None,
+    hot_key_lines: int | None = None,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
@@ -405,6 +466,13 @@ def dispatch_commands(
     ``check_unique``: for a sort-merge join, run :func:`check_unique_lookups`
     first (one aggregation over the key columns); skip it when the keys are
     primary keys. Broadcast lookups are always checked, at no extra pass.
+
+    ``hot_key_lines``: split hot keys without relying on AQE (which cannot
+    split a join side that is not shuffled, e.g. bucketed lookups). Keys
+    asked for by at least this many lines are answered first from a
+    broadcast (see :func:`_hot_key_answers`); their lines then pass the main
+    join with a per-line key, spread over all partitions. Costs one more
+    aggregation pass over the lines.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
@@ -423,6 +491,22 @@ def dispatch_commands(
             ),
         }
     )
+    hot = None
+    if hot_key_lines:
+        hot = _hot_key_answers(
+            keyed, lookups, hot_key_lines, HOT_KEYS_MAX, keys_broadcast_max_bytes
+        )
+    if hot is not None:
+        keyed = keyed.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="left")
+        is_hot = F.col(_HOT).isNotNull()
+        keyed = keyed.withColumns(
+            {
+                _JVERB: F.when(~is_hot, F.col(_JVERB)),
+                _JKEY: F.when(~is_hot, F.col(_JKEY)).otherwise(
+                    F.xxhash64(F.col("line_id"), F.col(line_col))
+                ),
+            }
+        )
     found = None
     if strategy == "keys":
         found = _requested_answers(keyed, lookups, keys_broadcast_max, keys_broadcast_max_bytes)
@@ -432,25 +516,21 @@ def dispatch_commands(
         joined = keyed.join(
             F.broadcast(answers) if small else answers, on=[_JVERB, _JKEY], how="left"
         )
-        body = F.when(
-            F.col(_N) > 1,
-            F.raise_error(
-                F.concat(
-                    F.lit("lookup key ("), F.col(_JVERB), F.lit(", "),
-                    F.col(_JKEY).cast("string"), F.lit(") has "),
-                    F.col(_N).cast("string"), F.lit(" rows; keys must be unique"),
-                )
-            ),
-        ).otherwise(F.col(_BODY))
+        body = _unique_guard(F.col(_N), F.col(_BODY), F.col(_JVERB), F.col(_JKEY))
     else:
         side = _lookup_side(
             lookups, strategy, check_unique, broadcast_max_rows, broadcast_max_bytes, lookup_check
         )
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)
+    matched = F.col(_HIT).isNotNull()
+    if hot is not None:
+        is_hot = F.col(_HOT).isNotNull()
+        matched = F.when(is_hot, F.col(_HN).isNotNull()).otherwise(matched)
+        body = F.when(is_hot, _unique_guard(F.col(_HN), F.col(_HBODY), F.col("verb"))).otherwise(body)
     code = F.coalesce(
         F.col(_PRE),
-        F.when(F.col(_HIT).isNull(), F.lit(_CODES[NOT_FOUND])).otherwise(F.lit(_CODES[OK])),
+        F.when(matched, F.lit(_CODES[OK])).otherwise(F.lit(_CODES[NOT_FOUND])),
     )
     status = _status_text(code)
     return joined.select(

@@ -292,3 +292,48 @@ def test_bucketed_lookups_are_not_shuffled(spark):
     # One exchange feeds the join (the lines); the bucketed scan feeds the other side.
     assert smj.count("Exchange hashpartitioning") == 1
     assert "SelectedBucketsCount: 8 out of 8" in plan
+
+
+def _skewed_lines(spark, hot_line):
+    lines = load_lines(spark, SF01).repartition(8)
+    return lines.withColumn(
+        "line", F.when(F.col("line_id") % 3 == 0, F.lit(hot_line)).otherwise(F.col("line"))
+    )
+
+
+@pytest.mark.parametrize("hot_line", ["customer 7", "customer 987654321"])
+@pytest.mark.parametrize("strategy", ["auto", "shuffle", "keys"])
+def test_hot_keys_answered_by_broadcast(spark, hot_line, strategy):
+    """A third of all lines ask for one key (found or not): answered from
+    the hot-key broadcast, and the same rows as without the split."""
+    lines = _skewed_lines(spark, hot_line)
+    look = load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy=strategy, hot_key_lines=500)
+    assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+    assert out.count() == 10_000
+
+
+def test_hot_keys_with_bucketed_lookups(spark):
+    from parlance.operators.dispatch import bucket_lookups
+    from parlance.session import fresh_path
+
+    lines = _skewed_lines(spark, "customer 7")
+    look = bucket_lookups(load_lookups(spark, SF01), "test_hot_bucketed", fresh_path(spark, "hb"), 8)
+    base = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01), strategy="shuffle")
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle", hot_key_lines=500)
+    assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
+
+
+def test_hot_key_duplicates_fail(spark):
+    look = spark.createDataFrame(
+        [("thing", 1, "a"), ("thing", 1, "b")], "verb string, key bigint, body string"
+    )
+    out = dispatch_commands(
+        lines_df(spark, ["thing 1"] * 5), Catalogue([("thing", 1)]), look,
+        strategy="shuffle", check_unique=False, hot_key_lines=3,
+    )
+    with pytest.raises(Exception, match="keys must be unique"):
+        out.collect()
