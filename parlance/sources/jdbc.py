@@ -8,6 +8,8 @@ pushed into the database's query. Timestamps without a zone stay
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -89,8 +91,17 @@ def jdbc_scan_where(
     return spark.read.jdbc(url, table, predicates=list(predicates), properties=opts)
 
 
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*")
+
+
 def jdbc_key_bounds(spark: SparkSession, url: str, table: str, driver: str, key: str) -> tuple[int, int]:
-    """``(min, max)`` of ``key``, computed inside the database (one row back)."""
+    """``(min, max)`` of ``key``, computed inside the database (one row back).
+
+    ``table`` and ``key`` must be plain (optionally dotted) identifiers.
+    """
+    for name in (table, key):
+        if not _IDENTIFIER.fullmatch(name):
+            raise ValueError(f"not a plain identifier: {name!r}")
     q = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) bounds"
     row = jdbc_scan(spark, url, q, driver).first()
     return int(row[0]), int(row[1])

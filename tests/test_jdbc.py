@@ -31,3 +31,11 @@ def test_where_split_needs_predicates(spark):
 
     with pytest.raises(ValueError):
         jdbc_scan_where(spark, "jdbc:x://h/db", "t", "d", [])
+
+
+@pytest.mark.parametrize("table,key", [("t; DROP TABLE x", "k"), ("t", "k) FROM t --")])
+def test_key_bounds_rejects_non_identifiers(spark, table, key):
+    from parlance.sources.jdbc import jdbc_key_bounds
+
+    with pytest.raises(ValueError):
+        jdbc_key_bounds(spark, "jdbc:x://h/db", table, "d", key)
