@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from parlance.operators.dispatch import Catalogue, lookup_table, union_lookups
 from parlance.sources.tables import read_table
 
-LINE_SCHEMA = "line_id bigint, ts timestamp_ntz, line string"
-
 # The test command set, verb -> number of arguments.
 TEST_CATALOGUE = Catalogue([("customer", 1), ("order", 1), ("supplier", 1)])
 

@@ -57,8 +57,6 @@ HOT_KEYS_MAX = 100_000
 _FIXED_ROW_BYTES = 48
 STRATEGIES = ("auto", "shuffle", "keys")
 
-REPLY_COLUMNS = ("line_id", "ts", "verb", "status", "reply")
-
 # Internal column names, prefixed so they cannot clash with user columns.
 _ARITY = "__p_arity"
 _KEY = "__p_key"
