@@ -105,9 +105,10 @@ def read_log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
         stored.groupBy(LOG_PARTITION)
         .agg(F.count(F.lit(1)).alias("rows"))
         .filter(F.col(LOG_PARTITION).isNotNull())
-        .orderBy(F.col(LOG_PARTITION).desc())
         .collect()
     )
+    # One row per day: sorted here rather than by a distributed sort.
+    per_day.sort(key=lambda r: r[LOG_PARTITION], reverse=True)
     held, cut = 0, None
     for row in per_day:
         held += row["rows"]
