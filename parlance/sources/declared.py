@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 # Fixed value: the only implicit widening allowed, file type -> declared type.
 WIDENINGS = {(T.IntegerType(), T.LongType())}
+# Formats whose files store their own schema (in the footer).
+SELF_DESCRIBING = ("parquet", "orc")
 
 
 class SchemaMismatch(ValueError):
@@ -81,6 +83,8 @@ def declared_scan(
     The result is an ordinary lazy scan: later filters and projections still
     reach the Parquet reader as pushed filters and a pruned read schema.
     """
+    if fmt not in SELF_DESCRIBING:
+        raise ValueError(f"{fmt!r} files carry no schema to check; use one of {SELF_DESCRIBING}")
     reader = spark.read.format(fmt)
     if all_files:
         reader = reader.option("mergeSchema", "true")

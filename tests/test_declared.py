@@ -80,3 +80,13 @@ def test_all_files_accepts_widening_across_files(spark):
     spark.createDataFrame([(2, "b")], "k bigint, v string").write.mode("append").parquet(path)
     df = declared_scan(spark, path, "k bigint, v string", all_files=True)
     assert sorted(r["k"] for r in df.collect()) == [1, 2]
+
+
+def test_orc_and_rejects_schemaless_formats(spark):
+    from parlance.session import fresh_path
+
+    path = fresh_path(spark, "orc")
+    spark.read.parquet(table_path(SF001, "nation")).write.orc(path)
+    assert declared_scan(spark, path, NATION, fmt="orc").count() == 25
+    with pytest.raises(ValueError):
+        declared_scan(spark, path, NATION, fmt="csv")
