@@ -450,9 +450,11 @@ def dispatch_commands(
 
     * ``auto``: :func:`check_lookups` measures the lookups exactly. Within
       ``broadcast_max_rows`` and ``broadcast_max_bytes`` they are broadcast
-      (and their keys were checked for uniqueness in the same pass); beyond
-      either bound, sort-merge join, where AQE splits hot-key partitions.
-      ``lookup_check`` passes an earlier result for the same lookups.
+      (and their keys were checked for uniqueness in the same pass). Beyond
+      either bound: if there are at most ``keys_broadcast_max`` lines (an
+      exact count), ``keys``; else sort-merge join, where AQE splits hot-key
+      partitions. ``lookup_check`` passes an earlier result for the same
+      lookups.
     * ``shuffle``: always sort-merge.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
@@ -505,6 +507,16 @@ def dispatch_commands(
                 ),
             }
         )
+    chk = lookup_check
+    if strategy == "auto":
+        chk = chk or check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
+        if chk.unique is False:
+            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
+        # Lookups too big to broadcast but few lines (so few keys): prune the
+        # lookups by the keys instead of shuffling all of them. The line count
+        # reads no column when the lines come straight from Parquet.
+        if not chk.fits and lines.count() <= keys_broadcast_max:
+            strategy = "keys"
     found = None
     if strategy == "keys":
         found = _requested_answers(keyed, lookups, keys_broadcast_max, keys_broadcast_max_bytes)
@@ -517,7 +529,7 @@ def dispatch_commands(
         body = _unique_guard(F.col(_N), F.col(_BODY), F.col(_JVERB), F.col(_JKEY))
     else:
         side = _lookup_side(
-            lookups, strategy, check_unique, broadcast_max_rows, broadcast_max_bytes, lookup_check
+            lookups, strategy, check_unique, broadcast_max_rows, broadcast_max_bytes, chk
         )
         joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
         body = F.col(_BODY)
