@@ -23,16 +23,26 @@ def sql_query(
     tables: dict[str, DataFrame],
     text: str,
     args: dict[str, object] | None = None,
+    placeholders: bool = False,
 ) -> DataFrame:
-    """Register ``tables`` under their names and run ``text`` with ``args``."""
+    """Register ``tables`` under their names and run ``text`` with ``args``.
+
+    With ``placeholders`` the text names tables as ``{name}`` instead, and
+    PySpark's SQL formatter registers each DataFrame under a unique view
+    name and drops it afterwards, so concurrent queries cannot replace each
+    other's views.
+    """
     args = dict(args or {})
     for name, value in args.items():
         if not _VIEW_NAME.fullmatch(name):
             raise ValueError(f"bad parameter name {name!r}")
         if value is not None and not isinstance(value, _BINDABLE):
             raise TypeError(f"parameter {name!r}: cannot bind {type(value).__name__}")
-    for name, df in tables.items():
+    for name in tables:
         if not _VIEW_NAME.fullmatch(name):
             raise ValueError(f"bad table name {name!r}")
+    if placeholders:
+        return spark.sql(text, args=args or None, **tables)
+    for name, df in tables.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=args) if args else spark.sql(text)

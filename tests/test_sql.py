@@ -43,3 +43,13 @@ def test_filter_reaches_scan(spark):
     )
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_custkey,7)" in plan
+
+
+def test_placeholders_use_private_views(spark):
+    orders = read_table(spark, SF01, "orders")
+    df = sql_query(
+        spark, {"o": orders},
+        "SELECT count(*) AS n FROM {o} WHERE o_custkey = :k", {"k": 7}, placeholders=True,
+    )
+    assert df.first()["n"] == orders.filter("o_custkey = 7").count()
+    assert not spark.catalog.tableExists("o")
