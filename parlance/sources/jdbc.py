@@ -105,3 +105,28 @@ def jdbc_key_bounds(spark: SparkSession, url: str, table: str, driver: str, key:
     q = f"(SELECT MIN({key}) AS lo, MAX({key}) AS hi FROM {table}) bounds"
     row = jdbc_scan(spark, url, q, driver).first()
     return int(row[0]), int(row[1])
+
+
+def jdbc_catalog_conf(name: str, url: str, driver: str, **extra: str) -> dict[str, str]:
+    """Session settings that mount a database as the v2 catalog ``name``.
+
+    Tables then read as ``spark.table(f"{name}.{schema}.{table}")``. Besides
+    filters and columns, this path also pushes aggregates, limits and top-n
+    into the database (the plain ``jdbc`` format keeps aggregates in Spark).
+    Set these when building the session.
+    """
+    if not _IDENTIFIER.fullmatch(name) or "." in name:
+        raise ValueError(f"not a plain catalog name: {name!r}")
+    prefix = f"spark.sql.catalog.{name}"
+    conf = {
+        prefix: "org.apache.spark.sql.execution.datasources.v2.jdbc.JDBCTableCatalog",
+        f"{prefix}.url": url,
+        f"{prefix}.driver": driver,
+        f"{prefix}.pushDownAggregate": "true",
+        f"{prefix}.pushDownLimit": "true",
+        f"{prefix}.pushDownOffset": "true",
+        f"{prefix}.preferTimestampNTZ": "true",
+    }
+    for k, v in extra.items():
+        conf[f"{prefix}.{k}"] = str(v)
+    return conf

@@ -39,3 +39,14 @@ def test_key_bounds_rejects_non_identifiers(spark, table, key):
 
     with pytest.raises(ValueError):
         jdbc_key_bounds(spark, "jdbc:x://h/db", table, "d", key)
+
+
+def test_catalog_conf():
+    from parlance.sources.jdbc import jdbc_catalog_conf
+
+    conf = jdbc_catalog_conf("db", "jdbc:x://h/db", "org.x.Driver", fetchsize=1000)
+    assert conf["spark.sql.catalog.db"].endswith("JDBCTableCatalog")
+    assert conf["spark.sql.catalog.db.pushDownAggregate"] == "true"
+    assert conf["spark.sql.catalog.db.fetchsize"] == "1000"
+    with pytest.raises(ValueError):
+        jdbc_catalog_conf("a.b", "u", "d")
