@@ -476,6 +476,8 @@ def dispatch_commands(
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
+    if lines.isStreaming and (strategy == "keys" or hot_key_lines):
+        raise ValueError("keys and hot_key_lines need a batch; use stream_dispatch for streams")
     spark = lines.sparkSession
     cat = catalogue_frame(spark, catalogue)
     parsed = parse_commands(lines.select("line_id", "ts", line_col), col=line_col)
@@ -515,7 +517,7 @@ def dispatch_commands(
         # Lookups too big to broadcast but few lines (so few keys): prune the
         # lookups by the keys instead of shuffling all of them. The line count
         # reads no column when the lines come straight from Parquet.
-        if not chk.fits and lines.count() <= keys_broadcast_max:
+        if not chk.fits and not lines.isStreaming and lines.count() <= keys_broadcast_max:
             strategy = "keys"
     found = None
     if strategy == "keys":

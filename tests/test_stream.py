@@ -166,3 +166,20 @@ def test_stream_strategy_choice_and_forced_keys(spark):
     batch = dispatch_commands(lines, TEST_CATALOGUE, look)
     assert out.count() == 10_000
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_dispatch_on_a_streaming_frame(spark):
+    """Plain stream-static use of dispatch_commands (no foreachBatch)."""
+    import pytest
+
+    from parlance.streaming.dispatch import LINE_SCHEMA
+
+    in_dir = fresh_path(spark, "sd-in")
+    load_lines(spark, SF01).write.parquet(in_dir)
+    stream = spark.readStream.schema(LINE_SCHEMA).parquet(in_dir)
+    with pytest.raises(ValueError):
+        dispatch_commands(stream, TEST_CATALOGUE, load_lookups(spark, SF01), strategy="keys")
+    out = dispatch_commands(stream, TEST_CATALOGUE, load_lookups(spark, SF01))
+    q = out.writeStream.format("memory").queryName("sd_out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("sd_out").count() == 10_000
