@@ -45,7 +45,7 @@ LINE_SCHEMA = "line_id bigint, ts timestamp_ntz, line string"
 
 def stream_dispatch(
     spark: SparkSession,
-    in_dir: str,
+    in_dir: str | DataFrame,
     out_dir: str,
     ckpt: str,
     catalogue: Catalogue | DataFrame,
@@ -60,8 +60,11 @@ def stream_dispatch(
 ) -> StreamingQuery:
     """Start the stream; returns the running ``StreamingQuery``.
 
-    ``available_now`` processes what is in ``in_dir`` and stops (for tests
-    and scheduled runs); otherwise ``processing_time`` sets the trigger.
+    ``in_dir`` is a folder of Parquet files of ``LINE_SCHEMA``, or any
+    streaming DataFrame with those columns (a Kafka source after parsing
+    its value, say); the ``max_*_per_trigger`` options apply to the folder.
+    ``available_now`` processes what is there and stops (for tests and
+    scheduled runs); otherwise ``processing_time`` sets the trigger.
     ``lookups`` may be a function returning a DataFrame; it is then called
     for every micro-batch, so lookup files added while the stream runs are
     seen (a DataFrame's file listing is fixed when it is made).
@@ -85,14 +88,19 @@ def stream_dispatch(
     per_batch_check = check_unique and (strategy in (None, "keys") or fresh)
     if check_unique and not per_batch_check and not (chk and chk.fits):
         check_unique_lookups(lookups)
-    reader = spark.readStream.schema(LINE_SCHEMA)
-    # Bounding a micro-batch (by files or bytes) bounds the keys it asks for,
-    # which keeps batches on the ``keys`` path.
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    if max_bytes_per_trigger:
-        reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
-    lines = reader.parquet(in_dir)
+    if isinstance(in_dir, DataFrame):
+        if not in_dir.isStreaming:
+            raise ValueError("give a streaming DataFrame or a folder")
+        lines = in_dir.select("line_id", "ts", "line")
+    else:
+        reader = spark.readStream.schema(LINE_SCHEMA)
+        # Bounding a micro-batch (by files or bytes) bounds the keys it asks
+        # for, which keeps batches on the ``keys`` path.
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        if max_bytes_per_trigger:
+            reader = reader.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
+        lines = reader.parquet(in_dir)
     out = out_dir.rstrip("/")
 
     def answer_batch(batch: DataFrame, batch_id: int) -> None:

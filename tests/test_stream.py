@@ -183,3 +183,17 @@ def test_dispatch_on_a_streaming_frame(spark):
     q = out.writeStream.format("memory").queryName("sd_out").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("sd_out").count() == 10_000
+
+
+def test_stream_from_a_streaming_frame(spark):
+    from parlance.streaming.dispatch import LINE_SCHEMA
+
+    in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("f2-in", "f2-out", "f2-ckpt"))
+    lines = load_lines(spark, SF01)
+    lines.write.parquet(in_dir)
+    source = spark.readStream.schema(LINE_SCHEMA).parquet(in_dir)
+    q = stream_dispatch(spark, source, out_dir, ckpt, TEST_CATALOGUE, load_lookups(spark, SF01))
+    q.awaitTermination()
+    out = read_stream_output(spark, out_dir)
+    batch = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01))
+    assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
