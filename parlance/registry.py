@@ -34,6 +34,7 @@ LINEITEM_DECLARED = TABLE_SCHEMAS["lineitem"].replace("l_linenumber int", "l_lin
 
 
 def q_declared_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O2: all of lineitem, checked against its declared schema (with one widening)."""
     return read_table(spark, sf_dir, "lineitem", LINEITEM_DECLARED)
 
 
@@ -58,6 +59,7 @@ ORDERS_BY_SEGMENT_ARGS = {"since": dt.date(1995, 1, 1), "status": "F"}
 
 
 def q_sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3: orders joined to customers and grouped, with bound date and status."""
     tables = {name: read_table(spark, sf_dir, name) for name in ("orders", "customer")}
     return sql_query(spark, tables, ORDERS_BY_SEGMENT, ORDERS_BY_SEGMENT_ARGS)
 
@@ -69,6 +71,7 @@ SQL_SQL_QUERY = (
 
 # ---------------------------------------------------------------- O4
 def q_parse_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4: every command line split into verb and arguments."""
     return parse_commands(load_lines(spark, sf_dir)).select("line_id", "ts", "line", "verb", "args")
 
 
@@ -85,10 +88,12 @@ SQL_PARSE_COMMANDS = f"WITH {_PARSED_SQL} SELECT line_id, ts, line, verb, args F
 
 # ---------------------------------------------------------------- O5
 def q_dispatch_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5: every line answered from the customer, orders and supplier lookups."""
     return dispatch_commands(load_lines(spark, sf_dir), TEST_CATALOGUE, load_lookups(spark, sf_dir))
 
 
 def q_unknown_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5: the lines whose verb is not in the catalogue."""
     return unknown_commands(load_lines(spark, sf_dir), TEST_CATALOGUE)
 
 
@@ -132,6 +137,7 @@ def _write_log(spark: SparkSession, sf_dir: str) -> str:
 
 
 def q_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O6: the replies appended to a new log and read back."""
     return read_log(spark, _write_log(spark, sf_dir))
 
 
@@ -139,6 +145,7 @@ LOG_TAIL_N = 100
 
 
 def q_log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O7: the newest 100 rows of a log holding all the replies."""
     return read_log_tail(spark, _write_log(spark, sf_dir), LOG_TAIL_N)
 
 
@@ -152,7 +159,7 @@ STREAM_INPUT_FILES = 3
 
 
 def q_stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines land as files in arrival (line_id) order, one file per
+    """O8: lines land as files in arrival (line_id) order, one file per
     micro-batch; the stream answers them all and stops."""
     in_dir = fresh_path(spark, "stream-in")
     out_dir = fresh_path(spark, "stream-out")
