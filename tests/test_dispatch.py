@@ -286,7 +286,14 @@ def test_bucketed_lookups_are_not_shuffled(spark):
     from parlance.operators.dispatch import bucket_lookups
     from parlance.session import fresh_path
 
-    look = bucket_lookups(load_lookups(spark, SF01), "test_bucketed_lookups", fresh_path(spark, "bucketed"), 8)
+    import os
+
+    from parlance.session import local_path
+
+    path = fresh_path(spark, "bucketed")
+    look = bucket_lookups(load_lookups(spark, SF01).repartition(5), "test_bucketed_lookups", path, 8)
+    # One file per bucket, however the input was partitioned.
+    assert len([f for f in os.listdir(local_path(path)) if f.endswith(".parquet")]) == 8
     lines = load_lines(spark, SF01)
     base = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01), strategy="shuffle")
     out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
