@@ -359,3 +359,15 @@ def test_auto_takes_keys_for_few_lines_against_large_lookups(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     # The answers come from the key-pruned, checkpointed lookup rows.
     assert "SortMergeJoin" not in plan and "Scan ExistingRDD[__p_jverb" in plan
+
+
+def test_pruning_and_pushdown_through_dispatch(spark):
+    """Filters on the lines reach their scan; unused reply text is never read."""
+    lines = load_lines(spark, SF01).filter(F.col("ts") >= F.lit("2024-01-20").cast("timestamp_ntz"))
+    out = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01)).select("line_id", "status")
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-20T00:00)" in plan
+    for key in ("c_custkey", "o_orderkey", "s_suppkey"):
+        assert f"ReadSchema: struct<{key}:bigint>" in plan
+    assert "c_name" not in plan and "s_name" not in plan
