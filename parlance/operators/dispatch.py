@@ -53,6 +53,7 @@ LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 HOT_KEYS_MAX = 100_000
+HOT_KEY_MIN_LINES = 10_000
 # Per answer row besides its strings: key, count, flag and row overhead.
 _FIXED_ROW_BYTES = 48
 STRATEGIES = ("auto", "shuffle", "keys")
@@ -438,7 +439,8 @@ def dispatch_commands(
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
     lookup_check: LookupCheck | None = None,
-    hot_key_lines: int | None = None,
+    hot_key_lines: int | str | None = None,
+    hot_key_min_lines: int = HOT_KEY_MIN_LINES,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
@@ -472,7 +474,10 @@ def dispatch_commands(
     asked for by at least this many lines are answered first from a
     broadcast (see :func:`_hot_key_answers`); their lines then pass the main
     join with a per-line key, spread over all partitions. Costs one more
-    aggregation pass over the lines.
+    aggregation pass over the lines. ``"auto"`` counts the lines and calls
+    a key hot when it alone fills an average join partition (lines /
+    ``spark.sql.shuffle.partitions``, at least ``hot_key_min_lines``), so
+    there are at most as many hot keys as partitions.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
@@ -493,6 +498,13 @@ def dispatch_commands(
             ),
         }
     )
+    if hot_key_lines == "auto":
+        if lines.isStreaming:
+            raise ValueError("hot_key_lines='auto' needs a batch")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        hot_key_lines = max(hot_key_min_lines, -(-lines.count() // parts))
+    elif isinstance(hot_key_lines, str):
+        raise ValueError(f"hot_key_lines must be an int, 'auto' or None, got {hot_key_lines!r}")
     hot = None
     if hot_key_lines:
         hot = _hot_key_answers(

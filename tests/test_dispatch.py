@@ -371,3 +371,18 @@ def test_pruning_and_pushdown_through_dispatch(spark):
     for key in ("c_custkey", "o_orderkey", "s_suppkey"):
         assert f"ReadSchema: struct<{key}:bigint>" in plan
     assert "c_name" not in plan and "s_name" not in plan
+
+
+def test_hot_key_threshold_auto(spark):
+    lines = _skewed_lines(spark, "customer 7")
+    look = load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    out = dispatch_commands(
+        lines, TEST_CATALOGUE, look, strategy="shuffle", hot_key_lines="auto", hot_key_min_lines=100
+    )
+    assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "__p_hot" in plan  # the hot-key broadcast is part of the plan
+    with pytest.raises(ValueError):
+        dispatch_commands(lines, TEST_CATALOGUE, look, hot_key_lines="often")
