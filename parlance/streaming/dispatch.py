@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from parlance.operators.dispatch import (
+    LOOKUP_BROADCAST_MAX_BYTES,
+    LOOKUP_BROADCAST_MAX_ROWS,
     Catalogue,
     check_unique_lookups,
     check_lookups,
@@ -57,6 +59,8 @@ def stream_dispatch(
     max_bytes_per_trigger: str | int | None = None,
     strategy: str | None = None,
     check_unique: bool = True,
+    broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
+    broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
 ) -> StreamingQuery:
     """Start the stream; returns the running ``StreamingQuery``.
 
@@ -70,8 +74,11 @@ def stream_dispatch(
     seen (a DataFrame's file listing is fixed when it is made).
 
     ``strategy=None`` picks ``auto`` (broadcast) or ``keys`` from an exact
-    size check of the lookups: once here for a DataFrame, per batch for a
-    function. Any strategy of ``dispatch_commands`` may be forced instead.
+    size check of the lookups against ``broadcast_max_rows`` and
+    ``broadcast_max_bytes``: once here for a DataFrame, per batch for a
+    function. Lookups that fit are broadcast again in every micro-batch, so
+    lower the bounds for high trigger rates. Any strategy of
+    ``dispatch_commands`` may be forced instead.
 
     Lookup keys must be unique. ``keys`` guards the keys each batch uses,
     and a batch that falls back to a plain join checks the whole lookup
@@ -81,7 +88,7 @@ def stream_dispatch(
     fresh = callable(lookups)
     chk = None
     if strategy is None and not fresh:
-        chk = check_lookups(lookups)
+        chk = check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
         if chk.unique is False:
             raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
         strategy = "auto" if chk.fits else "keys"
@@ -109,11 +116,12 @@ def stream_dispatch(
             look = lookups() if fresh else lookups
             use, use_chk = strategy, chk
             if use is None:  # lookups re-read per batch: measure them per batch
-                use_chk = check_lookups(look)
+                use_chk = check_lookups(look, broadcast_max_rows, broadcast_max_bytes)
                 use = "auto" if use_chk.fits else "keys"
             replies = dispatch_commands(
                 batch, catalogue, look, strategy=use, check_unique=per_batch_check,
-                lookup_check=use_chk,
+                lookup_check=use_chk, broadcast_max_rows=broadcast_max_rows,
+                broadcast_max_bytes=broadcast_max_bytes,
             )
             log_write_batch(replies, out, batch_id)
         finally:

@@ -197,3 +197,17 @@ def test_stream_from_a_streaming_frame(spark):
     out = read_stream_output(spark, out_dir)
     batch = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01))
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_stream_broadcast_bound_sends_batches_to_keys(spark):
+    in_dir, out_dir, ckpt = (fresh_path(spark, p) for p in ("bb-in", "bb-out", "bb-ckpt"))
+    lines = load_lines(spark, SF01)
+    lines.repartitionByRange(2, "line_id").write.parquet(in_dir)
+    look = load_lookups(spark, SF01)
+    q = stream_dispatch(spark, in_dir, out_dir, ckpt, TEST_CATALOGUE, look,
+                        max_files_per_trigger=1, broadcast_max_bytes=1000)
+    q.awaitTermination()
+    assert q.exception() is None
+    out = read_stream_output(spark, out_dir)
+    batch = dispatch_commands(lines, TEST_CATALOGUE, look)
+    assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
