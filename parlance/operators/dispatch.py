@@ -53,6 +53,9 @@ LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 HOT_KEYS_MAX = 100_000
+# Up to this many requested keys are fetched to the driver and filtered as
+# literals (pushed into the Parquet scans); more go through a broadcast join.
+KEYS_IN_LIST_MAX = 10_000
 HOT_KEY_MIN_LINES = 10_000
 # Per answer row besides its strings: key, count, flag and row overhead.
 _FIXED_ROW_BYTES = 48
@@ -331,6 +334,24 @@ def _status_text(code: Column) -> Column:
     return F.get(F.array(*[F.lit(name) for name in STATUSES]), code)
 
 
+def _key_filter(rows) -> Column:
+    """``verb = v AND key IN (...)`` per verb, as literals.
+
+    On a union of lookups with a constant verb per branch, Catalyst keeps
+    only the matching disjunct in each branch and pushes ``key IN (...)``
+    into that branch's Parquet scan, where row-group min/max statistics skip
+    the groups holding none of the keys (very effective on key-sorted or
+    bucketed lookup files).
+    """
+    by_verb: dict[str, list[int]] = {}
+    for r in rows:
+        by_verb.setdefault(r[_JVERB], []).append(r[_JKEY])
+    cond = F.lit(False)
+    for verb, keys in sorted(by_verb.items()):
+        cond = cond | ((F.col(_JVERB) == F.lit(verb)) & F.col(_JKEY).isin(sorted(keys)))
+    return cond
+
+
 def _requested_answers(
     keyed: DataFrame, lookups: DataFrame, max_keys: int, max_bytes: int
 ) -> tuple[DataFrame, bool] | None:
@@ -341,9 +362,11 @@ def _requested_answers(
     The distinct keys come from a partial (map-side) aggregation, so a key
     that a third of the lines ask for is one row per task before the
     shuffle. Their count is checked exactly; each is a catalogue verb and a
-    bigint, so their size is bounded too. Only then are they checkpointed
-    (so the broadcast is built from that, not from the lines again) and
-    broadcast to prune the lookup scan (no shuffle of the lookups). The answers are
+    bigint, so their size is bounded too. Up to ``KEYS_IN_LIST_MAX`` of them
+    are fetched and become literal ``key IN (...)`` filters pushed into the
+    lookup scans (see :func:`_key_filter`); more are checkpointed (so the
+    broadcast is built from that, not from the lines again) and broadcast to
+    prune the lookup scan. Either way the lookups are not shuffled. The answers are
     checkpointed into the session's checkpoint folder (one lookup scan, and
     a cut lineage), their exact size in bytes is measured, and only below
     ``max_bytes`` are they broadcast back to the lines.
@@ -351,17 +374,21 @@ def _requested_answers(
     shared_dir(keyed.sparkSession)
     requested = keyed.filter(F.col(_JVERB).isNotNull()).select(_JVERB, _JKEY).distinct()
     # An exact count (partial aggregation, one number per task to the final
-    # sum); only a set known to be small is then written and broadcast.
-    if requested.count() > max_keys:
+    # sum); only a set known to be small is then fetched or written.
+    n = requested.count()
+    if n > max_keys:
         return None
-    requested = requested.checkpoint(eager=True)
     side = lookups.select(
         F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
     )
-    # Inner join on distinct keys (a semi-join in effect). A left_semi here
-    # would be pushed into each branch of a lookup union and recompute the
-    # requested keys once per branch.
-    hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
+    if n <= KEYS_IN_LIST_MAX:
+        hits = side.filter(_key_filter(requested.collect()))
+    else:
+        requested = requested.checkpoint(eager=True)
+        # Inner join on distinct keys (a semi-join in effect). A left_semi
+        # here would be pushed into each branch of a lookup union and
+        # recompute the requested keys once per branch.
+        hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
     answers = hits.groupBy(_JVERB, _JKEY).agg(
         F.count(F.lit(1)).alias(_N), F.any_value(_BODY).alias(_BODY), F.lit(True).alias(_HIT)
     )

@@ -386,3 +386,29 @@ def test_hot_key_threshold_auto(spark):
     assert "__p_hot" in plan  # the hot-key broadcast is part of the plan
     with pytest.raises(ValueError):
         dispatch_commands(lines, TEST_CATALOGUE, look, hot_key_lines="often")
+
+
+def test_key_filter_reaches_the_lookup_scans(spark):
+    from parlance.operators import dispatch as d
+
+    rows = [{d._JVERB: "customer", d._JKEY: 7}, {d._JVERB: "customer", d._JKEY: 9},
+            {d._JVERB: "supplier", d._JKEY: 3}]
+    look = load_lookups(spark, SF01)
+    side = look.select(look.verb.alias(d._JVERB), look.key.alias(d._JKEY), look.body.alias(d._BODY))
+    hits = side.filter(d._key_filter(rows))
+    assert sorted((r[d._JVERB], r[d._JKEY]) for r in hits.collect()) == [
+        ("customer", 7), ("customer", 9), ("supplier", 3)
+    ]
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "In(c_custkey, [7,9])" in plan and "EqualTo(s_suppkey,3)" in plan
+    assert "orders.parquet" not in plan  # no key asked of that branch: not read
+
+
+def test_keys_strategy_broadcast_prune_path(spark, monkeypatch):
+    from parlance.operators import dispatch as d
+
+    monkeypatch.setattr(d, "KEYS_IN_LIST_MAX", 10)
+    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
+    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys")
+    assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
