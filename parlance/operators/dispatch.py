@@ -420,9 +420,9 @@ def _hot_key_answers(
     Lines per key come from a partial (map-side) aggregation, so a hot key
     is one row per task before the shuffle. There are at most
     ``lines / min_lines`` hot keys, and their number is also counted
-    exactly against ``max_keys``. Their answers are fetched once, by a
-    broadcast of the hot keys into the lookup scan, checkpointed, and
-    measured in bytes.
+    exactly against ``max_keys``. Their answers are fetched once (by literal
+    ``key IN (...)`` filters pushed into the lookup scans, or for many keys
+    a broadcast of them into the scan), checkpointed, and measured in bytes.
     """
     shared_dir(keyed.sparkSession)
     hot = (
@@ -439,10 +439,12 @@ def _hot_key_answers(
     side = lookups.select(
         F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
     )
-    hits = (
-        side.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="inner")
-        .groupBy(_JVERB, _JKEY)
-        .agg(F.count(F.lit(1)).alias(_HN), F.any_value(_BODY).alias(_HBODY))
+    if n <= KEYS_IN_LIST_MAX:
+        found = side.filter(_key_filter(hot.collect()))
+    else:
+        found = side.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="inner")
+    hits = found.groupBy(_JVERB, _JKEY).agg(
+        F.count(F.lit(1)).alias(_HN), F.any_value(_BODY).alias(_HBODY)
     )
     table = (
         hot.join(hits, on=[_JVERB, _JKEY], how="left")
