@@ -24,13 +24,27 @@ Plan shape (one output row per input line, always)::
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.functions.commands import SEPARATOR_PATTERN, key_of
+from parlance.functions.commands import key_of
+from parlance.operators.catalogue import (  # noqa: F401 - re-exported
+    CATALOGUE_BROADCAST_MAX,
+    MAX_VERB_LENGTH,
+    Catalogue,
+    catalogue_frame,
+)
+from parlance.operators.lookups import (  # noqa: F401 - re-exported
+    LOOKUP_BROADCAST_MAX_BYTES,
+    LOOKUP_BROADCAST_MAX_ROWS,
+    LookupCheck,
+    _row_bytes,
+    bucket_lookups,
+    check_lookups,
+    check_unique_lookups,
+    lookup_table,
+    union_lookups,
+)
 from parlance.operators.parse import parse_commands
 from parlance.session import shared_dir
 
@@ -43,13 +57,6 @@ OK = "ok"
 STATUSES = (BLANK, UNKNOWN_COMMAND, BAD_ARGUMENTS, NOT_FOUND, OK)
 _CODES = {name: i for i, name in enumerate(STATUSES)}
 
-# The catalogue's broadcast bound: at most this many verbs of at most this
-# many characters.
-CATALOGUE_BROADCAST_MAX = 10_000
-MAX_VERB_LENGTH = 256
-_VALUES_MAX = 64
-LOOKUP_BROADCAST_MAX_ROWS = 2_000_000
-LOOKUP_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 KEYS_BROADCAST_MAX = 1_000_000
 KEYS_BROADCAST_MAX_BYTES = 256 * 1024 * 1024
 HOT_KEYS_MAX = 100_000
@@ -57,8 +64,6 @@ HOT_KEYS_MAX = 100_000
 # literals (pushed into the Parquet scans); more go through a broadcast join.
 KEYS_IN_LIST_MAX = 10_000
 HOT_KEY_MIN_LINES = 10_000
-# Per answer row besides its strings: key, count, flag and row overhead.
-_FIXED_ROW_BYTES = 48
 STRATEGIES = ("auto", "shuffle", "keys")
 
 # Internal column names, prefixed so they cannot clash with user columns.
@@ -75,212 +80,6 @@ _HN = "__p_hot_n"
 _HBODY = "__p_hot_body"
 
 
-@dataclass(frozen=True)
-class Catalogue:
-    """The known commands: verb -> number of arguments.
-
-    The first argument is the lookup key; a verb needs at least one.
-    """
-
-    entries: tuple[tuple[str, int], ...]
-
-    def __init__(self, entries: Iterable[tuple[str, int]]):
-        seen: dict[str, int] = {}
-        for verb, arity in entries:
-            _check_verb(verb)
-            if not isinstance(arity, int) or arity < 1:
-                raise ValueError(f"arity of {verb!r} must be an int >= 1, got {arity!r}")
-            if verb in seen:
-                raise ValueError(f"verb {verb!r} listed twice in the catalogue")
-            seen[verb] = arity
-        if len(seen) > CATALOGUE_BROADCAST_MAX:
-            raise ValueError(
-                f"catalogue has {len(seen)} verbs; pass a DataFrame for more than "
-                f"{CATALOGUE_BROADCAST_MAX}"
-            )
-        object.__setattr__(self, "entries", tuple(seen.items()))
-
-    @property
-    def verbs(self) -> tuple[str, ...]:
-        return tuple(v for v, _ in self.entries)
-
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        """A local relation (``LocalTableScan``, no Python worker at run time).
-
-        Short lists become a ``VALUES`` list with bound parameters (values
-        are never pasted into SQL text); longer ones an Arrow table, since
-        binding thousands of parameters is slow.
-        """
-        if len(self.entries) > _VALUES_MAX:
-            import pyarrow as pa
-
-            table = pa.table(
-                {
-                    "verb": pa.array([v for v, _ in self.entries], pa.string()),
-                    "arity": pa.array([a for _, a in self.entries], pa.int32()),
-                }
-            )
-            return spark.createDataFrame(table)
-        marks = ", ".join(f"(:v{i}, :a{i})" for i in range(len(self.entries)))
-        args: dict[str, object] = {}
-        for i, (verb, arity) in enumerate(self.entries):
-            args[f"v{i}"] = verb
-            args[f"a{i}"] = arity
-        return spark.sql(
-            "SELECT CAST(verb AS STRING) AS verb, CAST(arity AS INT) AS arity "
-            f"FROM VALUES {marks} AS t(verb, arity)",
-            args=args,
-        )
-
-
-def _check_verb(verb: str) -> None:
-    import re
-
-    if not isinstance(verb, str) or not verb:
-        raise ValueError(f"verb must be a non-empty string, got {verb!r}")
-    if len(verb) > MAX_VERB_LENGTH:
-        raise ValueError(f"verb longer than {MAX_VERB_LENGTH} characters")
-    if re.search(SEPARATOR_PATTERN, verb):
-        raise ValueError(f"verb {verb!r} contains a separator")
-    if verb != verb.lower():
-        raise ValueError(f"verb {verb!r} must be lower case; lines are matched lower-cased")
-
-
-def lookup_table(df: DataFrame, verb: str, key: str | Column, body: Column) -> DataFrame:
-    """One command's answers as ``(verb string, key bigint, body string)``.
-
-    ``body`` is cast to string. Doubles print in Spark's form (``1.0E7``);
-    cast them to a decimal first when replies must read like another
-    engine's output.
-    """
-    _check_verb(verb)
-    k = F.col(key) if isinstance(key, str) else key
-    return df.select(
-        F.lit(verb).alias("verb"),
-        k.cast("bigint").alias("key"),
-        body.cast("string").alias("body"),
-    )
-
-
-def union_lookups(parts: Sequence[DataFrame]) -> DataFrame:
-    if not parts:
-        raise ValueError("no lookup tables given")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def bucket_lookups(lookups: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
-    """Store the lookups once as a table bucketed and sorted on ``(verb, key)``.
-
-    A join or a uniqueness check on ``(verb, key)`` against the returned
-    table needs no shuffle of the lookups; only the lines are shuffled (to
-    the same ``buckets`` partitions). This pays off when the same large
-    lookups answer many batches. Rows are first hash-partitioned into
-    ``buckets`` partitions, the partitioning Spark's bucketing uses, so each
-    task writes one file per bucket instead of one per bucket per task.
-    Without a shuffle on the lookup side, AQE cannot split a hot-key
-    partition of that join; the shuffled sort-merge join can.
-
-    ``path`` should be under the shared folder; the table is registered in
-    the session catalog as an external table at ``path``.
-    """
-    if buckets < 1:
-        raise ValueError("buckets must be >= 1")
-    (
-        lookups.select("verb", "key", "body")
-        .repartition(buckets, "verb", "key")
-        .write.mode("overwrite")
-        .bucketBy(buckets, "verb", "key")
-        .sortBy("verb", "key")
-        .option("path", path)
-        .saveAsTable(table)
-    )
-    return lookups.sparkSession.table(table)
-
-
-def check_unique_lookups(lookups: DataFrame) -> None:
-    """Raise if a ``(verb, key)`` pair has more than one answer.
-
-    A repeated pair would multiply the lines that hit it. The check is one
-    aggregation over the two key columns only (partial aggregation runs
-    before the shuffle); skip it when the keys are unique by construction.
-    """
-    dup = (
-        lookups.groupBy("verb", "key")
-        .count()
-        .filter(F.col("count") > 1)
-        .limit(1)
-        .collect()
-    )
-    if dup:
-        r = dup[0]
-        raise ValueError(
-            f"lookup key ({r['verb']!r}, {r['key']}) has {r['count']} rows; "
-            "keys must be unique"
-        )
-
-
-def catalogue_frame(spark: SparkSession, catalogue: Catalogue | DataFrame) -> DataFrame:
-    """The catalogue as a DataFrame, broadcast when its size is proven small."""
-    if isinstance(catalogue, Catalogue):
-        return F.broadcast(catalogue.to_df(spark))
-    cat = catalogue.select(F.col("verb").cast("string"), F.col("arity").cast("int"))
-    head = cat.limit(CATALOGUE_BROADCAST_MAX + 1).collect()
-    if len(head) <= CATALOGUE_BROADCAST_MAX:
-        # Bounded: validate locally and broadcast the checked list.
-        return F.broadcast(Catalogue((r["verb"], r["arity"]) for r in head).to_df(spark))
-    dup = cat.groupBy("verb").count().filter(F.col("count") > 1).limit(1).collect()
-    if dup:
-        raise ValueError(f"verb {dup[0]['verb']!r} listed twice in the catalogue")
-    return cat
-
-
-def _row_bytes(verb: str, body: str) -> Column:
-    """Bytes of one (verb, key, body) row: its strings plus a fixed part."""
-    return (
-        F.octet_length(F.col(verb))
-        + F.coalesce(F.octet_length(F.col(body)), F.lit(0))
-        + F.lit(_FIXED_ROW_BYTES)
-    )
-
-
-@dataclass(frozen=True)
-class LookupCheck:
-    """What :func:`check_lookups` found out about a lookup table."""
-
-    rows: int
-    fits: bool  # at most max_rows rows and max_bytes bytes: safe to broadcast
-    unique: bool | None  # None: not checked, too many rows
-
-
-def check_lookups(
-    lookups: DataFrame,
-    max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
-    max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
-) -> LookupCheck:
-    """Measure the lookups exactly, at a cost that stays bounded at any size.
-
-    First ``count()``: for Parquet it reads no column (row-group metadata),
-    and each task sends one number to the final sum. Only when that is at
-    most ``max_rows`` are the bytes and the repeats of ``(verb, key)``
-    measured, by one aggregation over a table now known to be small.
-    (A ``limit(n)`` check would not be bounded: every task would send up to
-    ``n`` rows to one final task.)
-    """
-    rows = lookups.count()
-    if rows > max_rows:
-        return LookupCheck(rows, False, None)
-    stats = (
-        lookups.groupBy("verb", "key")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes("verb", "body")).alias("b"))
-        .agg(F.max("n").alias("repeat"), F.sum("b").alias("bytes"))
-        .first()
-    )
-    return LookupCheck(rows, (stats["bytes"] or 0) <= max_bytes, (stats["repeat"] or 0) <= 1)
-
-
 def _lookup_side(
     lookups: DataFrame,
     strategy: str,
