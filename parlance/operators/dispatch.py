@@ -293,9 +293,11 @@ def dispatch_commands(
       two answers fails the job when a line hits it, so no row is ever
       multiplied.
 
-    ``check_unique``: for a sort-merge join, run :func:`check_unique_lookups`
-    first (one aggregation over the key columns); skip it when the keys are
-    primary keys. Broadcast lookups are always checked, at no extra pass.
+    ``check_unique``: check that no ``(verb, key)`` repeats, in the measuring
+    pass for broadcast lookups, by :func:`check_unique_lookups` (one
+    aggregation over the key columns) before a sort-merge join. Turn it off
+    when the keys are primary keys: that also makes the measuring pass a
+    plain sum with no shuffle.
 
     ``hot_key_lines``: split hot keys without relying on AQE (which cannot
     split a join side that is not shuffled, e.g. bucketed lookups). Keys
@@ -351,7 +353,9 @@ def dispatch_commands(
         )
     chk = lookup_check
     if strategy == "auto":
-        chk = chk or check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
+        chk = chk or check_lookups(
+            lookups, broadcast_max_rows, broadcast_max_bytes, unique=check_unique
+        )
         if chk.unique is False:
             raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
         # Lookups too big to broadcast but few lines (so few keys): prune the

@@ -118,19 +118,24 @@ def check_lookups(
     lookups: DataFrame,
     max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
     max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
+    unique: bool = True,
 ) -> LookupCheck:
     """Measure the lookups exactly, at a cost that stays bounded at any size.
 
     First ``count()``: for Parquet it reads no column (row-group metadata),
     and each task sends one number to the final sum. Only when that is at
-    most ``max_rows`` are the bytes and the repeats of ``(verb, key)``
-    measured, by one aggregation over a table now known to be small.
-    (A ``limit(n)`` check would not be bounded: every task would send up to
-    ``n`` rows to one final task.)
+    most ``max_rows`` are the bytes measured, together with the repeats of
+    ``(verb, key)`` when ``unique`` (one aggregation over a table now known
+    to be small; without ``unique``, a plain sum with no shuffle). A
+    ``limit(n)`` check would not be bounded: every task would send up to
+    ``n`` rows to one final task.
     """
     rows = lookups.count()
     if rows > max_rows:
         return LookupCheck(rows, False, None)
+    if not unique:
+        size = lookups.agg(F.sum(_row_bytes("verb", "body"))).first()[0] or 0
+        return LookupCheck(rows, size <= max_bytes, None)
     stats = (
         lookups.groupBy("verb", "key")
         .agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes("verb", "body")).alias("b"))

@@ -88,7 +88,7 @@ def stream_dispatch(
     fresh = callable(lookups)
     chk = None
     if strategy is None and not fresh:
-        chk = check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
+        chk = check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes, unique=check_unique)
         if chk.unique is False:
             raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
         strategy = "auto" if chk.fits else "keys"
@@ -116,7 +116,9 @@ def stream_dispatch(
             look = lookups() if fresh else lookups
             use, use_chk = strategy, chk
             if use is None:  # lookups re-read per batch: measure them per batch
-                use_chk = check_lookups(look, broadcast_max_rows, broadcast_max_bytes)
+                use_chk = check_lookups(
+                    look, broadcast_max_rows, broadcast_max_bytes, unique=check_unique
+                )
                 use = "auto" if use_chk.fits else "keys"
             replies = dispatch_commands(
                 batch, catalogue, look, strategy=use, check_unique=per_batch_check,

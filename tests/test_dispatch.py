@@ -412,3 +412,14 @@ def test_keys_strategy_broadcast_prune_path(spark, monkeypatch):
     base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
     out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="keys")
     assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+
+
+def test_check_lookups_without_uniqueness_is_a_plain_sum(spark):
+    from parlance.operators.lookups import check_lookups
+
+    look = load_lookups(spark, SF001)
+    with_unique, without = check_lookups(look), check_lookups(look, unique=False)
+    assert with_unique.fits and with_unique.unique is True
+    assert without.fits and without.unique is None and without.rows == with_unique.rows
+    out = dispatch_commands(load_lines(spark, SF001), TEST_CATALOGUE, look, check_unique=False)
+    assert _counts(out) == EXPECTED[SF001]
