@@ -70,9 +70,24 @@ def _log_columns(stored: DataFrame, path: str) -> DataFrame:
     return conform(stored.drop(LOG_PARTITION, BATCH_PARTITION), LOG_SCHEMA, path)
 
 
-def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """The five log columns of a log written by either writer."""
-    return _log_columns(_stored(spark, path), path)
+def read_log(
+    spark: SparkSession, path: str, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """The five log columns of a log written by either writer.
+
+    ``since`` (inclusive) and ``until`` (exclusive) bound ``ts``, given as
+    text such as ``"2024-01-30 12:00:00"`` (read as timestamp_ntz, so no
+    time zone applies). Both the day folders (partition pruning) and the
+    row groups (pushed ``ts`` filter) outside the range are skipped.
+    """
+    stored = _stored(spark, path)
+    if since is not None:
+        lo = F.lit(since).cast("timestamp_ntz")
+        stored = stored.filter((F.col(LOG_PARTITION) >= F.to_date(lo)) & (F.col("ts") >= lo))
+    if until is not None:
+        hi = F.lit(until).cast("timestamp_ntz")
+        stored = stored.filter((F.col(LOG_PARTITION) <= F.to_date(hi)) & (F.col("ts") < hi))
+    return _log_columns(stored, path)
 
 
 def log_tail(log: DataFrame, n: int) -> DataFrame:

@@ -103,3 +103,17 @@ def test_rebalanced_append_writes_fewer_files(spark, replies):
     assert files(balanced) < files(plain)
     a, b = read_log(spark, plain), read_log(spark, balanced)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_read_log_time_range_prunes(spark, replies):
+    path = fresh_path(spark, "test-log")
+    log_append(replies, path)
+    since, until = "2024-01-10 06:00:00", "2024-01-12 00:00:00"
+    got = read_log(spark, path, since=since, until=until)
+    want = read_log(spark, path).filter(
+        (F.col("ts") >= F.lit(since).cast("timestamp_ntz")) & (F.col("ts") < F.lit(until).cast("timestamp_ntz"))
+    )
+    assert got.count() == want.count() > 0
+    assert got.exceptAll(want).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(log_date" in plan and "GreaterThanOrEqual(ts,2024-01-10T06:00)" in plan
