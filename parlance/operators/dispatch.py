@@ -6,17 +6,19 @@ Plan shape (one output row per input line, always)::
           --status projection--> left join (verb, key) lookups
           --reply projection--> (line_id, ts, verb, status, reply)
 
-* The catalogue is a short list of commands. It is broadcast only after its
-  row count is checked against ``CATALOGUE_BROADCAST_MAX``; a larger one is
-  joined by shuffle.
-* The lookups grow with the data, so they are measured exactly first (a
-  metadata-only count, then bytes only if that is small). Only lookups
-  within the bounds are broadcast; all others are sort-merge joined, and AQE
-  splits a join partition that a hot key makes oversized.
-* Inputs that ask for few distinct keys (a micro-batch, say) can use the
-  ``keys`` strategy instead: the distinct keys, counted exactly, prune the
-  lookup scan through a broadcast, and the answers are broadcast back, so
-  neither the lookups nor the lines are shuffled.
+* The catalogue is bounded (see ``catalogue.py``) and always broadcast.
+* The lookups grow with the data, so ``auto`` measures them exactly first
+  (a metadata-only count, then bytes and repeated keys only if that is
+  small). Within the bounds they are broadcast. Larger lookups against at
+  most ``KEYS_BROADCAST_MAX`` lines take the ``keys`` path. Otherwise the
+  join is sort-merge on ``(verb, key)``, where AQE splits a partition that a
+  hot key makes oversized.
+* ``keys``: the distinct keys the lines ask for (counted exactly) prune the
+  lookup scan, as literal ``key IN (...)`` filters pushed into the Parquet
+  scans or, for many keys, by a broadcast; the answers are checkpointed,
+  measured and broadcast back. Neither lookups nor lines are shuffled.
+* ``hot_key_lines`` answers the keys that many lines ask for from a bounded
+  broadcast before the main join, for joins where AQE cannot split them.
 * Lines that cannot match (blank, unknown verb, bad arguments) still pass
   through the left join, but with a null join verb and a per-line join key,
   so they spread over all partitions instead of piling on the null key.
