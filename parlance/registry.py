@@ -51,7 +51,7 @@ SELECT c.c_mktsegment, o.o_orderpriority,
        CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_price,
        min(o.o_orderdate) AS first_order,
        max(o.o_orderdate) AS last_order
-FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 WHERE o.o_orderdate >= :since AND o.o_orderstatus = :status
 GROUP BY c.c_mktsegment, o.o_orderpriority
 """
@@ -61,11 +61,14 @@ ORDERS_BY_SEGMENT_ARGS = {"since": dt.date(1995, 1, 1), "status": "F"}
 def q_sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3: orders joined to customers and grouped, with bound date and status."""
     tables = {name: read_table(spark, sf_dir, name) for name in ("orders", "customer")}
-    return sql_query(spark, tables, ORDERS_BY_SEGMENT, ORDERS_BY_SEGMENT_ARGS)
+    # Private view names: the caller's session keeps any views of its own.
+    return sql_query(spark, tables, ORDERS_BY_SEGMENT, ORDERS_BY_SEGMENT_ARGS, placeholders=True)
 
 
 SQL_SQL_QUERY = (
-    ORDERS_BY_SEGMENT.replace(":since", "TIMESTAMP '1995-01-01 00:00:00'")
+    ORDERS_BY_SEGMENT.replace("{orders}", "orders")
+    .replace("{customer}", "customer")
+    .replace(":since", "TIMESTAMP '1995-01-01 00:00:00'")
     .replace(":status", "'F'")
 )
 
