@@ -16,7 +16,7 @@ def spark():
 
     s = build_session(
         "parlance-tests",
-        master="local[*]",
+        master=os.environ.get("PARLANCE_TEST_MASTER", "local[*]"),
         shuffle_partitions=8,
         extra={"spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024)},
     )
