@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR   data folder (default /root/testdata/sf0.1)
     BENCH_CPUS     local[N] threads (default 8)
-    BENCH_REPEAT   runs per query, best kept (default 2)
+    BENCH_REPEAT   runs per query, best kept (default 3)
 
 Each query runs to completion through a ``noop`` sink, so the whole plan
 executes but nothing is collected to the driver.
@@ -25,7 +25,7 @@ def main() -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "2")))
+    repeat = max(1, int(os.environ.get("BENCH_REPEAT", "3")))
     spark = build_session(
         "parlance-bench",
         master=f"local[{cpus}]",
