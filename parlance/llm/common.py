@@ -28,35 +28,35 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def rank_in_groups(
-    df: DataFrame, group: list[str], order: list[str], out: str, buckets: int
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    out: str,
+    buckets: int,
+    per_group: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``out``: a gapless 0-based rank inside each group.
+    """Add ``out``: a gapless 0-based rank inside each group (non-null columns).
 
     A group may hold any share of the rows, so it is never sorted in one task:
     rows are dealt to ``buckets`` hash buckets of ``order``, ranked inside
     (group, bucket), and moved up by the rows of the group's earlier buckets
     (one row per group and bucket). The rank follows (bucket, order), which is
     the same in every run. Rows equal in all of ``order`` share a bucket.
+    ``per_group`` (the group columns and more) is joined on, also by bucket, so
+    a large group does not meet in one task for that either.
     """
     b, n, off = "__bucket", "__n", "__off"
     df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    counts = df.groupBy(*group, b).agg(F.count("*").alias(n))
     before = W.partitionBy(*group).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.select(
-        *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)],
-        F.col(b).alias("__b"),
-        F.coalesce(F.sum(n).over(before), F.lit(0)).alias(off),
-    )
+    counts = df.groupBy(*group, b).agg(F.count("*").alias(n))
+    counts = counts.withColumn(off, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    if per_group is not None:
+        counts = counts.join(per_group, group)
     ranked = df.withColumn(
         out, F.row_number().over(W.partitionBy(*group, b).orderBy(*order)) - 1
     )
-    on = F.col(b) == F.col("__b")
-    for i, g in enumerate(group):
-        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
-    joined = ranked.join(counts, on, "left")
-    return joined.withColumn(out, (F.col(out) + F.col(off)).cast("long")).drop(
-        b, "__b", off, *[f"__g{i}" for i in range(len(group))]
-    )
+    ranked = ranked.join(counts, [*group, b])
+    return ranked.withColumn(out, (F.col(out) + F.col(off)).cast("long")).drop(b, off)
 
 
 def buckets_for(rows: int) -> int:

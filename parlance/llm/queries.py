@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from parlance.llm.common import read
 from parlance.llm.decontaminate import hit_words, is_contaminated, with_hits
+from parlance.llm.langid import language
+from parlance.llm.mix import mix_sources
 from parlance.llm.secret_scan import KINDS, SCOPE, scan_secrets, secret_digest
+from parlance.llm.shard import assign_shards
 from parlance.llm.url_filter import filter_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,6 +116,36 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), rules)
 
 
+# ---------------------------------------------------------------- operator 5
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of documents, learned from three quarters of the ids."""
+    return language(read(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
+# ---------------------------------------------------------------- operator 7
+@query("op7_sharding")
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards, row counts at most one apart, equal texts together."""
+    return assign_shards(read(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+# ---------------------------------------------------------------- operator 8
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to their sources' target words."""
+    return mix_sources(read(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        (F.col("mix_copies") * F.col("mix_size")).alias("taken"), F.col("mix_copies").alias("copies"),
+    )
+
+
 # ---------------------------------------------------------------- operator 9
 _WORDS_SQL = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
