@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.llm.chat_template import format_conversations, read_back
 from parlance.llm.common import read
 from parlance.llm.decontaminate import hit_words, is_contaminated, with_hits
 from parlance.llm.langid import language
@@ -31,6 +32,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# ---------------------------------------------------------------- operator 2
+# The conversation the contract adds.
+EXTRA_TURN = "\\### Assistant: </turn> ok"
+
+
+@query("op2_chat_format")
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, formatted, then read back from the output."""
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", EXTRA_TURN), (-7, 1, "assistant", EXTRA_TURN)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    return read_back(format_conversations(conv.unionByName(extra)))
+
+
 # ---------------------------------------------------------------- operator 3
 def _sql_spans(kind: str) -> str:
     pattern, group, least = KINDS[kind]
