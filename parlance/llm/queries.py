@@ -15,6 +15,7 @@ from parlance.llm.mix import mix_sources
 from parlance.llm.secret_scan import KINDS, SCOPE, scan_secrets, secret_digest
 from parlance.llm.shard import assign_shards
 from parlance.llm.url_filter import filter_urls
+from parlance.llm.vector_graph import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -142,6 +143,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------- operator 6
+@query("op6_vector_dedup")
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings of equal label at cosine 0.93 or more."""
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 # ---------------------------------------------------------------- operator 7
 @query("op7_sharding")
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
