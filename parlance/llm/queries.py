@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.llm.chat_template import format_conversations, read_back
 from parlance.llm.common import read
 from parlance.llm.decontaminate import hit_words, is_contaminated, with_hits
+from parlance.llm.jaccard_join import jaccard_classes
 from parlance.llm.langid import language
 from parlance.llm.mix import mix_sources
 from parlance.llm.secret_scan import KINDS, SCOPE, scan_secrets, secret_digest
@@ -212,3 +213,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
         is_contaminated().alias("contaminated"),
     )
+
+
+# ---------------------------------------------------------------- operator 10
+@query("op10_jaccard_join")
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and link counts of all documents at Jaccard 0.8 over five-word shingles."""
+    return jaccard_classes(read(spark, sf_dir, "documents"))
