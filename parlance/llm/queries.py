@@ -15,6 +15,7 @@ from parlance.llm.langid import language
 from parlance.llm.mix import mix_sources
 from parlance.llm.secret_scan import KINDS, SCOPE, scan_secrets, secret_digest
 from parlance.llm.shard import assign_shards
+from parlance.llm.suffix_dedup import repeated_strings
 from parlance.llm.url_filter import filter_urls
 from parlance.llm.vector_graph import near_duplicates
 
@@ -34,6 +35,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# ---------------------------------------------------------------- operator 1
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 400-byte strings that start in two places."""
+    return repeated_strings(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 # ---------------------------------------------------------------- operator 2
 # The conversation the contract adds.
 EXTRA_TURN = "\\### Assistant: </turn> ok"
