@@ -2,13 +2,15 @@
 
 Everything the library writes (logs, stream checkpoints, stream inputs built
 for tests) goes under the folder the cluster names in ``spark.checkpoint.dir``.
-That folder is shared by all executors on a real cluster; a machine-local
-temporary folder is only created when the setting is absent, as in tests.
+That folder is shared by all executors on a real cluster. Where the setting is
+absent, a machine-local temporary folder is created on ``local[...]`` masters
+only, as in tests; on any other master that is an error.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -67,7 +69,8 @@ def apply_conf(spark: SparkSession, overwrite: bool = False) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, creating a local one only if unset."""
+    """The session's checkpoint folder; a local one is made only if it is unset
+    and driver and executors are one process (``local``, ``local[...]``)."""
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
@@ -76,6 +79,12 @@ def shared_dir(spark: SparkSession) -> str:
         return sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master or ""):
+            raise RuntimeError(
+                f"spark.checkpoint.dir is not set (master {master!r}); name a folder "
+                "that the driver and all executors share"
+            )
         configured = tempfile.mkdtemp(prefix="parlance-ckpt-")
     if sc is None:
         return configured
