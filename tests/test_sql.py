@@ -53,3 +53,43 @@ def test_placeholders_use_private_views(spark):
     )
     assert df.first()["n"] == orders.filter("o_custkey = 7").count()
     assert not spark.catalog.tableExists("o")
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_naive_datetime_is_a_timestamp_without_zone(spark, zone):
+    orders = read_table(spark, SF01, "orders")
+    day = dt.datetime(1996, 1, 2)
+    want = orders.filter("o_orderdate = TIMESTAMP_NTZ'1996-01-02 00:00:00'").count()
+    assert want > 0
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for placeholders, name in ((False, "orders"), (True, "{orders}")):
+            df = sql_query(spark, {"orders": orders}, f"SELECT count(*) AS n FROM {name} WHERE o_orderdate = :d",
+                           {"d": day}, placeholders=placeholders)
+            assert df.first()["n"] == want
+        exact = sql_query(spark, {}, "SELECT :t = TIMESTAMP_NTZ'2024-01-02 03:04:05.000006' AS same",
+                          {"t": dt.datetime(2024, 1, 2, 3, 4, 5, 6)})
+        assert exact.first()["same"] is True
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_braces_and_any_table_name(spark):
+    df = spark.createDataFrame([(1,)], "a int")
+    text = """SELECT a, '{"a":1}' AS j, '{other}' AS o FROM {args} WHERE a = :a"""
+    got = sql_query(spark, {"args": df}, text, {"a": 1}, placeholders=True).collect()
+    assert [tuple(r) for r in got] == [(1, '{"a":1}', "{other}")]
+
+
+def test_callers_views_are_left_alone(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    before = {t.name for t in spark.catalog.listTables()}
+    df = sql_query(spark, {"mine": spark.range(10), "other": spark.range(2)}, "SELECT * FROM mine")
+    assert df.count() == 10
+    assert spark.table("mine").count() == 3
+    with pytest.raises(Exception):
+        sql_query(spark, {"mine": spark.range(10)}, "SELECT nothing FROM mine")
+    assert spark.table("mine").count() == 3
+    assert {t.name for t in spark.catalog.listTables()} == before
+    spark.catalog.dropTempView("mine")
