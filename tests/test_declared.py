@@ -62,24 +62,53 @@ def test_pushdown_survives(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
 
 
-def test_all_files_catches_a_drifted_file(spark):
+DRIFTED = {
+    "missing": ("k int", [(1,)]),
+    "extra": ("k int, v string, w int", [(1, "a", 2)]),
+    "order": ("v string, k int", [("a", 1)]),
+    "type": ("k string, v string", [("1", "a")]),
+    "narrower": ("k smallint, v string", [(1, "a")]),
+}
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+@pytest.mark.parametrize("fault", sorted(DRIFTED))
+def test_every_file_is_checked(spark, fault, fmt):
     from parlance.session import fresh_path
 
     path = fresh_path(spark, "drift")
-    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path)
-    spark.createDataFrame([("2", "b")], "k string, v string").write.mode("append").parquet(path)
+    spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.format(fmt).save(path)
+    schema, rows = DRIFTED[fault]
+    spark.createDataFrame(rows, schema).coalesce(1).write.format(fmt).mode("append").save(path)
     with pytest.raises(SchemaMismatch):
-        declared_scan(spark, path, "k int, v string", all_files=True)
+        declared_scan(spark, path, "k int, v string", fmt=fmt)
 
 
-def test_all_files_accepts_widening_across_files(spark):
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_files_may_mix_int_and_bigint(spark, fmt):
     from parlance.session import fresh_path
 
     path = fresh_path(spark, "drift")
-    spark.createDataFrame([(1, "a")], "k bigint, v string").write.parquet(path)
-    spark.createDataFrame([(2, "b")], "k bigint, v string").write.mode("append").parquet(path)
-    df = declared_scan(spark, path, "k bigint, v string", all_files=True)
-    assert sorted(r["k"] for r in df.collect()) == [1, 2]
+    spark.createDataFrame([(1, "a")], "k int, v string").coalesce(1).write.format(fmt).save(path)
+    spark.createDataFrame([(2**40, "b")], "k bigint, v string").coalesce(1).write.format(fmt).mode("append").save(path)
+    df = declared_scan(spark, path, "k bigint, v string", fmt=fmt)
+    assert sorted(r["k"] for r in df.collect()) == [1, 2**40]
+    assert df.filter("k = 1").count() == 1
+    with pytest.raises(SchemaMismatch):
+        declared_scan(spark, path, "k int, v string", fmt=fmt)
+
+
+def test_partitioned_table_is_checked_file_by_file(spark):
+    from parlance.session import fresh_path
+
+    path = fresh_path(spark, "parts")
+    df = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, v string, p int")
+    df.write.partitionBy("p").parquet(path)
+    got = declared_scan(spark, path, "k bigint, v string, p int")
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1), (2, "b", 2)]
+    spark.createDataFrame([(3,)], "k int").write.parquet(f"{path}/p=3")
+    with pytest.raises(SchemaMismatch, match="p=3"):
+        declared_scan(spark, path, "k bigint, v string, p int")
 
 
 def test_orc_and_rejects_schemaless_formats(spark):
