@@ -6,13 +6,21 @@ Plan shape (one output row per input line, always)::
           --status projection--> left join (verb, key) lookups
           --reply projection--> (line_id, ts, verb, status, reply)
 
-* The catalogue is bounded (see ``catalogue.py``) and always broadcast.
-* The lookups grow with the data, so ``auto`` measures them exactly first
-  (a metadata-only count, then bytes and repeated keys only if that is
-  small). Within the bounds they are broadcast. Larger lookups against at
-  most ``KEYS_BROADCAST_MAX`` lines take the ``keys`` path. Otherwise the
-  join is sort-merge on ``(verb, key)``, where AQE splits a partition that a
-  hot key makes oversized.
+* The catalogue is checked at every size; up to a bound it is broadcast,
+  beyond it joined on salted verbs (see ``catalogue.py``).
+* The lookups are aggregated to one answer per ``(verb, key)`` with the number
+  of rows found, and left-joined to the lines: one lazy plan without measuring
+  jobs. Catalyst broadcasts the answers when the files are small, AQE when the
+  aggregated stage turns out to be; otherwise the join is sort-merge.
+* The join has a third key, a hash of the first two. It makes Spark shuffle
+  the answers once more after the aggregation, and AQE can then split the
+  partition of a hot key (it only splits a join fed by plain shuffles).
+  Bucketed lookups are joined as they lie, without any shuffle; hot keys are
+  split there by ``hot_key_lines``.
+* One rule for repeated keys in every strategy: never more than one row per
+  line. With ``check_unique`` a line that asks for a key with several lookup
+  rows fails the job; without, it gets the least body. Repeats that no line
+  asks for do no harm.
 * ``keys``: the distinct keys the lines ask for (counted exactly) prune the
   lookup scan, as literal ``key IN (...)`` filters pushed into the Parquet
   scans or, for many keys, by a broadcast; the answers are checkpointed,
@@ -26,6 +34,8 @@ Plan shape (one output row per input line, always)::
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +44,8 @@ from parlance.operators.catalogue import (  # noqa: F401 - re-exported
     CATALOGUE_BROADCAST_MAX,
     MAX_VERB_LENGTH,
     Catalogue,
-    catalogue_frame,
+    CatalogueSide,
+    catalogue_side,
 )
 from parlance.operators.lookups import (  # noqa: F401 - re-exported
     LOOKUP_BROADCAST_MAX_BYTES,
@@ -44,6 +55,7 @@ from parlance.operators.lookups import (  # noqa: F401 - re-exported
     bucket_lookups,
     check_lookups,
     check_unique_lookups,
+    is_bucketed,
     lookup_table,
     union_lookups,
 )
@@ -75,48 +87,27 @@ _PRE = "__p_pre_status"
 _JVERB = "__p_jverb"
 _JKEY = "__p_jkey"
 _BODY = "__p_body"
-_HIT = "__p_hit"
 _N = "__p_n"
 _HOT = "__p_hot"
 _HN = "__p_hot_n"
 _HBODY = "__p_hot_body"
+_SHARD = "__p_shard"
 
 
-def _lookup_side(
-    lookups: DataFrame,
-    strategy: str,
-    check_unique: bool,
-    broadcast_max_rows: int,
-    broadcast_max_bytes: int,
-    lookup_check: LookupCheck | None,
-) -> DataFrame:
-    side = lookups.select(
-        F.col("verb").alias(_JVERB),
-        F.col("key").alias(_JKEY),
-        F.col("body").alias(_BODY),
-        F.lit(True).alias(_HIT),
+def _answers(lookups: DataFrame) -> DataFrame:
+    """One row per ``(verb, key)``: how many lookup rows it has, and the least body."""
+    return lookups.groupBy(F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY)).agg(
+        F.count(F.lit(1)).alias(_N), F.min("body").alias(_BODY)
     )
-    if strategy == "auto":
-        chk = lookup_check or check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes)
-        if chk.unique is False:
-            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
-        if chk.fits:
-            return F.broadcast(side)
-        if check_unique and chk.unique is None:
-            check_unique_lookups(lookups)
-        return side.hint("merge")
-    if strategy == "shuffle":
-        if check_unique:
-            check_unique_lookups(lookups)
-        return side.hint("merge")
-    raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
 
 
-def classify(parsed: DataFrame, cat: DataFrame) -> DataFrame:
+def _shard_of() -> Column:
+    return F.xxhash64(_JVERB, _JKEY)
+
+
+def classify(parsed: DataFrame, cat: CatalogueSide) -> DataFrame:
     """Attach the catalogue arity and the status that needs no lookup."""
-    with_arity = parsed.join(
-        cat.select(F.col("verb"), F.col("arity").alias(_ARITY)), on="verb", how="left"
-    )
+    with_arity = cat.join(parsed, "left", _ARITY)
     key = key_of("args")
     # A one-byte code, not the status text, travels through the shuffle.
     pre = (
@@ -191,7 +182,7 @@ def _requested_answers(
         # recompute the requested keys once per branch.
         hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
     answers = hits.groupBy(_JVERB, _JKEY).agg(
-        F.count(F.lit(1)).alias(_N), F.any_value(_BODY).alias(_BODY), F.lit(True).alias(_HIT)
+        F.count(F.lit(1)).alias(_N), F.min(_BODY).alias(_BODY)
     )
     answers = answers.checkpoint(eager=True)
     size = answers.agg(F.sum(_row_bytes(_JVERB, _BODY)).alias("bytes")).first()["bytes"] or 0
@@ -215,8 +206,8 @@ def _hot_key_answers(
     keyed: DataFrame, lookups: DataFrame, min_lines: int, max_keys: int, max_bytes: int
 ) -> DataFrame | None:
     """Every key asked for by at least ``min_lines`` lines, with its answer
-    (or none), one row per key; ``None`` when there is no such key or the
-    set is too big to broadcast.
+    (or none), one row per key; ``None`` when there is no such key, or, with
+    a warning, when the set is too big to broadcast.
 
     Lines per key come from a partial (map-side) aggregation, so a hot key
     is one row per task before the shuffle. There are at most
@@ -234,6 +225,12 @@ def _hot_key_answers(
         .select(_JVERB, _JKEY)
     )
     n = hot.count()
+    if n > max_keys:
+        warnings.warn(
+            f"hot keys are not split: {n} keys have {min_lines} lines or more, the bound is "
+            f"{max_keys}; raise hot_key_lines",
+            stacklevel=3,
+        )
     if n == 0 or n > max_keys:
         return None
     hot = hot.checkpoint(eager=True)
@@ -245,7 +242,7 @@ def _hot_key_answers(
     else:
         found = side.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="inner")
     hits = found.groupBy(_JVERB, _JKEY).agg(
-        F.count(F.lit(1)).alias(_HN), F.any_value(_BODY).alias(_HBODY)
+        F.count(F.lit(1)).alias(_HN), F.min(_BODY).alias(_HBODY)
     )
     table = (
         hot.join(hits, on=[_JVERB, _JKEY], how="left")
@@ -253,7 +250,13 @@ def _hot_key_answers(
         .checkpoint(eager=True)
     )
     size = table.agg(F.sum(_row_bytes(_JVERB, _HBODY)).alias("bytes")).first()["bytes"] or 0
-    return table if size <= max_bytes else None
+    if size > max_bytes:
+        warnings.warn(
+            f"hot keys are not split: their answers take {size} bytes, the bound is {max_bytes}",
+            stacklevel=3,
+        )
+        return None
+    return table
 
 
 def dispatch_commands(
@@ -264,59 +267,47 @@ def dispatch_commands(
     line_col: str = "line",
     strategy: str = "auto",
     check_unique: bool = True,
-    broadcast_max_rows: int = LOOKUP_BROADCAST_MAX_ROWS,
-    broadcast_max_bytes: int = LOOKUP_BROADCAST_MAX_BYTES,
     keys_broadcast_max: int = KEYS_BROADCAST_MAX,
     keys_broadcast_max_bytes: int = KEYS_BROADCAST_MAX_BYTES,
-    lookup_check: LookupCheck | None = None,
     hot_key_lines: int | str | None = None,
     hot_key_min_lines: int = HOT_KEY_MIN_LINES,
 ) -> DataFrame:
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
     ``lines`` needs ``line_id``, ``ts`` and ``line_col``. ``lookups`` is
-    ``(verb, key, body)``, unique on ``(verb, key)``. ``reply`` is the looked
-    up body for ``ok`` lines and the status text for every other line.
-
-    ``strategy`` picks the lookup join:
-
-    * ``auto``: :func:`check_lookups` measures the lookups exactly. Within
-      ``broadcast_max_rows`` and ``broadcast_max_bytes`` they are broadcast
-      (and their keys were checked for uniqueness in the same pass). Beyond
-      either bound: if there are at most ``keys_broadcast_max`` lines (an
-      exact count), ``keys``; else sort-merge join, where AQE splits hot-key
-      partitions. ``lookup_check`` passes an earlier result for the same
-      lookups.
-    * ``shuffle``: always sort-merge.
+    ``(verb, key, body)``. ``reply`` is the looked up body for ``ok`` lines and
+    the status text for every other line. There is one row per line, always.
+
+    ``strategy`` picks the lookup join; rows and errors are the same in all:
+
+    * ``auto``: one lazy plan. The lookups are aggregated to one answer per
+      key, and Catalyst and AQE choose broadcast or sort-merge from their size.
+    * ``shuffle``: the same plan, always sort-merge.
     * ``keys``: for inputs asking for few distinct keys (micro-batches):
       see :func:`_requested_answers`; falls back to ``auto`` beyond
       ``keys_broadcast_max`` distinct keys, and joins the answers without a
-      hint (AQE decides) beyond ``keys_broadcast_max_bytes``. A key with
-      two answers fails the job when a line hits it, so no row is ever
-      multiplied.
-
-    ``check_unique``: check that no ``(verb, key)`` repeats, in the measuring
-    pass for broadcast lookups, by :func:`check_unique_lookups` (one
-    aggregation over the key columns) before a sort-merge join. Turn it off
-    when the keys are primary keys: that also makes the measuring pass a
-    plain sum with no shuffle.
-
-    ``hot_key_lines``: split hot keys without relying on AQE (which cannot
-    split a join side that is not shuffled, e.g. bucketed lookups). Keys
-    asked for by at least this many lines are answered first from a
-    broadcast (see :func:`_hot_key_answers`); their lines then pass the main
-    join with a per-line key, spread over all partitions. Costs one more
-    aggregation pass over the lines. ``"auto"`` counts the lines and calls
-    a key hot when it alone fills an average join partition (lines /
-    ``spark.sql.shuffle.partitions``, at least ``hot_key_min_lines``), so
-    there are at most as many hot keys as partitions.
+      hint (AQE decides) beyond ``keys_broadcast_max_bytes``.
+
+    ``check_unique``: a line that asks for a key with several lookup rows fails
+    the job. Without it such a line gets the least of the bodies.
+
+    ``hot_key_lines``: split hot keys without relying on AQE. Keys asked for by
+    at least this many lines are answered first from a broadcast (see
+    :func:`_hot_key_answers`); their lines then pass the main join with a
+    per-line key, spread over all partitions. Costs one more aggregation pass
+    over the lines. ``"auto"`` counts the lines and calls a key hot when it
+    alone fills an average join partition (lines /
+    ``spark.sql.shuffle.partitions``, at least ``hot_key_min_lines``), so there
+    are at most as many hot keys as partitions. It is the default for bucketed
+    lookups in a batch, whose join AQE cannot split; ``0`` turns it off. A
+    split that has to be left out for its size is reported by a warning.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown join strategy {strategy!r}; use one of {STRATEGIES}")
     if lines.isStreaming and (strategy == "keys" or hot_key_lines):
         raise ValueError("keys and hot_key_lines need a batch; use stream_dispatch for streams")
     spark = lines.sparkSession
-    cat = catalogue_frame(spark, catalogue)
+    cat = catalogue_side(spark, catalogue)
     parsed = parse_commands(lines.select("line_id", "ts", line_col), col=line_col)
     staged = classify(parsed, cat)
     eligible = F.col(_PRE).isNull()
@@ -330,6 +321,9 @@ def dispatch_commands(
             ),
         }
     )
+    bucketed = is_bucketed(lookups)
+    if hot_key_lines is None and bucketed and not lines.isStreaming:
+        hot_key_lines = "auto"
     if hot_key_lines == "auto":
         if lines.isStreaming:
             raise ValueError("hot_key_lines='auto' needs a batch")
@@ -353,39 +347,33 @@ def dispatch_commands(
                 ),
             }
         )
-    chk = lookup_check
-    if strategy == "auto":
-        chk = chk or check_lookups(
-            lookups, broadcast_max_rows, broadcast_max_bytes, unique=check_unique
-        )
-        if chk.unique is False:
-            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
-        # Lookups too big to broadcast but few lines (so few keys): prune the
-        # lookups by the keys instead of shuffling all of them. The line count
-        # reads no column when the lines come straight from Parquet.
-        if not chk.fits and not lines.isStreaming and lines.count() <= keys_broadcast_max:
-            strategy = "keys"
     found = None
     if strategy == "keys":
         found = _requested_answers(keyed, lookups, keys_broadcast_max, keys_broadcast_max_bytes)
-        strategy = "auto"
     if found is not None:
         answers, small = found
-        joined = keyed.join(
-            F.broadcast(answers) if small else answers, on=[_JVERB, _JKEY], how="left"
-        )
-        body = _unique_guard(F.col(_N), F.col(_BODY), F.col(_JVERB), F.col(_JKEY))
+        on = [_JVERB, _JKEY]
+        side = F.broadcast(answers) if small else answers
     else:
-        side = _lookup_side(
-            lookups, strategy, check_unique, broadcast_max_rows, broadcast_max_bytes, chk
-        )
-        joined = keyed.join(side, on=[_JVERB, _JKEY], how="left")
-        body = F.col(_BODY)
-    matched = F.col(_HIT).isNotNull()
+        side, on = _answers(lookups), [_JVERB, _JKEY]
+        if not bucketed:
+            on = [*on, _SHARD]
+            side = side.withColumn(_SHARD, _shard_of())
+            keyed = keyed.withColumn(_SHARD, _shard_of())
+        if strategy == "shuffle":
+            side = side.hint("merge")
+    joined = keyed.join(side, on=on, how="left")
+    matched = F.col(_N).isNotNull()
+    body = F.col(_BODY)
+    if check_unique:
+        body = _unique_guard(F.col(_N), body, F.col(_JVERB), F.col(_JKEY))
     if hot is not None:
         is_hot = F.col(_HOT).isNotNull()
         matched = F.when(is_hot, F.col(_HN).isNotNull()).otherwise(matched)
-        body = F.when(is_hot, _unique_guard(F.col(_HN), F.col(_HBODY), F.col("verb"))).otherwise(body)
+        hot_body = F.col(_HBODY)
+        if check_unique:
+            hot_body = _unique_guard(F.col(_HN), hot_body, F.col("verb"))
+        body = F.when(is_hot, hot_body).otherwise(body)
     code = F.coalesce(
         F.col(_PRE),
         F.when(matched, F.lit(_CODES[OK])).otherwise(F.lit(_CODES[NOT_FOUND])),
@@ -405,14 +393,11 @@ def unknown_commands(
 ) -> DataFrame:
     """Lines whose verb is not in the catalogue: ``(line_id, ts, line, verb)``.
 
-    Blank lines are dropped first; the rest are anti-joined to the
-    (broadcast, size-checked) catalogue, so the lines are never shuffled.
+    Blank lines are dropped first; the rest are anti-joined to the catalogue:
+    broadcast while it is proven small, so the lines are not shuffled, and on
+    salted verbs beyond that.
     """
-    spark = lines.sparkSession
-    cat = catalogue_frame(spark, catalogue).select("verb")
+    cat = catalogue_side(lines.sparkSession, catalogue)
     parsed = parse_commands(lines.select("line_id", "ts", line_col), col=line_col)
-    return (
-        parsed.filter(F.col("verb").isNotNull())
-        .join(cat, on="verb", how="left_anti")
-        .select("line_id", "ts", line_col, "verb")
-    )
+    out = cat.join(parsed.filter(F.col("verb").isNotNull()), "left_anti")
+    return out.select("line_id", "ts", line_col, "verb")

@@ -4,90 +4,186 @@ Tables have no order, so every row carries ``line_id`` and ``ts`` and the
 "newest" rows are defined by ``ts`` descending, ties by ``line_id``
 descending, which makes the tail deterministic.
 
-On disk the log is Parquet partitioned by ``log_date = to_date(ts)``, so a
-tail query can skip whole days; readers get the five log columns only.
+On disk the log is Parquet in one layout for all writers:
+``log_date=<day of ts>/writer=<id>/batch_id=<n>``. A tail query skips whole
+days; a batch is the pair (writer, batch id), where the writer is one append or
+one stream, so no writer can replace another's rows. Readers get the five log
+columns only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.sources.declared import conform
+from parlance.sources.declared import as_struct, conform
 
 LOG_SCHEMA = "line_id bigint, ts timestamp_ntz, verb string, status string, reply string"
 LOG_PARTITION = "log_date"
+WRITER_PARTITION = "writer"
 BATCH_PARTITION = "batch_id"
+PARTITIONS = (LOG_PARTITION, WRITER_PARTITION, BATCH_PARTITION)
+STORED_SCHEMA = f"{LOG_SCHEMA}, {LOG_PARTITION} date, {WRITER_PARTITION} string, {BATCH_PARTITION} bigint"
+NO_DAY = "__HIVE_DEFAULT_PARTITION__"
+# Folder of a compaction under way; readers skip names that begin with "_".
+STAGING = "_compact"
+
+
+class LogLayoutError(ValueError):
+    """The folder holds something other than a log of this layout."""
 
 
 def _newest_first():
     return (F.col("ts").desc_nulls_last(), F.col("line_id").desc_nulls_last())
 
 
-def log_append(df: DataFrame, path: str, rebalance: bool = False) -> None:
+# ---------------------------------------------------------------- folders
+def _fs(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its object."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the visible folders in ``path``; none if it does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()]
+    return sorted(n for n in found if not n.startswith(("_", ".")))
+
+
+def log_days(spark: SparkSession, path: str) -> list[str]:
+    """The log's day folders, newest first; the folder of rows without ``ts`` is last."""
+    days = [n for n in _folders(spark, path) if n.startswith(f"{LOG_PARTITION}=")]
+    return sorted(days, key=lambda n: (not n.endswith(NO_DAY), n), reverse=True)
+
+
+def _check_layout(spark: SparkSession, path: str) -> None:
+    """Raise before writing into a folder that is not a log of this layout."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return
+    other = [n for n in _folders(spark, path) if not n.startswith(f"{LOG_PARTITION}=")]
+    files = [s.getPath().getName() for s in fs.listStatus(p) if s.isFile()]
+    other += [n for n in files if not n.startswith(("_", "."))]
+    for day in log_days(spark, path)[:1]:
+        other += [
+            f"{day}/{n}" for n in _folders(spark, f"{path}/{day}")
+            if not n.startswith(f"{WRITER_PARTITION}=")
+        ]
+        _, d = _fs(spark, f"{path}/{day}")
+        inside = [s.getPath().getName() for s in fs.listStatus(d) if s.isFile()]
+        other += [f"{day}/{n}" for n in inside if not n.startswith(("_", "."))]
+    if other:
+        raise LogLayoutError(f"{path} is not a reply log of this layout: it holds {other[:3]}")
+
+
+# ---------------------------------------------------------------- writing
+def log_append(
+    df: DataFrame, path: str, rebalance: bool = True, append_id: str | None = None
+) -> None:
     """Append ``df`` (checked against the log schema) to the log at ``path``.
 
-    Each task writes its own files, one per day it holds (a local sort by
-    day inside the task, no shuffle); the file commit protocol makes the
-    append all-or-nothing, and nothing passes through the driver.
+    ``rebalance`` (Spark's hint, one shuffle) groups the rows by day into
+    partitions of the advisory size, with AQE splitting a day that holds too
+    many rows over several tasks and merging small ones. Without it every task
+    writes a file for every day it holds.
 
-    ``rebalance`` is for appends that span many days (a backfill), where
-    every task would otherwise write a file for every day: one shuffle
-    (Spark's ``rebalance`` hint) groups rows by day into partitions of the
-    advisory size, with AQE splitting a day that holds too many rows over
-    several tasks and merging small ones.
+    Every append is a writer of its own. Given an ``append_id``, an append that
+    is repeated after a failure replaces what it wrote before, so a retry adds
+    no row twice; without one, a driver lost during the commit can leave part of
+    an append behind, and a retry is a new append.
     """
-    rows = conform(df, LOG_SCHEMA, "log rows").withColumn(LOG_PARTITION, F.to_date("ts"))
-    if rebalance:
-        rows = rows.hint("rebalance", LOG_PARTITION)
-    rows.write.mode("append").partitionBy(LOG_PARTITION).parquet(path)
+    writer = append_id or f"append-{uuid.uuid4().hex}"
+    if append_id is not None:
+        _check_writer(append_id)
+    _write(df, path, writer, 0, rebalance)
 
 
-def log_write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write batch ``batch_id`` of a log idempotently.
+def log_write_batch(df: DataFrame, path: str, writer: str, batch_id: int) -> None:
+    """Write batch ``batch_id`` of ``writer`` idempotently.
 
-    Rows go to ``log_date=d/batch_id=b`` folders with dynamic partition
-    overwrite, so writing the same batch again (a retry after a failure)
-    replaces exactly that batch's folders and nothing else. A log written
-    this way must not also get :func:`log_append` writes (one layout per log).
+    Writing the same batch again (a retry after a failure) replaces exactly its
+    folders of the days it has rows for, and nothing of other batches or
+    writers.
     """
-    rows = conform(df, LOG_SCHEMA, "log rows")
+    _check_writer(writer)
+    _write(df, path, writer, batch_id, False)
+
+
+def _check_writer(writer: str) -> None:
+    if not writer or not all(c.isalnum() or c in "-_." for c in writer):
+        raise ValueError(f"writer id {writer!r}: letters, digits, '-', '_' and '.' only")
+
+
+def _write(df: DataFrame, path: str, writer: str, batch_id: int, rebalance: bool) -> None:
+    rows = conform(df, LOG_SCHEMA, "log rows").withColumn(LOG_PARTITION, F.to_date("ts"))
+    _check_layout(df.sparkSession, path)
+    if rebalance:
+        rows = rows.hint("rebalance", LOG_PARTITION)
     (
-        rows.withColumns({LOG_PARTITION: F.to_date("ts"), BATCH_PARTITION: F.lit(batch_id)})
+        rows.withColumns({WRITER_PARTITION: F.lit(writer), BATCH_PARTITION: F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(LOG_PARTITION, BATCH_PARTITION)
+        .partitionBy(*PARTITIONS)
         .parquet(path)
     )
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    """The stored log with its partition columns."""
-    return spark.read.parquet(path)
+# ---------------------------------------------------------------- reading
+def _stored(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """The stored log, or some of its days, with the partition columns.
+
+    The schema is the declared one, so no footer is opened to find it.
+    """
+    folders = [f"{path}/{d}" for d in (log_days(spark, path) if days is None else days)]
+    if not folders:
+        return spark.createDataFrame([], STORED_SCHEMA)
+    reader = spark.read.schema(as_struct(STORED_SCHEMA)).option("basePath", path)
+    return reader.parquet(path) if days is None else reader.parquet(*folders)
+
+
+def _log_columns(stored: DataFrame) -> DataFrame:
+    return stored.drop(*PARTITIONS)
 
 
-def _log_columns(stored: DataFrame, path: str) -> DataFrame:
-    return conform(stored.drop(LOG_PARTITION, BATCH_PARTITION), LOG_SCHEMA, path)
+def _moment(text: str | dt.datetime, name: str) -> Column:
+    """A bound as ``timestamp_ntz``; anything but a time without zone raises."""
+    try:
+        t = text if isinstance(text, dt.datetime) else dt.datetime.fromisoformat(text.strip())
+    except (ValueError, AttributeError) as e:
+        raise ValueError(f"{name} is not a time: {text!r}") from e
+    if t.tzinfo is not None:
+        raise ValueError(f"{name} must have no time zone: {text!r}")
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def read_log(
-    spark: SparkSession, path: str, since: str | None = None, until: str | None = None
+    spark: SparkSession,
+    path: str,
+    since: str | dt.datetime | None = None,
+    until: str | dt.datetime | None = None,
 ) -> DataFrame:
-    """The five log columns of a log written by either writer.
+    """The five log columns; no rows if nothing has been written yet.
 
     ``since`` (inclusive) and ``until`` (exclusive) bound ``ts``, given as
     text such as ``"2024-01-30 12:00:00"`` (read as timestamp_ntz, so no
     time zone applies). Both the day folders (partition pruning) and the
     row groups (pushed ``ts`` filter) outside the range are skipped.
     """
+    lo = None if since is None else _moment(since, "since")
+    hi = None if until is None else _moment(until, "until")
     stored = _stored(spark, path)
-    if since is not None:
-        lo = F.lit(since).cast("timestamp_ntz")
+    if lo is not None:
         stored = stored.filter((F.col(LOG_PARTITION) >= F.to_date(lo)) & (F.col("ts") >= lo))
-    if until is not None:
-        hi = F.lit(until).cast("timestamp_ntz")
+    if hi is not None:
         stored = stored.filter((F.col(LOG_PARTITION) <= F.to_date(hi)) & (F.col("ts") < hi))
-    return _log_columns(stored, path)
+    return _log_columns(stored)
 
 
 def log_tail(log: DataFrame, n: int) -> DataFrame:
@@ -101,38 +197,91 @@ def log_tail(log: DataFrame, n: int) -> DataFrame:
     return log.orderBy(*_newest_first()).limit(n)
 
 
+def tail_days(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The newest day folders that together hold at least ``n`` rows, or all.
+
+    Days are counted from the newest back, a growing number of them at a time,
+    and no day older than needed is opened. A count reads row-group metadata.
+    """
+    days, held, taken, step = log_days(spark, path), 0, 0, 1
+    while taken < len(days) and held < n:
+        held += _stored(spark, path, days[taken : taken + step]).count()
+        taken, step = taken + step, step * 2
+    return days[:taken]
+
+
 def read_log_tail(spark: SparkSession, path: str, n: int) -> DataFrame:
     """The newest ``n`` rows of the stored log at ``path``.
 
-    First the rows per day are counted. That needs no log column at all
-    (the day comes from the folder name, the count from Parquet row-group
-    metadata), and it brings back one row per day. The newest days holding at
-    least ``n`` rows are kept. Every row of an older day is older than each
-    of those, so the answer lies in them. The top ``n`` then runs only over
-    those partitions (partition pruning, so nothing else is read).
+    Every row of an older day is older than each row of a newer one, and rows
+    without a time are oldest, so the answer lies in the newest days that hold
+    ``n`` rows (:func:`tail_days`). The top ``n`` runs over those folders only.
     """
     if n < 0:
         raise ValueError("n must be >= 0")
-    stored = _stored(spark, path)
-    if n == 0:
-        return read_log(spark, path).limit(0)
-    per_day = (
-        stored.groupBy(LOG_PARTITION)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .filter(F.col(LOG_PARTITION).isNotNull())
-        .collect()
+    days = tail_days(spark, path, n)
+    return log_tail(_log_columns(_stored(spark, path, days)), n)
+
+
+# ---------------------------------------------------------------- compaction
+def compact_day(spark: SparkSession, path: str, day: str | None) -> int:
+    """Rewrite one day's finished batches into few files; how many were merged.
+
+    ``day`` is ``yyyy-mm-dd``, or None for rows without a time. The newest batch
+    of every writer stays as it is, because a stream may run that one again;
+    earlier batches are final. Their rows become one batch of a new writer.
+
+    Run it while nobody reads or writes that day. The new files are staged in a
+    hidden folder first, and a list of what they replace is written last; a call
+    that was interrupted after that is finished by the next one.
+    """
+    folder = f"{LOG_PARTITION}={day or NO_DAY}"
+    _finish_compaction(spark, path)
+    if folder not in log_days(spark, path):
+        return 0
+    newest: dict[str, int] = {}
+    for d in log_days(spark, path):
+        for w in _folders(spark, f"{path}/{d}"):
+            ids = [int(b.split("=", 1)[1]) for b in _folders(spark, f"{path}/{d}/{w}")]
+            newest[w] = max([newest.get(w, -1), *ids])
+    merged = [
+        f"{folder}/{w}/{b}"
+        for w in _folders(spark, f"{path}/{folder}")
+        for b in _folders(spark, f"{path}/{folder}/{w}")
+        if int(b.split("=", 1)[1]) < newest[w] or _is_append(w)
+    ]
+    if len(merged) < 2:
+        return 0
+    rows = (
+        spark.read.schema(as_struct(STORED_SCHEMA)).option("basePath", path)
+        .parquet(*[f"{path}/{m}" for m in merged])
     )
-    # One row per day: sorted here rather than by a distributed sort.
-    per_day.sort(key=lambda r: r[LOG_PARTITION], reverse=True)
-    held, cut = 0, None
-    for row in per_day:
-        held += row["rows"]
-        cut = row[LOG_PARTITION]
-        if held >= n:
-            break
-    if held < n:
-        # Fewer than n rows with a timestamp: rows without one may be in
-        # the answer too, so take the top n of the whole log.
-        return log_tail(read_log(spark, path), n)
-    newest = stored.filter(F.col(LOG_PARTITION) >= F.lit(cut))
-    return log_tail(_log_columns(newest, path), n)
+    writer = f"{WRITER_PARTITION}=append-compact-{uuid.uuid4().hex}"
+    target = f"{folder}/{writer}/{BATCH_PARTITION}=0"
+    staged = f"{path}/{STAGING}/data"
+    _log_columns(rows).hint("rebalance").write.mode("overwrite").parquet(staged)
+    plan = spark.createDataFrame([(target, m) for m in merged], "target string, old string")
+    plan.coalesce(1).write.mode("overwrite").parquet(f"{path}/{STAGING}/plan")
+    _finish_compaction(spark, path)
+    return len(merged)
+
+
+def _is_append(writer: str) -> bool:
+    """Whether a writer is an append without an id of its own, which never runs again."""
+    return writer.startswith(f"{WRITER_PARTITION}=append-")
+
+
+def _finish_compaction(spark: SparkSession, path: str) -> None:
+    """Carry out a staged compaction, from wherever it stopped."""
+    fs, done = _fs(spark, f"{path}/{STAGING}/plan/_SUCCESS")
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(done):
+        plan = spark.read.parquet(f"{path}/{STAGING}/plan").collect()  # one row per batch folder
+        for r in plan:
+            fs.delete(path_of(f"{path}/{r['old']}"), True)
+        target, staged = path_of(f"{path}/{plan[0]['target']}"), path_of(f"{path}/{STAGING}/data")
+        if fs.exists(staged):
+            fs.mkdirs(target.getParent())
+            if not fs.rename(staged, target):
+                raise OSError(f"could not move the compacted files to {target}")
+    fs.delete(path_of(f"{path}/{STAGING}"), True)

@@ -55,7 +55,7 @@ def bucket_lookups(lookups: DataFrame, table: str, path: str, buckets: int) -> D
     ``buckets`` partitions, the partitioning Spark's bucketing uses, so each
     task writes one file per bucket instead of one per bucket per task.
     Without a shuffle on the lookup side, AQE cannot split a hot-key
-    partition of that join; the shuffled sort-merge join can.
+    partition of that join; ``dispatch_commands`` splits hot keys itself there.
 
     ``path`` should be under the shared folder; the table is registered in
     the session catalog as an external table at ``path``.
@@ -74,6 +74,15 @@ def bucket_lookups(lookups: DataFrame, table: str, path: str, buckets: int) -> D
     return lookups.sparkSession.table(table)
 
 
+def is_bucketed(lookups: DataFrame) -> bool:
+    """Whether the lookups are read from buckets, so that a join need not shuffle them."""
+    try:
+        plan = lookups._jdf.queryExecution().sparkPlan().toString()
+    except AttributeError:  # a Connect session shows no plan objects
+        return False
+    return "Bucketed: true" in plan
+
+
 def check_unique_lookups(lookups: DataFrame) -> None:
     """Raise if a ``(verb, key)`` pair has more than one answer.
 

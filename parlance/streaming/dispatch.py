@@ -7,25 +7,28 @@ lets each micro-batch be planned as an ordinary batch query with AQE on
 (Spark turns it off for plain streaming plans).
 
 The join strategy is chosen once, at the start (``strategy=None``). If the
-lookups pass an exact check of rows and bytes, every micro-batch broadcasts
-them. Otherwise a micro-batch is small next to the lookups, so every batch
-uses ``keys``: its distinct keys (count checked) prune the lookup scan
-through a broadcast and the answers come back by broadcast. A plain
+lookups pass an exact check of rows and bytes, every micro-batch joins them as
+they are (``auto``, a broadcast at that size). Otherwise a micro-batch is small
+next to the lookups, so every batch uses ``keys``: its distinct keys (count
+checked) prune the lookup scan and the answers come back by broadcast. A plain
 stream-static join would instead shuffle the whole lookup side in every
-micro-batch. A batch that asks for too many keys falls back to the
-size-checked broadcast or skew-split sort-merge join. The batch is kept
-(memory and disk) while it is answered, so reading it twice does not read
-its files twice.
-
-Exactly-once output: the output folder is a reply log (``log_date=d/
-batch_id=b``) and micro-batch ``b`` is written with dynamic partition
-overwrite, so a batch re-run after a failure replaces exactly its own
+micro-batch. A batch that asks for too many keys falls back to the plain join.
+Rows and errors are the same either way. The catalogue is checked once. The
+batch is kept (memory and disk) while it is answered, so reading it twice does
+not read its files twice.
+
+Exactly-once output: the output folder is a reply log, and micro-batch ``b`` of
+this stream is the batch ``(stream id, b)`` in it, written with dynamic
+partition overwrite. A batch re-run after a failure replaces exactly its own
 folders, and the checkpoint keeps finished batches from running again. The
-log readers (``read_log``, ``read_log_tail``) work on it.
+stream id comes from the checkpoint, so another stream with a checkpoint of its
+own adds to the same log and replaces nothing. The log readers (``read_log``,
+``read_log_tail``) work on it.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark import StorageLevel
@@ -36,7 +39,7 @@ from parlance.operators.dispatch import (
     LOOKUP_BROADCAST_MAX_BYTES,
     LOOKUP_BROADCAST_MAX_ROWS,
     Catalogue,
-    check_unique_lookups,
+    catalogue_side,
     check_lookups,
     dispatch_commands,
 )
@@ -73,28 +76,17 @@ def stream_dispatch(
     for every micro-batch, so lookup files added while the stream runs are
     seen (a DataFrame's file listing is fixed when it is made).
 
-    ``strategy=None`` picks ``auto`` (broadcast) or ``keys`` from an exact
-    size check of the lookups against ``broadcast_max_rows`` and
-    ``broadcast_max_bytes``: once here for a DataFrame, per batch for a
-    function. Lookups that fit are broadcast again in every micro-batch, so
-    lower the bounds for high trigger rates. Any strategy of
-    ``dispatch_commands`` may be forced instead.
-
-    Lookup keys must be unique. ``keys`` guards the keys each batch uses,
-    and a batch that falls back to a plain join checks the whole lookup
-    first. Otherwise a fixed lookup DataFrame is checked once here, and a
-    lookup function once per batch.
+    ``strategy=None`` picks ``auto`` or ``keys`` from an exact size check of
+    the lookups against ``broadcast_max_rows`` and ``broadcast_max_bytes``:
+    once here for a DataFrame, per batch for a function. Any strategy of
+    ``dispatch_commands`` may be forced instead. ``check_unique`` works as
+    there: a line that asks for a repeated key fails its batch.
     """
     fresh = callable(lookups)
-    chk = None
     if strategy is None and not fresh:
-        chk = check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes, unique=check_unique)
-        if chk.unique is False:
-            raise ValueError("a lookup key (verb, key) has more than one row; keys must be unique")
+        chk = check_lookups(lookups, broadcast_max_rows, broadcast_max_bytes, unique=False)
         strategy = "auto" if chk.fits else "keys"
-    per_batch_check = check_unique and (strategy in (None, "keys") or fresh)
-    if check_unique and not per_batch_check and not (chk and chk.fits):
-        check_unique_lookups(lookups)
+    cat = catalogue_side(spark, catalogue)
     if isinstance(in_dir, DataFrame):
         if not in_dir.isStreaming:
             raise ValueError("give a streaming DataFrame or a folder")
@@ -110,22 +102,25 @@ def stream_dispatch(
         lines = reader.parquet(in_dir)
     out = out_dir.rstrip("/")
 
+    ids: list[str] = []
+
+    def stream_id() -> str:
+        """The id Spark keeps in the checkpoint; the same after every restart."""
+        if not ids:
+            text = spark.read.text(f"{ckpt.rstrip('/')}/metadata", wholetext=True).first()[0]
+            ids.append(f"stream-{json.loads(text)['id']}")
+        return ids[0]
+
     def answer_batch(batch: DataFrame, batch_id: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             look = lookups() if fresh else lookups
-            use, use_chk = strategy, chk
+            use = strategy
             if use is None:  # lookups re-read per batch: measure them per batch
-                use_chk = check_lookups(
-                    look, broadcast_max_rows, broadcast_max_bytes, unique=check_unique
-                )
-                use = "auto" if use_chk.fits else "keys"
-            replies = dispatch_commands(
-                batch, catalogue, look, strategy=use, check_unique=per_batch_check,
-                lookup_check=use_chk, broadcast_max_rows=broadcast_max_rows,
-                broadcast_max_bytes=broadcast_max_bytes,
-            )
-            log_write_batch(replies, out, batch_id)
+                chk = check_lookups(look, broadcast_max_rows, broadcast_max_bytes, unique=False)
+                use = "auto" if chk.fits else "keys"
+            replies = dispatch_commands(batch, cat, look, strategy=use, check_unique=check_unique)
+            log_write_batch(replies, out, stream_id(), batch_id)
         finally:
             batch.unpersist()
 
@@ -138,5 +133,6 @@ def stream_dispatch(
 
 
 def read_stream_output(spark: SparkSession, out_dir: str) -> DataFrame:
-    """The replies written so far, as ``(line_id, ts, verb, status, reply)``."""
+    """The replies written so far, as ``(line_id, ts, verb, status, reply)``;
+    no rows while nothing has been answered."""
     return read_log(spark, out_dir)

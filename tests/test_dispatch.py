@@ -1,4 +1,5 @@
-import duckdb
+from contextlib import contextmanager
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,6 +23,27 @@ EXPECTED = {
 }
 
 
+NO_BROADCAST = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+}
+
+
+@contextmanager
+def _conf(spark, **conf):
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def _counts(df):
     return {r["status"]: r["count"] for r in df.groupBy("status").count().collect()}
 
@@ -53,15 +75,14 @@ def test_strategies_agree(spark, strategy):
     assert base.exceptAll(other).count() == 0 and other.exceptAll(base).count() == 0
 
 
-def test_broadcast_falls_back_beyond_bound(spark):
+def test_auto_is_sort_merge_where_nothing_may_be_broadcast(spark):
     lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
-    out = dispatch_commands(
-        lines, TEST_CATALOGUE, look, strategy="auto", broadcast_max_rows=10, keys_broadcast_max=10
-    )
-    out.collect()
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan
-    assert _counts(out) == EXPECTED[SF001]
+    with _conf(spark, **NO_BROADCAST):
+        out = dispatch_commands(lines, TEST_CATALOGUE, look)
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        assert _counts(out) == EXPECTED[SF001]
 
 
 def test_edge_line_statuses(spark):
@@ -92,18 +113,98 @@ def test_null_body_still_ok(spark):
     assert got == [(0, "ok", None), (1, "not_found", "not_found")]
 
 
-@pytest.mark.parametrize("strategy", ["auto", "shuffle"])
-def test_duplicate_lookup_keys_raise(spark, strategy):
-    look = spark.createDataFrame(
-        [("thing", 1, "a"), ("thing", 1, "b")], "verb string, key bigint, body string"
-    )
-    with pytest.raises(ValueError, match="unique"):
-        dispatch_commands(lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look, strategy=strategy)
-    with pytest.raises(Exception, match="unique"):  # beyond the broadcast bound too
-        dispatch_commands(
-            lines_df(spark, ["thing 1"]), Catalogue([("thing", 1)]), look,
-            strategy=strategy, broadcast_max_rows=1,
-        ).collect()
+REPEATED = [("thing", 1, "b"), ("thing", 1, "a"), ("thing", 2, "c"), ("other", 1, "x"), ("other", 1, "y")]
+
+
+def _forced(spark):
+    """Every way the lookup join can run, by forcing each bound both ways."""
+    yield {}, {}
+    yield NO_BROADCAST, {}
+    yield {}, {"strategy": "shuffle"}
+    yield {}, {"strategy": "keys"}
+    yield {}, {"strategy": "keys", "keys_broadcast_max": 0}
+    yield NO_BROADCAST, {"strategy": "keys", "keys_broadcast_max_bytes": 0}
+    yield {}, {"hot_key_lines": 1}
+    yield NO_BROADCAST, {"hot_key_lines": 1, "strategy": "shuffle"}
+
+
+def test_repeated_keys_one_rule_everywhere(spark):
+    """Same rows and the same errors in every strategy and beyond every bound."""
+    look = spark.createDataFrame(REPEATED, "verb string, key bigint, body string")
+    cat = Catalogue([("thing", 1), ("other", 1)])
+    asked, unasked = ["thing 1", "thing 2", "thing 3", ""], ["thing 2", "thing 3", ""]
+    for conf, kw in _forced(spark):
+        with _conf(spark, **conf):
+            ok = dispatch_commands(lines_df(spark, unasked), cat, look, **kw)
+            assert [r["reply"] for r in ok.orderBy("line_id").collect()] == ["c", "not_found", "blank"], kw
+            with pytest.raises(Exception, match="keys must be unique"):
+                dispatch_commands(lines_df(spark, asked), cat, look, **kw).collect()
+            loose = dispatch_commands(lines_df(spark, asked), cat, look, check_unique=False, **kw)
+            got = [r["reply"] for r in loose.orderBy("line_id").collect()]
+            assert got == ["a", "c", "not_found", "blank"], kw
+
+
+def test_hot_key_split_left_out_is_reported(spark, monkeypatch):
+    from parlance.operators import dispatch as d
+
+    monkeypatch.setattr(d, "HOT_KEYS_MAX", 1)
+    look = spark.createDataFrame([("thing", k, "x") for k in range(3)], "verb string, key bigint, body string")
+    lines = lines_df(spark, ["thing 0", "thing 1", "thing 2"])
+    with pytest.warns(UserWarning, match="not split"):
+        out = dispatch_commands(lines, Catalogue([("thing", 1)]), look, hot_key_lines=1)
+    assert {r["reply"] for r in out.collect()} == {"x"}
+
+
+def test_empty_catalogue_and_no_lookups(spark):
+    none = spark.createDataFrame([], "verb string, key bigint, body string")
+    lines = lines_df(spark, ["thing 1", "", None])
+    for cat in (Catalogue([]), spark.createDataFrame([], "verb string, arity int")):
+        out = dispatch_commands(lines, cat, none).orderBy("line_id").collect()
+        assert [r["status"] for r in out] == ["unknown_command", "blank", "blank"]
+        assert [r["line_id"] for r in unknown_commands(lines, cat).collect()] == [0]
+
+
+@pytest.mark.parametrize(
+    "entry", [("zero", 0), ("Upper", 1), ("two words", 1), ("x" * 257, 1), ("", 1), ("twice", 1), ("none", None)]
+)
+def test_catalogue_checked_at_every_size(spark, monkeypatch, entry):
+    from parlance.operators import catalogue as c
+
+    rows = [("twice", 1), ("fine", 2), entry]
+    frame = spark.createDataFrame(rows, "verb string, arity int")
+    look = spark.createDataFrame([], "verb string, key bigint, body string")
+    said = []
+    for bound in (10, 1):
+        monkeypatch.setattr(c, "CATALOGUE_BROADCAST_MAX", bound)
+        with pytest.raises(ValueError) as e:
+            dispatch_commands(lines_df(spark, ["fine 1"]), frame, look)
+        said.append(str(e.value))
+    assert said[0] == said[1]
+
+
+def test_large_catalogue_join_spreads_hot_and_blank_lines(spark, monkeypatch):
+    """Beyond the bound: the same rows, and neither a hot verb nor blank lines
+    meet in one partition."""
+    from parlance.operators import catalogue as c
+
+    look = load_lookups(spark, SF01)
+    lines = _skewed_lines(spark, "supplier 3")
+    lines = lines.withColumn("line", F.when(F.col("line_id") % 3 == 1, F.lit(" ")).otherwise(F.col("line")))
+    frame = spark.createDataFrame(list(TEST_CATALOGUE.entries), "verb string, arity int")
+    base, known = dispatch_commands(lines, frame, look), unknown_commands(lines, frame)
+    monkeypatch.setattr(c, "CATALOGUE_BROADCAST_MAX", 2)
+    with _conf(spark, **NO_BROADCAST):
+        out = dispatch_commands(lines, frame, look)
+        assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
+        rest = unknown_commands(lines, frame)
+        assert known.exceptAll(rest).count() == 0 and rest.exceptAll(known).count() == 0
+        side = c.catalogue_side(spark, frame)
+        assert not side.small
+        parsed = lines.withColumn("verb", F.lower(F.get(F.split(F.trim("line"), " +"), F.lit(0))))
+        parsed = parsed.withColumn("verb", F.when(F.col("verb") != "", F.col("verb")))
+        joined = side.join(parsed.select("line_id", "verb"), "left", "arity")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(__p_lverb" in plan and "__p_lsalt" in plan
 
 
 def test_catalogue_validation(spark):
@@ -272,16 +373,6 @@ def test_keys_strategy_large_answers_are_not_broadcast(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
-def test_broadcast_falls_back_beyond_byte_bound(spark):
-    lines, look = load_lines(spark, SF001), load_lookups(spark, SF001)
-    out = dispatch_commands(
-        lines, TEST_CATALOGUE, look, strategy="auto", broadcast_max_bytes=1000, keys_broadcast_max=10
-    )
-    out.collect()
-    assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
-    assert _counts(out) == EXPECTED[SF001]
-
-
 def test_bucketed_lookups_are_not_shuffled(spark):
     from parlance.operators.dispatch import bucket_lookups
     from parlance.session import fresh_path
@@ -338,27 +429,31 @@ def test_hot_keys_with_bucketed_lookups(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" in plan
 
 
-def test_hot_key_duplicates_fail(spark):
-    look = spark.createDataFrame(
-        [("thing", 1, "a"), ("thing", 1, "b")], "verb string, key bigint, body string"
-    )
-    out = dispatch_commands(
-        lines_df(spark, ["thing 1"] * 5), Catalogue([("thing", 1)]), look,
-        strategy="shuffle", check_unique=False, hot_key_lines=3,
-    )
-    with pytest.raises(Exception, match="keys must be unique"):
-        out.collect()
+def test_auto_runs_no_job_before_the_query(spark):
+    """The plan is lazy: building it starts no job."""
+    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
+    sc = spark.sparkContext
+    sc.setJobGroup("lazy-dispatch", "planning")
+    try:
+        out = dispatch_commands(lines, TEST_CATALOGUE, look)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert list(sc.statusTracker().getJobIdsForGroup("lazy-dispatch")) == []
+    assert _counts(out) == EXPECTED[SF01]
 
 
-def test_auto_takes_keys_for_few_lines_against_large_lookups(spark):
-    lines, look = load_lines(spark, SF01), load_lookups(spark, SF01)
-    base = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle")
-    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="auto", broadcast_max_rows=100)
+def test_bucketed_lookups_split_hot_keys_by_default(spark):
+    from parlance.operators import dispatch as d
+    from parlance.session import fresh_path
+
+    look = d.bucket_lookups(load_lookups(spark, SF01), "test_hot_default", fresh_path(spark, "hd"), 8)
+    assert d.is_bucketed(look) and not d.is_bucketed(load_lookups(spark, SF01))
+    lines = _skewed_lines(spark, "customer 7")
+    base = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01))
+    out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="shuffle", hot_key_min_lines=100)
     assert base.exceptAll(out).count() == 0 and out.exceptAll(base).count() == 0
-    out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
-    # The answers come from the key-pruned, checkpointed lookup rows.
-    assert "SortMergeJoin" not in plan and "Scan ExistingRDD[__p_jverb" in plan
+    assert "__p_hot" in plan
 
 
 def test_pruning_and_pushdown_through_dispatch(spark):
@@ -421,5 +516,3 @@ def test_check_lookups_without_uniqueness_is_a_plain_sum(spark):
     with_unique, without = check_lookups(look), check_lookups(look, unique=False)
     assert with_unique.fits and with_unique.unique is True
     assert without.fits and without.unique is None and without.rows == with_unique.rows
-    out = dispatch_commands(load_lines(spark, SF001), TEST_CATALOGUE, look, check_unique=False)
-    assert _counts(out) == EXPECTED[SF001]

@@ -4,7 +4,17 @@ from pyspark.sql import functions as F
 from conftest import SF01
 from parlance.fixtures import TEST_CATALOGUE, load_lines, load_lookups
 from parlance.operators.dispatch import dispatch_commands
-from parlance.operators.log import log_append, log_tail, read_log, read_log_tail
+from parlance.operators.log import (
+    LogLayoutError,
+    compact_day,
+    log_append,
+    log_days,
+    log_tail,
+    log_write_batch,
+    read_log,
+    read_log_tail,
+    tail_days,
+)
 from parlance.sources.declared import SchemaMismatch
 from parlance.session import fresh_path
 
@@ -61,7 +71,21 @@ def test_tail_plan_is_top_k_over_newest_days(spark, replies):
     df = read_log_tail(spark, path, 100)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
-    assert "PartitionFilters: [isnotnull(log_date" in plan and "(log_date#" in plan
+    newest = replies.agg(F.max(F.to_date("ts"))).first()[0]
+    assert {f.split("log_date=")[1][:10] for f in df.inputFiles()} == {str(newest)}
+
+
+def test_tail_goes_back_from_the_newest_day_only_as_far_as_needed(spark, replies):
+    path = fresh_path(spark, "test-log")
+    log_append(replies, path)
+    days = log_days(spark, path)
+    assert days == sorted(days, reverse=True) and len(days) > 4
+    per_day = {f"log_date={r[0]}": r[1] for r in replies.groupBy(F.to_date("ts")).count().collect()}
+    assert tail_days(spark, path, 0) == []
+    assert tail_days(spark, path, per_day[days[0]]) == days[:1]
+    assert tail_days(spark, path, per_day[days[0]] + 1) == days[:3]
+    assert tail_days(spark, path, 1) == days[:1]
+    assert tail_days(spark, path, 10**9) == days
 
 
 def test_log_is_partitioned_by_day(spark, replies):
@@ -98,8 +122,8 @@ def test_rebalanced_append_writes_fewer_files(spark, replies):
 
     spread = replies.repartition(8)  # every task holds every day
     plain, balanced = fresh_path(spark, "test-log"), fresh_path(spark, "test-log")
-    log_append(spread, plain)
-    log_append(spread, balanced, rebalance=True)
+    log_append(spread, plain, rebalance=False)
+    log_append(spread, balanced)
     assert files(balanced) < files(plain)
     a, b = read_log(spark, plain), read_log(spark, balanced)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
@@ -117,3 +141,111 @@ def test_read_log_time_range_prunes(spark, replies):
     assert got.exceptAll(want).count() == 0
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(log_date" in plan and "GreaterThanOrEqual(ts,2024-01-10T06:00)" in plan
+
+
+@pytest.mark.parametrize("bad", ["yesterday", "2024-13-01", "", "2024-01-01T00:00:00+02:00"])
+def test_read_log_rejects_a_malformed_bound(spark, replies, bad):
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(ValueError, match="since|until"):
+                read_log(spark, fresh_path(spark, "none"), since=bad)
+            with pytest.raises(ValueError, match="since|until"):
+                read_log(spark, fresh_path(spark, "none"), until=bad)
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+def test_empty_log_reads_as_empty(spark, replies):
+    path = fresh_path(spark, "test-log")
+    assert read_log(spark, path).count() == 0
+    assert read_log_tail(spark, path, 5).collect() == []
+    assert read_log(spark, path).columns == replies.columns
+    log_append(replies.limit(0), path)
+    assert read_log(spark, path, since="2024-01-01").count() == 0
+    assert read_log_tail(spark, path, 5).collect() == []
+
+
+def test_append_with_an_id_is_idempotent(spark, replies):
+    path = fresh_path(spark, "test-log")
+    log_append(replies, path, append_id="load-1")
+    log_append(replies, path, append_id="load-1")
+    assert read_log(spark, path).count() == 10_000
+    log_append(replies, path, append_id="load-2")
+    assert read_log(spark, path).count() == 20_000
+    with pytest.raises(ValueError):
+        log_append(replies, path, append_id="a/b")
+
+
+def test_both_writers_share_one_layout(spark, replies):
+    path = fresh_path(spark, "test-log")
+    log_append(replies, path)
+    log_write_batch(replies, path, "stream-x", 0)
+    log_write_batch(replies, path, "stream-y", 0)
+    log_write_batch(replies, path, "stream-y", 0)
+    assert read_log(spark, path).count() == 30_000
+
+
+def test_another_layout_raises_before_writing(spark, replies):
+    plain, by_day = fresh_path(spark, "test-log"), fresh_path(spark, "test-log")
+    replies.write.parquet(plain)
+    replies.withColumn("log_date", F.to_date("ts")).write.partitionBy("log_date").parquet(by_day)
+    for path in (plain, by_day):
+        before = spark.read.parquet(path).count()
+        with pytest.raises(LogLayoutError):
+            log_append(replies, path)
+        with pytest.raises(LogLayoutError):
+            log_write_batch(replies, path, "stream-x", 0)
+        assert spark.read.parquet(path).count() == before
+
+
+def _files(path):
+    import os
+
+    from parlance.session import local_path
+
+    return sum(len([n for n in names if n.endswith(".parquet")]) for _, _, names in os.walk(local_path(path)))
+
+
+def test_compaction_keeps_rows_and_the_batch_a_stream_may_run_again(spark, replies):
+    path = fresh_path(spark, "test-log")
+    day = replies.agg(F.max(F.to_date("ts"))).first()[0]
+    rows = replies.filter(F.to_date("ts") == F.lit(day))
+    for b in range(4):
+        log_write_batch(rows.filter(F.col("line_id") % 4 == b), path, "stream-x", b)
+    log_append(rows, path)
+    want, files = rows.union(rows), _files(path)
+    assert compact_day(spark, path, str(day)) == 4  # three finished batches and the append
+    assert _files(path) < files
+    got = read_log(spark, path)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    log_write_batch(rows.filter(F.col("line_id") % 4 == 3), path, "stream-x", 3)  # run again
+    assert read_log(spark, path).count() == want.count()
+    assert compact_day(spark, path, str(day)) == 0
+    assert compact_day(spark, path, "1999-01-01") == 0
+
+
+def test_interrupted_compaction_is_finished_later(spark, replies, monkeypatch):
+    from parlance.operators import log as lg
+
+    path = fresh_path(spark, "test-log")
+    day = replies.agg(F.max(F.to_date("ts"))).first()[0]
+    rows = replies.filter(F.to_date("ts") == F.lit(day))
+    log_append(rows, path)
+    log_append(rows, path)
+    finish, calls = lg._finish_compaction, []
+
+    def stop_second(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise RuntimeError("driver lost")
+        return finish(*a)
+
+    monkeypatch.setattr(lg, "_finish_compaction", stop_second)
+    with pytest.raises(RuntimeError):
+        compact_day(spark, path, str(day))
+    monkeypatch.setattr(lg, "_finish_compaction", finish)
+    assert read_log(spark, path).count() == 2 * rows.count()  # nothing replaced yet
+    compact_day(spark, path, str(day))
+    assert read_log(spark, path).count() == 2 * rows.count()
+    assert _files(path) < 3

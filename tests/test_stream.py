@@ -141,7 +141,7 @@ def test_stream_output_is_a_log_with_a_tail(spark):
     lines.repartitionByRange(3, "line_id").write.parquet(in_dir)
     _run(spark, in_dir, out_dir, ckpt)
     stored = spark.read.parquet(out_dir)
-    assert {"log_date", "batch_id"} <= set(stored.columns)
+    assert {"log_date", "writer", "batch_id"} <= set(stored.columns)
     want = log_tail(dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01)), 100).collect()
     assert read_log_tail(spark, out_dir, 100).collect() == want
 
@@ -211,3 +211,29 @@ def test_stream_broadcast_bound_sends_batches_to_keys(spark):
     out = read_stream_output(spark, out_dir)
     batch = dispatch_commands(lines, TEST_CATALOGUE, look)
     assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+
+
+def test_a_second_checkpoint_adds_to_the_log(spark):
+    """Two streams with checkpoints of their own: batch ids restart, rows stay."""
+    out_dir = fresh_path(spark, "two-out")
+    lines = load_lines(spark, SF01)
+    first, second = lines.filter("line_id % 3 = 0"), lines.filter("line_id % 3 <> 0")
+    dirs = []
+    for part in (first, second):
+        in_dir, ckpt = fresh_path(spark, "two-in"), fresh_path(spark, "two-ckpt")
+        part.write.parquet(in_dir)
+        _run(spark, in_dir, out_dir, ckpt)
+        dirs.append((in_dir, ckpt))
+    batch = dispatch_commands(lines, TEST_CATALOGUE, load_lookups(spark, SF01))
+    for in_dir, ckpt in [(None, None), *dirs]:
+        if in_dir:
+            _run(spark, in_dir, out_dir, ckpt)  # a restart adds nothing
+        out = read_stream_output(spark, out_dir)
+        assert out.exceptAll(batch).count() == 0 and batch.exceptAll(out).count() == 0
+    assert spark.read.parquet(out_dir).select("writer").distinct().count() == 2
+
+
+def test_output_of_a_stream_that_answered_nothing_is_empty(spark):
+    out = read_stream_output(spark, fresh_path(spark, "none-out"))
+    assert out.count() == 0
+    assert out.columns == ["line_id", "ts", "verb", "status", "reply"]
