@@ -37,7 +37,7 @@ def command_lines(events: DataFrame) -> DataFrame:
     )
 
 
-def test_lookups(customer: DataFrame, orders: DataFrame, supplier: DataFrame) -> DataFrame:
+def lookup_rows(customer: DataFrame, orders: DataFrame, supplier: DataFrame) -> DataFrame:
     """``(verb, key, body)`` answers for the three test verbs."""
     return union_lookups(
         [
@@ -54,12 +54,43 @@ def test_lookups(customer: DataFrame, orders: DataFrame, supplier: DataFrame) ->
     )
 
 
+# The commands of the variant lines, verb -> number of arguments.
+VARIANT_CATALOGUE = Catalogue([*TEST_CATALOGUE.entries, ("price", 2)])
+
+
+def variant_lines(events: DataFrame) -> DataFrame:
+    """One line per event, of ten shapes: no text, blanks only, tabs, one to
+    three arguments, negative, signed and overflowing keys, an unknown verb."""
+    uid, eid = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    shapes = [
+        F.lit(None).cast("string"),
+        F.lit(" \t "),
+        F.concat(F.lit("\tCustomer\t"), uid, F.lit(" ")),
+        F.concat(F.lit("price "), uid, F.lit(" "), eid),
+        F.concat(F.lit("price "), uid),
+        F.concat(F.lit("customer -"), uid),
+        F.concat(F.lit("order 99999999999999999999"), uid),
+        F.concat(F.lit("supplier "), uid, F.lit(" "), eid, F.lit(" x")),
+        F.concat(F.lit("supplier +"), uid),
+        F.concat(F.lit("Mute "), uid, F.lit(" "), eid),
+    ]
+    shape = F.pmod(F.col("event_id"), F.lit(len(shapes)))
+    line = F.lit(None).cast("string")
+    for i, text in enumerate(shapes):
+        line = F.when(shape == i, text).otherwise(line)
+    return events.select(F.col("event_id").alias("line_id"), F.col("ts"), line.alias("line"))
+
+
+def load_variant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_lines(read_table(spark, sf_dir, "events"))
+
+
 def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return command_lines(read_table(spark, sf_dir, "events"))
 
 
 def load_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return test_lookups(
+    return lookup_rows(
         read_table(spark, sf_dir, "customer"),
         read_table(spark, sf_dir, "orders"),
         read_table(spark, sf_dir, "supplier"),
@@ -79,6 +110,22 @@ SELECT event_id AS line_id, ts,
 FROM events
 """
 
+VARIANT_LINES_SQL = """
+SELECT event_id AS line_id, ts,
+       CASE event_id % 10
+         WHEN 1 THEN ' ' || chr(9) || ' '
+         WHEN 2 THEN chr(9) || 'Customer' || chr(9) || user_id || ' '
+         WHEN 3 THEN 'price ' || user_id || ' ' || event_id
+         WHEN 4 THEN 'price ' || user_id
+         WHEN 5 THEN 'customer -' || user_id
+         WHEN 6 THEN 'order 99999999999999999999' || user_id
+         WHEN 7 THEN 'supplier ' || user_id || ' ' || event_id || ' x'
+         WHEN 8 THEN 'supplier +' || user_id
+         WHEN 9 THEN 'Mute ' || user_id || ' ' || event_id
+       END AS line
+FROM events
+"""
+
 LOOKUPS_SQL = """
 SELECT 'customer' AS verb, c_custkey AS key, concat_ws(' ', c_name, c_mktsegment) AS body FROM customer
 UNION ALL

@@ -11,16 +11,25 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parlance.fixtures import (
     CATALOGUE_SQL,
     LINES_SQL,
     LOOKUPS_SQL,
     TEST_CATALOGUE,
+    VARIANT_CATALOGUE,
+    VARIANT_LINES_SQL,
     load_lines,
     load_lookups,
+    load_variant_lines,
+)
+from parlance.operators.dispatch import (
+    dispatch_commands,
+    lookup_table,
+    union_lookups,
+    unknown_commands,
 )
-from parlance.operators.dispatch import dispatch_commands, unknown_commands
 from parlance.operators.log import log_append, read_log, read_log_tail
 from parlance.operators.parse import parse_commands
 from parlance.plans.sql import sql_query
@@ -49,17 +58,22 @@ ORDERS_BY_SEGMENT = """
 SELECT c.c_mktsegment, o.o_orderpriority,
        count(*) AS n_orders,
        CAST(sum(CAST(o.o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_price,
+       count_if(o.o_orderdate = :day) AS n_on_day,
        min(o.o_orderdate) AS first_order,
        max(o.o_orderdate) AS last_order
 FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey
 WHERE o.o_orderdate >= :since AND o.o_orderstatus = :status
 GROUP BY c.c_mktsegment, o.o_orderpriority
 """
-ORDERS_BY_SEGMENT_ARGS = {"since": dt.date(1995, 1, 1), "status": "F"}
+ORDERS_BY_SEGMENT_ARGS = {
+    "since": dt.date(1995, 1, 1),
+    "status": "F",
+    "day": dt.datetime(1996, 1, 2),
+}
 
 
 def q_sql_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: orders joined to customers and grouped, with bound date and status."""
+    """O3: orders joined to customers and grouped, with bound date, status and time."""
     tables = {name: read_table(spark, sf_dir, name) for name in ("orders", "customer")}
     # Private view names: the caller's session keeps any views of its own.
     return sql_query(spark, tables, ORDERS_BY_SEGMENT, ORDERS_BY_SEGMENT_ARGS, placeholders=True)
@@ -70,6 +84,8 @@ SQL_SQL_QUERY = (
     .replace("{customer}", "customer")
     .replace(":since", "TIMESTAMP '1995-01-01 00:00:00'")
     .replace(":status", "'F'")
+    .replace(":day", "TIMESTAMP '1996-01-02 00:00:00'")
+    .replace("count_if(", "count(*) FILTER (")
 )
 
 # ---------------------------------------------------------------- O4
@@ -78,32 +94,66 @@ def q_parse_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_commands(load_lines(spark, sf_dir)).select("line_id", "ts", "line", "verb", "args")
 
 
-_PARSED_SQL = f"""
-lines AS ({LINES_SQL}),
+def _parsed_sql(lines_sql: str) -> str:
+    return f"""
+lines AS ({lines_sql}),
 tokenized AS (
-  SELECT line_id, ts, line,
-         list_filter(string_split_regex(line, '[ \\t\\r\\n\\f]+'), lambda v: v <> '') AS tok
+  SELECT *, list_filter(string_split_regex(line, '[ \\t\\r\\n\\f]+'), lambda v: v <> '') AS tok
   FROM lines),
-parsed AS (SELECT line_id, ts, line, lower(tok[1]) AS verb, tok[2:] AS args FROM tokenized)
+parsed AS (SELECT * EXCLUDE (tok), lower(tok[1]) AS verb, tok[2:] AS args FROM tokenized)
 """
 
+
+_PARSED_SQL = _parsed_sql(LINES_SQL)
+
 SQL_PARSE_COMMANDS = f"WITH {_PARSED_SQL} SELECT line_id, ts, line, verb, args FROM parsed"
 
+_TEXTS_SQL = """
+SELECT doc_id, CAST(NULL AS BIGINT) AS turn, text AS line FROM documents
+UNION ALL SELECT conv_id, turn, text FROM conversations
+"""
+SQL_PARSE_TEXTS = f"WITH {_parsed_sql(_TEXTS_SQL)} SELECT doc_id, turn, verb, args FROM parsed"
+
 # ---------------------------------------------------------------- O5
 def q_dispatch_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O5: every line answered from the customer, orders and supplier lookups."""
     return dispatch_commands(load_lines(spark, sf_dir), TEST_CATALOGUE, load_lookups(spark, sf_dir))
 
 
+def q_dispatch_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5 over lines of every status: blank, tabbed, with one to three arguments,
+    negative and overflowing keys, and a command of two arguments."""
+    lookups = union_lookups(
+        [
+            load_lookups(spark, sf_dir),
+            lookup_table(
+                read_table(spark, sf_dir, "part"), "price", "p_partkey", F.col("p_brand")
+            ),
+        ]
+    )
+    return dispatch_commands(load_variant_lines(spark, sf_dir), VARIANT_CATALOGUE, lookups)
+
+
+def q_parse_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4 over the whole texts of all documents and conversations."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("bigint").alias("turn"), "text")
+    turns = read_table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("doc_id"), "turn", "text"
+    )
+    parsed = parse_commands(docs.unionByName(turns), col="text")
+    return parsed.select("doc_id", "turn", "verb", "args")
+
+
 def q_unknown_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O5: the lines whose verb is not in the catalogue."""
     return unknown_commands(load_lines(spark, sf_dir), TEST_CATALOGUE)
 
 
-_REPLIES_SQL = f"""
-{_PARSED_SQL},
-cat AS ({CATALOGUE_SQL}),
-lk AS ({LOOKUPS_SQL}),
+def _replies_sql(parsed_sql: str, catalogue_sql: str, lookups_sql: str) -> str:
+    return f"""
+{parsed_sql},
+cat AS ({catalogue_sql}),
+lk AS ({lookups_sql}),
 keyed AS (
   SELECT p.*, c.arity,
          CASE WHEN regexp_full_match(p.args[1], '-?[0-9]+')
@@ -124,8 +174,19 @@ replies AS (
   FROM classified)
 """
 
+
+_REPLIES_SQL = _replies_sql(_PARSED_SQL, CATALOGUE_SQL, LOOKUPS_SQL)
+
 SQL_DISPATCH_COMMANDS = f"WITH {_REPLIES_SQL} SELECT * FROM replies"
 
+_VARIANT_CATALOGUE_SQL = "SELECT * FROM (VALUES " + ", ".join(
+    f"('{verb}', {arity})" for verb, arity in VARIANT_CATALOGUE.entries
+) + ") AS c(verb, arity)"
+_VARIANT_LOOKUPS_SQL = f"{LOOKUPS_SQL} UNION ALL SELECT 'price', p_partkey, p_brand FROM part"
+SQL_DISPATCH_VARIANTS = "WITH " + _replies_sql(
+    _parsed_sql(VARIANT_LINES_SQL), _VARIANT_CATALOGUE_SQL, _VARIANT_LOOKUPS_SQL
+) + " SELECT * FROM replies"
+
 SQL_UNKNOWN_COMMANDS = f"""
 WITH {_PARSED_SQL}, cat AS ({CATALOGUE_SQL})
 SELECT line_id, ts, line, verb FROM parsed
@@ -158,23 +219,22 @@ SQL_LOG_TAIL = (
 )
 
 # ---------------------------------------------------------------- O8
-STREAM_INPUT_FILES = 3
+STREAM_ROWS_PER_FILE = 50_000
+STREAM_FILES_PER_BATCH = 8
 
 
 def q_stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O8: lines land as files in arrival (line_id) order, one file per
-    micro-batch; the stream answers them all and stops."""
+    """O8: lines land as files in arrival (line_id) order, as many as the rows
+    need; the stream answers them in micro-batches of a few files and stops."""
     in_dir = fresh_path(spark, "stream-in")
     out_dir = fresh_path(spark, "stream-out")
     ckpt = fresh_path(spark, "stream-ckpt")
-    (
-        load_lines(spark, sf_dir)
-        .repartitionByRange(STREAM_INPUT_FILES, "line_id")
-        .write.parquet(in_dir)
-    )
+    lines = load_lines(spark, sf_dir)
+    files = max(2, -(-lines.count() // STREAM_ROWS_PER_FILE))
+    lines.repartitionByRange(files, "line_id").write.parquet(in_dir)
     q = stream_dispatch(
         spark, in_dir, out_dir, ckpt, TEST_CATALOGUE, load_lookups(spark, sf_dir),
-        max_files_per_trigger=1,
+        max_files_per_trigger=max(1, min(STREAM_FILES_PER_BATCH, files // 2)),
     )
     q.awaitTermination()
     if q.exception() is not None:
@@ -187,7 +247,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "declared_scan": q_declared_scan,
     "sql_query": q_sql_query,
     "parse_commands": q_parse_commands,
+    "parse_texts": q_parse_texts,
     "dispatch_commands": q_dispatch_commands,
+    "dispatch_variants": q_dispatch_variants,
     "unknown_commands": q_unknown_commands,
     "log_append": q_log_append,
     "log_tail": q_log_tail,
@@ -198,7 +260,9 @@ ORACLE_SQL: dict[str, str] = {
     "declared_scan": SQL_DECLARED_SCAN,
     "sql_query": SQL_SQL_QUERY,
     "parse_commands": SQL_PARSE_COMMANDS,
+    "parse_texts": SQL_PARSE_TEXTS,
     "dispatch_commands": SQL_DISPATCH_COMMANDS,
+    "dispatch_variants": SQL_DISPATCH_VARIANTS,
     "unknown_commands": SQL_UNKNOWN_COMMANDS,
     "log_append": SQL_DISPATCH_COMMANDS,
     "log_tail": SQL_LOG_TAIL,
