@@ -34,19 +34,21 @@ def rank_in_groups(
     out: str,
     buckets: int,
     per_group: DataFrame | None = None,
+    spread: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out``: a gapless 0-based rank inside each group (non-null columns).
 
     A group may hold any share of the rows, so it is never sorted in one task:
-    rows are dealt to ``buckets`` hash buckets of ``order``, ranked inside
-    (group, bucket), and moved up by the rows of the group's earlier buckets
-    (one row per group and bucket). The rank follows (bucket, order), which is
-    the same in every run. Rows equal in all of ``order`` share a bucket.
+    rows are dealt to ``buckets`` hash buckets of ``spread`` (by default
+    ``order``), ranked inside (group, bucket), and moved up by the rows of the
+    group's earlier buckets (one row per group and bucket). The rank follows
+    (bucket, order), so it is the same in every run as far as these columns
+    are. Rows equal in all of ``spread`` share a bucket.
     ``per_group`` (the group columns and more) is joined on, also by bucket, so
     a large group does not meet in one task for that either.
     """
     b, n, off = "__bucket", "__n", "__off"
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    df = df.withColumn(b, F.pmod(F.xxhash64(*(spread or order)), F.lit(buckets)).cast("int"))
     before = W.partitionBy(*group).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     counts = df.groupBy(*group, b).agg(F.count("*").alias(n))
     counts = counts.withColumn(off, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)

@@ -96,6 +96,7 @@ def assign_shards(
     null text counts as no bytes (size 1, crc32 0) and is linked to nothing,
     while empty texts are equal texts. Repeated rows and repeated or null ids
     are rows of their own. ``slot`` numbers a shard's rows from 0 without gaps.
+    Shards and slots follow from ids and texts alone, whatever the partitions.
     Other columns, whatever their names, are not read. No rows in, no rows out.
 
     Links are star-shaped (row - group), so a group of any size costs one row
@@ -138,7 +139,7 @@ def assign_shards(
         w = w.withColumns(
             {"kind": F.coalesce("to", F.lit(-1)), "h": F.xxhash64(F.lit("move"), "id", "crc")}
         )
-        w = rank_in_groups(w, ["shard", "kind"], ["h", "id", "row"], "rank", buckets)
+        w = rank_in_groups(w, ["shard", "kind"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"])
         dest = F.when(F.col("kind") < 0, _by_rank(move, F.col("shard"), F.col("rank")))
         ok = F.lit(False)
         for a in range(shards):
@@ -153,7 +154,7 @@ def assign_shards(
             # rows that a full shard must give up, from those that did not move
             still = F.when((F.col("kind") >= 0) & F.col("dest").isNull(), 1).otherwise(0)
             w = materialize(w.withColumn("still", still), "shard-still")
-            w = rank_in_groups(w, ["shard", "still"], ["h", "id", "row"], "rank", buckets)
+            w = rank_in_groups(w, ["shard", "still"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"])
             forced = F.when(F.col("still") == 1, _by_rank(push, F.col("shard"), F.col("rank")))
             w = w.withColumn("dest", F.coalesce("dest", forced))
         v = materialize(
@@ -163,7 +164,7 @@ def assign_shards(
         if not any(map(any, asked)):
             break
     v = v.withColumn("h", F.xxhash64(F.lit("slot"), "id", "crc"))
-    v = rank_in_groups(v, ["shard"], ["h", "id", "row"], "slot", buckets)
+    v = rank_in_groups(v, ["shard"], ["h", "id", "row"], "slot", buckets, spread=["h", "id"])
     return v.select(
         F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot"
     )
