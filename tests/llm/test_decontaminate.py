@@ -1,0 +1,83 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from llm.cases import DOCS, empty_frame, hard_docs, hard_frame, prose
+from parlance.llm import decontaminate as dc
+
+BENCH = "item_id bigint, text string"
+
+
+def words(t):
+    t = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+
+
+def brute(text, items, window=13):
+    w, hit, found = words(text), set(), set()
+    for item, t in items:
+        b = words(t)
+        m = min(window, len(b))
+        if m:
+            wins = {tuple(b[i : i + m]) for i in range(len(b) - m + 1)}
+            for i in range(len(w) - m + 1):
+                if tuple(w[i : i + m]) in wins:
+                    hit |= set(range(i, i + m))
+                    found.add("null" if item is None else str(item))
+    return len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)
+
+
+def run(docs, bench, **kw):
+    out = dc.with_hits(docs, bench, **kw)
+    out = out.select("doc_id", "hits", dc.hit_words().alias("h"), dc.is_contaminated().alias("c"))
+    return [(r["doc_id"], (r["hits"]["n"], r["h"], r["hits"]["items"], r["c"])) for r in out.collect()]
+
+
+def cases():
+    rng = random.Random(2)
+    few = [f"v{i}" for i in range(4)]  # few words, so windows overlap and nearly match
+    items = [(i, prose(i, rng.randint(13, 30), few if i % 2 else None)) for i in range(30)]
+    items += [(30, "one"), (31, "Two, words!"), (32, prose(32, 12)), (33, ""), (34, None), (None, prose(5, 20)),
+              (35, items[4][1]), (4, items[4][1]), (36, "être ÀÉ \u00a0x " * 5)]
+    texts = [prose(100 + i, 50, few if i % 3 == 0 else None) for i in range(30)]
+    for i in range(0, 30, 2):
+        t = words(items[i % 30][1] or "x")
+        texts[i] += " " + ", ".join(x.upper() for x in t[rng.randint(0, 3) :]) + ". " + texts[i][:90]
+    texts += ["one", "ONE two-words", None, "", items[4][1], "ÊTRE être ÀÉ \u00a0x " * 9, prose(32, 12) + " more"]
+    return items, texts
+
+
+@pytest.mark.parametrize("block_bytes", [dc.BLOCK_BYTES, 500])
+def test_matches_brute_force(spark, block_bytes):
+    """In one broadcast block, and in several."""
+    items, texts = cases()
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    got = dict(run(docs, spark.createDataFrame(items, BENCH), block_bytes=block_bytes))
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t, items), (i, t)
+    assert sum(v[3] for v in got.values()) >= 10
+
+
+def test_hard_rows_and_empty_tables(spark):
+    items = [(1, "word"), (2, prose(3, 40))]
+    bench = spark.createDataFrame(items, BENCH)
+    got = run(hard_frame(spark), bench)
+    want = [(r[0], brute(r[1], items)) for r in hard_docs()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert run(empty_frame(spark), bench) == []
+    none = run(hard_frame(spark), bench.where(F.lit(False)))
+    assert len(none) == len(hard_docs()) and not any(v[1] for _, v in none)
+
+
+def test_shift_tables_skip_but_miss_nothing():
+    rng = random.Random(9)
+    text = [bytes([97 + rng.randint(0, 2)]) for _ in range(3000)]
+    for m in (1, 2, 3, 5, 13):
+        starts = [rng.randint(0, 2900) for _ in range(6)]
+        windows = {tuple(text[i : i + m]): [str(i)] for i in starts}
+        got = [a for a, _ in dc.WuManber(m, windows).search(text)]
+        assert got == [i for i in range(3000 - m + 1) if tuple(text[i : i + m]) in windows]
+    t = dc.WuManber(13, {tuple(b"%d" % i for i in range(13)): ["x"]})
+    assert t.default == 12 and t.shift[(b"11", b"12")] == 0 and t.shift[(b"0", b"1")] == 11

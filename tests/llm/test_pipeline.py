@@ -1,0 +1,74 @@
+import inspect
+from collections import Counter
+
+import corpus_pipeline as cp
+from conftest import SF001
+from llm.cases import empty_frame, hard_docs, hard_frame
+from parlance.llm import queries as q
+from parlance.llm.common import connected_components, rank_in_groups
+from pyspark.sql import functions as F
+
+
+def test_stages_in_order():
+    assert [n for n, _ in cp.STAGES] == ["language_id", "near_duplicates", "decontamination", "mixing", "sharding"]
+    assert all(list(inspect.signature(f).parameters) == ["spark", "docs", "sf_dir"] for _, f in cp.STAGES)
+
+
+def test_each_decision_takes_effect(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    lang = cp.language_stage(spark, docs, SF001)
+    assert lang.columns == docs.columns and lang.count() == docs.count()
+    kept = cp.near_duplicate_stage(spark, lang, SF001)
+    classes = q.QUERIES["op10_jaccard_join"](spark, SF001).collect()
+    assert {r["doc_id"] for r in kept.collect()} == {r["class_id"] for r in classes}
+    clean = cp.decontamination_stage(spark, kept, SF001)
+    bad = {r["doc_id"] for r in q.QUERIES["op9_decontaminate"](spark, SF001).where("contaminated").collect()}
+    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in kept.collect()} - bad
+    mixed = cp.mixing_stage(spark, clean, SF001)
+    assert mixed.columns == docs.columns
+    assert max(Counter(r["doc_id"] for r in mixed.collect()).values()) <= 2
+    out = cp.sharding_stage(spark, mixed, SF001)
+    assert out.count() == mixed.count()
+
+
+def test_run_over_everything(spark):
+    out = cp.run(spark, SF001).collect()
+    sizes = Counter(r["shard"] for r in out)
+    assert len(out) > 100 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_stages_take_hard_rows_and_empty_tables(spark):
+    hard = hard_frame(spark)
+    lang = cp.language_stage(spark, hard, SF001)
+    assert lang.columns == hard.columns
+    want = [r for r in hard_docs() if r[1] and any(c.isalpha() for c in r[1])]
+    assert Counter(r["text"] for r in lang.collect()) == Counter(r[1] for r in want)
+    near = cp.near_duplicate_stage(spark, hard, SF001)
+    assert near.columns == hard.columns
+    left = Counter(r["text"] for r in near.collect())
+    assert left[hard_docs()[0][1]] == 1 and left[hard_docs()[2][1]] == 1
+    assert left[None] == 2 and left[""] == 2 and left["word"] + left["Word!"] == 1
+    for name, stage in cp.STAGES[2:]:
+        assert stage(spark, hard, SF001).count() > 0, name
+    for name, stage in cp.STAGES:
+        assert stage(spark, empty_frame(spark), SF001).collect() == [], name
+
+
+def test_every_operator_has_a_query():
+    assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert set(q.ORACLE_SQL) <= set(q.QUERIES)
+
+
+def test_components(spark):
+    edges = [(1, 2), (2, 3), (10, 11), (5, 5), (7, 3)] + [(i, i + 1) for i in range(100, 160)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {**{1: 1, 2: 1, 3: 1, 7: 1, 10: 10, 11: 10}, **{i: 100 for i in range(100, 161)}}
+    assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_ranks_are_gapless(spark):
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 3 % 2).alias("g"))
+    got = rank_in_groups(df, ["g"], ["id"], "r", 16).collect()
+    for g in (0, 1):
+        ranks = sorted(r["r"] for r in got if r["g"] == g)
+        assert ranks == list(range(len(ranks)))

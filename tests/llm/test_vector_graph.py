@@ -1,0 +1,107 @@
+import numpy as np
+import pytest
+
+from parlance.llm import vector_graph as vg
+
+SCHEMA = "vec_id bigint, embedding array<float>, label int, rid int, id string, rep int"
+
+
+def brute(rows, threshold=vg.THRESHOLD):
+    """{vec_id: (links, component)} by all pairs."""
+    ok = {}
+    for i, v, lab in rows:
+        if lab is None or v is None or not len(v) or any(x is None or not np.isfinite(x) for x in v):
+            continue
+        x = np.asarray(v, np.float32).astype(np.float64)
+        if np.any(x != 0):
+            ok[i] = (x / np.linalg.norm(x), lab)
+    links = {i: set() for i, _, _ in rows}
+    ids = sorted(ok)
+    for a in ids:
+        for b in ids:
+            if a < b and ok[a][1] == ok[b][1] and len(ok[a][0]) == len(ok[b][0]):
+                if ok[a][0] @ ok[b][0] >= threshold:
+                    links[a].add(b)
+                    links[b].add(a)
+    comp = {i: i for i in links}
+    changed = True
+    while changed:
+        changed = False
+        for a, bs in links.items():
+            low = min([comp[a], *(comp[b] for b in bs)])
+            changed |= low < comp[a]
+            comp[a] = low
+    return {i: (len(links[i]), comp[i]) for i in links}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(
+        [(i, None if v is None else [None if x is None else float(x) for x in v], lab, 1, "x", 2) for i, v, lab in rows],
+        SCHEMA,
+    )
+
+
+def clustered(n=400, d=16, labels=3, seed=1):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, d))
+    out = []
+    for i in range(n):
+        c = centres[rng.integers(40)]
+        out.append((i * 7 + 1, c + rng.normal(size=d) * rng.choice([0.02, 0.15, 0.5]), int(rng.integers(labels))))
+    return out
+
+
+@pytest.mark.parametrize("shard", [vg.SHARD, 30])
+def test_recall_against_brute_force(spark, monkeypatch, shard):
+    """Whole clusters, and clusters dealt into blocks."""
+    monkeypatch.setattr(vg, "SHARD", shard)
+    monkeypatch.setattr(vg, "CELL", 60)
+    rows = clustered()
+    want = brute(rows)
+    got = {r["vec_id"]: r for r in vg.near_duplicates(frame(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    total, found = sum(n for n, _ in want.values()), sum(r["n_links"] for r in got.values())
+    assert total > 500 and found >= 0.97 * total
+    assert all(got[i]["n_links"] <= n for i, (n, _) in want.items())
+    same = sum(got[i]["component_id"] == c for i, (_, c) in want.items())
+    assert same >= 0.97 * len(rows)
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got.values())
+
+
+def test_hard_rows(spark):
+    v = [1.0, 2.0, 3.0]
+    rows = [(5, v, 1), (3, v, 1), (9, [2.0, 4.0, 6.0], 1), (4, v, 2), (6, v, None), (7, None, 1), (8, [], 1),
+            (10, [0.0, 0.0, 0.0], 1), (11, [1.0, None, 1.0], 1), (12, [1.0, float("nan"), 1.0], 1),
+            (13, [float("inf"), 1.0, 1.0], 1), (14, [1.0, 2.0], 1), (15, [1e-30, 2e-30, 3e-30], 1)]
+    want = brute(rows)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vg.near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
+    assert got[5] == (3, 3) and got[15] == (3, 3)
+    assert vg.near_duplicates(frame(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_null_ids(spark):
+    v = [1.0, 0.0]
+    got = vg.near_duplicates(frame(spark, [(2, v, 1), (2, v, 1), (None, v, 1), (None, [0.0, 1.0], 1)])).collect()
+    said = sorted((str(r["vec_id"]), r["n_links"], r["component_id"], r["kept"]) for r in got)
+    assert said == [("2", 2, 2, True), ("2", 2, 2, True), ("None", 0, None, True), ("None", 2, 2, True)]
+
+
+def test_many_exact_copies_are_counted_not_compared(spark):
+    rows = [(i, [1.0, 1.0, 0.0], 1) for i in range(3000)] + [(5000, [1.0, 1.0, 0.01], 1)]
+    got = {r["vec_id"]: r for r in vg.near_duplicates(frame(spark, rows)).collect()}
+    assert {r["n_links"] for r in got.values()} == {3000}
+    assert {r["component_id"] for r in got.values()} == {0}
+
+
+def test_prune_keeps_a_bounded_searchable_graph():
+    rng = np.random.default_rng(0)
+    x = vg.unit(rng.normal(size=(300, 8)))
+    adj = vg.robust_prune(x)
+    assert max(map(len, adj)) <= 2 * vg.DEGREE
+    pairs = set()
+    for a, b in vg.range_search(x, adj, 0.9, vg.medoids(x)):
+        pairs |= set(zip(a.tolist(), b.tolist()))
+    sims = x @ x.T
+    want = {(i, j) for i in range(300) for j in range(300) if i != j and sims[i, j] >= 0.9}
+    assert pairs <= want and len(pairs) >= 0.95 * len(want)
