@@ -12,6 +12,7 @@ from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed value: the only implicit widening allowed, file type -> declared type.
@@ -69,12 +70,51 @@ def conform(df: DataFrame, declared: T.StructType | str, what: str = "table") ->
     return df.to(declared)
 
 
-# Footers are read by Spark jobs on the executors, so many at a time.
+# Up to this many files, each one's schema is read by a small Spark job of its own.
 FOOTERS_AT_ONCE = 16
+FILES_PER_TASK = 64
+
+
+def _footer_print(file: str, fmt: str) -> str | None:
+    """What a footer says about the schema, as text; None if it cannot be opened here."""
+    from pyarrow import fs, orc, parquet
+
+    try:
+        store, path = fs.FileSystem.from_uri(file)
+        with store.open_input_file(path) as f:
+            if fmt == "orc":
+                return str(orc.ORCFile(f).schema)
+            meta = parquet.read_metadata(f)
+            own = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+            return f"{meta.schema}{own.decode()}"
+    except Exception:  # noqa: BLE001 - a store this reader does not know, or may not read
+        return None
+
+
+def one_file_per_footer(spark: SparkSession, files: list[str], fmt: str) -> list[str]:
+    """Files that stand for all: one for each distinct footer schema.
+
+    The footers are read on the executors, and one row per distinct schema comes
+    back. If some file cannot be read that way, all files stand for themselves.
+    """
+    if len(files) <= FOOTERS_AT_ONCE:
+        return files
+
+    def prints(frames):
+        for f in frames:
+            yield f.assign(print=[_footer_print(x, fmt) for x in f["file"]])
+
+    tasks = -(-len(files) // FILES_PER_TASK)
+    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
+    seen = listed.mapInPandas(prints, "file string, print string")
+    rows = seen.groupBy("print").agg(F.min("file").alias("file")).collect()
+    if any(r["print"] is None for r in rows):
+        return files
+    return sorted(r["file"] for r in rows)
 
 
 def file_schemas(spark: SparkSession, files: list[str], fmt: str) -> dict[str, T.StructType]:
-    """Each file's own schema, read from its footer by Spark."""
+    """Each file's own schema, as Spark reads it from the footer."""
     with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
         found = pool.map(lambda f: spark.read.format(fmt).load(f).schema, files)
         return dict(zip(files, found))
@@ -98,9 +138,10 @@ def declared_scan(
     Every file is checked: a missing, extra, reordered or mistyped column in any
     of them raises and names the file. Files may mix int and bigint where bigint
     is declared. Columns that come from ``name=value`` folders are checked on the
-    table as a whole. A footer costs one small job, ``FOOTERS_AT_ONCE`` of them
-    run together; ``all_files=False`` checks only the one footer Spark opens
-    anyway, for tables whose writer is trusted.
+    table as a whole. The footers of many files are read by one job on the
+    executors, and Spark then infers one schema per distinct footer
+    (:func:`one_file_per_footer`). ``all_files=False`` checks only the one footer
+    Spark opens anyway, for tables whose writer is trusted.
 
     The result is an ordinary lazy scan: later filters and projections still
     reach the file reader as pushed filters and a pruned read schema.
@@ -116,7 +157,7 @@ def declared_scan(
     folders = set(_partition_names(files[0])) & set(declared.fieldNames())
     inside = T.StructType([f for f in declared.fields if f.name not in folders])
     distinct = set()
-    for file, found in file_schemas(spark, files, fmt).items():
+    for file, found in file_schemas(spark, one_file_per_footer(spark, files, fmt), fmt).items():
         check_schema(found, inside, file)
         distinct.add(tuple(f.dataType.simpleString() for f in found.fields))
     if len(distinct) == 1:

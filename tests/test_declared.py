@@ -98,6 +98,22 @@ def test_files_may_mix_int_and_bigint(spark, fmt):
         declared_scan(spark, path, "k int, v string", fmt=fmt)
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc"])
+def test_many_files_are_checked_by_distinct_footers(spark, fmt, monkeypatch):
+    from parlance.session import fresh_path
+    from parlance.sources import declared as d
+
+    path = fresh_path(spark, "many")
+    spark.range(0, 40, 1, 20).selectExpr("CAST(id AS int) AS k", "'a' AS v").write.format(fmt).save(path)
+    files = spark.read.format(fmt).load(path).inputFiles()
+    assert len(files) == 20 and len(d.one_file_per_footer(spark, files, fmt)) == 1
+    assert declared_scan(spark, path, "k bigint, v string", fmt=fmt).count() == 40
+    spark.createDataFrame([(1,)], "k int").coalesce(1).write.format(fmt).mode("append").save(path)
+    with pytest.raises(SchemaMismatch, match="missing"):
+        declared_scan(spark, path, "k bigint, v string", fmt=fmt)
+    assert d._footer_print("nosuchstore://x/y.parquet", fmt) is None
+
+
 def test_partitioned_table_is_checked_file_by_file(spark):
     from parlance.session import fresh_path
 
