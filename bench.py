@@ -2,7 +2,8 @@
 
     BENCH_SF_DIR   data folder (default /root/testdata/sf0.1)
     BENCH_CPUS     local[N] threads (default 8)
-    BENCH_REPEAT   runs per query, best kept (default 3)
+    BENCH_REPEAT   runs per query (default 3): the best counts, and the least,
+                   median and greatest are given beside it
 
 Each query runs to completion through a ``noop`` sink, so the whole plan
 executes but nothing is collected to the driver.
@@ -13,6 +14,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import statistics
 import sys
 import time
 
@@ -43,9 +45,11 @@ def main() -> None:
         return time.perf_counter() - t0
 
     run(QUERIES["dispatch_commands"])  # warm-up: JIT, file listing caches
-    times = {}
+    times, spread = {}, {}
     for name, fn in QUERIES.items():
-        times[name] = round(min(run(fn) for _ in range(repeat)), 3)
+        runs = sorted(run(fn) for _ in range(repeat))
+        times[name] = round(runs[0], 3)
+        spread[name] = [round(runs[0], 3), round(statistics.median(runs), 3), round(runs[-1], 3)]
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(
@@ -54,6 +58,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "min_median_max": spread,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
             }
