@@ -86,7 +86,8 @@ def _footer_print(file: str, fmt: str) -> str | None:
                 return str(orc.ORCFile(f).schema)
             meta = parquet.read_metadata(f)
             own = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
-            return f"{meta.schema}{own.decode()}"
+            tree = str(meta.schema).partition("\n")[2]  # its first line names the Python object
+            return f"{tree}{own.decode()}"
     except Exception:  # noqa: BLE001 - a store this reader does not know, or may not read
         return None
 
