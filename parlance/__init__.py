@@ -19,6 +19,8 @@ from parlance.operators.dispatch import (
     unknown_commands,
 )
 from parlance.operators.log import (
+    LogLayoutError,
+    compact_day,
     log_append,
     log_tail,
     log_write_batch,
@@ -33,11 +35,13 @@ from parlance.streaming.dispatch import read_stream_output, stream_dispatch
 
 __all__ = [
     "Catalogue",
+    "LogLayoutError",
     "LookupCheck",
     "SchemaMismatch",
     "bucket_lookups",
     "check_lookups",
     "check_unique_lookups",
+    "compact_day",
     "declared_scan",
     "dispatch_commands",
     "jdbc_scan",
