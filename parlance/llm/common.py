@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -61,6 +61,21 @@ def rank_in_groups(
     return ranked.withColumn(out, (F.col(out) + F.col(off)).cast("long")).drop(b, off)
 
 
+def join_aggregate(rows: DataFrame, agg: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table that is already grouped by the join keys.
+
+    AQE splits the partition of a hot key only where plain shuffles feed both
+    sides, and an aggregate on the same keys is not shuffled again. A hash of
+    the keys as one more key makes Spark do that, for the price of one more
+    shuffle of the smaller side.
+    """
+    h = "__join_hash"
+    return (
+        rows.withColumn(h, F.xxhash64(*on)).join(agg.withColumn(h, F.xxhash64(*on)), [*on, h], how)
+        .drop(h)
+    )
+
+
 def buckets_for(rows: int) -> int:
     """Hash buckets so that one holds about ``BUCKET_ROWS`` rows."""
     return max(8, -(-rows // BUCKET_ROWS))
@@ -85,12 +100,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = (
-            both.where(F.col("b") > F.col("a")).join(least, "a")
+            join_aggregate(both.where(F.col("b") > F.col("a")), least, ["a"])
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         large = large.where(F.col("a") != F.col("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        pairs = large.join(least, "a")
+        pairs = join_aggregate(large, least, ["a"])
         small = (
             pairs.select(F.col("b").alias("x"), "m")
             .union(pairs.select(F.col("a").alias("x"), "m"))
@@ -110,8 +125,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     )
-
-
-def utf8(col: Column) -> Column:
-    """The text's bytes; null counts as empty."""
-    return F.coalesce(col, F.lit("")).cast("binary")

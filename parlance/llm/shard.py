@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import buckets_for, materialize, rank_in_groups
+from parlance.llm.common import buckets_for, join_aggregate, materialize, rank_in_groups
 
 SHARDS = 8
 ROUNDS = 4
@@ -125,7 +125,7 @@ def assign_shards(
             F.sum("n").alias("members"),
             F.max(F.struct("n", tie.alias("tie"), "shard"))["shard"].alias("to"),
         ).where(F.col("members") > 1).select("link", "to")
-        w = materialize(v.join(wish, "link", "left"), "shard-wish")
+        w = materialize(join_aggregate(v, wish, ["link"], "left"), "shard-wish")
         ask = [[0] * shards for _ in range(shards)]
         loose = [0] * shards
         for r in w.groupBy("shard", "to").count().collect():
