@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from parlance.llm.batches import bounds, mix, powers, whole_groups
 from parlance.llm.common import connected_components, materialize
 
 WORDS = 5
@@ -27,10 +28,6 @@ ROWS = 5  # MinHash rows a band
 MARGIN = 0.16  # sketches this far below the similarity are not verified
 BLOCK = 256  # texts per block of a large cluster
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_POW = np.ones(1, np.uint64)
-_INV = np.ones(1, np.uint64)
-
 # Word bytes: digits, lower-case letters and everything beyond ASCII; A-Z fold to a-z.
 _FOLD = np.array(
     [
@@ -46,23 +43,6 @@ def bands_for(recall: float, similarity: Fraction = SIMILARITY, rows: int = ROWS
     return math.ceil(math.log(1 - recall) / math.log(1 - float(similarity) ** rows))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, at least n of them."""
-    global _POW, _INV
-    if len(_POW) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POW = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _P)]), dtype=np.uint64)
-        inv = np.uint64(pow(int(_P), -1, 1 << 64))
-        _INV = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, inv)]), dtype=np.uint64)
-    return _POW, _INV
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash per word, from prefix sums of a polynomial over the bytes."""
     if not text:
@@ -71,10 +51,10 @@ def word_hashes(text: str | None) -> np.ndarray:
     inside = b != 0
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(b) + 1)
+    power, inverse = powers(len(b) + 1)
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(b.astype(np.uint64) * power[: len(b)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -87,7 +67,7 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     s = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
         s = s * np.uint64(0xD6E8FEB86659FD93) + w[i : i + len(s)]
-    return np.unique(_mix(s + np.uint64(k)))
+    return np.unique(mix(s + np.uint64(k)))
 
 
 def set_key(grams: np.ndarray) -> bytes:
@@ -112,8 +92,8 @@ class MinHash:
             np.minimum(low, x.min(axis=0), out=low)
         band = np.arange(self.bands, dtype=np.uint64)
         for r in low.reshape(self.bands, self.rows).T:
-            band = _mix(band * np.uint64(0xD6E8FEB86659FD93) + r)
-        return band.view(np.int64), (_mix(low) >> np.uint64(56)).astype(np.uint8).tobytes()
+            band = mix(band * np.uint64(0xD6E8FEB86659FD93) + r)
+        return band.view(np.int64), (mix(low) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 _SIGNATURE = pa.struct(
@@ -136,41 +116,6 @@ def _signer(hasher: MinHash):
     return F.arrow_udf(run, "struct<n:int,key:binary,bands:array<bigint>,sketch:binary>")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Whole groups of consecutive rows with equal keys, several to a table."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        last = np.ones(b.num_rows, bool)
-        for c in cols:
-            last &= c == c[-1]
-        cut = b.num_rows - int(last[::-1].argmin()) if not last.all() else 0
-        if held and cut == 0 and all(held[-1].column(k)[-1].as_py() == c[0] for k, c in zip(keys, cols)):
-            held.append(b)
-            continue
-        if cut:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held = [b.slice(cut)]
-        else:
-            if held:
-                yield pa.Table.from_batches(held)
-            held = [b]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _bounds(cols: list[np.ndarray]) -> np.ndarray:
-    """Start of every group of equal consecutive keys, and the end."""
-    n = len(cols[0])
-    new = np.zeros(n, bool)
-    new[0] = True
-    for c in cols:
-        new[1:] |= c[1:] != c[:-1]
-    return np.append(np.flatnonzero(new), n)
-
-
 def bucket_links(sketch: np.ndarray, least: float) -> np.ndarray:
     """Per row, a row of its component where at least ``least`` of the sketch agrees.
 
@@ -197,9 +142,9 @@ def bucket_links(sketch: np.ndarray, least: float) -> np.ndarray:
 
 def _candidates(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["band"]):
+        for t in whole_groups(batches, ["band"]):
             rep = t.column("rep").to_numpy()
-            cuts = _bounds([t.column("band").to_numpy()])
+            cuts = bounds([t.column("band").to_numpy()])
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             root = np.arange(len(rep))
             size = np.diff(cuts)
@@ -255,8 +200,8 @@ def _verify(words: int, similarity: Fraction):
     p, q = similarity.numerator, similarity.denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["cluster", "i", "j"]):
-            cuts = _bounds([t.column(c).to_numpy() for c in ("cluster", "i", "j")])
+        for t in whole_groups(batches, ["cluster", "i", "j"]):
+            cuts = bounds([t.column(c).to_numpy() for c in ("cluster", "i", "j")])
             reps, links, roots = [], [], []
             for a, b in zip(cuts[:-1], cuts[1:]):
                 g = t.slice(a, b - a)

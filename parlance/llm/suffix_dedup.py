@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.common import materialize
-from parlance.llm.jaccard_join import _bounds, _groups, _mix, _powers
+from parlance.llm.batches import bounds, mix, powers, whole_groups
+from parlance.llm.common import join_aggregate, materialize
 
 LENGTH = 400
 GRAM = 16  # bytes an anchor is chosen by
@@ -32,7 +32,7 @@ HOT_BLOCK = 50_000  # members beyond which a block is counted window by window
 BROADCAST_KEYS = 1_000_000  # keys of at most 32 bytes
 CONTEXT_BYTES = 8_000_000  # of context in one Arrow batch
 
-_BYTE = _mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
+_BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
 class Cutter:
@@ -58,11 +58,11 @@ class Cutter:
         n = len(data)
         if n < self.length:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        power, inverse = _powers(n + 1)
+        power, inverse = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
         g = self.gram
-        grams = _mix((sums[g:] - sums[:-g]) * inverse[: n - g + 1])
+        grams = mix((sums[g:] - sums[:-g]) * inverse[: n - g + 1])
         # the upper bits of a gram's hash, then the place counted from the end
         bits, top = np.uint64(31), np.uint64((1 << 31) - 1)
         low = (grams >> bits << bits) | (top - np.arange(len(grams), dtype=np.uint64))
@@ -80,7 +80,7 @@ class Cutter:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         end = q[1:] + g
         size = end - q[:-1]
-        phrase = _mix((sums[end] - sums[q[:-1]]) * inverse[q[:-1]] + size.astype(np.uint64))
+        phrase = mix((sums[end] - sums[q[:-1]]) * inverse[q[:-1]] + size.astype(np.uint64))
         final = np.minimum(last, n - self.length)
         core = np.searchsorted(last, q + self.reach) - np.arange(len(q))
         core[(final < first) | (q + self.reach > last[-1])] = 0
@@ -211,14 +211,14 @@ _SHARD = (
 def _key(block: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Name of the block one phrase longer, the same in every shard."""
     b = block.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return _mix(b + phrase.view(np.uint64)).view(np.int64)
+    return mix(b + phrase.view(np.uint64)).view(np.int64)
 
 
 def _intervals(key: np.ndarray, rank: np.ndarray) -> pd.DataFrame:
     """(block, lo, hi) from the ranks in each block, contiguous by construction."""
     order = np.lexsort((rank, key))
     key, rank = key[order], rank[order]
-    cuts = _bounds([key]) if len(key) else np.zeros(1, np.int64)
+    cuts = bounds([key]) if len(key) else np.zeros(1, np.int64)
     return pd.DataFrame(
         {"block": key[cuts[:-1]], "lo": rank[cuts[:-1]], "hi": rank[cuts[1:] - 1] + 1}
     )
@@ -370,7 +370,7 @@ def _windows(t: pa.Table, length: int):
     around = t.column("around").to_pylist()
     size = np.array([len(a) for a in around], dtype=np.int64)
     data = np.frombuffer(b"".join(around), np.uint8)
-    power, inverse = _powers(len(data) + 1)
+    power, inverse = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
     part = length - core  # bytes of a window outside the core
@@ -380,7 +380,7 @@ def _windows(t: pa.Table, length: int):
     at = (np.cumsum(size) - size)[row] + step
     start = first[row] + step
     h = (sums[at + part[row]] - sums[at]) * inverse[at]
-    return row, start, _mix(h + (anchor[row] - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return row, start, mix(h + (anchor[row] - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
 def _spans(rid: np.ndarray, start: np.ndarray, length: int):
@@ -397,10 +397,10 @@ def _judge(length: int):
     """Windows that occur at least twice in their block -> spans per text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _groups(batches, ["block"]):
+        for t in whole_groups(batches, ["block"]):
             row, start, h = _windows(t, length)
             block = t.column("block").to_numpy()[row].view(np.uint64)
-            _, inv, n = np.unique(_mix(block * np.uint64(0xD6E8FEB86659FD93) + h),
+            _, inv, n = np.unique(mix(block * np.uint64(0xD6E8FEB86659FD93) + h),
                                   return_inverse=True, return_counts=True)
             twice = n[inv] > 1
             out = _spans(t.column("rid").to_numpy()[row[twice]], start[twice], length)
@@ -513,7 +513,7 @@ def repeated_strings(
         .alias("x"),
     ).select("rid", "x.phrase", "x.place")
     often = phrases.groupBy("phrase").agg(F.count("*").alias("m")).where("m > 1").select("phrase")
-    repeated = materialize(phrases.join(often, "phrase"), "bwt-phrases")
+    repeated = materialize(join_aggregate(phrases, often, ["phrase"]), "bwt-phrases")
     shards = max(1, -(-repeated.count() // SHARD_ROWS))
     index = materialize(
         repeated.select(
@@ -572,10 +572,10 @@ def repeated_strings(
         .mapInArrow(_kept, "key binary, runs array<array<bigint>>, n_removed long, kept string")
     )
     copied = keys.where("copies > 1").select("key", F.lit(True).alias("copied"))
-    info = cut.join(copied, "key", "full_outer").withColumnRenamed("key", "k")
+    info = cut.join(copied, "key", "full_outer")
     whole = F.array(F.array(F.lit(0).cast("long"), F.col("n")))
     none = F.array().cast("array<array<bigint>>")
-    out = signed.select("id", "key", "n").join(info, F.col("key") == F.col("k"), "left")
+    out = join_aggregate(signed.select("id", "key", "n"), info, ["key"], "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_bytes"),
         F.when(F.col("copied"), F.col("n")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
