@@ -61,8 +61,9 @@ class Presence:
 
     def __init__(self, vocabulary: np.ndarray) -> None:
         self.size = len(vocabulary)
-        self.index = np.full(SPACE, self.size, dtype=np.int32)  # one column for all others
-        self.index[vocabulary] = np.arange(self.size, dtype=np.int32)
+        kind = np.uint16 if self.size < 1 << 16 else np.uint32  # 33 or 67 MB
+        self.index = np.full(SPACE, self.size, dtype=kind)  # one column for all others
+        self.index[vocabulary] = np.arange(self.size, dtype=kind)
 
     def rows(self, texts: pa.Array, max_rows: int = 256):
         """Presence matrices (float32) of consecutive runs of texts."""
