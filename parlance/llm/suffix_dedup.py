@@ -31,6 +31,7 @@ SHARD_ROWS = 200_000  # phrases per shard
 HOT_BLOCK = 50_000  # members beyond which a block is counted window by window
 BROADCAST_KEYS = 1_000_000  # keys of at most 32 bytes
 CONTEXT_BYTES = 8_000_000  # of context in one Arrow batch
+WINDOWS = 500_000  # judged at once, by distance from the anchor
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
@@ -360,27 +361,47 @@ def _context_batch(out) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
 
-def _windows(t: pa.Table, length: int):
-    """(row, start, hash) of all windows of the members in a table.
+class _Windows:
+    """The windows of the members in a table, by their distance from the anchor."""
 
-    A window's hash covers its bytes outside the core; the distance from the
-    anchor is mixed in, so equal hashes in a block mean equal windows.
-    """
-    first, anchor, core = (t.column(c).to_numpy() for c in ("first", "anchor", "core"))
-    around = t.column("around").to_pylist()
-    size = np.array([len(a) for a in around], dtype=np.int64)
-    data = np.frombuffer(b"".join(around), np.uint8)
-    power, inverse = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=sums[1:])
-    part = length - core  # bytes of a window outside the core
-    count = np.maximum(size - part + 1, 0)
-    row = np.repeat(np.arange(len(first)), count)
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = (np.cumsum(size) - size)[row] + step
-    start = first[row] + step
-    h = (sums[at + part[row]] - sums[at]) * inverse[at]
-    return row, start, mix(h + (anchor[row] - start).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    def __init__(self, t: pa.Table, length: int) -> None:
+        self.first, self.anchor, core = (t.column(c).to_numpy() for c in ("first", "anchor", "core"))
+        around = t.column("around").to_pylist()
+        size = np.array([len(a) for a in around], dtype=np.int64)
+        data = np.frombuffer(b"".join(around), np.uint8)
+        power, self.inverse = powers(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_BYTE[data] * power[: len(data)], out=self.sums[1:])
+        self.part = length - core  # bytes of a window outside the core
+        self.count = np.maximum(size - self.part + 1, 0)
+        self.begin = np.cumsum(size) - size
+
+    def __len__(self) -> int:
+        return int(self.count.sum())
+
+    def hashes(self, near: int, far: int):
+        """(row, start, hash) of the windows that begin ``near`` to ``far`` - 1
+        bytes before their anchor.
+
+        A hash covers the bytes outside the core, with the distance mixed in, so
+        equal hashes in a block mean equal windows.
+        """
+        ahead = self.anchor - self.first
+        lo = np.clip(ahead - far + 1, 0, self.count)
+        n = np.clip(ahead - near + 1, lo, self.count) - lo
+        row = np.repeat(np.arange(len(n)), n)
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
+        at = self.begin[row] + step
+        start = self.first[row] + step
+        h = (self.sums[at + self.part[row]] - self.sums[at]) * self.inverse[at]
+        apart = (self.anchor[row] - start).astype(np.uint64)
+        return row, start, mix(h + apart * np.uint64(0x9FB21C651E98DF25))
+
+    def slices(self, span: int, most: int):
+        """All windows, about ``most`` at a time."""
+        wide = max(1, span * most // max(1, len(self)))
+        for near in range(0, span, wide):
+            yield self.hashes(near, min(span, near + wide))
 
 
 def _spans(rid: np.ndarray, start: np.ndarray, length: int):
@@ -393,37 +414,38 @@ def _spans(rid: np.ndarray, start: np.ndarray, length: int):
     return rid[cuts[:-1]], start[cuts[:-1]], start[cuts[1:] - 1] + length
 
 
-def _judge(length: int):
-    """Windows that occur at least twice in their block -> spans per text."""
+def _judge(length: int, span: int, most: int):
+    """Windows that occur at least twice in their block -> spans per text.
+
+    Equal windows lie equally far from their anchors, so the distances can be
+    judged one slice after the other.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["block"]):
-            row, start, h = _windows(t, length)
-            block = t.column("block").to_numpy()[row].view(np.uint64)
-            _, inv, n = np.unique(mix(block * np.uint64(0xD6E8FEB86659FD93) + h),
-                                  return_inverse=True, return_counts=True)
-            twice = n[inv] > 1
-            out = _spans(t.column("rid").to_numpy()[row[twice]], start[twice], length)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rid", "start", "end"])
+            block = mix(t.column("block").to_numpy().view(np.uint64))
+            rid = t.column("rid").to_numpy()
+            for row, start, h in _Windows(t, length).slices(span, most):
+                _, inv, n = np.unique(block[row] + h, return_inverse=True, return_counts=True)
+                twice = n[inv] > 1
+                out = _spans(rid[row[twice]], start[twice], length)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rid", "start", "end"])
 
     return run
 
 
-def _listed(length: int):
+def _listed(length: int, span: int, most: int):
     """All windows of hot blocks, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                t = pa.Table.from_batches([b])
-                row, start, h = _windows(t, length)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(t.column("block").to_numpy()[row]), pa.array(h.view(np.int64)),
-                        pa.array(t.column("rid").to_numpy()[row]), pa.array(start),
-                    ],
-                    ["block", "window", "rid", "start"],
-                )
+                block, rid = b.column("block").to_numpy(), b.column("rid").to_numpy()
+                for row, start, h in _Windows(pa.Table.from_batches([b]), length).slices(span, most):
+                    cols = (block[row], h.view(np.int64), rid[row], start)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in cols], ["block", "window", "rid", "start"]
+                    )
 
     return run
 
@@ -550,7 +572,7 @@ def repeated_strings(
         cool = _having(around, hot, "block", "left_anti")
         windows = materialize(
             _having(around, hot, "block").mapInArrow(
-                _listed(length), "block long, window long, rid long, start long"
+                _listed(length, span, WINDOWS), "block long, window long, rid long, start long"
             ),
             "bwt-windows",
         )
@@ -562,7 +584,7 @@ def repeated_strings(
         cool, wide = around, None
     spans = (
         cool.repartition(parts, "block").sortWithinPartitions("block")
-        .mapInArrow(_judge(length), "rid long, start long, end long")
+        .mapInArrow(_judge(length, span, WINDOWS), "rid long, start long, end long")
     )
     if wide is not None:
         spans = spans.union(wide)

@@ -69,6 +69,14 @@ def test_hot_blocks_are_counted_by_windows(spark, monkeypatch):
     check(spark, [prose(100 + i, 20) + s + prose(200 + i, 20) for i in range(8)], 48, gram=4, span=12)
 
 
+def test_windows_are_judged_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(sd, "WINDOWS", 5)
+    s = prose(8, 30)
+    check(spark, [prose(100 + i, 20) + s + prose(200 + i, 20) for i in range(6)], 48, gram=4, span=12)
+    monkeypatch.setattr(sd, "HOT_BLOCK", 3)
+    check(spark, [prose(100 + i, 20) + s + prose(200 + i, 20) for i in range(6)], 48, gram=4, span=12)
+
+
 def test_keys_too_many_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(sd, "BROADCAST_KEYS", 0)
     s = prose(8, 30)
