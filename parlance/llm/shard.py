@@ -1,15 +1,16 @@
 """Operator 7: sharding by balanced label propagation.
 
 Documents are linked through groups (equal texts unless the caller gives
-another key). Labels start from a hash; in every round each group's plurality
-shard calls its members, and as many move as the quotas admit, with unlinked
-documents moving the other way to keep the shards even.
+another key). Labels start from a hash; in every round each group asks for the
+shard that most of its members are in, among those with room for it, and shards
+admit whole groups up to their quotas. Unlinked documents fill what is left.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from parlance.llm.common import buckets_for, join_aggregate, materialize, rank_in_groups
 
@@ -83,6 +84,103 @@ def _by_rank(limits: list[list[int]], shard: Column, rank: Column) -> Column:
     return out
 
 
+def _running(groups: DataFrame, within: list[str], buckets: int) -> DataFrame:
+    """Add ``upto``: the members of a group and of those before it, per ``within``.
+
+    Larger size classes (powers of two) come first, then the order of hashes.
+    Sums run inside (size class, hash bucket) and are moved up by the earlier
+    buckets' sums, so that no task sorts all groups.
+    """
+    b, n, off = "__bucket", "__n", "__off"
+    smaller = F.lit(64) - F.length(F.bin("members"))
+    at = smaller.cast("long") * buckets + F.pmod(F.col("order"), F.lit(buckets))
+    groups = groups.withColumn(b, at)
+    before = W.orderBy(b) if not within else W.partitionBy(*within).orderBy(b)
+    sums = groups.groupBy(*within, b).agg(F.sum("members").alias(n))
+    sums = sums.withColumn(
+        off, F.coalesce(F.sum(n).over(before.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ).drop(n)
+    inside = W.partitionBy(*within, b).orderBy("order", "link").rowsBetween(W.unboundedPreceding, 0)
+    summed = groups.withColumn("upto", F.sum("members").over(inside)).join(sums, [*within, b])
+    return summed.withColumn("upto", F.col("upto") + F.col(off)).drop(b, off)
+
+
+def _wish(room: list[int]) -> Column:
+    """The shard with most members among those with room for the whole group, or
+    null. Ties go by hash, in proportion to the room."""
+    asks = []
+    for s, free in enumerate(room):
+        if free:
+            u = (F.pmod(F.xxhash64("link", F.lit(s)), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
+            ask = F.struct(F.col("votes")[s].alias("n"), (F.log(u) / F.lit(float(free))).alias("tie"), F.lit(s).alias("s"))
+            asks.append(F.when(F.col("members") <= free, ask))
+    return F.array_max(F.array(*asks))["s"] if asks else F.lit(None).cast("int")
+
+
+def place_pieces(members: int, votes: list[int], room: list[int]) -> list[tuple[int, int]]:
+    """(shard, rows) for one group, taken off ``room``: whole where it fits, else
+    the roomiest shards are filled until the rest fits."""
+    pieces = []
+    while members:
+        fits = [s for s in range(len(room)) if room[s] >= members]
+        best = max(fits or range(len(room)), key=lambda s: ((0 if fits else room[s]), votes[s], room[s], -s))
+        n = min(members, room[best])
+        pieces.append((best, n))
+        room[best] -= n
+        members -= n
+    return pieces
+
+
+def _place_groups(groups: DataFrame, room: list[int], rounds: int, buckets: int):
+    """(frame of link and shard, or None; {link: pieces}) for all groups; ``room``
+    becomes what is left for unlinked rows."""
+    shards, whole, pieces = len(room), [], {}
+    largest = max(room)
+
+    def by_driver(few: DataFrame) -> None:
+        # fewer than ``shards`` rows: see the callers
+        for r in sorted(few.collect(), key=lambda r: (-r["members"], r["order"], r["link"])):
+            pieces[r["link"]] = place_pieces(r["members"], r["votes"], room)
+
+    # the groups that no shard holds fill whole shards, before others settle there
+    by_driver(groups.where(F.col("members") > largest))
+    todo = groups.where(F.col("members") <= largest)
+    for k in range(rounds + 1):
+        if k < rounds:
+            # -1: no shard has room for the whole group now
+            asked = todo.withColumn("to", F.coalesce(_wish(room), F.lit(-1)))
+            asked = _running(asked, ["to"], buckets)
+            to = F.lit(None).cast("int")
+            for s, n in enumerate(room):
+                to = F.when((F.col("to") == s) & (F.col("upto") <= n), F.lit(s)).otherwise(to)
+        else:
+            # rooms end to end, groups end to end: fewer than ``shards`` lie across an edge
+            asked, to, edge = _running(todo, [], buckets), F.lit(None).cast("int"), 0
+            for s, n in enumerate(room):
+                inside = (F.col("upto") - F.col("members") >= edge) & (F.col("upto") <= edge + n)
+                edge += n
+                to = F.when(inside, F.lit(s)).otherwise(to)
+        asked = materialize(
+            asked.withColumn("at", to).select("link", "members", "votes", "order", "at"), "shard-groups"
+        )
+        whole.append(asked.where("at is not null").select("link", F.col("at").alias("to")))
+        todo = asked.where("at is null")
+        left = 0
+        for r in asked.groupBy("at").agg(F.count("*").alias("c"), F.sum("members").alias("n")).collect():
+            if r["at"] is None:
+                left = r["c"]
+            else:
+                room[r["at"]] -= r["n"]
+        if left < shards:
+            break
+    if left:
+        by_driver(todo)
+    out = whole[0]
+    for w in whole[1:]:
+        out = out.union(w)
+    return out, pieces
+
+
 def assign_shards(
     docs: DataFrame,
     shards: int = SHARDS,
@@ -99,11 +197,14 @@ def assign_shards(
     Shards and slots follow from ids and texts alone, whatever the partitions.
     Other columns, whatever their names, are not read. No rows in, no rows out.
 
-    Links are star-shaped (row - group), so a group of any size costs one row
-    per shard in the vote. What reaches the driver is a matrix of counts
-    between shards. Each round ends in a table in the shared folder; rounds
-    stop when no linked row has moved. A group larger than a shard's quota
-    fills it and leaves the rest spread evenly.
+    Links are star-shaped (row - group), so a group is one row with a count per
+    shard, and labels spread in rounds over that table; the rows are moved once.
+    After ``rounds`` rounds the groups still without a shard are laid end to end
+    over the room that is left. So fewer than ``shards`` groups that a shard
+    could hold are cut, and only if no shard has room for them whole. A group
+    larger than a shard fills whole shards, and its rest goes to one more where
+    that has room. What reaches the driver is counts between shards, and fewer
+    than ``shards`` groups at a time (counts and hash).
     """
     text = F.col(text_col)
     v = docs.select(
@@ -118,51 +219,53 @@ def assign_shards(
     )
     rows = v.count()
     quota, buckets = _quotas(rows, shards), buckets_for(rows)
-    for _ in range(rounds):
-        votes = v.where(F.col("link").isNotNull()).groupBy("link", "shard").agg(F.count("*").alias("n"))
-        tie = F.pmod(F.xxhash64("link", "shard"), F.lit(1 << 30))
-        wish = votes.groupBy("link").agg(
-            F.sum("n").alias("members"),
-            F.max(F.struct("n", tie.alias("tie"), "shard"))["shard"].alias("to"),
-        ).where(F.col("members") > 1).select("link", "to")
-        w = materialize(join_aggregate(v, wish, ["link"], "left"), "shard-wish")
-        ask = [[0] * shards for _ in range(shards)]
-        loose = [0] * shards
-        for r in w.groupBy("shard", "to").count().collect():
-            if r["to"] is None:
-                loose[r["shard"]] = r["count"]
-            else:
-                ask[r["shard"]][r["to"]] = r["count"]
-        grant, push, move = plan_moves(ask, loose, quota)
-        asked = [[grant[a][b] - push[a][b] for b in range(shards)] for a in range(shards)]
-        # one class per (shard, wish): rows beyond the granted number stay, or are pushed
-        w = w.withColumns(
-            {"kind": F.coalesce("to", F.lit(-1)), "h": F.xxhash64(F.lit("move"), "id", "crc")}
+    if not rows:
+        return v.select(
+            F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard",
+            F.lit(0).cast("long").alias("slot"),
         )
-        w = rank_in_groups(w, ["shard", "kind"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"])
-        dest = F.when(F.col("kind") < 0, _by_rank(move, F.col("shard"), F.col("rank")))
-        ok = F.lit(False)
-        for a in range(shards):
-            for b in range(shards):
-                if asked[a][b]:
-                    ok = ok | (
-                        (F.col("shard") == a) & (F.col("kind") == b) & (F.col("rank") < asked[a][b])
-                    )
-        dest = F.when(ok, F.col("kind")).otherwise(dest)
-        w = w.withColumn("dest", dest)
-        if any(map(any, push)):
-            # rows that a full shard must give up, from those that did not move
-            still = F.when((F.col("kind") >= 0) & F.col("dest").isNull(), 1).otherwise(0)
-            w = materialize(w.withColumn("still", still), "shard-still")
-            w = rank_in_groups(w, ["shard", "still"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"])
-            forced = F.when(F.col("still") == 1, _by_rank(push, F.col("shard"), F.col("rank")))
-            w = w.withColumn("dest", F.coalesce("dest", forced))
-        v = materialize(
-            w.select("row", "id", "size", "crc", "link", F.coalesce("dest", "shard").alias("shard")),
-            "shard-rows",
+    votes = F.array(*[F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)])
+    groups = materialize(
+        v.where(F.col("link").isNotNull()).groupBy("link")
+        .agg(F.count("*").alias("members"), votes.alias("votes"))
+        .where(F.col("members") > 1).withColumn("order", F.xxhash64("link")),
+        "shard-groups",
+    )
+    room = list(quota)
+    whole, pieces = _place_groups(groups, room, rounds, buckets)
+    w = join_aggregate(v, whole, ["link"], "left")
+    cut = F.coalesce(F.col("link").isin(*pieces), F.lit(False)) if pieces else F.lit(False)
+    kind = F.when(F.col("to").isNotNull(), "whole").when(cut, "cut").otherwise("loose")
+    w = materialize(
+        w.withColumns({"kind": kind, "h": F.xxhash64(F.lit("move"), "id", "crc")}), "shard-wish"
+    )
+    loose = [0] * shards
+    for r in w.where("kind = 'loose'").groupBy("shard").count().collect():
+        loose[r["shard"]] = r["count"]
+    _, _, move = plan_moves([[0] * shards for _ in range(shards)], loose, room)
+    cols = ["id", "size", "crc", "row"]
+    moved = w.where("kind = 'whole'").select(*cols, F.col("to").alias("shard"))
+    if any(loose):
+        free = w.where("kind = 'loose'")
+        if any(map(any, move)):
+            free = rank_in_groups(free, ["shard"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"])
+            dest = _by_rank(move, F.col("shard"), F.col("rank"))
+            free = free.withColumn("shard", F.coalesce(dest, "shard"))
+        moved = moved.union(free.select(*cols, "shard"))
+    if pieces:
+        split = rank_in_groups(
+            w.where("kind = 'cut'"), ["link"], ["h", "id", "row"], "rank", buckets, spread=["h", "id"]
         )
-        if not any(map(any, asked)):
-            break
+        dest = F.lit(None).cast("int")
+        for link, parts in pieces.items():
+            upto, within = 0, F.lit(None).cast("int")
+            for s, n in parts:
+                inside = (F.col("rank") >= upto) & (F.col("rank") < upto + n)
+                within = F.when(inside, F.lit(s)).otherwise(within)
+                upto += n
+            dest = F.when(F.col("link") == link, within).otherwise(dest)
+        moved = moved.union(split.select(*cols, dest.alias("shard")))
+    v = materialize(moved, "shard-rows")
     v = v.withColumn("h", F.xxhash64(F.lit("slot"), "id", "crc"))
     v = rank_in_groups(v, ["shard"], ["h", "id", "row"], "slot", buckets, spread=["h", "id"])
     return v.select(

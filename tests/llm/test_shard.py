@@ -84,3 +84,31 @@ def test_planned_moves_fill_every_quota(seed):
     for a in range(k):
         for b in range(k):
             assert 0 <= grant[a][b] - push[a][b] <= (ask[a][b] if a != b else 0)
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+@pytest.mark.parametrize("single", [0, 200])
+def test_hot_group_is_packed_and_pairs_beside_it_stay_whole(spark, single, rounds):
+    """A group of a third of all rows fills shards; no pair is cut for it."""
+    rows = [(i, "same", None, None, 0) for i in range(400)]
+    rows += [(1000 + i, f"pair {i // 2}", None, None, 0) for i in range(800 - single)]
+    rows += [(5000 + i, f"single {i}", None, None, 0) for i in range(single)]
+    got = run(spark, rows, rounds=rounds)
+    check_law(got, rows)
+    text = {r[0]: r[1] for r in rows}
+    where = defaultdict(Counter)
+    for r in got:
+        where[text[r["doc_id"]]][r["shard"]] += 1
+    assert sorted(where["same"].values()) == [100, 150, 150]
+    assert all(len(c) == 1 for t, c in where.items() if t != "same")
+
+
+def test_a_group_that_fits_nowhere_whole_is_cut_least(spark):
+    """Nine groups for eight shards: eight stay whole."""
+    rows = [(i, f"group {i % 9}", None, None, 0) for i in range(720)]
+    got = run(spark, rows)
+    check_law(got, rows)
+    where = defaultdict(set)
+    for r in got:
+        where[r["doc_id"] % 9].add(r["shard"])
+    assert sum(len(s) > 1 for s in where.values()) == 1
