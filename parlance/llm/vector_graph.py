@@ -9,11 +9,15 @@ audited against brute force.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm.batches import mix, whole_groups
 from parlance.llm.common import connected_components, materialize
 
 THRESHOLD = 0.93
@@ -225,7 +229,10 @@ def near_duplicates(
     The clusters are fitted on a bounded sample (``FIT_ROWS``); all rows are
     indexed. A cluster beyond ``SHARD`` vectors is dealt into blocks, and every
     pair of blocks is a shard, so no task holds more than two blocks and no pair
-    is lost. A pair met in several clusters counts in the first. Recall of
+    is lost. The search stays in its shard: two vectors that share no cluster
+    are never compared. A pair met from either side, in any cluster, counts once
+    for both: pairs that share several clusters leave their shards as lists per
+    vector, in parts, and are united over the clusters. Recall of
     links is measured for ``AUDIT_ROWS`` rows against all rows; below
     ``RECALL`` the search is repeated with more overlap, and fails at last.
     """
@@ -329,45 +336,105 @@ def _search(spark, reps: DataFrame, centres: dict, threshold: float, overlap: in
     )
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("adj"))).alias("adj"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+    # one vector's list is dealt into parts, so that a hot one never lies in one row
+    parts = 16 * (sizes.agg(F.max("k")).first()[0] or 1)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pdf = pa.Table.from_batches(list(batches)).to_pandas()
         pdf = pdf.sort_values("rep").reset_index(drop=True)
         ids, copies = pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
         x = unit(pdf["v"])
-        cell, i, j = int(pdf["cell"][0]), int(pdf["i"][0]), int(pdf["j"][0])
-        # a vector's other clusters, to count a pair in the first they share
-        mine = [set(c) for c in pdf["cells"]]
-        width = max(map(len, mine))
+        split = int(pdf["i"][0]) != int(pdf["j"][0])
+        width = max(map(len, pdf["cells"]))
         table = np.full((len(ids), width), -1)
-        for r, c in enumerate(mine):
-            table[r, : len(c)] = sorted(c)
+        for r, c in enumerate(pdf["cells"]):
+            table[r, : len(c)] = c
         block = pdf["block"].to_numpy()
         adj = []
         for a in pdf["adj"]:  # neighbours that are in this shard
             a = np.asarray(a, dtype=np.int64)
             at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
             adj.append(at[ids[at] == a])
-        n_links = np.zeros(len(ids), dtype=np.int64)
-        ea, eb = [], []
+        met = np.zeros((len(ids), len(ids)), bool)
         for a, b in range_search(x, adj, threshold, medoids(x)):
-            if i != j:  # pairs inside one block belong to that block's own shard
+            if split:  # pairs inside one block belong to that block's own shard
                 across = block[a] != block[b]
                 a, b = a[across], b[across]
-            common = (table[a][:, :, None] == table[b][:, None, :]) & (table[a][:, :, None] >= 0)
-            lowest = np.where(common.any(axis=2), table[a], np.iinfo(np.int64).max).min(axis=1)
-            first = lowest == cell
-            a, b = a[first], b[first]
-            np.add.at(n_links, a, copies[b])
-            ea.append(a)
-            eb.append(b)
-        a, b = (np.concatenate(e) if e else np.zeros(0, np.int64) for e in (ea, eb))
-        return pd.DataFrame({"rep": ids, "n": n_links, "root": ids[_roots(len(ids), a, b)]})
-
+            met[a, b] = True
+            met[b, a] = True
+        n_links = np.zeros(len(ids), dtype=np.int64)
+        root = np.arange(len(ids))
+        for lo in range(0, len(ids), QUERIES):
+            a, b = np.nonzero(met[lo : lo + QUERIES])
+            a += lo
+            root = _roots(
+                len(ids), np.concatenate([np.arange(len(ids)), a]), np.concatenate([root, b])
+            )
+            common = np.zeros(len(a), np.int64)
+            for c in range(width):
+                common += ((table[b] == table[a, c][:, None]) & (table[b] >= 0)).any(axis=1)
+            np.add.at(n_links, a[common == 1], copies[b[common == 1]])
+            # the other clusters of these pairs may have met them too
+            a, b = a[common > 1], b[common > 1]
+            if not len(a):
+                continue
+            part = (mix(ids[b].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((part, a))
+            a, b, part = a[order], b[order], part[order]
+            first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (part[1:] != part[:-1])))
+            cuts = pa.array(np.append(first, len(a)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids[a[first]]), pa.nulls(len(first), pa.int64()),
+                    pa.nulls(len(first), pa.int64()), pa.array(part[first]),
+                    pa.ListArray.from_arrays(cuts, pa.array(ids[b])),
+                    pa.ListArray.from_arrays(cuts, pa.array(copies[b])),
+                ],
+                names,
+            )
+        none = pa.nulls(len(ids), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(n_links), pa.array(ids[root]), pa.nulls(len(ids), pa.int64()), none, none],
+            names,
+        )
+
+    names = ["rep", "n", "root", "part", "others", "times"]
     found = materialize(
-        dealt.join(united, "rep").groupBy(*shard).applyInPandas(search, "rep long, n long, root long"),
+        dealt.join(united, "rep").groupBy(*shard).applyInArrow(
+            search,
+            "rep long, n long, root long, part long, others array<long>, times array<long>",
+        ),
         "vec-found",
     )
-    links = materialize(found.groupBy("rep").agg(F.sum("n").alias("n")), "vec-links")
-    return links, found.select(F.col("rep").alias("src"), F.col("root").alias("dst"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_pairs = (
+        found.where("others is not null").select("rep", "part", "others", "times")
+        .repartition(tasks, "rep", "part").sortWithinPartitions("rep", "part")
+        .mapInArrow(_unite, "rep long, n long")
+    )
+    own_pairs = found.where("others is null").select("rep", "n")
+    links = materialize(
+        own_pairs.union(shared_pairs).groupBy("rep").agg(F.sum("n").alias("n")), "vec-links"
+    )
+    edges = found.where("root is not null").select(F.col("rep").alias("src"), F.col("root").alias("dst"))
+    return links, edges
+
+
+def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (rep, part, others, times) -> links of each rep, every other counted once."""
+    for t in whole_groups(batches, ["rep", "part"]):
+        others = t.column("others").combine_chunks()
+        rep = np.repeat(t.column("rep").to_numpy(), others.value_lengths().to_numpy())
+        other = others.flatten().to_numpy()
+        times = t.column("times").combine_chunks().flatten().to_numpy()
+        order = np.lexsort((other, rep))
+        rep, other, times = rep[order], other[order], times[order]
+        new = np.append(True, (rep[1:] != rep[:-1]) | (other[1:] != other[:-1]))
+        rep, times = rep[new], times[new]
+        first = np.flatnonzero(np.append(True, rep[1:] != rep[:-1]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(rep[first]), pa.array(np.add.reduceat(times, first))], ["rep", "n"]
+        )
 
 
 def _audit(spark, reps: DataFrame, links: DataFrame, threshold: float) -> float:

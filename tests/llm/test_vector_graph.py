@@ -105,3 +105,30 @@ def test_prune_keeps_a_bounded_searchable_graph():
     sims = x @ x.T
     want = {(i, j) for i in range(300) for j in range(300) if i != j and sims[i, j] >= 0.9}
     assert pairs <= want and len(pairs) >= 0.95 * len(want)
+
+
+def test_a_pair_met_from_one_side_in_one_shared_cell_counts_once_for_both(spark, monkeypatch):
+    """Pairs in two common cells, each met in one cell and from one end only."""
+    rows = [(rep, "a", [float(rep), 1.0], 1) for rep in range(6)]
+    reps = spark.createDataFrame(rows, "rep long, label string, v array<float>, copies long")
+    centres = {"a": np.array([[1.0, 0.0], [0.0, 1.0]])}
+
+    def one_sided(x, adj, threshold, starts, **kw):
+        # the search is replaced: in each cell, it meets the last row from the first
+        yield np.array([0]), np.array([len(x) - 1])
+
+    monkeypatch.setattr(vg, "range_search", one_sided)
+    links, edges = vg._search(spark, reps, centres, 0.9, 2)
+    n = {r["rep"]: r["n"] for r in links.collect()}
+    assert n == {0: 1, 1: 0, 2: 0, 3: 0, 4: 0, 5: 1}
+    assert {(r["src"], r["dst"]) for r in edges.collect()} >= {(5, 0)}
+
+
+def test_finds_of_several_cells_are_united():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict(
+        {"rep": [1, 1, 2], "part": [0, 0, 0], "others": [[7, 8], [8, 9], [1]], "times": [[1, 2], [2, 5], [3]]}
+    )
+    got = pa.Table.from_batches(list(vg._unite(iter([batch])))).to_pydict()
+    assert dict(zip(got["rep"], got["n"])) == {1: 8, 2: 3}
