@@ -9,6 +9,7 @@ audited against brute force.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,9 @@ FAR = 6  # random long edges a vector keeps besides
 ALPHA = 1.2
 BEAM = 16
 QUERIES = 512  # searched in lockstep
-AUDIT_ROWS = 200
+AUDIT_ROWS = 200  # rows sampled for the audit at first
+AUDIT_LINKED = 50  # sampled rows with links that are enough; the sample grows until then
+AUDIT_MOST = 3200
 RECALL = 0.9
 
 
@@ -232,9 +235,12 @@ def near_duplicates(
     is lost. The search stays in its shard: two vectors that share no cluster
     are never compared. A pair met from either side, in any cluster, counts once
     for both: pairs that share several clusters leave their shards as lists per
-    vector, in parts, and are united over the clusters. Recall of
-    links is measured for ``AUDIT_ROWS`` rows against all rows; below
-    ``RECALL`` the search is repeated with more overlap, and fails at last.
+    vector, in parts, and are united over the clusters. Recall is the mean, over
+    sampled rows with links, of the share of a row's own links that was found,
+    by brute force against all rows. The sample grows from ``AUDIT_ROWS`` until
+    ``AUDIT_LINKED`` of its rows have links, to ``AUDIT_MOST`` at most; a warning
+    says so if it ends with fewer. Below ``RECALL`` the search is repeated with
+    more overlap, and fails at last.
     """
     spark = vectors.sparkSession
     v = F.col(vector_col).cast("array<double>")
@@ -438,13 +444,28 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _audit(spark, reps: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Found over true links of a bounded sample of rows, by brute force over all rows."""
+    """Mean share of its links that a row with links got, by brute force over all
+    rows for a bounded sample."""
+    rows = AUDIT_ROWS
+    while True:
+        recall, linked, sampled = _audited(spark, reps, links, threshold, rows)
+        if linked >= AUDIT_LINKED or sampled < rows:
+            break
+        if rows >= AUDIT_MOST:
+            warnings.warn(f"recall audited on {linked} rows with links, in a sample of {sampled}")
+            break
+        rows = min(AUDIT_MOST, 4 * rows)
+    return recall if linked else 1.0
+
+
+def _audited(spark, reps: DataFrame, links: DataFrame, threshold: float, rows: int):
+    """(mean recall of the sampled rows with links, their number, rows sampled)."""
     sample = (
-        reps.orderBy(F.xxhash64(F.lit("audit"), "rep")).limit(AUDIT_ROWS)
+        reps.orderBy(F.xxhash64(F.lit("audit"), "rep")).limit(rows)
         .select("rep", "label", "v").toPandas()
     )
     if sample.empty:
-        return 1.0
+        return 1.0, 0, 0
     by_label = {k: (g["rep"].to_numpy(), unit(g["v"])) for k, g in sample.groupby("label")}
     shared = spark.sparkContext.broadcast(by_label)
 
@@ -455,13 +476,15 @@ def _audit(spark, reps: DataFrame, links: DataFrame, threshold: float) -> float:
                     ids, q = shared.value[label]
                     hit = (q @ unit(g["v"]).T) >= threshold
                     hit &= ids[:, None] != g["rep"].to_numpy()[None, :]
-                    yield pd.DataFrame({"rep": ids, "true_n": hit @ g["copies"].to_numpy()})
+                    true_n = hit @ g["copies"].to_numpy()
+                    some = true_n > 0
+                    yield pd.DataFrame({"rep": ids[some], "true_n": true_n[some]})
 
     true = (
         reps.select("rep", "label", "v", "copies").mapInPandas(count, "rep long, true_n long")
         .groupBy("rep").agg(F.sum("true_n").alias("true_n"))
     )
     got = true.join(links, "rep", "left").agg(
-        F.sum("true_n"), F.sum(F.least("true_n", F.coalesce("n", F.lit(0))))
+        F.avg(F.least("true_n", F.coalesce("n", F.lit(0))) / F.col("true_n")), F.count("*")
     ).first()
-    return got[1] / got[0] if got[0] else 1.0
+    return got[0], got[1], len(sample)

@@ -132,3 +132,28 @@ def test_finds_of_several_cells_are_united():
     )
     got = pa.Table.from_batches(list(vg._unite(iter([batch])))).to_pydict()
     assert dict(zip(got["rep"], got["n"])) == {1: 8, 2: 3}
+
+
+def _linked_pairs(spark, hot, pairs, alone):
+    """Representatives: one hot group, pairs, and rows without links; and true link counts."""
+    d = pairs + alone + 1
+    rows, true = [], {}
+    for i in range(hot + 2 * pairs + alone):
+        at = 0 if i < hot else 1 + (i - hot) // 2 if i < hot + 2 * pairs else 1 + i - hot - pairs
+        rows.append((i, "a", [1.0 if k == at else 0.0 for k in range(d)], 1))
+        true[i] = hot - 1 if i < hot else 1 if i < hot + 2 * pairs else 0
+    return spark.createDataFrame(rows, "rep long, label string, v array<float>, copies long"), true
+
+
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    reps, true = _linked_pairs(spark, 100, 30, 0)
+    found = spark.createDataFrame([(i, n if n > 1 else 0) for i, n in true.items()], "rep long, n long")
+    assert vg._audit(spark, reps, found, 0.93) == pytest.approx(100 / 160)
+
+
+def test_audit_grows_until_rows_with_links_are_found(spark, monkeypatch):
+    monkeypatch.setattr(vg, "AUDIT_ROWS", 4)
+    monkeypatch.setattr(vg, "AUDIT_LINKED", 2)
+    reps, true = _linked_pairs(spark, 0, 4, 120)
+    found = spark.createDataFrame([(i, 0) for i in true], "rep long, n long")
+    assert vg._audit(spark, reps, found, 0.93) == 0
