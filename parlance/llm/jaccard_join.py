@@ -206,13 +206,10 @@ def _verify(words: int, similarity: Fraction):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 g = t.slice(a, b - a)
                 rows: dict[int, tuple] = {}
-                for rep, key, copies, block, text in zip(
-                    *(g.column(c).to_pylist() for c in ("rep", "key", "copies", "block", "text"))
+                for rep, copies, block, text in zip(
+                    *(g.column(c).to_pylist() for c in ("rep", "copies", "block", "text"))
                 ):
-                    if rep not in rows:
-                        s = shingles(text, words)
-                        if set_key(s) == key:  # not another text under the same id
-                            rows[rep] = (copies, block, s)
+                    rows[rep] = (copies, block, shingles(text, words))
                 if len(rows) < 2:
                     continue
                 ids = np.array(sorted(rows))
@@ -261,14 +258,15 @@ def jaccard_classes(
     candidates (the margin is four standard deviations of the sketch); the rest
     form clusters. Large clusters are dealt into blocks, and each pair of blocks
     is verified on full sets in one task, which returns counts and component
-    roots, never pairs.
+    roots, never pairs. Texts are written once beside their signatures, by row, so
+    that each class fetches one text whatever the ids are.
     """
     hasher = MinHash(bands_for(recall, similarity))
     spark = docs.sparkSession
     signed = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-        _signer(hasher)(F.col(text_col)).alias("s"),
-    ).select("rid", "id", "s.key", "s.bands", "s.sketch")
+        _signer(hasher)(F.col(text_col)).alias("s"), F.col(text_col).alias("text"),
+    ).select("rid", "id", "s.key", "s.bands", "s.sketch", "text")
     signed = materialize(signed, "join-signatures")
     classes = materialize(
         signed.where("key is not null").groupBy("key").agg(
@@ -297,16 +295,16 @@ def jaccard_classes(
     member = (
         cluster.join(sizes, "component").join(classes, F.col("id") == F.col("rep"))
         .select(
-            F.col("component").alias("cluster"), "rep", "key", "copies", F.col("low").alias("doc"), "k",
+            F.col("component").alias("cluster"), "rep", "copies", "k",
             F.pmod(F.xxhash64(F.lit("block"), "rep"), F.col("k")).cast("int").alias("block"),
         )
     )
-    texts = docs.select(F.col(id_col).alias("t_id"), F.col(text_col).alias("text"))
+    texts = signed.where("key is not null").select(F.col("rid").alias("rep"), "text")
     dealt = (
-        texts.join(member, F.col("t_id").eqNullSafe(F.col("doc")))
+        texts.join(member, "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
         .withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-        .select("cluster", "i", "j", "rep", "key", "copies", "block", "text")
+        .select("cluster", "i", "j", "rep", "copies", "block", "text")
     )
     found = materialize(
         dealt.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")

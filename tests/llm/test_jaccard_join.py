@@ -115,3 +115,24 @@ def test_similarity_is_a_fraction(spark):
     )
     assert [r["n_links"] for r in jj.jaccard_classes(frame, Fraction(10, 11)).collect()] == [1, 1]
     assert [r["n_links"] for r in jj.jaccard_classes(frame, Fraction(10, 11) + Fraction(1, 10**6)).collect()] == [0, 0]
+
+
+def test_null_and_repeated_ids_fetch_one_text_a_class(spark, monkeypatch):
+    verify = jj._verify
+
+    def once(words, similarity):
+        run = verify(words, similarity)
+
+        def checked(batches):
+            held = list(batches)
+            seen = [x for b in held for x in zip(*(b.column(c).to_pylist() for c in ("cluster", "i", "j", "rep")))]
+            assert len(seen) == len(set(seen))
+            return run(iter(held))
+
+        return checked
+
+    monkeypatch.setattr(jj, "_verify", once)
+    ts = texts()
+    frame = spark.createDataFrame([((None, 7)[i % 2], t, None, None, 0) for i, t in enumerate(ts)], DOCS)
+    got = jj.jaccard_classes(frame).collect()
+    assert Counter(r["n_links"] for r in got) == Counter(n for n, _ in brute(ts))
