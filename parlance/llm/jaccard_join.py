@@ -27,6 +27,7 @@ RECALL = 0.9999  # of a pair exactly at the similarity; pairs above it do better
 ROWS = 5  # MinHash rows a band
 MARGIN = 0.16  # sketches this far below the similarity are not verified
 BLOCK = 256  # texts per block of a large cluster
+BUCKET = 8192  # rows per block of a large band bucket
 
 # Word bytes: digits, lower-case letters and everything beyond ASCII; A-Z fold to a-z.
 _FOLD = np.array(
@@ -142,9 +143,9 @@ def bucket_links(sketch: np.ndarray, least: float) -> np.ndarray:
 
 def _candidates(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, ["band"]):
+        for t in whole_groups(batches, ["band", "i", "j"]):
             rep = t.column("rep").to_numpy()
-            cuts = bounds([t.column("band").to_numpy()])
+            cuts = bounds([t.column(c).to_numpy() for c in ("band", "i", "j")])
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
             root = np.arange(len(rep))
             size = np.diff(cuts)
@@ -256,7 +257,8 @@ def jaccard_classes(
     come from ``bands_for``: a pair at the similarity is met with probability
     ``recall``. Rows of a bucket whose sketches agree too little are not
     candidates (the margin is four standard deviations of the sketch); the rest
-    form clusters. Large clusters are dealt into blocks, and each pair of blocks
+    form clusters. A bucket beyond ``BUCKET`` rows is dealt into blocks, and each
+    pair of blocks is searched in one task. Large clusters are dealt into blocks, and each pair of blocks
     is verified on full sets in one task, which returns counts and component
     roots, never pairs. Texts are written once beside their signatures, by row, so
     that each class fetches one text whatever the ids are.
@@ -281,13 +283,19 @@ def jaccard_classes(
     buckets = (
         reps.select("rep", F.explode("bands").alias("band"))
         .withColumn("members", F.count("*").over(W.partitionBy("band")))
-        .where("members > 1").select("band", "rep")
+        .where("members > 1")
+        .withColumn("k", F.ceil(F.col("members") / BUCKET).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64(F.lit("bucket"), "rep"), F.col("k")).cast("int"))
+        # a pair of blocks holds the pairs inside each of the two as well
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        .where("k = 1 or other <> block")
+        .select("band", "rep", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     )
     least = float(similarity) - MARGIN
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     near = (
         buckets.join(reps.select("rep", "sketch"), "rep")
-        .repartition(parts, "band").sortWithinPartitions("band")
+        .repartition(parts, "band", "i", "j").sortWithinPartitions("band", "i", "j")
         .mapInArrow(_candidates(least), "src long, dst long")
     )
     cluster = materialize(connected_components(near), "join-clusters")

@@ -136,3 +136,20 @@ def test_null_and_repeated_ids_fetch_one_text_a_class(spark, monkeypatch):
     frame = spark.createDataFrame([((None, 7)[i % 2], t, None, None, 0) for i, t in enumerate(ts)], DOCS)
     got = jj.jaccard_classes(frame).collect()
     assert Counter(r["n_links"] for r in got) == Counter(n for n, _ in brute(ts))
+
+
+def test_large_buckets_are_dealt_in_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jj, "BUCKET", 20)
+    links = jj.bucket_links
+
+    def bounded(sketch, least):
+        assert len(sketch) < 100  # two blocks of about 20 of the 400 rows
+        return links(sketch, least)
+
+    monkeypatch.setattr(jj, "bucket_links", bounded)
+    rng = random.Random(9)
+    base = prose(2, 120)
+    ts = [edited(base, rng, 2) for _ in range(400)]
+    frame = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(ts)], DOCS)
+    got = {r["doc_id"]: (r["n_links"], r["class_id"]) for r in jj.jaccard_classes(frame).collect()}
+    assert got == dict(enumerate(brute(ts)))
