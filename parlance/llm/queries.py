@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance.llm.chat_template import format_conversations, read_back
 from parlance.llm.common import read
 from parlance.llm.decontaminate import hit_words, is_contaminated, with_hits
+from parlance.llm.fingerprint import edit_report
 from parlance.llm.jaccard_join import jaccard_classes
 from parlance.llm.langid import language
 from parlance.llm.mix import mix_sources
@@ -231,3 +232,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes and link counts of all documents at Jaccard 0.8 over five-word shingles."""
     return jaccard_classes(read(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- operator 13
+@query("op13_fingerprint")
+def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and their likeness."""
+    return edit_report(read(spark, sf_dir, "documents"))

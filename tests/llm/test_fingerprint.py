@@ -1,0 +1,128 @@
+import hashlib
+import random
+import re
+
+import pytest
+import xxhash
+from llm.cases import DOCS, empty_frame, hard_docs, hard_frame, prose
+from parlance.llm.fingerprint import BINS, PRIME, edit_report, likeness, walk, with_fingerprint, with_next
+from pyspark.sql import functions as F
+
+
+def shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    m = min(width, len(words))
+    return [tuple(words[i:i + m]) for i in range(len(words) - m + 1)] if words else []
+
+
+def brute(text):
+    """The fingerprint by its definition: bins, then every walk step by step."""
+    least = {}
+    for s in shingles(text):
+        h = 42
+        for w in s:
+            h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+        h -= (h >> 63) << 64
+        b = (h >> 56) + BINS // 2
+        least[b] = min(least.get(b, h), h)
+    if not least:
+        return ""
+    out = []
+    for i in range(BINS):
+        j, t = i, 0
+        step, start = walk(i)
+        while j not in least:
+            j, t = (step * t + start) % PRIME, t + 1
+        out.append(f"{least[j] & 15:x}")
+    return "".join(out)
+
+
+def jaccard(a, b):
+    a, b = set(shingles(a)), set(shingles(b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edit(text, other):
+    half = len(text) // 2
+    return text[: len(text) - half] + other[:half]
+
+
+def test_fingerprints_match_brute_force(spark):
+    texts = [prose(k, n) for k, n in enumerate((1, 2, 4, 5, 6, 9, 17, 40, 100, 300, 1500, 9000))]
+    texts += [t for _, t, *_ in hard_docs()] + [" \t a\x0bb\x0c\r\n c ", "a\x00b c d", " no\xa0break  space " * 9]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r["i"]: r["fp"] for r in with_fingerprint(frame, "text", "fp").collect()}
+    assert [got[i] for i in range(len(texts))] == [brute(t) for t in texts]
+
+
+def test_walks_visit_every_bin():
+    for i in range(BINS):
+        step, start = walk(i)
+        assert {(step * t + start) % PRIME for t in range(PRIME)} == set(range(PRIME))
+
+
+@pytest.mark.parametrize("n", [30, 400, 3000])
+def test_likeness_estimates_jaccard(spark, n):
+    """The mean error over many pairs is near 0, also where most bins are lent."""
+    rng = random.Random(n)
+    rows = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        cut = rng.randrange(n)
+        rows.append((" ".join(words), " ".join(words[:cut] + [f"v{rng.randrange(10**6)}" for _ in range(n - cut)])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    df = with_fingerprint(with_fingerprint(df, "a", "x"), "b", "y").select("a", "b", likeness(F.col("x"), F.col("y")).alias("l"))
+    errors = [r["l"] - jaccard(r["a"], r["b"]) for r in df.collect()]
+    # one estimate has a deviation of about 0.03 with full bins, more with few shingles
+    wide = 0.03 if n > 100 else 0.12
+    assert abs(sum(errors) / len(errors)) < wide
+    assert sorted(map(abs, errors))[len(errors) // 2] < wide
+
+
+def want_next(rows):
+    """Ids ascending, null first; rows of equal id by Spark's hash of the text."""
+    def h(t):
+        x = xxhash.xxh64_intdigest(t.encode(), seed=42)
+        return x - ((x >> 63) << 64)
+
+    keyed = sorted(((i is not None, i or 0, h(t or "")), i, t or "") for i, t in rows)
+    return [(k[1], k[2], keyed[(n + 1) % len(keyed)][2]) for n, k in enumerate(keyed)]
+
+
+def test_next_follows_the_ids(spark):
+    rng = random.Random(5)
+    ids = rng.sample(range(-10**12, 10**12), 700) + [7] * 500 + [None] * 300
+    rows = [(i, f"text {k % 900}") for k, i in enumerate(ids)]
+    rows += [(11, "same")] * 600  # one repeated row with a large share
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    got = with_next(frame).select("doc_id", "text", "next_text").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want_next(rows)))
+
+
+def test_report_matches_brute_force_on_hard_rows(spark):
+    rows = [(r[0], r[1]) for r in hard_docs()]
+    got = edit_report(hard_frame(spark)).collect()
+    want = []
+    nexts = want_next(rows)
+    for i, t, n in nexts:
+        e = edit(t, n)
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), brute(t), brute(e)))
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    same = [r for r in got if r["fingerprint"] == r["edited_fingerprint"]]
+    assert same and all(r["near_edited"] == 1 for r in same)
+
+
+def test_one_row_and_empty_table(spark):
+    one = spark.createDataFrame([(1, "a b c d e f g h", None, None, None)], DOCS)
+    r = edit_report(one).first()
+    assert r["near_next"] == 1 and r["n_chars"] == 15
+    assert r["edited_sha256"] == hashlib.sha256(b"a b c d a b c d").hexdigest()
+    assert edit_report(empty_frame(spark)).collect() == []
+
+
+def test_no_python_and_one_shuffle_of_the_texts(spark):
+    plan = edit_report(hard_frame(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

@@ -29,6 +29,8 @@ COLUMNS = {
     "op9_decontaminate": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, "
     "contaminated boolean",
     "op10_jaccard_join": "doc_id bigint, class_id bigint, n_links bigint, kept boolean",
+    "op13_fingerprint": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, "
+    "edited_fingerprint string, near_edited double, near_next double",
 }
 
 
