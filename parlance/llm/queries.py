@@ -17,8 +17,10 @@ from parlance.llm.mix import mix_sources
 from parlance.llm.secret_scan import KINDS, SCOPE, scan_secrets, secret_digest
 from parlance.llm.shard import assign_shards
 from parlance.llm.suffix_dedup import repeated_strings
+from parlance.llm.turn_repair import damage, repair_report
 from parlance.llm.url_filter import filter_urls
 from parlance.llm.vector_graph import near_duplicates
+from parlance.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -234,6 +236,88 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(read(spark, sf_dir, "documents"))
 
 
+# ---------------------------------------------------------------- operator 11
+# crc32 bit by bit over the ASCII key, its reversed polynomial in decimal
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(range(1, length(k) + 1), lambda p: ord(substring(k, p, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 20"""
+
+SQL_OP11 = f"""
+WITH RECURSIVE
+keyed AS (
+  SELECT conv_id AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k
+  FROM conversations),
+numbered AS (SELECT *, {_CRC_SQL} AS n FROM keyed),
+damaged AS (
+  SELECT c, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN n = 1 THEN '' WHEN n = 2 THEN regexp_replace(txt, '[.!?]', '', 'g') ELSE txt END AS txt,
+         unnest(CASE WHEN n = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM numbered WHERE n <> 0),
+ids AS (SELECT c, row_number() OVER (ORDER BY c) AS g FROM (SELECT DISTINCT conv_id AS c FROM conversations)),
+placed AS (
+  SELECT i.g, d.turn, d.role, d.txt,
+         row_number() OVER (PARTITION BY i.g ORDER BY turn NULLS FIRST, role, sha256(txt), copy) AS i,
+         regexp_replace(txt, '[\x20\x09-\x0D]+$', '') AS said
+  FROM damaged d JOIN ids i ON d.c IS NOT DISTINCT FROM i.c),
+judged AS MATERIALIZED (
+  SELECT *, CASE WHEN said = '' THEN 'b' WHEN row_number() OVER (PARTITION BY g, role, txt ORDER BY i) > 1 THEN 'd'
+                 WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+         coalesce(lag(left(role, 1)) OVER (PARTITION BY g ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd
+  FROM placed),
+figures AS (
+  SELECT g, count(*) AS turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (odd) AS illegal
+  FROM judged GROUP BY g),
+walk(g, i, a, b, c, d) AS (
+  SELECT g, turns, {{'cost': 0, 'audit': ''}}, {{'cost': 6, 'audit': 'II'}}, {{'cost': 3, 'audit': 'I'}}, {{'cost': 0, 'audit': ''}}
+  FROM figures
+  UNION ALL
+  SELECT g, i, list_min([a, {{'cost': 3 + c2.cost, 'audit': 'I' || c2.audit}}]),
+         list_min([b, {{'cost': 3 + c2.cost, 'audit': 'I' || c2.audit}}]), c2,
+         list_min([d, {{'cost': 3 + c.cost, 'audit': 'I' || c.audit}}])
+  FROM (
+    SELECT g, i, a, b, c, d, list_min([c, {{'cost': 3 + d.cost, 'audit': 'I' || d.audit}}]) AS c2
+    FROM (
+      SELECT w.g, w.i - 1 AS i, {", ".join(f"""
+        list_min([{{'cost': 4 + w.{s}.cost, 'audit': 'D' || w.{s}.audit}},
+          {"".join(f"CASE WHEN j.fault NOT IN ('b', 'd') AND left(j.role, 1) = '{r}' THEN {{'cost': m + w.{t}.cost, 'audit': 'K' || w.{t}.audit}} END, " for r, t in goes.items())}
+          CASE WHEN j.fault NOT IN ('b', 'd') THEN {{'cost': m + 3 + w.{w}.cost, 'audit': 'R' || w.{w}.audit}} END]) AS {s}"""
+        for s, goes, w in (("a", {"s": "b", "u": "c"}, "c"), ("b", {"u": "c"}, "c"), ("c", {"a": "d"}, "d"), ("d", {"u": "c"}, "c")))}
+      FROM walk w JOIN (SELECT *, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS m FROM judged) j ON j.g = w.g AND j.i = w.i))),
+best AS (SELECT g, a.cost AS cost, a.audit AS audit FROM walk WHERE i = 0),
+edits AS (
+  SELECT g, p, substring(audit, p, 1) AS e, length(replace(substring(audit, 1, p), 'I', '')) AS at,
+         length(replace(audit, 'D', '')) - length(replace(substring(audit, 1, p), 'D', '')) AS behind
+  FROM (SELECT g, audit, unnest(range(1, length(audit) + 1)) AS p FROM best)),
+repaired AS (
+  SELECT e.g, string_agg(
+    CASE WHEN e.e = 'K' THEN j.role WHEN behind % 2 = 0 THEN 'assistant' ELSE 'user' END
+      || ':' || CASE WHEN e.e = 'I' THEN '' ELSE j.txt END, chr(10) ORDER BY p) AS lines
+  FROM edits e LEFT JOIN judged j ON j.g = e.g AND j.i = e.at WHERE e.e <> 'D' GROUP BY e.g)
+SELECT ids.c AS conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM ids LEFT JOIN figures f ON f.g = ids.g LEFT JOIN best b ON b.g = ids.g LEFT JOIN repaired r ON r.g = ids.g
+"""
+
+
+@query("op11_turn_repair", SQL_OP11)
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged as the contract says, and their cheapest repairs."""
+    conv = read(spark, sf_dir, "conversations")
+    return repair_report(damage(conv), conv)
+
+
+# ---------------------------------------------------------------- operator 12
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on the first eight whitened components of their covariance."""
+    return whiten(read(spark, sf_dir, "embeddings"))
+
+
 # ---------------------------------------------------------------- operator 13
 @query("op13_fingerprint")
 def op13_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
