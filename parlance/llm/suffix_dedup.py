@@ -7,7 +7,8 @@ transforms are merged by refining the interleave one phrase at a time, where a
 block lists the interval of each shard whose suffixes share the same prefix.
 Blocks of one suffix are dropped, so common prefixes and repeated intervals
 appear without sorting suffixes across shards. The bytes around each repeated
-core then decide every window exactly.
+core then decide every window, by 64-bit hashes inside its block: two different
+windows of a block agree with a chance of 2^-64.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.batches import bounds, mix, powers, whole_groups
+from parlance.llm.batches import bounds, give_back, lean, mix, powers, whole_groups
 from parlance.llm.common import join_aggregate, materialize
 
 LENGTH = 400
@@ -31,6 +33,8 @@ SHARD_ROWS = 200_000  # phrases per shard
 HOT_BLOCK = 50_000  # members beyond which a block is counted window by window
 BROADCAST_KEYS = 1_000_000  # keys of at most 32 bytes
 CONTEXT_BYTES = 8_000_000  # of context in one Arrow batch
+PIECE = 1 << 18  # bytes of a text, or of contexts, hashed at once
+SIGNED_ROWS = 500  # texts in one batch of signatures
 WINDOWS = 500_000  # judged at once, by distance from the anchor
 
 _BYTE = mix(np.arange(256, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
@@ -50,19 +54,12 @@ class Cutter:
         if not 1 <= self.reach <= 254 or span + gram > 255:
             raise ValueError("span must be at most half of length - gram, and fit one byte")
 
-    def cut(self, data: np.ndarray):
-        """(phrase hashes, packed places) of a text, both per anchor but the last.
-
-        A place packs: start q, phrase bytes, q - first and q - last start of the
-        windows anchored here, phrases in the core (0: no whole window).
-        """
-        n = len(data)
-        if n < self.length:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _anchors(self, data: np.ndarray) -> np.ndarray:
+        """The anchor of each start whose ``span`` grams lie in ``data``."""
+        n, g = len(data), self.gram
         power, inverse = powers(n + 1)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * power[:n], out=sums[1:])
-        g = self.gram
         grams = mix((sums[g:] - sums[:-g]) * inverse[: n - g + 1])
         # the upper bits of a gram's hash, then the place counted from the end
         bits, top = np.uint64(31), np.uint64((1 << 31) - 1)
@@ -73,15 +70,46 @@ class Cutter:
             wide *= 2
         if wide < self.span:
             low = np.minimum(low[: len(low) - (self.span - wide)], low[self.span - wide :])
-        at = (top - (low & top)).astype(np.int64)  # anchor of each start
-        last = np.flatnonzero(np.append(at[1:] != at[:-1], True))
-        q = at[last]
+        return (top - (low & top)).astype(np.int64)
+
+    def cut(self, data: np.ndarray):
+        """(phrase hashes, packed places) of a text, both per anchor but the last.
+
+        A place packs: start q, phrase bytes, q - first and q - last start of the
+        windows anchored here, phrases in the core (0: no whole window). The text
+        is worked through in pieces that overlap by what an anchor sees, so
+        besides the text a few bytes per byte are held.
+        """
+        n, g = len(data), self.gram
+        if n < self.length:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lasts, anchors = [], []
+        starts = n - g + 1 - (self.span - 1)
+        for a in range(0, starts, PIECE):
+            b = min(a + PIECE, starts)
+            at = a + self._anchors(data[a : b + self.span + g - 2])
+            ends = np.flatnonzero(np.append(at[1:] != at[:-1], True))
+            lasts.append(a + ends)
+            anchors.append(at[ends])
+        last, q = np.concatenate(lasts), np.concatenate(anchors)
+        own = np.append(q[1:] != q[:-1], True)  # an anchor across an edge is one
+        last, q = last[own], q[own]
         first = np.append(0, last[:-1] + 1)
         if len(q) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         end = q[1:] + g
         size = end - q[:-1]
-        phrase = mix((sums[end] - sums[q[:-1]]) * inverse[q[:-1]] + size.astype(np.uint64))
+        phrase = np.empty(len(size), np.uint64)
+        for a in range(0, n, PIECE):
+            i, j = np.searchsorted(q[:-1], (a, a + PIECE))
+            if i < j:
+                part = data[a : end[j - 1]]
+                power, inverse = powers(len(part) + 1)
+                sums = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(_BYTE[part] * power[: len(part)], out=sums[1:])
+                here = q[i:j] - a
+                phrase[i:j] = (sums[end[i:j] - a] - sums[here]) * inverse[here]
+        phrase = mix(phrase + size.astype(np.uint64))
         final = np.minimum(last, n - self.length)
         core = np.searchsorted(last, q + self.reach) - np.arange(len(q))
         core[(final < first) | (q + self.reach > last[-1])] = 0
@@ -103,26 +131,28 @@ def _as_bytes(text: str | None) -> bytes:
 
 def _signer(cutter: Cutter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keys, sizes, phrases, places = [], [], [], []
-            for t in b.column("text"):
-                data = _as_bytes(t.as_py())
-                keys.append(hashlib.sha256(data).digest())
-                sizes.append(len(data))
-                h, p = cutter.cut(np.frombuffer(data, np.uint8))
-                phrases.append(h)
-                places.append(p)
-            off = pa.array(np.cumsum([0, *map(len, phrases)]), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("rid"), b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(off, pa.array(np.concatenate(phrases))),
-                    pa.ListArray.from_arrays(off, pa.array(np.concatenate(places))),
-                ],
-                ["rid", "id", "key", "n", "phrases", "places"],
-            )
+        for whole in batches:
+            for at in range(0, whole.num_rows, SIGNED_ROWS):
+                b = whole.slice(at, SIGNED_ROWS)
+                keys, sizes, phrases, places = [], [], [], []
+                for t in b.column("text"):
+                    data = _as_bytes(t.as_py())
+                    keys.append(hashlib.sha256(data).digest())
+                    sizes.append(len(data))
+                    h, p = cutter.cut(np.frombuffer(data, np.uint8))
+                    phrases.append(h)
+                    places.append(p)
+                off = pa.array(np.cumsum([0, *map(len, phrases)]), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("rid"), b.column("id"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(off, pa.array(np.concatenate(phrases))),
+                        pa.ListArray.from_arrays(off, pa.array(np.concatenate(places))),
+                    ],
+                    ["rid", "id", "key", "n", "phrases", "places"],
+                )
 
-    return run
+    return lean(run)
 
 
 def _having(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
@@ -271,7 +301,9 @@ def refiner(level: int, steps: int):
             block, rank = _key(block[go], col["bwt"][rank[go]]), longer[go]
         rest = _intervals(block, rank).assign(emit=False, shard=shard, rid=0, place=0, stop=0)
         out.append(rest[list(out[0].columns)])
-        return pd.concat(out, ignore_index=True)
+        out = pd.concat(out, ignore_index=True)
+        give_back()
+        return out
 
     return run
 
@@ -349,7 +381,7 @@ def _contexts(cutter: Cutter):
             if out[0]:
                 yield _context_batch(out)
 
-    return run
+    return lean(run)
 
 
 _CONTEXT = "block long, rid long, first long, anchor long, core long, around binary"
@@ -366,15 +398,27 @@ class _Windows:
 
     def __init__(self, t: pa.Table, length: int) -> None:
         self.first, self.anchor, core = (t.column(c).to_numpy() for c in ("first", "anchor", "core"))
-        around = t.column("around").to_pylist()
-        size = np.array([len(a) for a in around], dtype=np.int64)
-        data = np.frombuffer(b"".join(around), np.uint8)
-        power, self.inverse = powers(len(data) + 1)
+        around = t.column("around").combine_chunks()
+        size = np.asarray(pc.binary_length(around), dtype=np.int64)
+        data = np.zeros(0, np.uint8)
+        if size.any():
+            offsets, content = around.buffers()[1:]
+            at = np.frombuffer(offsets, np.int32)[around.offset : around.offset + len(size) + 1]
+            data = np.frombuffer(content, np.uint8)[at[0] : at[-1]]
+        # powers count from each member's own beginning, so a short table serves all
+        power, self.inverse = powers(int(size.max(initial=0)) + 1)
+        self.begin = np.cumsum(size) - size
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * power[: len(data)], out=self.sums[1:])
+        upto = np.uint64(0)
+        cuts = np.searchsorted(self.begin, np.arange(0, len(data) + PIECE, PIECE))
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i < j:
+                a, b = self.begin[i], self.begin[j - 1] + size[j - 1]
+                inside = np.arange(a, b) - np.repeat(self.begin[i:j], size[i:j])
+                self.sums[a + 1 : b + 1] = upto + np.cumsum(_BYTE[data[a:b]] * power[inside])
+                upto = self.sums[b]
         self.part = length - core  # bytes of a window outside the core
         self.count = np.maximum(size - self.part + 1, 0)
-        self.begin = np.cumsum(size) - size
 
     def __len__(self) -> int:
         return int(self.count.sum())
@@ -393,7 +437,7 @@ class _Windows:
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + lo[row]
         at = self.begin[row] + step
         start = self.first[row] + step
-        h = (self.sums[at + self.part[row]] - self.sums[at]) * self.inverse[at]
+        h = (self.sums[at + self.part[row]] - self.sums[at]) * self.inverse[step]
         apart = (self.anchor[row] - start).astype(np.uint64)
         return row, start, mix(h + apart * np.uint64(0x9FB21C651E98DF25))
 
@@ -431,7 +475,7 @@ def _judge(length: int, span: int, most: int):
                 out = _spans(rid[row[twice]], start[twice], length)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["rid", "start", "end"])
 
-    return run
+    return lean(run)
 
 
 def _listed(length: int, span: int, most: int):
@@ -447,7 +491,7 @@ def _listed(length: int, span: int, most: int):
                         [pa.array(c) for c in cols], ["block", "window", "rid", "start"]
                     )
 
-    return run
+    return lean(run)
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -591,7 +635,7 @@ def repeated_strings(
     spans = spans.groupBy("rid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cut = (
         spans.join(keys, "rid").where("copies = 1").select("key", "spans").join(texts, "key")
-        .mapInArrow(_kept, "key binary, runs array<array<bigint>>, n_removed long, kept string")
+        .mapInArrow(lean(_kept), "key binary, runs array<array<bigint>>, n_removed long, kept string")
     )
     copied = keys.where("copies > 1").select("key", F.lit(True).alias("copied"))
     info = cut.join(copied, "key", "full_outer")

@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 from collections import Counter
 
@@ -8,6 +9,8 @@ import pytest
 from llm.cases import DOCS, empty_frame, hard_docs, hard_frame, prose
 from parlance.llm import suffix_dedup as sd
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 
 def brute(texts, length):
     """(removed runs, digest of the rest) per text, by listing all windows."""
@@ -111,3 +114,61 @@ def test_suffix_array_and_rounds():
 def test_parameters_are_checked(bad):
     with pytest.raises(ValueError):
         sd.Cutter(*bad)
+
+
+def test_a_text_is_cut_the_same_in_pieces(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 101, n).astype(np.uint8) for n in (399, 400, 401, 5000, 20_000)]
+    texts += [np.frombuffer(b"abc" * 3000, np.uint8), np.zeros(4000, np.uint8)]
+    whole = [sd.Cutter().cut(t) for t in texts]
+    for piece in (300, 1000, 4096):
+        monkeypatch.setattr(sd, "PIECE", piece)
+        for t, (phrases, places) in zip(texts, whole):
+            got = sd.Cutter().cut(t)
+            assert (got[0] == phrases).all() and (got[1] == places).all() and len(got[0]) == len(phrases)
+
+
+def test_windows_hash_the_same_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    around = [rng.integers(97, 99, n).astype(np.uint8).tobytes() for n in (60, 0, 45, 90, 39, 60)]
+    around[5] = around[0]
+    n = len(around)
+    table = pa.table({
+        "first": pa.array([0] * n, pa.int64()), "anchor": pa.array([70] * n, pa.int64()),
+        "core": pa.array([10] * n, pa.int64()), "around": pa.array(around, pa.binary()),
+    })
+
+    def told(t):
+        row, start, h = sd._Windows(t, 50).hashes(0, 80)
+        return list(zip(row.tolist(), start.tolist(), h.tolist()))
+
+    whole = told(table)
+    assert len(whole) == sum(max(0, len(a) - 39) for a in around)
+    by = {r: [h for x, _, h in whole if x == r] for r in range(n)}
+    assert by[0] == by[5] and by[0] != by[3][:21]
+    monkeypatch.setattr(sd, "PIECE", 32)
+    assert told(table) == whole
+    assert told(pa.concat_tables([table.slice(0, 2), table.slice(2)])) == whole
+
+
+def test_a_very_long_text_takes_bounded_memory():
+    """50 MB in a process of its own: at most 300 MB above what the libraries take."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np\n"
+        "from parlance.llm import suffix_dedup as sd\n"
+        "sd.Cutter().cut(np.zeros(5000, np.uint8))\n"
+        "rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\n"
+        "before = rss()\n"
+        "data = np.random.default_rng(1).integers(97, 123, 50_000_000).astype(np.uint8)\n"
+        "made = rss()\n"
+        "phrases, places = sd.Cutter().cut(data)\n"
+        "print(len(phrases), made - before, rss() - made)\n"
+    )
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout
+    phrases, _, more = out.split()
+    assert int(phrases) > 500_000 and float(more) < 300
