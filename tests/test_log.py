@@ -7,13 +7,14 @@ from parlance.operators.dispatch import dispatch_commands
 from parlance.operators.log import (
     LogLayoutError,
     compact_day,
+    index_batches,
     log_append,
     log_days,
     log_tail,
     log_write_batch,
     read_log,
     read_log_tail,
-    tail_days,
+    tail_files,
 )
 from parlance.sources.declared import SchemaMismatch
 from parlance.session import fresh_path
@@ -81,11 +82,130 @@ def test_tail_goes_back_from_the_newest_day_only_as_far_as_needed(spark, replies
     days = log_days(spark, path)
     assert days == sorted(days, reverse=True) and len(days) > 4
     per_day = {f"log_date={r[0]}": r[1] for r in replies.groupBy(F.to_date("ts")).count().collect()}
-    assert tail_days(spark, path, 0) == []
-    assert tail_days(spark, path, per_day[days[0]]) == days[:1]
-    assert tail_days(spark, path, per_day[days[0]] + 1) == days[:3]
-    assert tail_days(spark, path, 1) == days[:1]
-    assert tail_days(spark, path, 10**9) == days
+
+    def opened(n):
+        return sorted({f.split(f"{path}/")[1].split("/")[0] for f in tail_files(spark, path, n)[0]}, reverse=True)
+
+    assert opened(per_day[days[0]]) == days[:1]
+    assert opened(per_day[days[0]] + 1) == days[:2]
+    assert opened(1) == days[:1]
+    assert opened(10**9) == days
+    assert tail_files(spark, path, 0) == ([], None)
+
+
+@pytest.fixture
+def many_files(spark):
+    """Settings under which a small append still writes many files."""
+    conf = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def one_day(spark, rows, first=0, seed=1):
+    """Replies of one day in no order, many of them at the same time."""
+    line = F.col("id") + first
+    return spark.range(rows).orderBy(F.rand(seed)).select(
+        line.alias("line_id"),
+        (F.lit("2024-03-05 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.floor(line / 7))).alias("ts"),
+        F.lit("v").alias("verb"), F.lit("ok").alias("status"), line.cast("string").alias("reply"),
+    )
+
+
+def tail_of(rows, n):
+    return sorted(rows, key=lambda r: (r["ts"], r["line_id"]), reverse=True)[:n]
+
+
+def test_tail_opens_few_files_of_a_day_of_many(spark, many_files):
+    path = fresh_path(spark, "test-log")
+    log_append(one_day(spark, 6000), path)
+    log_append(one_day(spark, 6000, first=9000, seed=2), path)  # leaves a gap, ends the day
+    log_append(one_day(spark, 300, first=8900, seed=3), path, append_id="late")  # lies across both
+    rows = read_log(spark, path)
+    every, held = len(rows.inputFiles()), rows.collect()
+    assert every > 40
+    for n in (1, 7, 100, 260, 5000, 12_300, 20_000):
+        df = read_log_tail(spark, path, n)
+        assert df.collect() == tail_of(held, n), n
+        if n <= 260:
+            assert len(df.inputFiles()) <= 4, n
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in read_log_tail(spark, path, 100)._jdf.queryExecution().toString()
+
+
+def test_the_scan_of_a_tail_reads_few_files_and_rows(spark, many_files):
+    """Figures of the scan that ran."""
+    path = fresh_path(spark, "test-log")
+    log_append(one_day(spark, 6000), path)
+    df = read_log_tail(spark, path, 100)
+    df.collect()
+    node, scan = df._jdf.queryExecution().executedPlan(), None
+    leaves = node.collectLeaves()
+    scan = next(leaves.apply(i) for i in range(leaves.length()) if "FileScan" in leaves.apply(i).toString())
+    assert scan.metrics().apply("numFiles").value() <= 2
+    assert scan.metrics().apply("numOutputRows").value() <= 600
+
+
+def test_unindexed_batches_are_read_whole(spark, many_files):
+    path = fresh_path(spark, "test-log")
+    log_append(one_day(spark, 3000), path)
+    log_write_batch(one_day(spark, 200, first=2500), path, "stream-a", 0)
+    log_write_batch(one_day(spark, 500, first=10_000), path, "stream-a", 1)
+    held = read_log(spark, path).collect()
+    for n in (1, 100, 600, 3600, 5000):
+        assert read_log_tail(spark, path, n).collect() == tail_of(held, n), n
+    # a batch of the stream alone, no index at all
+    path = fresh_path(spark, "test-log")
+    log_write_batch(one_day(spark, 50), path, "stream-a", 0)
+    assert len(read_log_tail(spark, path, 60).collect()) == 50
+
+
+def test_rewritten_batch_loses_its_index_and_gets_a_new_one(spark, many_files):
+    path = fresh_path(spark, "test-log")
+    log_append(one_day(spark, 2000), path, append_id="load-1")
+    log_append(one_day(spark, 400, first=5000), path, append_id="load-1")
+    assert read_log(spark, path).count() == 400
+    assert [r["line_id"] for r in read_log_tail(spark, path, 3).collect()] == [5399, 5398, 5397]
+    # the same batch without an index, as after a failure before it was written
+    log_write_batch(one_day(spark, 20, first=7000), path, "load-1", 0)
+    assert [r["line_id"] for r in read_log_tail(spark, path, 3).collect()] == [7019, 7018, 7017]
+    assert index_batches(spark, path, [f"{d}/writer=load-1/batch_id=0" for d in log_days(spark, path)]) == 1
+    assert [r["line_id"] for r in read_log_tail(spark, path, 25).collect()] == list(range(7019, 6999, -1))
+
+
+def test_compaction_orders_a_day_and_indexes_it(spark, many_files):
+    path = fresh_path(spark, "test-log")
+    for k in range(6):
+        log_write_batch(one_day(spark, 700, first=700 * k, seed=k), path, "stream-a", k)
+    held = read_log(spark, path).collect()
+    assert compact_day(spark, path, "2024-03-05") == 5
+    assert sorted(read_log(spark, path).collect()) == sorted(held)
+    df = read_log_tail(spark, path, 100)
+    assert df.collect() == tail_of(held, 100)
+    # the stream's newest batch stays as it was written, in no order, and is opened whole
+    assert sum("compact" in f for f in df.inputFiles()) <= 1
+    assert sum("compact" in f for f in read_log(spark, path).inputFiles()) == 24
+    assert sum("compact" in f for f in read_log_tail(spark, path, 800).inputFiles()) <= 3
+
+
+@pytest.mark.parametrize("name", ["append-7", "append-compact-1", "late"])
+def test_a_retried_append_replaces_itself_after_a_compaction(spark, name):
+    rows = one_day(spark, 3)
+    path = fresh_path(spark, "test-log")
+    log_append(rows, path, append_id=name)
+    log_append(one_day(spark, 2, first=50), path)
+    assert read_log(spark, path).count() == 5
+    compact_day(spark, path, "2024-03-05")
+    log_append(rows, path, append_id=name)
+    assert sorted(r["line_id"] for r in read_log(spark, path).collect()) == [0, 1, 2, 50, 51]
+
+
+def test_callers_cannot_name_an_anonymous_writer(spark):
+    for name in ("+append-1", "", "a/b", "a=b"):
+        with pytest.raises(ValueError):
+            log_append(one_day(spark, 1), fresh_path(spark, "test-log"), append_id=name or "+")
 
 
 def test_log_is_partitioned_by_day(spark, replies):
