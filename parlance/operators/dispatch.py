@@ -36,10 +36,11 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from parlance.functions.commands import key_of
+from parlance.operators.answers import Answers
 from parlance.operators.catalogue import (  # noqa: F401 - re-exported
     CATALOGUE_BROADCAST_MAX,
     MAX_VERB_LENGTH,
@@ -94,11 +95,20 @@ _HBODY = "__p_hot_body"
 _SHARD = "__p_shard"
 
 
-def _answers(lookups: DataFrame) -> DataFrame:
-    """One row per ``(verb, key)``: how many lookup rows it has, and the least body."""
-    return lookups.groupBy(F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY)).agg(
-        F.count(F.lit(1)).alias(_N), F.min("body").alias(_BODY)
-    )
+def _answers(lookups: DataFrame | Answers, wanted=None) -> DataFrame:
+    """One row per ``(verb, key)``: how many lookup rows it has, and the least body.
+
+    ``wanted`` narrows a frame of (verb, key, ...) to the rows asked for, before they
+    are aggregated; a written table of answers is aggregated already.
+    """
+    ready = isinstance(lookups, Answers)
+    side = lookups.frame if ready else lookups.select("verb", "key", "body")
+    side = side.withColumnsRenamed({"verb": _JVERB, "key": _JKEY, "body": _BODY, "n": _N})
+    if wanted is not None:
+        side = wanted(side)
+    if ready:
+        return side
+    return side.groupBy(_JVERB, _JKEY).agg(F.count(F.lit(1)).alias(_N), F.min(_BODY).alias(_BODY))
 
 
 def _shard_of() -> Column:
@@ -145,7 +155,7 @@ def _key_filter(rows) -> Column:
 
 
 def _requested_answers(
-    keyed: DataFrame, lookups: DataFrame, max_keys: int, max_bytes: int
+    keyed: DataFrame, lookups: DataFrame | Answers, max_keys: int, max_bytes: int
 ) -> tuple[DataFrame, bool] | None:
     """The lookup rows for the keys the lines ask for, one row per key, and
     whether they are small enough to broadcast; ``None`` when more than
@@ -170,27 +180,24 @@ def _requested_answers(
     n = requested.count()
     if n > max_keys:
         return None
-    side = lookups.select(
-        F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
-    )
-    if n <= KEYS_IN_LIST_MAX:
-        hits = side.filter(_key_filter(requested.collect()))
-    else:
-        requested = requested.checkpoint(eager=True)
-        # Inner join on distinct keys (a semi-join in effect). A left_semi
-        # here would be pushed into each branch of a lookup union and
-        # recompute the requested keys once per branch.
-        hits = side.join(F.broadcast(requested), on=[_JVERB, _JKEY], how="inner")
-    answers = hits.groupBy(_JVERB, _JKEY).agg(
-        F.count(F.lit(1)).alias(_N), F.min(_BODY).alias(_BODY)
-    )
-    answers = answers.checkpoint(eager=True)
+    answers = _answers(lookups, _only(requested, n)).checkpoint(eager=True)
     size = answers.agg(F.sum(_row_bytes(_JVERB, _BODY)).alias("bytes")).first()["bytes"] or 0
     return answers, size <= max_bytes
 
 
-def _unique_guard(n: Column, body: Column, verb: Column, key: Column | None = None) -> Column:
-    """``body``, or a job failure when the key had ``n`` > 1 lookup rows."""
+def _only(keys: DataFrame, n: int):
+    """A narrowing to ``n`` distinct keys: as literals, or many by a broadcast."""
+    if n <= KEYS_IN_LIST_MAX:
+        cond = _key_filter(keys.collect())
+        return lambda side: side.filter(cond)
+    keys = keys.checkpoint(eager=True)
+    # Inner join on distinct keys (a semi-join in effect). A left_semi here would be
+    # pushed into each branch of a lookup union and recompute the keys once per branch.
+    return lambda side: side.join(F.broadcast(keys), on=[_JVERB, _JKEY], how="inner")
+
+
+def _unique_guard(n: Column, code: Column, verb: Column, key: Column | None = None) -> Column:
+    """``code``, or a job failure when the key had ``n`` > 1 lookup rows."""
     where = [F.lit("lookup key ("), verb]
     if key is not None:
         where += [F.lit(", "), key.cast("string")]
@@ -198,12 +205,12 @@ def _unique_guard(n: Column, body: Column, verb: Column, key: Column | None = No
         n > 1,
         F.raise_error(
             F.concat(*where, F.lit(") has "), n.cast("string"), F.lit(" rows; keys must be unique"))
-        ),
-    ).otherwise(body)
+        ).cast("int"),
+    ).otherwise(code)
 
 
 def _hot_key_answers(
-    keyed: DataFrame, lookups: DataFrame, min_lines: int, max_keys: int, max_bytes: int
+    keyed: DataFrame, lookups: DataFrame | Answers, min_lines: int, max_keys: int, max_bytes: int
 ) -> DataFrame | None:
     """Every key asked for by at least ``min_lines`` lines, with its answer
     (or none), one row per key; ``None`` when there is no such key, or, with
@@ -234,16 +241,7 @@ def _hot_key_answers(
     if n == 0 or n > max_keys:
         return None
     hot = hot.checkpoint(eager=True)
-    side = lookups.select(
-        F.col("verb").alias(_JVERB), F.col("key").alias(_JKEY), F.col("body").alias(_BODY)
-    )
-    if n <= KEYS_IN_LIST_MAX:
-        found = side.filter(_key_filter(hot.collect()))
-    else:
-        found = side.join(F.broadcast(hot), on=[_JVERB, _JKEY], how="inner")
-    hits = found.groupBy(_JVERB, _JKEY).agg(
-        F.count(F.lit(1)).alias(_HN), F.min(_BODY).alias(_HBODY)
-    )
+    hits = _answers(lookups, _only(hot, n)).withColumnsRenamed({_N: _HN, _BODY: _HBODY})
     table = (
         hot.join(hits, on=[_JVERB, _JKEY], how="left")
         .withColumn(_HOT, F.lit(True))
@@ -262,7 +260,7 @@ def _hot_key_answers(
 def dispatch_commands(
     lines: DataFrame,
     catalogue: Catalogue | DataFrame,
-    lookups: DataFrame,
+    lookups: DataFrame | Answers,
     *,
     line_col: str = "line",
     strategy: str = "auto",
@@ -275,8 +273,10 @@ def dispatch_commands(
     """Answer every line: ``(line_id, ts, verb, status, reply)``.
 
     ``lines`` needs ``line_id``, ``ts`` and ``line_col``. ``lookups`` is
-    ``(verb, key, body)``. ``reply`` is the looked up body for ``ok`` lines and
-    the status text for every other line. There is one row per line, always.
+    ``(verb, key, body)``, or a written table of their answers (``AnswerTable``),
+    which is joined as it is, by broadcast where its measured size allows. ``reply``
+    is the looked up body for ``ok`` lines and the status text for every other line.
+    There is one row per line, always.
 
     ``strategy`` picks the lookup join; rows and errors are the same in all:
 
@@ -289,7 +289,8 @@ def dispatch_commands(
       hint (AQE decides) beyond ``keys_broadcast_max_bytes``.
 
     ``check_unique``: a line that asks for a key with several lookup rows fails
-    the job. Without it such a line gets the least of the bodies.
+    the job, whether its status is read or its reply. Without it such a line gets
+    the least of the bodies.
 
     ``hot_key_lines``: split hot keys without relying on AQE. Keys asked for by
     at least this many lines are answered first from a broadcast (see
@@ -321,7 +322,8 @@ def dispatch_commands(
             ),
         }
     )
-    bucketed = is_bucketed(lookups)
+    ready = isinstance(lookups, Answers)
+    bucketed = not ready and is_bucketed(lookups)
     if hot_key_lines is None and bucketed and not lines.isStreaming:
         hot_key_lines = "auto"
     if hot_key_lines == "auto":
@@ -356,38 +358,44 @@ def dispatch_commands(
         side = F.broadcast(answers) if small else answers
     else:
         side, on = _answers(lookups), [_JVERB, _JKEY]
-        if not bucketed:
+        if ready and strategy != "shuffle" and lookups.fits():
+            side = F.broadcast(side)
+        elif not bucketed and not ready:
             on = [*on, _SHARD]
             side = side.withColumn(_SHARD, _shard_of())
             keyed = keyed.withColumn(_SHARD, _shard_of())
         if strategy == "shuffle":
             side = side.hint("merge")
     joined = keyed.join(side, on=on, how="left")
-    matched = F.col(_N).isNotNull()
-    body = F.col(_BODY)
-    if check_unique:
-        body = _unique_guard(F.col(_N), body, F.col(_JVERB), F.col(_JKEY))
+    n, body, ok = F.col(_N), F.col(_BODY), F.lit(_CODES[OK])
+    # The guard is part of the code, so that status and reply both carry it.
+    answered = F.when(n.isNotNull(), _unique_guard(n, ok, F.col(_JVERB), F.col(_JKEY)) if check_unique else ok)
     if hot is not None:
-        is_hot = F.col(_HOT).isNotNull()
-        matched = F.when(is_hot, F.col(_HN).isNotNull()).otherwise(matched)
-        hot_body = F.col(_HBODY)
-        if check_unique:
-            hot_body = _unique_guard(F.col(_HN), hot_body, F.col("verb"))
-        body = F.when(is_hot, hot_body).otherwise(body)
-    code = F.coalesce(
-        F.col(_PRE),
-        F.when(matched, F.lit(_CODES[OK])).otherwise(F.lit(_CODES[NOT_FOUND])),
-    )
+        is_hot, n = F.col(_HOT).isNotNull(), F.col(_HN)
+        hot_ok = F.when(n.isNotNull(), _unique_guard(n, ok, F.col("verb")) if check_unique else ok)
+        answered = F.when(is_hot, hot_ok).otherwise(answered)
+        body = F.when(is_hot, F.col(_HBODY)).otherwise(body)
+    code = F.coalesce(F.col(_PRE), answered, F.lit(_CODES[NOT_FOUND]))
     status = _status_text(code)
     return joined.select(
         "line_id",
         "ts",
         "verb",
         status.alias("status"),
-        F.when(code == F.lit(_CODES[OK]), body).otherwise(status).alias("reply"),
+        F.when(code == ok, body).otherwise(status).alias("reply"),
     )
 
 
+def observe_statuses(replies: DataFrame, to: Observation | str) -> DataFrame:
+    """``replies``, counting its lines per status as they pass: no job of its own.
+
+    After the first action an ``Observation`` has one number per status, and
+    ``lines``; a name serves a stream, whose progress reports then hold them.
+    """
+    per = [F.count_if(F.col("status") == s).alias(s) for s in STATUSES]
+    return replies.observe(to, F.count(F.lit(1)).alias("lines"), *per)
+
+
 def unknown_commands(
     lines: DataFrame, catalogue: Catalogue | DataFrame, *, line_col: str = "line"
 ) -> DataFrame:
