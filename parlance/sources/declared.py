@@ -8,8 +8,11 @@ accepted. So every file's schema is compared with the declared one first
 
 from __future__ import annotations
 
+import re
+import warnings
+from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from urllib.parse import unquote, urlparse
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,60 +73,87 @@ def conform(df: DataFrame, declared: T.StructType | str, what: str = "table") ->
     return df.to(declared)
 
 
-# Up to this many files, each one's schema is read by a small Spark job of its own.
-FOOTERS_AT_ONCE = 16
-FILES_PER_TASK = 64
+# Schemas that Spark infers at the same time, each by a small job of its own.
+SCHEMAS_AT_ONCE = 16
 
 
-def _footer_print(file: str, fmt: str) -> str | None:
-    """What a footer says about the schema, as text; None if it cannot be opened here."""
-    from pyarrow import fs, orc, parquet
+def data_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``: names of the data files under ``path``, as Spark's readers list them,
+    found and kept on the executors. Files without rows are among them; no content is read."""
+    return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"))
+
+
+def _footer_print(file: str, fmt: str) -> tuple[str | None, str | None]:
+    """(what a footer says about the schema, as text, None); or (None, why not)."""
+    from pyarrow import ArrowException, fs, orc, parquet
 
     try:
-        store, path = fs.FileSystem.from_uri(file)
+        if file.startswith("file:"):
+            store, path = fs.LocalFileSystem(), "/" + file[len("file:"):].lstrip("/")
+        else:
+            store, path = fs.FileSystem.from_uri(file)
         with store.open_input_file(path) as f:
             if fmt == "orc":
-                return str(orc.ORCFile(f).schema)
+                return str(orc.ORCFile(f).schema), None
             meta = parquet.read_metadata(f)
             own = (meta.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
             tree = str(meta.schema).partition("\n")[2]  # its first line names the Python object
-            return f"{tree}{own.decode()}"
-    except Exception:  # noqa: BLE001 - a store this reader does not know, or may not read
-        return None
-
+            return f"{tree}{own.decode()}", None
+    except (OSError, ArrowException, ValueError) as e:
+        # a store this reader does not know, or a file it cannot read
+        return None, f"{type(e).__name__}: {e}"[:200]
 
-def one_file_per_footer(spark: SparkSession, files: list[str], fmt: str) -> list[str]:
-    """Files that stand for all: one for each distinct footer schema.
 
-    The footers are read on the executors, and one row per distinct schema comes
-    back. If some file cannot be read that way, all files stand for themselves.
-    """
-    if len(files) <= FOOTERS_AT_ONCE:
-        return files
+def footer_prints(spark: SparkSession, path: str, fmt: str) -> DataFrame:
+    """``file, print, why``: one row per file, its footer read where its name is listed."""
 
     def prints(frames):
         for f in frames:
-            yield f.assign(print=[_footer_print(x, fmt) for x in f["file"]])
+            got = [_footer_print(x, fmt) for x in f["file"]]
+            yield f.assign(print=[g[0] for g in got], why=[g[1] for g in got])
+
+    return data_files(spark, path).mapInPandas(prints, "file string, print string, why string")
+
+
+def one_file_per_footer(spark: SparkSession, path: str, fmt: str) -> Iterator[str]:
+    """Files that stand for all under ``path``: one for each distinct footer schema.
+
+    One job lists the files, reads their footers on the executors and returns a row
+    per distinct schema. Files that cannot be opened there stand for themselves; a
+    warning says how many and why, and their names come one after the other.
+    """
+    prints = footer_prints(spark, path, fmt)
+    shut = None
+    seen = prints.groupBy("print").agg(F.min("file").alias("file"), F.min("why").alias("why"), F.count(F.lit(1)).alias("n"))
+    for r in sorted(seen.collect(), key=lambda r: r["file"]):
+        if r["print"] is None:
+            shut = r
+        else:
+            yield r["file"]
+    if shut:
+        warnings.warn(
+            f"{shut['n']} footers are read by Spark jobs of their own; the first is {shut['file']}: {shut['why']}",
+            stacklevel=2,
+        )
+        yield from (r["file"] for r in prints.where("print is null").select("file").toLocalIterator())
+
 
-    tasks = -(-len(files) // FILES_PER_TASK)
-    listed = spark.createDataFrame([(f,) for f in files], "file string").repartition(tasks)
-    seen = listed.mapInPandas(prints, "file string, print string")
-    rows = seen.groupBy("print").agg(F.min("file").alias("file")).collect()
-    if any(r["print"] is None for r in rows):
-        return files
-    return sorted(r["file"] for r in rows)
+def file_schemas(spark: SparkSession, files: Iterator[str], fmt: str) -> Iterator[tuple[str, T.StructType]]:
+    """Each file's own schema, as Spark reads it from the footer, a few at a time."""
 
+    def schema(file: str) -> tuple[str, T.StructType]:
+        # a name is a pattern to the reader
+        name = re.sub(r"([\[\]{}*?\\])", r"\\\1", file)
+        return file, spark.read.format(fmt).load(name).schema
 
-def file_schemas(spark: SparkSession, files: list[str], fmt: str) -> dict[str, T.StructType]:
-    """Each file's own schema, as Spark reads it from the footer."""
-    with ThreadPoolExecutor(FOOTERS_AT_ONCE) as pool:
-        found = pool.map(lambda f: spark.read.format(fmt).load(f).schema, files)
-        return dict(zip(files, found))
+    with ThreadPoolExecutor(SCHEMAS_AT_ONCE) as pool:
+        while some := list(islice(files, SCHEMAS_AT_ONCE)):
+            yield from pool.map(schema, some)
 
 
 def _partition_names(file: str) -> list[str]:
     """Names of the ``name=value`` folders above a file."""
-    folders = unquote(urlparse(file).path).split("/")[:-1]
+    folders = file.split("/")[:-1]
     return [f.split("=", 1)[0] for f in folders if "=" in f]
 
 
@@ -139,10 +169,11 @@ def declared_scan(
     Every file is checked: a missing, extra, reordered or mistyped column in any
     of them raises and names the file. Files may mix int and bigint where bigint
     is declared. Columns that come from ``name=value`` folders are checked on the
-    table as a whole. The footers of many files are read by one job on the
+    table as a whole. One job lists the files and reads their footers on the
     executors, and Spark then infers one schema per distinct footer
-    (:func:`one_file_per_footer`). ``all_files=False`` checks only the one footer
-    Spark opens anyway, for tables whose writer is trusted.
+    (:func:`one_file_per_footer`); no list of files passes through Python on the
+    driver. ``all_files=False`` checks only the one footer Spark opens anyway, for
+    tables whose writer is trusted.
 
     The result is an ordinary lazy scan: later filters and projections still
     reach the file reader as pushed filters and a pruned read schema.
@@ -152,14 +183,13 @@ def declared_scan(
     declared = as_struct(schema)
     df = spark.read.format(fmt).load(path)
     checked = conform(df, declared, path)
-    files = df.inputFiles() if all_files else []
-    if len(files) < 2:
+    # the number of files alone: their names stay in the JVM
+    if not all_files or len(df._jdf.inputFiles()) < 2:
         return checked
-    folders = set(_partition_names(files[0])) & set(declared.fieldNames())
-    inside = T.StructType([f for f in declared.fields if f.name not in folders])
     distinct = set()
-    for file, found in file_schemas(spark, one_file_per_footer(spark, files, fmt), fmt).items():
-        check_schema(found, inside, file)
+    for file, found in file_schemas(spark, one_file_per_footer(spark, path, fmt), fmt):
+        folders = set(_partition_names(file)) & set(declared.fieldNames())
+        check_schema(found, T.StructType([f for f in declared.fields if f.name not in folders]), file)
         distinct.add(tuple(f.dataType.simpleString() for f in found.fields))
     if len(distinct) == 1:
         return checked
