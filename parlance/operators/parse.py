@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.functions.commands import args_of, tokens, verb_of
+from parlance.functions.commands import SEPARATOR_PATTERN, args_of, tokens, verb_of
 
 _TOKENS = "__parlance_tokens"
 
@@ -25,3 +27,25 @@ def parse_commands(df: DataFrame, col: str = "line") -> DataFrame:
     return with_tokens.withColumns(
         {"verb": verb_of(F.col(_TOKENS)), "args": args_of(F.col(_TOKENS))}
     ).drop(_TOKENS)
+
+
+def register_parse(spark: SparkSession, name: str = "parse_command") -> None:
+    """Make ``name(line)`` a table function of this session's SQL: one row ``verb, args``.
+
+    For use beside the lines, over any query, unions too::
+
+        SELECT l.line_id, p.verb, p.args FROM lines l, LATERAL parse_command(l.line) p
+
+    It is a projection as in :func:`parse_commands`, with the same rows: a lateral
+    row without a table behind it costs no join.
+    """
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
+        raise ValueError(f"not a plain function name: {name!r}")
+    # parameters cannot be bound in a function's body; the pattern is the library's own
+    pattern = SEPARATOR_PATTERN.encode("unicode_escape").decode()
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(line STRING)
+        RETURNS TABLE (verb STRING, args ARRAY<STRING>)
+        RETURN SELECT lower(get(t, 0)), slice(t, 2, greatest(size(t) - 1, 0))
+        FROM (SELECT array_remove(split(line, '{pattern}'), '') AS t)"""
+    )

@@ -66,3 +66,40 @@ def test_rejects_clashing_columns(spark):
     df = lines_df(spark, ["a b"]).withColumnRenamed("ts", "verb")
     with pytest.raises(ValueError):
         parse_commands(df)
+
+
+# ---------------------------------------------------------------- SQL table function
+def test_table_function_equals_parse_over_a_union(spark):
+    from conftest import SF01
+    from parlance.fixtures import load_lines
+    from parlance.operators.parse import register_parse
+
+    register_parse(spark)
+    edge = lines_df(spark, ["", None, "  ", "A  b\tC", "\x0bv x", " a", "b\r\nc\fd", "БАН 1", "it's \\t"])
+    first, second = load_lines(spark, SF01), edge
+    first.createOrReplaceTempView("tf_first")
+    second.createOrReplaceTempView("tf_second")
+    got = spark.sql(
+        """SELECT l.line_id, l.line, p.verb, p.args
+        FROM (SELECT * FROM tf_first UNION ALL SELECT * FROM tf_second) l, LATERAL parse_command(l.line) p"""
+    )
+    want = parse_commands(first.unionByName(second)).select("line_id", "line", "verb", "args")
+    assert got.count() == 10_009
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_two_table_functions_in_one_query(spark):
+    from parlance.operators.parse import register_parse
+
+    register_parse(spark, "first_parse")
+    register_parse(spark, "first_parse")  # again: replaced
+    lines_df(spark, ["A b", "c"]).createOrReplaceTempView("tf_two")
+    rows = spark.sql(
+        """SELECT l.line_id, p.verb, q.verb AS arg FROM (SELECT * FROM tf_two UNION ALL SELECT * FROM tf_two) l,
+        LATERAL first_parse(l.line) p, LATERAL first_parse(p.args[0]) q WHERE l.line_id = 0"""
+    ).collect()
+    assert [tuple(r) for r in rows] == [(0, "a", "b")] * 2
+    with pytest.raises(ValueError):
+        register_parse(spark, "a b")
