@@ -1,8 +1,8 @@
 """Operator 5: language identification with a blended-spectrum presence kernel.
 
 k(x, y) counts the byte n-grams (n = 1..3, ASCII lower-cased) present in both
-texts, divided by the root of both texts' own counts. Landmark texts give the
-Nyström features; one-versus-rest kernel ridge regression is solved on them.
+texts, divided by the root of both texts' own counts; n-grams of no landmark text
+are left out of all three. Landmark texts give the Nyström features; one-versus-rest kernel ridge regression is solved on them.
 The kernel is a dot product of presence vectors, so a batch of texts is scored
 by one matrix product with the folded weights.
 """
@@ -19,6 +19,7 @@ from parlance.llm.common import materialize
 
 SAMPLE_PER_LANG = 400  # labelled texts the fit uses, lowest id hashes first
 LANDMARKS_PER_LANG = 24
+RANK_BUCKETS = 16  # parts of a label that are ranked apart before the whole
 RIDGE = 1e-3
 SHARPNESS = 8.0  # turns kernel scores into 0..1 by a softmax
 CHUNK = 1 << 21  # text bytes vectorised at once
@@ -140,22 +141,27 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
 
     Rows are eligible if the label and id are not null, the text has a letter
     and crc32 of the id as text, modulo 4, is not 2. Per label the rows of
-    lowest id hash are taken: ids first, so no text is sorted.
+    lowest id hash are taken, told by id, label and a hash of the text, so no text
+    is sorted and no other row of a repeated id is learned from; repeated rows
+    count once. They are ranked in hash buckets of a label first, so a
+    label with a third of all rows is ranked in many tasks.
     """
     spark = docs.sparkSession
-    sample = docs.where(
-        F.col(lang_col).isNotNull() & has_letter(F.col(text_col)) & ~held_out(F.col(id_col))
-        & F.col(id_col).isNotNull()
-    ).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
-    sample = materialize(sample.groupBy("id").agg(F.min("lang").alias("lang"), F.min("rank").alias("rank")),
-                         "langid-ids")
-    # at most per_lang ids a label: bounded, so broadcast
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(
-        F.broadcast(sample), "id"
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("h"),
     )
-    picked = materialize(picked.dropDuplicates(["id"]), "langid-sample")
+    key = ["lang", "id", "h"]
+    sample = rows.where(
+        F.col("lang").isNotNull() & has_letter(F.col("text")) & ~held_out(F.col("id")) & F.col("id").isNotNull()
+    ).select(key).distinct()
+    sample = sample.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(RANK_BUCKETS)))
+    for part in (["lang", "bucket"], ["lang"]):
+        order = W.partitionBy(*part).orderBy(F.xxhash64("id"), "id", "h")
+        sample = sample.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_lang)
+    sample = materialize(sample.drop("bucket"), "langid-ids")
+    # at most per_lang rows a label: bounded, so broadcast
+    picked = materialize(rows.join(F.broadcast(sample), key).dropDuplicates(key), "langid-sample")
 
     def grams(batches):
         for b in batches:
@@ -163,10 +169,10 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(out, pa.binary())], ["id", "g"])
 
     ids = picked.schema["id"].dataType.simpleString()
-    top = picked.where(F.col("rank") <= landmarks_per_lang).select("id", "text")
+    top = picked.where(F.col("rank") <= landmarks_per_lang).orderBy("id", "lang", "h").select("id", "text")
     landmarks = [
         np.frombuffer(r["g"], dtype=np.uint32)
-        for r in top.mapInArrow(grams, f"id {ids}, g binary").orderBy("id").collect()
+        for r in top.mapInArrow(grams, f"id {ids}, g binary").collect()
     ]
     if not landmarks:
         return None
@@ -189,7 +195,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
                 )
 
     got = picked.select("id", "lang", "text").mapInArrow(kernel, f"id {ids}, lang string, k binary")
-    rows = [(r["lang"], np.frombuffer(r["k"])) for r in got.orderBy("id").collect()]
+    rows = [(r["lang"], np.frombuffer(r["k"])) for r in got.orderBy("id", "lang", "k").collect()]
     return fit(rows, landmarks, sorted({lab for lab, _ in rows}), vocabulary)
 
 

@@ -93,3 +93,25 @@ def test_scores_equal_the_kernel_written_out():
     w = np.linalg.solve(phi.T @ phi + li.RIDGE * 12 * np.eye(phi.shape[1]), phi.T @ y)
     best, _ = model.predict(pa.array(texts))
     assert best.tolist() == (phi @ w).argmax(axis=1).tolist()
+
+
+def test_only_labelled_rows_of_a_repeated_id_are_learned(spark):
+    """Ids held twice, once with a label and once without: the order of rows and the
+    unlabelled texts change no prediction."""
+    rows = two_languages()
+    bare = [(i, prose(900 + i, 30, ["zoq", "kvx"]), None, None, 0) for i, *_ in rows]
+    asked = [(1000 + i, prose(500 + i, 20, w), None, None, 0) for i in range(10) for w in (EN, FR, ["zoq", "kvx"])]
+    said = []
+    for r in (rows + asked, rows + bare + asked, bare + rows + asked, rows + rows + bare + asked):
+        frame = spark.createDataFrame(r, DOCS).coalesce(1)
+        model = li.train(frame, "doc_id", "text", "lang")
+        assert b"zoq" not in _grams(model)
+        got = li.language(frame).where("doc_id >= 1000").select("doc_id", "text", "lang_pred", "score").collect()
+        said.append(sorted(map(tuple, got)))
+    assert said[0] == said[1] == said[2] == said[3]
+
+
+def _grams(model):
+    """The model's n-grams of three bytes."""
+    codes = model.vocabulary[model.vocabulary >= 256 + (1 << 16)] - 256 - (1 << 16)
+    return {int(c).to_bytes(3, "big") for c in codes} | {int(c).to_bytes(3, "little") for c in codes}
