@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 # Vertical tab and no-break space are NOT separators.
 SEPARATOR_PATTERN = r"[ \t\r\n\f]+"
 # A lookup key: optional minus sign, then decimal digits, nothing else.
-# \A and \z anchor the whole token in both Java and RE2 regex dialects.
-KEY_PATTERN = r"\A-?[0-9]+\z"
+KEY_CHARACTERS = "0123456789-"
 
 
 def _col(c: str | Column) -> Column:
@@ -43,6 +42,11 @@ def args_of(toks: str | Column) -> Column:
 
 def key_of(args: str | Column, position: int = 0) -> Column:
     """The argument at ``position`` as a bigint, or null when it is missing,
-    not a plain integer, or out of the bigint range."""
+    not a plain integer, or out of the bigint range.
+
+    The cast tells where a minus may stand; that nothing else does (a plus sign,
+    blanks of other kinds) is told without a pattern, as Spark builds no runtime
+    filter from keys that take a regular expression.
+    """
     a = F.get(_col(args), position)
-    return F.when(a.rlike(KEY_PATTERN), a.try_cast("bigint"))
+    return F.when(F.translate(a, KEY_CHARACTERS, "") == "", a.try_cast("bigint"))

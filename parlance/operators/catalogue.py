@@ -128,6 +128,7 @@ class CatalogueSide:
 
     frame: DataFrame
     small: bool
+    entries: tuple[tuple[str, int], ...] | None = None  # of a small one
 
     def join(self, parsed: DataFrame, how: str, arity: str | None = None) -> DataFrame:
         """``parsed`` joined on ``verb``, with the arity under the name given.
@@ -158,11 +159,11 @@ def catalogue_side(spark: SparkSession, catalogue: Catalogue | DataFrame | Catal
     if isinstance(catalogue, CatalogueSide):
         return catalogue
     if isinstance(catalogue, Catalogue):
-        return CatalogueSide(catalogue.to_df(spark), True)
+        return CatalogueSide(catalogue.to_df(spark), True, tuple(catalogue.entries))
     cat = catalogue.select(F.col("verb").cast("string"), F.col("arity").cast("int"))
     head = cat.limit(CATALOGUE_BROADCAST_MAX + 1).collect()
     if len(head) <= CATALOGUE_BROADCAST_MAX:
         # Bounded: validate locally and broadcast the checked list.
-        return CatalogueSide(Catalogue((r["verb"], r["arity"]) for r in head).to_df(spark), True)
+        return catalogue_side(spark, Catalogue((r["verb"], r["arity"]) for r in head))
     _check_large(cat)
     return CatalogueSide(cat, False)

@@ -25,6 +25,9 @@ Plan shape (one output row per input line, always)::
   lookup scan, as literal ``key IN (...)`` filters pushed into the Parquet
   scans or, for many keys, by a broadcast; the answers are checkpointed,
   measured and broadcast back. Neither lookups nor lines are shuffled.
+* ``pruned``: lines that no lookup can answer leave before the join, and those
+  that may be answered are a filter over the scan, from which Spark builds a
+  runtime Bloom filter of the requested keys for the scans of large lookups.
 * ``hot_key_lines`` answers the keys that many lines ask for from a bounded
   broadcast before the main join, for joins where AQE cannot split them.
 * Lines that cannot match (blank, unknown verb, bad arguments) still pass
@@ -79,7 +82,9 @@ HOT_KEYS_MAX = 100_000
 # literals (pushed into the Parquet scans); more go through a broadcast join.
 KEYS_IN_LIST_MAX = 10_000
 HOT_KEY_MIN_LINES = 10_000
-STRATEGIES = ("auto", "shuffle", "keys")
+# Up to this many verbs the ``pruned`` strategy writes the catalogue into the plan.
+PRUNED_VERBS_MAX = 1_000
+STRATEGIES = ("auto", "shuffle", "keys", "pruned")
 
 # Internal column names, prefixed so they cannot clash with user columns.
 _ARITY = "__p_arity"
@@ -257,6 +262,45 @@ def _hot_key_answers(
     return table
 
 
+def _pruned(
+    parsed: DataFrame, entries: tuple[tuple[str, int], ...], lookups: DataFrame | Answers, check_unique: bool
+) -> DataFrame:
+    """Replies in two branches of one lazy plan: lines a lookup may answer, and the rest.
+
+    The catalogue stands in the plan as literals, so the first branch is a filter
+    and a projection over the scan of the lines. That is the shape Spark's optimizer
+    takes for the creation side of a runtime filter: where the lookups' scans are
+    large and the lines are not, by ``spark.sql.optimizer.runtime.bloomFilter.*``,
+    it puts a Bloom filter of the requested keys on each lookup scan, below the
+    aggregation and its shuffle. The second branch is answered without any shuffle.
+    The lines are read once a branch, and once more for the filter.
+    """
+    arity = F.element_at(F.create_map(*[F.lit(x) for e in entries for x in e]), F.col("verb"))
+    known = F.col("verb").isin([v for v, _ in entries])
+    asks = known & (F.size("args") == arity) & key_of("args").isNotNull()
+    asked = parsed.where(asks).withColumns({_JVERB: F.col("verb"), _JKEY: key_of("args")})
+    side, on = _answers(lookups), [_JVERB, _JKEY]
+    if isinstance(lookups, Answers):
+        side = F.broadcast(side) if lookups.fits() else side
+    else:
+        on = [*on, _SHARD]
+        side, asked = side.withColumn(_SHARD, _shard_of()), asked.withColumn(_SHARD, _shard_of())
+    n, ok = F.col(_N), F.lit(_CODES[OK])
+    answered = F.when(n.isNotNull(), _unique_guard(n, ok, F.col(_JVERB), F.col(_JKEY)) if check_unique else ok)
+    code = F.coalesce(answered, F.lit(_CODES[NOT_FOUND]))
+    status = _status_text(code)
+    first = asked.join(side, on=on, how="left").select(
+        "line_id", "ts", "verb", status.alias("status"), F.when(code == ok, F.col(_BODY)).otherwise(status).alias("reply")
+    )
+    other = (
+        F.when(F.col("verb").isNull(), BLANK).when(known, BAD_ARGUMENTS).otherwise(UNKNOWN_COMMAND)
+    )
+    rest = parsed.where(~F.coalesce(asks, F.lit(False))).select(
+        "line_id", "ts", "verb", other.alias("status"), other.alias("reply")
+    )
+    return first.unionByName(rest)
+
+
 def dispatch_commands(
     lines: DataFrame,
     catalogue: Catalogue | DataFrame,
@@ -288,6 +332,10 @@ def dispatch_commands(
       ``keys_broadcast_max`` distinct keys, and joins the answers without a
       hint (AQE decides) beyond ``keys_broadcast_max_bytes``.
 
+    * ``pruned``: one lazy plan in two branches, for lookups far larger than the
+      lines (see :func:`_pruned`); as ``auto`` beyond ``PRUNED_VERBS_MAX`` verbs.
+      Takes no ``hot_key_lines``.
+
     ``check_unique``: a line that asks for a key with several lookup rows fails
     the job, whether its status is read or its reply. Without it such a line gets
     the least of the bodies.
@@ -310,6 +358,11 @@ def dispatch_commands(
     spark = lines.sparkSession
     cat = catalogue_side(spark, catalogue)
     parsed = parse_commands(lines.select("line_id", "ts", line_col), col=line_col)
+    if strategy == "pruned":
+        if hot_key_lines:
+            raise ValueError("the pruned strategy takes no hot_key_lines")
+        if cat.entries and len(cat.entries) <= PRUNED_VERBS_MAX:
+            return _pruned(parsed, cat.entries, lookups, check_unique)
     staged = classify(parsed, cat)
     eligible = F.col(_PRE).isNull()
     keyed = staged.withColumns(

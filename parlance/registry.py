@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.fixtures import (
@@ -27,15 +27,21 @@ from parlance.fixtures import (
 from parlance.operators.dispatch import (
     dispatch_commands,
     lookup_table,
+    observe_statuses,
     union_lookups,
     unknown_commands,
 )
 from parlance.operators.log import log_append, read_log, read_log_tail
-from parlance.operators.parse import parse_commands
+from parlance.operators.parse import parse_commands, register_parse
 from parlance.plans.sql import sql_query
 from parlance.session import fresh_path
 from parlance.sources.tables import TABLE_SCHEMAS, read_table
-from parlance.streaming.dispatch import read_stream_output, stream_dispatch
+from parlance.streaming.dispatch import (
+    read_appended,
+    read_stream_output,
+    stream_append,
+    stream_dispatch,
+)
 
 # ---------------------------------------------------------------- O2
 # lineitem declared with l_linenumber widened from int to bigint.
@@ -114,12 +120,45 @@ UNION ALL SELECT conv_id, turn, text FROM conversations
 """
 SQL_PARSE_TEXTS = f"WITH {_parsed_sql(_TEXTS_SQL)} SELECT doc_id, turn, verb, args FROM parsed"
 
+
+
+def q_parse_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O4 as a SQL table function, over the union of command lines and whole texts."""
+    register_parse(spark)
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_id"), F.col("text").alias("line"))
+    return sql_query(
+        spark, {"lines": load_lines(spark, sf_dir).select("line_id", "line"), "docs": docs},
+        """SELECT l.line_id, p.verb, p.args
+        FROM (SELECT line_id, line FROM {lines} UNION ALL SELECT line_id, line FROM {docs}) l,
+             LATERAL parse_command(l.line) p""",
+        placeholders=True,
+    )
+
+
+_UNION_SQL = f"SELECT line_id, line FROM ({LINES_SQL}) UNION ALL SELECT doc_id, text FROM documents"
+SQL_PARSE_FUNCTION = f"WITH {_parsed_sql(_UNION_SQL)} SELECT line_id, verb, args FROM parsed"
+
 # ---------------------------------------------------------------- O5
 def q_dispatch_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O5: every line answered from the customer, orders and supplier lookups."""
     return dispatch_commands(load_lines(spark, sf_dir), TEST_CATALOGUE, load_lookups(spark, sf_dir))
 
 
+def q_dispatch_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5 by the strategy for large lookups: requested keys filter the lookup scans."""
+    return dispatch_commands(
+        load_lines(spark, sf_dir), TEST_CATALOGUE, load_lookups(spark, sf_dir), strategy="pruned"
+    )
+
+
+def q_status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O5: lines per status, counted in passing while all replies are logged."""
+    seen = Observation()
+    log_append(observe_statuses(q_dispatch_variants(spark, sf_dir), seen), fresh_path(spark, "reply-log"), ordered=False)
+    rows = [(k, v) for k, v in seen.get.items() if v]
+    return spark.createDataFrame(rows, "status string, lines bigint")
+
+
 def q_dispatch_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O5 over lines of every status: blank, tabbed, with one to three arguments,
     negative and overflowing keys, and a command of two arguments."""
@@ -187,6 +226,11 @@ SQL_DISPATCH_VARIANTS = "WITH " + _replies_sql(
     _parsed_sql(VARIANT_LINES_SQL), _VARIANT_CATALOGUE_SQL, _VARIANT_LOOKUPS_SQL
 ) + " SELECT * FROM replies"
 
+SQL_STATUS_COUNTS = f"""
+SELECT coalesce(status, 'lines') AS status, count(*) AS lines FROM ({SQL_DISPATCH_VARIANTS})
+GROUP BY ROLLUP (status)
+"""
+
 SQL_UNKNOWN_COMMANDS = f"""
 WITH {_PARSED_SQL}, cat AS ({CATALOGUE_SQL})
 SELECT line_id, ts, line, verb FROM parsed
@@ -223,23 +267,33 @@ STREAM_ROWS_PER_FILE = 50_000
 STREAM_FILES_PER_BATCH = 8
 
 
-def q_stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O8: lines land as files in arrival (line_id) order, as many as the rows
-    need; the stream answers them in micro-batches of a few files and stops."""
+def _stream(spark: SparkSession, sf_dir: str, run: Callable) -> str:
+    """Lines land as files in arrival (line_id) order, as many as the rows need;
+    ``run`` answers them in micro-batches of a few files and stops. The output folder."""
     in_dir = fresh_path(spark, "stream-in")
     out_dir = fresh_path(spark, "stream-out")
     ckpt = fresh_path(spark, "stream-ckpt")
     lines = load_lines(spark, sf_dir)
     files = max(2, -(-lines.count() // STREAM_ROWS_PER_FILE))
     lines.repartitionByRange(files, "line_id").write.parquet(in_dir)
-    q = stream_dispatch(
+    q = run(
         spark, in_dir, out_dir, ckpt, TEST_CATALOGUE, load_lookups(spark, sf_dir),
         max_files_per_trigger=max(1, min(STREAM_FILES_PER_BATCH, files // 2)),
     )
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(f"stream failed: {q.exception()}")
-    return read_stream_output(spark, out_dir)
+    return out_dir
+
+
+def q_stream_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O8: lines answered as they arrive, micro-batch by micro-batch, into the log."""
+    return read_stream_output(spark, _stream(spark, sf_dir, stream_dispatch))
+
+
+def q_stream_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O8 by one streaming plan into Spark's file sink."""
+    return read_appended(spark, _stream(spark, sf_dir, stream_append))
 
 
 # ---------------------------------------------------------------- wiring
@@ -254,6 +308,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "log_append": q_log_append,
     "log_tail": q_log_tail,
     "stream_dispatch": q_stream_dispatch,
+    "stream_append": q_stream_append,
+    "dispatch_pruned": q_dispatch_pruned,
+    "status_counts": q_status_counts,
+    "parse_function": q_parse_function,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -267,4 +325,8 @@ ORACLE_SQL: dict[str, str] = {
     "log_append": SQL_DISPATCH_COMMANDS,
     "log_tail": SQL_LOG_TAIL,
     "stream_dispatch": SQL_DISPATCH_COMMANDS,
+    "stream_append": SQL_DISPATCH_COMMANDS,
+    "dispatch_pruned": SQL_DISPATCH_COMMANDS,
+    "status_counts": SQL_STATUS_COUNTS,
+    "parse_function": SQL_PARSE_FUNCTION,
 }

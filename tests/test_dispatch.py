@@ -516,3 +516,75 @@ def test_check_lookups_without_uniqueness_is_a_plain_sum(spark):
     with_unique, without = check_lookups(look), check_lookups(look, unique=False)
     assert with_unique.fits and with_unique.unique is True
     assert without.fits and without.unique is None and without.rows == with_unique.rows
+
+
+# ---------------------------------------------------------------- runtime filter
+RUNTIME_FILTER = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+}
+
+
+def test_large_lookups_get_a_runtime_filter_of_the_requested_keys(spark):
+    from parlance.session import fresh_path
+
+    path = fresh_path(spark, "rf-lines")
+    load_lines(spark, SF01).write.parquet(path)
+    lines, look = spark.read.parquet(path), load_lookups(spark, SF01)
+    want = dispatch_commands(lines, TEST_CATALOGUE, look)
+    few = lines.where("line_id < 40")
+    with _conf(spark, **RUNTIME_FILTER):
+        out = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="pruned")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        # one on each lookup's scan, below the aggregation
+        assert plan.count("might_contain") == 3
+        assert all(plan.index("Aggregate [") < at for at in [plan.index("might_contain")])
+        assert out.exceptAll(want).count() == 0 and want.exceptAll(out).count() == 0
+        some = dispatch_commands(few, TEST_CATALOGUE, look, strategy="pruned")
+        rows = some.collect()
+        leaves = some._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in leaves
+        assert sorted(rows) == sorted(want.where("line_id < 40").collect())
+    # at these sizes the defaults see no use in one
+    plain = dispatch_commands(lines, TEST_CATALOGUE, look, strategy="pruned")
+    assert "might_contain" not in plain._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pruned_equals_auto_on_every_status(spark, monkeypatch):
+    from parlance.fixtures import VARIANT_CATALOGUE, load_variant_lines
+    from parlance.operators import dispatch as d
+
+    lines = load_variant_lines(spark, SF01).unionByName(
+        lines_df(spark, ["", None, "  ", "customer", "customer 1 2", "customer +1", "customer 1-", "customer -", "CUSTOMER 1",
+                         "customer \x0b1", "customer 99999999999999999999", "nothing 1", "customer 007"])
+    )
+    look = load_lookups(spark, SF01)
+    want = dispatch_commands(lines, VARIANT_CATALOGUE, look)
+    for bound in (1000, 0):
+        monkeypatch.setattr(d, "PRUNED_VERBS_MAX", bound)
+        got = dispatch_commands(lines, VARIANT_CATALOGUE, look, strategy="pruned")
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    with pytest.raises(ValueError):
+        dispatch_commands(lines, VARIANT_CATALOGUE, look, strategy="pruned", hot_key_lines=5)
+
+
+def test_pruned_lines_without_an_answer_are_not_shuffled(spark):
+    with _conf(spark, **NO_BROADCAST):
+        out = dispatch_commands(load_lines(spark, SF01), TEST_CATALOGUE, load_lookups(spark, SF01), strategy="pruned")
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+    rest = plan[plan.index("NOT "):] if "NOT " in plan else plan.split("Union")[-1]
+    assert plan.count("SortMergeJoin") == 1 and "Join" not in rest.split("Project")[0]
+
+
+def test_pruned_keeps_the_rule_for_repeated_keys(spark):
+    look = spark.createDataFrame(REPEATED, "verb string, key bigint, body string")
+    cat = Catalogue([("thing", 1), ("other", 1)])
+    ok = dispatch_commands(lines_df(spark, ["thing 2", "thing 3", ""]), cat, look, strategy="pruned")
+    assert [r["reply"] for r in ok.orderBy("line_id").collect()] == ["c", "not_found", "blank"]
+    for col in ("status", "reply"):
+        with pytest.raises(Exception, match="keys must be unique"):
+            dispatch_commands(lines_df(spark, ["thing 1"]), cat, look, strategy="pruned").select(col).collect()
+    loose = dispatch_commands(lines_df(spark, ["thing 1"]), cat, look, strategy="pruned", check_unique=False)
+    assert [r["reply"] for r in loose.collect()] == ["a"]
