@@ -47,3 +47,19 @@ def test_entry_without_the_corpus_package(tmp_path):
     res = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
     assert res.returncode == 0, res.stderr
     assert [x.split() for x in res.stdout.splitlines()] == [sorted(QUERIES)] * 2
+
+
+def test_entry_with_a_corpus_package_that_cannot_be_imported(tmp_path):
+    shutil.copytree(
+        os.path.join(ROOT, "parlance"), tmp_path / "parlance",
+        ignore=lambda folder, names: [n for n in names if n in ("llm", "__pycache__")],
+    )
+    (tmp_path / "parlance" / "llm").mkdir()
+    (tmp_path / "parlance" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "parlance" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()))"
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    res = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert res.returncode == 0 and res.stdout.split() == sorted(QUERIES)
+    assert "a_module_that_is_not_there" in res.stderr
