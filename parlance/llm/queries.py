@@ -82,12 +82,12 @@ def _sql_spans(kind: str) -> str:
 SQL_OP3 = f"""
 WITH docs AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 found AS MATERIALIZED (SELECT doc_id, kind, ko, s, s + len AS e FROM ({" UNION ALL ".join(_sql_spans(k) for k in KINDS)})),
-ids AS (SELECT DISTINCT doc_id, s FROM found WHERE kind IN ('access', 'ident')),
-secrets AS (SELECT DISTINCT doc_id, s FROM found WHERE kind IN ('assign', 'hex', 'key')),
+ids AS (SELECT DISTINCT doc_id, s, e FROM found WHERE kind IN ('access', 'ident')),
+secrets AS (SELECT DISTINCT doc_id, s, e FROM found WHERE kind IN ('assign', 'hex', 'key')),
 judged AS (
   SELECT f.*,
-         EXISTS (SELECT 1 FROM ids x WHERE x.doc_id = f.doc_id AND abs(x.s - f.s) <= {SCOPE}) AS has_id,
-         EXISTS (SELECT 1 FROM secrets x WHERE x.doc_id = f.doc_id AND abs(x.s - f.s) <= {SCOPE}) AS has_se
+         EXISTS (SELECT 1 FROM ids x WHERE x.doc_id = f.doc_id AND greatest(x.s - f.e, f.s - x.e) <= {SCOPE}) AS has_id,
+         EXISTS (SELECT 1 FROM secrets x WHERE x.doc_id = f.doc_id AND greatest(x.s - f.e, f.s - x.e) <= {SCOPE}) AS has_se
   FROM found f),
 kept AS (
   SELECT * FROM judged

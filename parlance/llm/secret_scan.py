@@ -2,8 +2,8 @@
 
 Strong parts (assignments, access ids, hex keys) are always reported. Weak
 parts (account names, long opaque strings, endpoints) are reported only when
-the parts that complete a credential lie in the same scope: starts at most
-``scope`` code points apart in the same document.
+the parts that complete a credential lie in the same scope: intervals with at
+most ``scope`` code points between them, in the same document.
 """
 
 from __future__ import annotations
@@ -71,9 +71,10 @@ def scan_secrets(
     columns, whatever their names, are not read. No rows in, no rows out.
 
     The texts are read once: the matches go to a table in the shared folder,
-    and all linking runs on that. The interval join is on (row, cell of
-    ``scope`` code points) against the least and greatest start of each role in
-    the cell and its two neighbours, which decides it without listing pairs.
+    and all linking runs on that. The interval join is a merge over the parts of a
+    row in order of their starts: of a role's parts that begin no later, the
+    greatest end is nearest (or lies inside), of those that begin no earlier, the
+    least start. That decides it, however long the parts, without listing pairs.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     raw = docs.select(
@@ -88,35 +89,22 @@ def scan_secrets(
     part = (
         raw.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(upto))
         .withColumn("start", F.col("end") - F.col("len"))
-        .withColumn("cell", F.floor(F.col("start") / F.lit(scope)))
         .where(F.col("kind").isNull() | F.col("ok"))
-        .select("row_id", "id", "kind", "start", "end", "cell")
-    )
-    is_id, is_secret = F.col("kind").isin(*IDENTIFIERS), F.col("kind").isin(*SECRETS)
-    cells = (
-        part.where(is_id | is_secret)
-        .groupBy("row_id", "cell")
-        .agg(
-            F.min(F.when(is_id, F.col("start"))).alias("id_lo"),
-            F.max(F.when(is_id, F.col("start"))).alias("id_hi"),
-            F.min(F.when(is_secret, F.col("start"))).alias("se_lo"),
-            F.max(F.when(is_secret, F.col("start"))).alias("se_hi"),
-        )
+        .select("row_id", "id", "kind", "start", "end")
     )
-    weak = part.where(F.col("kind").isNotNull() & ~F.col("kind").isin(*BASE))
-    near = weak.withColumn(
-        "cell", F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    ).join(cells, ["row_id", "cell"])
+    parts = part.where(F.col("kind").isNotNull())
+    before = W.partitionBy("row_id").orderBy("start").rangeBetween(W.unboundedPreceding, W.currentRow)
+    after = W.partitionBy("row_id").orderBy(F.desc("start")).rangeBetween(W.unboundedPreceding, W.currentRow)
 
-    def within(lo: str, hi: str) -> Column:
-        # in the own cell any start is close enough; beyond it the nearer end decides
-        s = F.col("start")
-        d = F.least(F.abs(s - F.col(lo)), F.abs(s - F.col(hi)))
-        return F.coalesce(F.max(d <= scope), F.lit(False))
+    def near(role: Column) -> Column:
+        gap_before = F.col("start") - F.max(F.when(role, F.col("end"))).over(before)
+        gap_after = F.min(F.when(role, F.col("start"))).over(after) - F.col("end")
+        return F.coalesce(gap_before <= scope, F.lit(False)) | F.coalesce(gap_after <= scope, F.lit(False))
 
+    has_id, has_secret = near(F.col("kind").isin(*IDENTIFIERS)), near(F.col("kind").isin(*SECRETS))
     linked = (
-        near.groupBy("row_id", "id", "kind", "start", "end")
-        .agg(within("id_lo", "id_hi").alias("has_id"), within("se_lo", "se_hi").alias("has_se"))
+        parts.select("*", has_id.alias("has_id"), has_secret.alias("has_se"))
+        .where(~F.col("kind").isin(*BASE))
         .where(
             F.when(F.col("kind") == "ident", F.col("has_se"))
             .when(F.col("kind") == "key", F.col("has_id"))

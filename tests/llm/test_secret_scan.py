@@ -6,16 +6,16 @@ from parlance.llm.secret_scan import BASE, IDENTIFIERS, KINDS, SCOPE, SECRETS, s
 
 
 def brute(text):
-    """All reported spans of a text, by Python's re and pairwise distances."""
+    """All reported spans of a text, by Python's re and the gaps of all pairs."""
     text = text or ""
     found = []
     for kind, (pattern, group, least) in KINDS.items():
         for m in re.finditer(pattern, text, re.ASCII):
             if len(m.group(group)) >= least:
                 found.append((m.start(), kind, m.end()))
-    near = lambda s, kinds: any(k in kinds and abs(a - s) <= SCOPE for a, k, _ in found)
+    near = lambda x, kinds: any(k in kinds and max(a - x[2], x[0] - b) <= SCOPE for a, k, b in found)
     needs = {"ident": [SECRETS], "key": [IDENTIFIERS], "endpoint": [IDENTIFIERS, SECRETS]}
-    keep = [x for x in found if x[1] in BASE or all(near(x[0], k) for k in needs[x[1]])]
+    keep = [x for x in found if x[1] in BASE or all(near(x, k) for k in needs[x[1]])]
     return sorted(keep, key=lambda x: (x[0], list(KINDS).index(x[1])))
 
 
@@ -36,6 +36,12 @@ CASES = [
     "A" * 36 + " " + "AKIA" + "Z" * 16 + " https://s3.example.com",
     "A" * 36 + " alone https://s3.example.com",
     "https://u.example.com user: me " + "0a1b" * 10,
+    # the parts follow each other directly, however long one of them is
+    "user: bob, token: " + "x1y2." * 120 + ", https://h.example.com/",
+    "user: bob, token: " + "x1y2." * 120 + " " * (SCOPE - 1) + "https://h.example.com/",
+    "user: bob, token: " + "x1y2." * 120 + " " * SCOPE + "  https://h.example.com/",
+    "secret=https://u.example.com/user=bob",  # parts inside parts
+    "token: abcdef1 " + "-" * 190 + " login: amy " + "+" * 190 + " https://h.example.com/",
 ]
 
 
