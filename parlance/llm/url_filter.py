@@ -95,16 +95,17 @@ def filter_urls(
         .withColumn("u_digest", digest(F.col("u_expr")))
         .withColumn("u_prefix", F.substring("u_digest", 1, prefix_hex))
     )
-    fits = (F.col("u_prefix") == F.col("r_prefix")) & (F.col("u_digest") == F.col("r_digest"))
+    # joined on the short prefix alone; the full digest is confirmed on what meets
+    near = F.col("u_prefix") == F.col("r_prefix")
     if shape["n"] <= BROADCAST_RULES and (shape["longest"] or 0) <= MAX_RULE:
-        hit = exp.join(F.broadcast(r), fits, "left")
+        hit = exp.join(F.broadcast(r), near, "left")
     else:
         exp = exp.withColumn("u_salt", F.pmod(F.col("u_row"), F.lit(SALTS)).cast("int"))
         r = r.withColumn("r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hit = exp.join(r, fits & (F.col("u_salt") == F.col("r_salt")), "left")
+        hit = exp.join(r, near & (F.col("u_salt") == F.col("r_salt")), "left")
     best = F.max(
         F.when(
-            F.col("r_expr").isNotNull(),
+            F.col("u_digest") == F.col("r_digest"),
             F.struct(
                 F.length("r_expr").alias("len"), F.col("r_hl").alias("hl"),
                 (F.col("r_act") == "block").alias("block"), F.col("r_expr").alias("rule"),

@@ -69,3 +69,13 @@ def test_hard_rows(spark):
     assert uf.filter_urls(pages.limit(0), rules).collect() == []
     none = uf.filter_urls(pages, rules.limit(0), default="block").collect()
     assert {r["verdict"] for r in none} == {"block"} and len(none) == 3
+
+
+@pytest.mark.parametrize("bound", [uf.BROADCAST_RULES, 0])
+def test_joined_on_the_short_prefix_alone(spark, monkeypatch, bound):
+    monkeypatch.setattr(uf, "BROADCAST_RULES", bound)
+    pages = spark.createDataFrame([(1, "http://a.example.org/es/1")], "page_id bigint, url string")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    plan = uf.filter_urls(pages, rules)._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join LeftOuter" in x)
+    assert "u_prefix" in join and "digest" not in join
