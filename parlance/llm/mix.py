@@ -79,8 +79,9 @@ def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
     ``hist`` has (__sid, __size, __n). The tilt variable is the size over the
     source's mean size. Each step is one aggregation of the dual's gradient and
     curvature over the histogram for every source; a step that leaves the
-    bracket halves it instead, so it always converges. Sums are of decimals, so
-    the result does not depend on the order of rows.
+    bracket halves it instead, so it always converges; ``MAX_STEPS`` steps that do
+    not get there raise. Sums are of decimals, so the result does not depend on
+    the order of rows.
     """
     means = hist.groupBy("__sid").agg(F.sum("__n").alias("__docs"))
     state = targets.join(means, "__sid").select(
@@ -132,6 +133,8 @@ def solve_dual(hist: DataFrame, targets: DataFrame, cap: int = CAP) -> DataFrame
         if not state.where(~F.col("__done")).limit(1).collect():
             break
         state = state.drop("__done")
+    else:
+        raise RuntimeError(f"the dual of the mixture did not settle in {MAX_STEPS} steps")
     return state.select(
         "__sid", "__mean", F.when(~F.col("__fixed"), F.col("__lam")).alias("__lam")
     )

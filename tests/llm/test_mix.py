@@ -88,3 +88,37 @@ def test_rounding_ends_near_the_wanted_words():
     want = (pdf["__size"] * pdf["__n"] * pdf["__rate"]).sum()
     assert abs((out["__size"] * out["__k"]).sum() - want) <= 0.5
     assert (out["__k"] <= 2 * out["__n"]).all()
+
+
+def test_multipliers_solve_the_dual(spark):
+    """Against bisection on the sum of rates, source by source."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    sizes = {0: [rng.randrange(1, 400) for _ in range(300)], 1: [7] * 50, 2: [1, 5000, 3, 3], 3: [0, 0]}
+    wanted = {0: 0.4, 1: 1.3, 2: 1.9, 3: 2.0}  # of the source's words
+    hist = [(s, z, xs.count(z)) for s, xs in sizes.items() for z in set(xs)]
+    targets = [(s, float(sum(xs)) * wanted[s], sum(xs)) for s, xs in sizes.items()]
+    got = mix.solve_dual(
+        spark.createDataFrame(hist, "__sid long, __size long, __n long"),
+        spark.createDataFrame(targets, "__sid long, __target double, __source_size long"),
+    ).collect()
+    found = {r["__sid"]: (r["__lam"], r["__mean"]) for r in got}
+    assert found[3][0] is None
+    for s, target, total in targets[:3]:
+        lam, mean = found[s]
+        words = lambda x: sum(z * 2 / (1 + math.exp(-x * z / mean)) for z in sizes[s])
+        lo, hi = -150.0, 150.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if words(mid) < target else (lo, mid)
+        assert abs(words(lam) - target) <= 1e-5 * target
+        assert abs(lam - lo) <= 1e-3 * max(1, abs(lo))
+
+
+def test_a_dual_that_does_not_settle_raises(spark, monkeypatch):
+    monkeypatch.setattr(mix, "MAX_STEPS", 1)
+    rows = [(i, prose(i, 5 + i), "en", "ab"[i % 2], 0) for i in range(20)]
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mix.mix_sources(spark.createDataFrame(rows, DOCS))
