@@ -53,8 +53,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a twentieth of their words in hits go."""
-    hits = with_hits(docs, read(spark, sf_dir, "benchmark"), out="__hits")
-    return hits.where(~is_contaminated("__hits")).select(docs.columns)
+    hits = with_hits(_wrapped(docs, "text"), read(spark, sf_dir, "benchmark"), out="__hits")
+    return hits.where(~is_contaminated("__hits")).select("__doc.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

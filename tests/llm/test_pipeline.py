@@ -54,6 +54,18 @@ def test_stages_take_hard_rows_and_empty_tables(spark):
         assert stage(spark, empty_frame(spark), SF001).collect() == [], name
 
 
+def test_stages_keep_columns_with_names_used_inside(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    inside = ("__hits", "__pred", "__row", "__rank", "__h", "__src", "__doc_", "mix_size", "lang_pred", "hits")
+    clashing = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in inside})
+    for name, stage in cp.STAGES[:-1]:
+        plain, got = stage(spark, docs, SF001), stage(spark, clashing, SF001)
+        assert got.columns == clashing.columns, name
+        rows = got.collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in plain.collect()), name
+        assert all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in inside), name
+
+
 def test_every_operator_has_a_query():
     assert {n.split("_")[0] for n in q.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(q.ORACLE_SQL) <= set(q.QUERIES)
