@@ -157,3 +157,54 @@ def test_audit_grows_until_rows_with_links_are_found(spark, monkeypatch):
     reps, true = _linked_pairs(spark, 0, 4, 120)
     found = spark.createDataFrame([(i, 0) for i in true], "rep long, n long")
     assert vg._audit(spark, reps, found, 0.93) == 0
+
+
+def test_audit_meets_few_linked_rows_among_many(spark, monkeypatch):
+    """Ten pairs among 600 rows, and a sample of 16: none may be met by chance, but the
+    rows with a near neighbour are sampled then."""
+    monkeypatch.setattr(vg, "AUDIT_ROWS", 4)
+    monkeypatch.setattr(vg, "AUDIT_MOST", 16)
+    reps, true = _linked_pairs(spark, 0, 10, 580)
+    assert {r["rep"] for r in vg._near_others(reps).collect()} >= set(range(20))
+    assert vg._near_others(reps).count() < 100
+    lost = spark.createDataFrame([(i, 0) for i in true], "rep long, n long")
+    whole = spark.createDataFrame(list(true.items()), "rep long, n long")
+    half = spark.createDataFrame([(i, n * (i % 4 < 2)) for i, n in true.items()], "rep long, n long")
+    with pytest.warns(UserWarning, match="recall audited on"):
+        assert vg._audit(spark, reps, lost, 0.93) == 0
+        assert vg._audit(spark, reps, whole, 0.93) == 1
+        assert 0.1 < vg._audit(spark, reps, half, 0.93) < 0.9
+
+
+def test_recall_without_links_is_not_assumed(spark, monkeypatch):
+    monkeypatch.setattr(vg, "AUDIT_ROWS", 4)
+    monkeypatch.setattr(vg, "AUDIT_MOST", 16)
+    reps, true = _linked_pairs(spark, 0, 0, 60)
+    found = spark.createDataFrame([(i, 0) for i in true], "rep long, n long")
+    with pytest.warns(UserWarning, match="on 0 rows"):
+        assert vg._audit(spark, reps, found, 0.93) is None
+    monkeypatch.setattr(vg, "AUDIT_MOST", 100)  # the whole table: there is no link to lose
+    assert vg._audit(spark, reps, found, 0.93) == 1.0
+
+
+def test_range_search_of_a_hot_group_takes_bounded_memory():
+    """A pair of blocks of near copies, in a process of its own."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import resource, numpy as np\n"
+        "from parlance.llm import vector_graph as vg\n"
+        "rng = np.random.default_rng(1)\n"
+        "x = vg.unit(rng.normal(size=64) + 0.02 * rng.normal(size=(8192, 64)))\n"
+        "adj = vg.robust_prune(x)\n"
+        "rss = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024\n"
+        "before = rss()\n"
+        "a, b = next(vg.range_search(x, adj, 0.93, vg.medoids(x)))\n"
+        "print(len(a), before, rss())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root).stdout
+    links, before, peak = map(float, out.split())
+    assert links == 512 * 8191 and peak < 600
