@@ -87,6 +87,19 @@ def test_keys_too_many_to_broadcast(spark, monkeypatch):
     check(spark, [*texts, texts[0]], 48, gram=4, span=12)
 
 
+def test_no_row_is_written_to_two_tables(spark, monkeypatch):
+    """Members stay in the tables of their rounds, texts beside their members."""
+    names, write = [], sd.materialize
+    monkeypatch.setattr(sd, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    s = prose(8, 30)
+    texts = [prose(100 + i, 20) + s + prose(200 + i, 20) for i in range(6)] + ["ab" * 60]
+    check(spark, [*texts, texts[0]], 48, gram=4, span=12)
+    rounds = [n for n in names if n.startswith("bwt-step-")]
+    assert len(rounds) > 1 and len(rounds) == len(set(rounds))
+    once = ["bwt-signatures", "bwt-texts", "bwt-copies", "bwt-phrases", "bwt-shards", "bwt-near"]
+    assert [n for n in names if n not in rounds] == once
+
+
 def test_hard_rows_and_empty_table(spark):
     rows = hard_docs()
     got = sd.repeated_strings(hard_frame(spark)).collect()
